@@ -32,14 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import session_of, text_chunks
-from .word_bpe import WordBpe, encode_symbols, load
+from .word_bpe import ID_BITS, ID_MASK, Remembered, WordBpe, encode_symbols, load
 
 #: Symbols in a leaf: pieces with more than this are cut in halves.
 LEAF_SYMBOLS = 256
 #: Tokens on either side of a join in the first window.
 FIRST_WINDOW = 4
-#: Pieces remembered by one worker, and the longest piece worth remembering.
-CACHE_PIECES, CACHE_CHARS = 300_000, 48
 
 
 def join_runs(left: list[int], right: list[int], bpe: WordBpe, first: int = FIRST_WINDOW) -> list[int]:
@@ -66,8 +64,8 @@ def bpe_symbols(token: int, bpe: WordBpe) -> list[int]:
         split = bpe.__dict__.get("_splits")
         if split is None:
             split = bpe._splits = {}
-            for (a, b), (_, new) in bpe.merges.items():
-                split.setdefault(new, (a, b))
+            for pair, merged in bpe.merges.items():
+                split.setdefault(merged & ID_MASK, (pair >> ID_BITS, pair & ID_MASK))
         pair = split.get(token)
         known = [token] if pair is None else bpe_symbols(pair[0], bpe) + bpe_symbols(pair[1], bpe)
         table[token] = known
@@ -97,35 +95,21 @@ def encode_long(
     return runs[0] if runs else []
 
 
-class _Remembered(dict):
-    """Piece to tuple of ids, filled on demand up to a bound."""
-
-    def __init__(self, bpe: WordBpe, leaf: int):
-        super().__init__()
-        self.bpe, self.leaf = bpe, leaf
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        symbols = self.bpe.symbols(piece)
-        if len(symbols) > self.leaf:
-            ids = encode_long(symbols, self.bpe, self.leaf)
-        else:
-            ids = encode_symbols(symbols, self.bpe.merges)
-        ids = tuple(ids)
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class Codec:
     """Encoder and decoder for one vocabulary file."""
 
     def __init__(self, path: str, leaf: int = LEAF_SYMBOLS):
         self.bpe = load(path)
-        self._ids = _Remembered(self.bpe, leaf)
+        self._ids = Remembered(lambda piece: tuple(self._piece(piece)))
+        self._leaf = leaf
         self._names = [self.bpe.names.get(i, "") for i in range(max(self.bpe.names) + 1)]
 
+    def _piece(self, piece: str) -> list[int]:
+        symbols = self.bpe.symbols(piece)
+        if len(symbols) > self._leaf:
+            return encode_long(symbols, self.bpe, self._leaf)
+        return encode_symbols(symbols, self.bpe.merges)
+
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
         out: list[int] = []

@@ -21,27 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import session_of, text_chunks
-from .word_bpe import MergeList, WordBpe, load
+from .word_bpe import MergeList, Remembered, WordBpe, load
 
-#: Pieces remembered by one worker, and the longest piece worth remembering.
-CACHE_PIECES, CACHE_CHARS = 300_000, 48
 
-
-class PieceCounts(dict):
+class PieceCounts(Remembered):
     """Piece to number of tokens, filled on demand up to a bound."""
 
     def __init__(self, bpe: WordBpe):
-        super().__init__()
+        super().__init__(self.count)
         self.bpe = bpe
 
-    def __missing__(self, piece: str) -> int:
+    def count(self, piece: str) -> int:
+        """Initial symbols minus merges."""
         symbols = self.bpe.symbols(piece)
-        count = len(symbols) - MergeList(symbols, self.bpe.merges).run()
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = count
-        return count
+        return len(symbols) - MergeList(symbols, self.bpe.merges).run()
 
 
 def count_text(text: str, counts: PieceCounts) -> int:

@@ -7,11 +7,15 @@ A file of another make than the word-end kind described below is refused.
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import unicodedata
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+
+#: Bits that an id takes in a packed pair.
+ID_BITS = 20
+ID_MASK = (1 << ID_BITS) - 1
 
 #: The split pattern that vocabularies of this kind declare (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -71,7 +75,7 @@ class WordBpe:
     """A vocabulary with its merge ranks and the ids of its base symbols.
 
     ``inner[b]`` and ``final[b]`` are the ids of byte b within and at the end of
-    a piece; ``merges[(a, b)]`` is ``(rank, id of the merged symbol)``.
+    a piece; ``merges[a << ID_BITS | b]`` is ``rank << ID_BITS | id of the merged symbol``.
     """
 
     def __init__(self, path: str):
@@ -97,7 +101,7 @@ class WordBpe:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             merged = a + b
-            self.merges[vocab[a], vocab[b]] = rank, vocab[merged]
+            self.merges[vocab[a] << ID_BITS | vocab[b]] = rank << ID_BITS | vocab[merged]
         tokenizer = Tokenizer.from_file(path)
         self._normalise, self._shadow = tokenizer.normalizer.normalize_str, _Shadow(tokenizer)
         longest_first = sorted(self.special, key=len, reverse=True)
@@ -148,47 +152,44 @@ class MergeList:
 
     The heap holds adjacent pairs by (rank, position); popping the lowest merges
     its two symbols, unlinks the right one and offers the two new neighbours.
-    An entry is stale when either symbol has changed since it was pushed.
+    An entry is stale when the pair at its position is no longer the one pushed.
     """
 
-    def __init__(self, symbols: list[int], merges: dict):
-        n = len(symbols)
+    def __init__(self, symbols: list[int], merges: dict[int, int]):
         self.symbols, self.merges = list(symbols), merges
-        self.after = [*range(1, n), -1] if n else []
-        self.before = [*range(-1, n - 1)]
-        self.heap: list[tuple[int, int, int, int, int]] = []
-        for i in range(n - 1):
-            self._offer(i, i + 1, push=False)
-        heapq.heapify(self.heap)
-
-    def _offer(self, i: int, j: int, push: bool = True) -> None:
-        pair = self.symbols[i], self.symbols[j]
-        found = self.merges.get(pair)
-        if found is not None:
-            entry = (found[0], i, *pair, found[1])
-            if push:
-                heapq.heappush(self.heap, entry)
-            else:
-                self.heap.append(entry)
 
     def run(self) -> int:
         """Merge until no pair has a rank; returns the number of merges."""
-        symbols, after, before, heap = self.symbols, self.after, self.before, self.heap
+        symbols, find = self.symbols, self.merges.get
+        n = len(symbols)
+        if n < 2:
+            return 0
+        width = n.bit_length()
+        mask = (1 << width) - 1
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap = []
+        for i, (a, b) in enumerate(zip(symbols, symbols[1:])):
+            if (x := find(a << ID_BITS | b)) is not None:
+                heap.append(x << width | i)
+        heapify(heap)
         merged = 0
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            entry = heappop(heap)
+            i, x = entry & mask, entry >> width
             j = after[i]
-            if j < 0 or symbols[i] != a or symbols[j] != b:
+            if j >= n or symbols[i] < 0 or find(symbols[i] << ID_BITS | symbols[j]) != x:
                 continue
             merged += 1
+            new = x & ID_MASK
             symbols[i], symbols[j] = new, -1
-            k = after[j]
-            after[i], after[j] = k, -1
-            if k >= 0:
+            k, h = after[j], before[i]
+            after[i] = k
+            if k < n:
                 before[k] = i
-                self._offer(i, k)
-            if before[i] >= 0:
-                self._offer(before[i], i)
+                if (x := find(new << ID_BITS | symbols[k])) is not None:
+                    heappush(heap, x << width | i)
+            if h >= 0 and (x := find(symbols[h] << ID_BITS | new)) is not None:
+                heappush(heap, x << width | h)
         return merged
 
     def result(self) -> list[int]:
@@ -196,10 +197,48 @@ class MergeList:
         return [s for s in self.symbols if s >= 0]
 
 
-def encode_symbols(symbols: list[int], merges: dict) -> list[int]:
+#: Runs up to this length are scanned for the lowest rank instead of kept in a heap.
+SCAN_SYMBOLS = 24
+
+
+def encode_symbols(symbols: list[int], merges: dict[int, int]) -> list[int]:
     """Ids of one run of symbols by rank-ordered merging."""
-    if len(symbols) < 2:
-        return symbols
-    whole = MergeList(symbols, merges)
-    whole.run()
-    return whole.result()
+    if len(symbols) > SCAN_SYMBOLS:
+        run = MergeList(symbols, merges)
+        run.run()
+        return run.result()
+    find, none = merges.get, 1 << 62
+    out = list(symbols)
+    ranks = [find(a << ID_BITS | b, none) for a, b in zip(out, out[1:])]
+    while ranks:
+        low = min(ranks)
+        if low == none:
+            break
+        i = ranks.index(low)
+        new = out[i] = low & ID_MASK
+        del out[i + 1], ranks[i]
+        if i < len(ranks):
+            ranks[i] = find(new << ID_BITS | out[i + 1], none)
+        if i:
+            ranks[i - 1] = find(out[i - 1] << ID_BITS | new, none)
+    return out
+
+
+class Remembered(dict):
+    """A value for each piece, made on demand; the pieces of the last two generations are kept."""
+
+    def __init__(self, make, pieces: int = 250_000, chars: int = 48):
+        super().__init__()
+        self.make, self.pieces, self.chars, self.old = make, pieces, chars, {}
+
+    def __missing__(self, piece: str):
+        value = self.old.get(piece)
+        if value is None:
+            value = self.make(piece)
+            if len(piece) > self.chars:
+                return value
+        if len(self) >= self.pieces:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = value
+        return value
