@@ -6,6 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ def text_chunks(batches, text_at: int, limit: int = CHUNK_CHARS):
         if not batch.num_rows:
             continue
         column = batch.column(text_at)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if held and held + n > limit:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,11 +63,11 @@ def token_counts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = piece_counts(vocabulary)
         for part, texts in text_chunks(batches, 1):
-            size = pa.compute.binary_length(part.column(1))
+            size = pc.binary_length(part.column(1))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
-                    pa.compute.fill_null(size, 0).cast(pa.int64()),
+                    pc.fill_null(size, 0).cast(pa.int64()),
                     pa.array([count_text(x, counts) for x in texts], pa.int64()),
                 ],
                 ["key", "n_bytes", "n_tokens"],
