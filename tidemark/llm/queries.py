@@ -41,6 +41,12 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), repeats=3)
+
+
 def queries() -> dict:
     return {
         name: f
