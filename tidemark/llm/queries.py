@@ -17,6 +17,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mil_quality import quality
+
+    documents, labels = (_table(spark, sf_dir, x) for x in ("documents", "labels"))
+    return quality(documents, labels, threshold=0.5, held=(3, 1))
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_codec import encode
 
