@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 #: One word: a run of characters other than ASCII white space (fixed by the result contract).
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows in one Arrow batch from the JVM. Texts can be long, so it is far below Spark's default.
-BATCH_ROWS = 512
+#: Rows and bytes in one Arrow batch from the JVM. Texts can be long, so both are far below Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 512, "16m"
 
 #: Characters of text that a Python worker turns into arrays at a time.
 CHUNK_CHARS = 4_000_000
@@ -28,6 +28,7 @@ def session_of(df: DataFrame) -> SparkSession:
     """The session of df, with Arrow batches small enough for long texts."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
