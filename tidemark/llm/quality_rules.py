@@ -249,6 +249,15 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
 
+def learned_verdicts(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality"
+) -> DataFrame:
+    """``(key, counts, kept)`` for every row of docs by the learned list alone, without the base rule."""
+    stats = materialise(statistics(docs, key, text))
+    rules = learn_from_labels(stats, labels, key, label)
+    return stats.select(key, *COUNTS[:5], verdict(rules).alias("kept"))
+
+
 def quality_rules(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality"
 ) -> DataFrame:

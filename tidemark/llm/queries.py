@@ -60,6 +60,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"), threshold=0.8)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import fetch_days, filter_urls, listed_patterns
+
+    pages = _table(spark, sf_dir, "pages")
+    return filter_urls(fetch_days(pages), listed_patterns(pages))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -100,4 +113,10 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_top_k": OP5_SQL}
+    from . import license_scan, url_filter
+
+    return {
+        "op5_exact_top_k": OP5_SQL,
+        "op7_license_scan": license_scan.oracle(0.8),
+        "op8_url_filter": url_filter.ORACLE,
+    }
