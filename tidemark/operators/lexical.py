@@ -1,0 +1,189 @@
+"""Lexical search: postings, BM25, boolean queries."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions import scoring, text
+
+
+def postings(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """``(term, key, tf, length)``: the inverted index of a text column."""
+    tokens = docs.select(key, text.terms(F.col(column)).alias("t"))
+    each = tokens.select(key, F.size("t").alias("length"), F.explode("t").alias("term"))
+    return each.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
+
+
+def bm25_from_postings(index: DataFrame, stats: DataFrame, query: Sequence[str], key: str) -> DataFrame:
+    """``(key, bm25)`` of documents that hold any of the terms, from an index and ``(n_docs, mean_length)``."""
+    hits = index.where(F.col("term").isin(*query))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
+    weight = scoring.bm25_weight(*(F.col(c) for c in ("tf", "length", "mean_length", "n_docs", "df")))
+    # stats has one row and df one for each term of the query.
+    joined = hits.join(F.broadcast(df), "term").join(F.broadcast(stats))
+    return joined.groupBy(key).agg(F.sum(weight).alias("bm25"))
+
+
+def corpus_stats(index: DataFrame, key: str) -> DataFrame:
+    """``(n_docs, mean_length)`` of an index: documents without a term aren't in it."""
+    lengths = index.groupBy(key).agg(F.first("length").alias("length"))
+    return lengths.agg(F.count("*").cast("double").alias("n_docs"), F.avg("length").alias("mean_length"))
+
+
+def _occurrences(term: str) -> Column:
+    """How often a term occurs in the token array ``t``."""
+    return F.size(F.filter("t", lambda x: x == F.lit(term)))
+
+
+def bm25(docs: DataFrame, query: Sequence[str], key: str, column: str) -> DataFrame:
+    """``(key, bm25)`` by one scan for statistics and one for scores, without an index.
+
+    Term frequencies are counted within rows, so nothing is shuffled but one row
+    of statistics.
+    """
+    terms = list(dict.fromkeys(t.lower() for t in query))
+    tokens = text.terms(F.coalesce(F.col(column), F.lit("")))
+    counts = docs.select(key, tokens.alias("t")).select(
+        key,
+        F.size("t").alias("length"),
+        *(_occurrences(t).alias(f"tf{k}") for k, t in enumerate(terms)),
+    )
+    stats = counts.agg(
+        F.count("*").cast("double").alias("n_docs"),
+        F.avg("length").alias("mean_length"),
+        *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))),
+    )
+    joined = counts.join(F.broadcast(stats))  # one row
+    score = F.lit(0.0)
+    for k in range(len(terms)):
+        tf = F.col(f"tf{k}")
+        share = scoring.bm25_weight(tf, F.col("length"), F.col("mean_length"), F.col("n_docs"), F.col(f"df{k}"))
+        score = score + F.when(tf > 0, share).otherwise(0.0)
+    any_hit = F.greatest(*(F.col(f"tf{k}") for k in range(len(terms))), F.lit(0)) > 0
+    return joined.where(any_hit).select(key, score.alias("bm25"))
+
+
+# --- boolean queries -------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Node:
+    """A query tree: ``term``, ``prefix``, ``phrase`` with words, or ``and``, ``or``, ``not`` with parts."""
+
+    kind: str
+    parts: tuple
+
+    def holds(self, tokens: Column) -> Column:
+        if self.kind == "term":
+            return F.array_contains(tokens, self.parts[0])
+        if self.kind == "prefix":
+            return F.exists(tokens, lambda x: x.startswith(self.parts[0]))
+        if self.kind == "phrase":
+            return F.contains(
+                F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")), F.lit(f" {' '.join(self.parts)} ")
+            )
+        out = self.parts[0].holds(tokens)
+        if self.kind == "not":
+            return ~out
+        for part in self.parts[1:]:
+            out = (out & part.holds(tokens)) if self.kind == "and" else (out | part.holds(tokens))
+        return out
+
+
+_TOKEN = re.compile(r'"([^"]*)"|(\()|(\))|([^\s()"]+)')
+
+
+def parse(query: str) -> Node:
+    """A query with AND, OR, NOT, "phrases", prefixes* and parentheses; adjacent parts are joined by AND.
+
+    A query that doesn't parse is taken as its words, all of which must occur.
+    """
+    try:
+        items = [m.groups() for m in _TOKEN.finditer(query)]
+        tree, rest = _either(items)
+        if rest or tree is None:
+            raise ValueError(query)
+        return tree
+    except (ValueError, IndexError):
+        words = re.findall(text.TERM, query.lower())
+        if not words:
+            raise ValueError("a query without words") from None
+        return Node("and", tuple(Node("term", (w,)) for w in words))
+
+
+def _either(items):
+    left, items = _all(items)
+    parts = [left]
+    while items and items[0][3] == "OR":
+        part, items = _all(items[1:])
+        parts.append(part)
+    return (parts[0] if len(parts) == 1 else Node("or", tuple(parts))), items
+
+
+def _all(items):
+    parts, negative = [], False
+    while items and items[0][3] != "OR" and not items[0][2]:
+        phrase, opened, _, word = items[0]
+        if word == "AND":
+            items = items[1:]
+            continue
+        if word == "NOT":
+            negative, items = True, items[1:]
+            continue
+        if opened:
+            part, items = _either(items[1:])
+            if not items or not items[0][2]:
+                raise ValueError("an open parenthesis")
+            items = items[1:]
+        else:
+            part, items = _leaf(phrase, word), items[1:]
+        parts.append(Node("not", (part,)) if negative else part)
+        negative = False
+    if not parts or negative:
+        raise ValueError("an empty part")
+    return (parts[0] if len(parts) == 1 else Node("and", tuple(parts))), items
+
+
+def _leaf(phrase, word):
+    if phrase is not None:
+        words = re.findall(text.TERM, phrase.lower())
+        if not words:
+            raise ValueError("an empty phrase")
+        return Node("phrase", tuple(words))
+    if word.endswith("*") and re.fullmatch(text.TERM, word[:-1].lower()):
+        return Node("prefix", (word[:-1].lower(),))
+    if not re.fullmatch(text.TERM, word.lower()):
+        raise ValueError(word)
+    return Node("term", (word.lower(),))
+
+
+def boolean_search(docs: DataFrame, query: str, key: str, column: str) -> DataFrame:
+    """``(key)`` of documents that a boolean query matches."""
+    tokens = docs.select(key, text.terms(F.coalesce(F.col(column), F.lit(""))).alias("t"))
+    return tokens.where(parse(query).holds(F.col("t"))).select(key)
+
+
+def rewrites(query: str, most: int = 4, longest: int = 200) -> list[str]:
+    """Variants of a query: as it is, its tokens, its tokens joined by AND, its first three tokens."""
+    clean = re.sub(r"[^\w\s-]", " ", query).strip()
+    tokens = re.findall(r"[\w.-]+", query)
+    out: dict[str, str] = {}
+    for variant in (query.strip(), clean, " ".join(tokens), " AND ".join(tokens), " ".join(tokens[:3])):
+        variant = variant[:longest]
+        if variant:
+            out.setdefault(variant.lower(), variant)
+    return list(out.values())[:most]
+
+
+def query_class(query: str, has_filters: bool = False) -> str:
+    """Which kind a query is: numeric or time bound, filtered, short, or general (fixed names)."""
+    if re.search(r"\d|\b(today|yesterday|hour|hours|day|week|month|year|ago|when)\b", query.lower()):
+        return "FACT_NUMERIC_TIMEBOUND"
+    if has_filters:
+        return "FILTERED"
+    return "SHORT" if len(query.split()) <= 2 else "GENERAL"

@@ -1,11 +1,14 @@
-"""The registered queries over the reference data model, with their oracle SQL."""
+"""All registered queries over the reference data model, with their oracle SQL."""
 
 from __future__ import annotations
 
+from tidemark.plans import activity_queries, audit_queries, browse_queries, search_queries  # noqa: F401
+from tidemark.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
