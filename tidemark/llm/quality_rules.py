@@ -4,7 +4,7 @@ Statistics of whole texts are taken in Arrow batches with array arithmetic over
 all words of a batch. A decision list is then learned by *sequential covering*
 on the driver from a bounded sample of labelled statistics: each rule grows a
 conjunction of thresholds on two thirds of the rows by information gain, is
-pruned on the last third, and takes the rows that it covers away before the next
+pruned on the last third (on all rows where the third has too few bad ones), and takes the rows that it covers away before the next
 one grows. The list is emitted as an ordered Spark conditional expression, so
 applying it is a plain projection.
 
@@ -32,6 +32,8 @@ from .common import materialise, mix64, session_of, text_chunks, word_hashes
 SYMBOLS = "#*$%&|<>"
 #: Labelled rows that learning sees at most.
 SAMPLE_ROWS = 20_000
+#: Bad rows that the part kept back for pruning must hold to be used.
+LEAST_HELD = 10
 #: Thresholds tried for a statistic.
 CUTS = 48
 
@@ -86,7 +88,7 @@ def text_statistics(texts: list[str]) -> dict[str, np.ndarray]:
     out["n_lines"] = np.array(list(map(len, lines)), np.int64)
     out["n_dup_lines"] = np.array([len(x) - len(set(x)) for x in lines], np.int64)
     joined = np.frombuffer(b"".join(raw), np.uint8)
-    ends = np.concatenate([[0], np.cumsum(list(map(len, raw)))])
+    ends = np.concatenate([[0], np.cumsum(list(map(len, raw)))]).astype(np.int64)
     for name, flags in (
         ("n_upper", (joined >= 65) & (joined <= 90)),
         ("n_marks", (joined == 33) | (joined == 63)),
@@ -204,9 +206,11 @@ def learn(
     rules: list[Rule] = []
     part = np.random.default_rng(seed).random(len(bad))
     left = np.ones(len(bad), bool)
-    while len(rules) < most_rules and np.count_nonzero(bad & left) >= 5:
+    while len(rules) < most_rules and np.count_nonzero(bad & left) >= 2:
         grown_on, kept_back = left & (part < 2 / 3), left & (part >= 2 / 3)
         take = lambda m: {k: v[m] for k, v in rows.items()}
+        if np.count_nonzero(bad & kept_back) < LEAST_HELD:  # too few to judge by: all rows that are left
+            grown_on = kept_back = left
         rule = _grow(take(grown_on), bad[grown_on], longest)
         if not rule:
             break

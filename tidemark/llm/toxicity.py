@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, session_of, text_chunks
+from .common import fold, mix64, session_of, text_chunks
 from .labelled import labelled_texts
 
 #: Labelled documents that learning sees at most.
 SAMPLE_DOCS = 4_000
 #: Lengths of the n-grams, and bits of the table that they are hashed to.
-NGRAMS, TABLE_BITS = (3, 4, 5), 18
+NGRAMS, TABLE_BITS = (3, 4, 5, 6), 20
 #: Documents that must hold an n-gram for it to count.
 LEAST_DOCS = 5
 
@@ -47,21 +47,21 @@ _CACHE_WORDS = 300_000
 
 def word_slots(words: list[str], live: np.ndarray | None = None) -> list[tuple[int, ...]]:
     """Table slots of each word's n-grams; with live (a flag for each slot), only those."""
-    marked = [f"<{w.strip(PUNCTUATION)}>".encode("utf-8", "surrogatepass") for w in words]
+    marked = [f"<{w.strip(PUNCTUATION)}>" for w in words]
     sizes = np.array(list(map(len, marked)), np.int64)
-    letters = np.frombuffer(b"".join(marked) + bytes(8), np.uint8).astype(np.uint64)
-    total = len(letters) - 8
+    joined = "".join(marked).encode("utf-32-le", "surrogatepass")
+    total = len(joined) // 4
+    letters = np.zeros(total + max(NGRAMS), np.uint64)
+    letters[:total] = np.frombuffer(joined, np.uint32)
     ends = np.repeat(np.cumsum(sizes), sizes)
     owner = np.repeat(np.arange(len(words)), sizes)
     value = np.zeros(total, np.uint64)
     owners, slots = [], []
     for n in range(1, max(NGRAMS) + 1):
-        value |= letters[n - 1 : n - 1 + total] << _U(8 * (n - 1))
+        value = value * _U(0x9E3779B97F4A7C15) + letters[n - 1 : n - 1 + total]
         if n not in NGRAMS:
             continue
-        h = value * _U(0x9E3779B97F4A7C15) + _U(n * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
-        h = (h ^ h >> _U(29)) * _U(0xBF58476D1CE4E5B9)
-        slot = (h >> _U(64 - TABLE_BITS)).astype(np.int64)
+        slot = (mix64(value + _U(n)) >> _U(64 - TABLE_BITS)).astype(np.int64)
         inside = np.arange(n, total + n) <= ends
         if live is not None:
             inside &= live[slot]

@@ -9,8 +9,8 @@ as-of join.
 
 Captures of one site (host and first segment) see the same patterns. So the
 intervals of a site are gathered once per distinct site, and captures join them
-on the site: one row for each capture, however many entries there are, and a
-very common host is only a skewed join key, which adaptive execution splits.
+on the site: one row for each capture, however many entries there are. A very
+common site is dealt to several parts by a salt.
 
 Edge cases: a null or malformed URL has no host and is not blocked; a null day
 is evaluated as not blocked; of several entries of a pattern on one day a
@@ -25,6 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts that the captures of one site are dealt to.
+SALTS = 16
+
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 _SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)"
 
@@ -90,7 +93,10 @@ def filter_urls(
         ),
         F.lit(0),
     )
-    return seen.join(rules, ["host", "seg"], "left").withColumn("hit", active).select(
+    # Captures of a very common site are dealt to SALTS parts, each with its copy of the site's rules.
+    dealt = seen.withColumn("salt", F.pmod(F.xxhash64(key, "day"), F.lit(SALTS)).cast("int"))
+    copies = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, ["host", "seg", "salt"], "left").withColumn("hit", active).select(
         key,
         "host",
         "day",
