@@ -83,7 +83,10 @@ def encode_passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     kind = np.bincount(byte_at * _N_CLASSES + _CLASS_OF[joined], minlength=total * _N_CLASSES)
     kind = kind.reshape(total, _N_CLASSES)
     pair = _PAIR_BUCKET[joined[:-1].astype(np.int32) << 8 | joined[1:]]
-    pairs = np.bincount(byte_at[:-1] * PAIR_BUCKETS + pair, minlength=total * PAIR_BUCKETS)
+    within = np.ones(len(joined), bool)
+    within[np.cumsum(sizes) - 1] = False  # a pair that would span two texts
+    within = within[:-1]
+    pairs = np.bincount((byte_at[:-1] * PAIR_BUCKETS + pair)[within], minlength=total * PAIR_BUCKETS)
     pairs = pairs.reshape(total, PAIR_BUCKETS)
     n_bytes = np.maximum(kind.sum(axis=1), 1)
     n_words = np.bincount(word_at, minlength=total)
