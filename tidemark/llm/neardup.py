@@ -19,8 +19,9 @@ shingle, one without words has the empty set. Two documents are linked when
 4. *Verification.* In each bucket every member is compared with its most central
    one, so a bucket of n costs n comparisons. Buckets that are then not within
    one component go on: those of few members compare what is still apart; larger
-   ones go through an exact prefix and position filter over rarest-first
-   shingles, again only across components. A comparison first looks at sizes and
+   ones go through an exact prefix and position filter over shingles in an order
+   that puts first what the central member doesn't have, again only across
+   components. A comparison first looks at sizes and
    at the signatures' agreement (refused beyond 6.5 standard deviations below
    the threshold), then at the full sets.
 5. *Grouping.* Verified links go through union-find (:mod:`.components`).
@@ -271,22 +272,48 @@ def _within_small(members: DataFrame, percent: int) -> DataFrame:
 def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs across components that an exact prefix and position filter leaves.
 
-    Shingles are ordered rarest first. The first shingle that two linked sets
-    share lies where enough is left in both to reach the overlap they need.
+    Members are taken together by pivot. Their shingles are ordered so that those
+    that the pivot doesn't have come first, and by hash within either part: one
+    order for all members of a pivot. The first shingle in it that two linked sets
+    share lies where enough is left in both to reach the overlap they need, so a
+    member shows only a prefix, and one far from the pivot shows nothing but its
+    own shingles.
     """
-    own = members.select("id", "root").distinct().join(sets, "id")
-    tokens = own.select("id", "root", F.explode("items").alias("item"))
-    freq = tokens.groupBy("item").agg(F.count("*").alias("df"))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["pivot", "id", "root", "n", "at", "item"]
+        for batch in batches:
+            own, base = (batch.column(k) for k in (3, 4))
+            ov, bv = (x.flatten().to_numpy(zero_copy_only=False) for x in (own, base))
+            oo, bo = (np.asarray(x.offsets) - x.offsets[0].as_py() for x in (own, base))
+            rows, at, items, sizes = [], [], [], []
+            for i in range(batch.num_rows):
+                x = ov[oo[i] : oo[i + 1]]
+                known = np.isin(x, bv[bo[i] : bo[i + 1]], assume_unique=True)
+                order = np.concatenate([x[~known], x[known]])
+                # What is left from a position on must reach the overlap with the smallest partner.
+                shown = len(x) - -(-percent * len(x) // 100) + 1
+                rows.append(np.full(shown, i))
+                at.append(np.arange(shown))
+                items.append(order[:shown])
+                sizes.append(np.full(shown, len(x)))
+            if not rows:
+                continue
+            row = pa.array(np.concatenate(rows))
+            columns = [batch.column(k).take(row) for k in range(3)]
+            rest = [pa.array(np.concatenate(x).astype(np.int64)) for x in (sizes, at, items)]
+            yield pa.RecordBatch.from_arrays([*columns, *rest], names)
+
+    left = sets.select("id", F.col("items").alias("own"))
+    right = sets.select(F.col("id").alias("pivot"), F.col("items").alias("base"))
     ordered = materialise(
-        tokens.join(freq, "item")
-        .groupBy("id", "root")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("all"))
-        .select("id", "root", F.size("all").alias("n"), F.posexplode("all").alias("at", "x"))
-        .select("id", "root", "n", "at", F.col("x.df").alias("df"), F.col("x.item").alias("item"))
-        .where(f"df > 1 and (n - at) * 100 >= n * {percent}")
+        members.join(left, "id")
+        .join(right, "pivot")
+        .select("pivot", "id", "root", "own", "base")
+        .mapInArrow(prefixes, "pivot long, id long, root long, n long, at long, item long")
     )
     a, b = (
-        ordered.select("item", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "n", "at")))
+        ordered.select("pivot", "item", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "n", "at")))
         for s in "ab"
     )
     # The smaller set is a, and its partner is no smaller: it needs the overlap of equal sizes.
@@ -299,8 +326,8 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
         & (F.col("n_a") * 100 >= F.col("n_b") * percent)
         & (rest >= need)
     )
-    pairs = a.join(b, "item").where(close)
-    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    close_pairs = a.join(b, ["pivot", "item"]).where(close)
+    return close_pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -324,17 +351,17 @@ def near_duplicates(
     )
     exploded = reps.select("id", "n", F.explode("buckets").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    members = materialise(exploded.join(shared, "bucket"))
-    central = members.groupBy("id").agg(F.sum(F.log2("c")).alias("weight"))
+    sharing = materialise(exploded.join(shared, "bucket"))
+    central = sharing.groupBy("id").agg(F.sum(F.log2("c")).alias("weight"))
     pivots = (
-        members.join(central, "id")
+        sharing.join(central, "id")
         .groupBy("bucket")
         .agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("p"))
-        .select("bucket", (-F.col("p.minus")).alias("pivot"))
+        .select("bucket", F.col("p.weight").alias("weight"), (-F.col("p.minus")).alias("pivot"))
     )
+    members = materialise(sharing.join(pivots, "bucket"))
     first = (
-        members.join(pivots, "bucket")
-        .where("id <> pivot")
+        members.where("id <> pivot")
         .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
         .distinct()
     )
@@ -361,7 +388,13 @@ def near_duplicates(
     open_ = materialise(rooted.where("c > 2").join(apart, "bucket", "left_semi"))
     more = _within_small(open_.where(F.col("c") <= SMALL_BUCKET), percent)
     large = open_.where(F.col("c") > SMALL_BUCKET)
-    ids = materialise(large.select("id").distinct())
+    # A bucket of copies that all lack something has a pivot that lacks it too. Its members know
+    # better ones from their other buckets, and the most central of those orders their shingles.
+    hub = F.max(F.struct("weight", (-F.col("pivot")).alias("minus"))).alias("hub")
+    refs = large.select("id", "bucket").join(members.groupBy("id").agg(hub), "id")
+    refs = refs.groupBy("bucket").agg((-F.max("hub")["minus"]).alias("pivot"))
+    large = materialise(large.drop("pivot").join(refs, "bucket").select("pivot", "id", "root").distinct())
+    ids = materialise(large.select("id").union(large.select("pivot")).distinct())
     if not ids.isEmpty():
         sets = materialise(full_sets(docs, ids, shingle, key, text))
         more = more.union(_prefix_pairs(large, sets, percent)).distinct()
