@@ -119,6 +119,18 @@ def test_mix_of_odd_texts(docs):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def test_stages_keep_columns_and_one_of_a_group(docs, none, labels):
+    out = neardup.without_near_duplicates(docs)
+    assert out.columns == docs.columns
+    assert ids(out.collect()) == [1, 3, 4, 5, 6, 7, 8, 9, None, None]
+    for stage in (mil_quality.good_documents, quality_rules.accepted_documents):
+        got = stage(docs, labels)
+        assert got.columns == docs.columns and got.count() <= docs.count()
+        assert stage(none, labels).collect() == []
+    again = docs.where("doc_id = 1").union(docs.where("doc_id = 1"))
+    assert neardup.without_near_duplicates(again).count() == 1
+
+
 def test_documents_of_a_mix_keep_their_columns(docs):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns

@@ -201,6 +201,22 @@ def train(
     return model
 
 
+def fit(
+    docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, held: tuple[int, int], sample: int
+) -> Model:
+    """A model from ``sample`` labelled documents at most, outside the held-out fold."""
+    texts, good = labelled_texts(docs, labels, label, held, sample, key, text)
+    parts = [encode_passages(texts[at : at + 200]) for at in range(0, len(texts), 200)]
+    if not parts:
+        return train(np.empty((0, N_FEATURES), np.float32), np.empty(0, np.int64), good)
+    features, passages = (np.concatenate(x) for x in zip(*parts))
+    return train(features, passages, good)
+
+
+def _scores(model: Model, texts: list[str]) -> np.ndarray:
+    return model.forward(*encode_passages(texts))["score"].astype(np.float64)
+
+
 def quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -216,19 +232,12 @@ def quality(
     Labels of rows whose id falls into fold ``held[1]`` of ``held[0]`` are not used.
     """
     session_of(docs)
-    texts, good = labelled_texts(docs, labels, label, held, sample, key, text)
-    parts = [encode_passages(texts[at : at + 200]) for at in range(0, len(texts), 200)]
-    if parts:
-        features, passages = (np.concatenate(x) for x in zip(*parts))
-        model = train(features, passages, good)
-    else:
-        model = train(np.empty((0, N_FEATURES), np.float32), np.empty(0, np.int64), good)
+    model = fit(docs, labels, key, text, label, held, sample)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches, 1, 2_000_000):
-            score = model.forward(*encode_passages(texts))["score"].astype(np.float64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["key", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_scores(model, texts))], ["key", "score"])
 
     out = docs.select(key, text).mapInArrow(run, f"key {kind}, score double")
     return out.withColumnRenamed("key", key).select(
@@ -237,3 +246,25 @@ def quality(
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def good_documents(
+    docs: DataFrame,
+    labels: DataFrame,
+    threshold: float = 0.5,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+    held: tuple[int, int] = (3, 1),
+    sample: int = SAMPLE_DOCS,
+) -> DataFrame:
+    """The rows of docs, with all their columns, that score the threshold or more. Nothing is shuffled."""
+    session_of(docs)
+    model = fit(docs, labels, key, text, label, held, sample)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_chunks(batches, at, 2_000_000):
+            yield part.filter(pa.array(_scores(model, texts) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -19,9 +19,8 @@ shingle, one without words has the empty set. Two documents are linked when
 4. *Verification.* In each bucket every member is compared with its most central
    one, so a bucket of n costs n comparisons. Buckets that are then not within
    one component go on: those of few members compare what is still apart; larger
-   ones go through an exact prefix and position filter over shingles in an order
-   that puts first what the central member doesn't have, again only across
-   components. A comparison first looks at sizes and
+   ones are compared exactly in blocks, by products of matrices that emit nothing
+   but links between components. A comparison first looks at sizes and
    at the signatures' agreement (refused beyond 6.5 standard deviations below
    the threshold), then at the full sets.
 5. *Grouping.* Verified links go through union-find (:mod:`.components`).
@@ -43,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, materialise, mix64, session_of, text_chunks, word_hashes
-from .components import connected
+from .components import UnionFind, connected
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -52,8 +51,10 @@ _STEP = _U(0x9E3779B97F4A7C15)
 SIGNATURE_ROWS = 128
 #: Chance of missing a pair right at the threshold in banding.
 MISS = 1e-6
-#: Buckets of more members than this take the exact prefix filter.
+#: Buckets of more members than this are compared in blocks.
 SMALL_BUCKET = 32
+#: Members and shingles in a block of a larger one, about.
+BLOCK_MEMBERS, BLOCK_ITEMS = 512, 150_000
 #: Candidate ids that are broadcast to the text scan at most (8 bytes each).
 BROADCAST_IDS = 500_000
 #: Shingles of one signature step, and documents, that are handled together.
@@ -182,9 +183,7 @@ def signatures(
 
 def full_sets(docs: DataFrame, ids: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
     """``(id, items array<long>)``: full shingle sets of the documents in ids (distinct, one column)."""
-    wanted = ids.toDF(key)
-    if ids.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    wanted = _bounded(ids.toDF(key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches, 1):
@@ -269,65 +268,67 @@ def _within_small(members: DataFrame, percent: int) -> DataFrame:
     return two.select("a", F.col("y.id").alias("b")).distinct()
 
 
-def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components that an exact prefix and position filter leaves.
+def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components within the groups of ``(pivot, id, root)`` rows, exact on full sets.
 
-    Members are taken together by pivot. Their shingles are ordered so that those
-    that the pivot doesn't have come first, and by hash within either part: one
-    order for all members of a pivot. The first shingle in it that two linked sets
-    share lies where enough is left in both to reach the overlap they need, so a
-    member shows only a prefix, and one far from the pivot shows nothing but its
-    own shingles.
+    A group is dealt into blocks of a bounded number of members and shingles, and
+    each pair of blocks is one small piece of work: shingles that only one member
+    of the two has can't be shared; members with too many of those are out; for the
+    rest one product of matrices gives all overlaps. Out come the links that a
+    union-find needs, not pairs.
     """
+    own = members.join(sets, "id").withColumn("n", F.size("items"))
+    sizes = own.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_MEMBERS), F.ceil(F.col("s") / BLOCK_ITEMS)).cast("int")
+    dealt = own.join(sizes.select("pivot", blocks.alias("blocks")), "pivot")
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    work = dealt.groupBy("pivot", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(
+        F.collect_list(F.struct("id", "root", "items")).alias("all")
+    )
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["pivot", "id", "root", "n", "at", "item"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, base = (batch.column(k) for k in (3, 4))
-            ov, bv = (x.flatten().to_numpy(zero_copy_only=False) for x in (own, base))
-            oo, bo = (np.asarray(x.offsets) - x.offsets[0].as_py() for x in (own, base))
-            rows, at, items, sizes = [], [], [], []
             for i in range(batch.num_rows):
-                x = ov[oo[i] : oo[i + 1]]
-                known = np.isin(x, bv[bo[i] : bo[i + 1]], assume_unique=True)
-                order = np.concatenate([x[~known], x[known]])
-                # What is left from a position on must reach the overlap with the smallest partner.
-                shown = len(x) - -(-percent * len(x) // 100) + 1
-                rows.append(np.full(shown, i))
-                at.append(np.arange(shown))
-                items.append(order[:shown])
-                sizes.append(np.full(shown, len(x)))
-            if not rows:
-                continue
-            row = pa.array(np.concatenate(rows))
-            columns = [batch.column(k).take(row) for k in range(3)]
-            rest = [pa.array(np.concatenate(x).astype(np.int64)) for x in (sizes, at, items)]
-            yield pa.RecordBatch.from_arrays([*columns, *rest], names)
-
-    left = sets.select("id", F.col("items").alias("own"))
-    right = sets.select(F.col("id").alias("pivot"), F.col("items").alias("base"))
-    ordered = materialise(
-        members.join(left, "id")
-        .join(right, "pivot")
-        .select("pivot", "id", "root", "own", "base")
-        .mapInArrow(prefixes, "pivot long, id long, root long, n long, at long, item long")
-    )
-    a, b = (
-        ordered.select("pivot", "item", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "n", "at")))
-        for s in "ab"
-    )
-    # The smaller set is a, and its partner is no smaller: it needs the overlap of equal sizes.
-    a = a.where(f"(n_a - at_a) * {100 + percent} >= 2 * n_a * {percent}")
-    need = F.expr(f"{percent} * (n_a + n_b)")
-    rest = F.expr(f"least(n_a - at_a, n_b - at_b) * {100 + percent}")
-    close = (
-        (F.col("root_a") != F.col("root_b"))
-        & F.expr("n_a < n_b or (n_a = n_b and id_a < id_b)")
-        & (F.col("n_a") * 100 >= F.col("n_b") * percent)
-        & (rest >= need)
-    )
-    close_pairs = a.join(b, ["pivot", "item"]).where(close)
-    return close_pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+                rows = batch.column(0)[i].values
+                yield _linked(*(rows.field(k) for k in range(3)), percent)
+
+    return work.select("all").mapInArrow(run, "a long, b long")
+
+
+def _linked(ids: pa.Array, roots: pa.Array, items: pa.Array, percent: int) -> pa.RecordBatch:
+    """Links between some documents that connect their components, from their full sets."""
+    ids, roots = np.asarray(ids), np.asarray(roots)
+    sizes = np.diff(np.asarray(items.offsets))
+    _, token, df = np.unique(np.asarray(items.flatten()), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    shared = df[token] > 1
+    common = np.bincount(owner[shared], minlength=len(ids))
+    able = (common * 100 >= percent * sizes) & (sizes > 0)
+    keep = shared & able[owner]
+    rows = np.cumsum(able) - 1
+    d = int(able.sum())
+    overlap = np.zeros((d, d), np.float32)
+    _, token = np.unique(token[keep], return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    row, token = rows[owner[keep]][order], token[order]
+    width = max(1, 8_000_000 // max(1, d))  # columns of the product taken at a time
+    for low in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+        at = slice(*np.searchsorted(token, [low, low + width]))
+        x = np.zeros((d, width), np.float32)
+        x[row[at], token[at] - low] = 1
+        overlap += x @ x.T
+    n, root, name = sizes[able].astype(np.float64), roots[able], ids[able]
+    # Overlaps are whole numbers that single precision holds; the comparison needs double.
+    linked = overlap.astype(np.float64) * (100 + percent) >= percent * (n[:, None] + n[None, :])
+    a, b = np.nonzero(np.triu(linked & (root[:, None] != root[None, :]), 1))
+    sets, out = UnionFind(), ([], [])
+    for x, y in zip(a.tolist(), b.tolist()):
+        if sets.find(int(root[x])) != sets.find(int(root[y])):
+            sets.union(int(root[x]), int(root[y]))
+            out[0].append(int(name[x]))
+            out[1].append(int(name[y]))
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
 
 def near_duplicates(
@@ -388,17 +389,19 @@ def near_duplicates(
     open_ = materialise(rooted.where("c > 2").join(apart, "bucket", "left_semi"))
     more = _within_small(open_.where(F.col("c") <= SMALL_BUCKET), percent)
     large = open_.where(F.col("c") > SMALL_BUCKET)
-    # A bucket of copies that all lack something has a pivot that lacks it too. Its members know
-    # better ones from their other buckets, and the most central of those orders their shingles.
+    # The large buckets of one group of copies differ by band; each goes under the most central
+    # document that its members know from any bucket, so the group is worked on once.
     hub = F.max(F.struct("weight", (-F.col("pivot")).alias("minus"))).alias("hub")
     refs = large.select("id", "bucket").join(members.groupBy("id").agg(hub), "id")
     refs = refs.groupBy("bucket").agg((-F.max("hub")["minus"]).alias("pivot"))
     large = materialise(large.drop("pivot").join(refs, "bucket").select("pivot", "id", "root").distinct())
-    ids = materialise(large.select("id").union(large.select("pivot")).distinct())
-    if not ids.isEmpty():
-        sets = materialise(full_sets(docs, ids, shingle, key, text))
-        more = more.union(_prefix_pairs(large, sets, percent)).distinct()
+    ids = materialise(large.select("id").distinct())
     late = links_of(more)
+    if not ids.isEmpty():
+        sets = full_sets(docs, ids, shingle, key, text)
+        # Rows that repeat an id and a text have one set between them.
+        once = sets.groupBy("id", "items").agg(F.count("*").alias("c")).drop("c")
+        late = materialise(late.union(_block_links(large, once, percent)))
     if not late.isEmpty():
         star = connected(links.union(late))
 
@@ -414,3 +417,29 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
     )
+
+
+def without_near_duplicates(
+    docs: DataFrame, percent: int = 80, shingle: int = 5, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One document of each group of near duplicates, with all columns of docs.
+
+    The representative of a group stays; rows that repeat an id and a text are one
+    document; rows with a null id stay.
+    """
+    groups = materialise(near_duplicates(docs, percent, shingle, key, text).select(key, "kept"))
+    each = groups.where(F.col(key).isNotNull()).groupBy(key)
+    by_id = materialise(each.agg(F.bool_or("kept").alias("any"), F.count("*").alias("rows")))
+    out = docs.join(_bounded(by_id.where("not any").select(key)), key, "left_anti")
+    repeated = by_id.where("rows > 1 and any").select(key)
+    if repeated.isEmpty():
+        return out.select(docs.columns)
+    repeated = _bounded(repeated)
+    single = out.join(repeated, key, "left_anti").select(docs.columns)
+    several = out.join(repeated, key, "left_semi").select(docs.columns)
+    return single.union(several.dropDuplicates([key, text]))
+
+
+def _bounded(ids: DataFrame) -> DataFrame:
+    """ids with a broadcast hint if they are BROADCAST_IDS at most."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

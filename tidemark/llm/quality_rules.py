@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, session_of, text_chunks, word_hashes
+from .common import mix64, session_of, text_chunks, word_hashes
 
 #: Characters that count as symbols (fixed by the result contract).
 SYMBOLS = "#*$%&|<>"
@@ -224,17 +224,37 @@ def learn(
 
 
 def learn_from_labels(
-    stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", sample: int = SAMPLE_ROWS
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+    sample: int = SAMPLE_ROWS,
 ) -> list[Rule]:
-    """A decision list from ``sample`` labelled rows at most (those of least id hash)."""
+    """A decision list from ``sample`` labelled rows at most (those of least id hash).
+
+    Only the documents of those rows are measured for it.
+    """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
-    known = known.select(F.col(key), F.col(label).alias("_label"))
-    joined = stats.join(known, key).select(
-        F.xxhash64(key).alias("h"), F.col(key).alias("id"), "_label", *(feature(f).alias(f) for f in FEATURES)
-    )
-    got = joined.orderBy("h", "id", "_label").limit(sample).toPandas()
-    rows = {f: got[f].to_numpy(float) for f in FEATURES}
-    return learn(rows, got["_label"].to_numpy() == 0) if len(got) else []
+    known = known.select(F.col(key), F.col(label).cast("int").alias("_label"), F.xxhash64(key).alias("_h"))
+    chosen = known.orderBy("_h", key, "_label").limit(sample).select(key, "_label").collect()
+    marks: dict = {}
+    for i, mark in chosen:
+        marks.setdefault(i, []).append(mark)
+    if not marks:
+        return []
+    # Bounded by the sample size.
+    ids = docs.sparkSession.createDataFrame([(i,) for i in marks], known.select(key).schema)
+    stats = statistics(docs.join(F.broadcast(ids), key, "left_semi"), key, text)
+    got = stats.select(F.col(key).alias("id"), *(feature(f).alias(f) for f in FEATURES)).toPandas()
+    got = got.sort_values(["id", *FEATURES], kind="stable")
+    bad, at = [], []
+    for row, i in enumerate(got["id"]):
+        for mark in marks[i]:
+            at.append(row)
+            bad.append(mark == 0)
+    rows = {f: got[f].to_numpy(float)[at] for f in FEATURES}
+    return learn(rows, np.array(bad, bool)) if at else []
 
 
 def verdict(rules: Sequence[Rule]) -> Column:
@@ -253,22 +273,35 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
 
-def learned_verdicts(
+def accepted_documents(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality"
 ) -> DataFrame:
-    """``(key, counts, kept)`` for every row of docs by the learned list alone, without the base rule."""
-    stats = materialise(statistics(docs, key, text))
-    rules = learn_from_labels(stats, labels, key, label)
-    return stats.select(key, *COUNTS[:5], verdict(rules).alias("kept"))
+    """The rows of docs, with all their columns, that the learned list keeps; the base rule isn't applied.
+
+    Statistics travel beside the row, so nothing is shuffled.
+    """
+    session_of(docs)
+    rules = learn_from_labels(docs, labels, key, text, label)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text"))
+    kind = packed.schema["row"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_chunks(batches, 1):
+            found = text_statistics(texts)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), *(pa.array(found[c], pa.int64()) for c in COUNTS)], ["row", *COUNTS]
+            )
+
+    schema = ", ".join([f"row {kind}", *(f"{c} long" for c in COUNTS)])
+    return packed.mapInArrow(run, schema).where(verdict(rules)).select("row.*")
 
 
 def quality_rules(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality"
 ) -> DataFrame:
     """``(key, counts, base_failed, kept)`` for every row of docs."""
-    stats = materialise(statistics(docs, key, text))
-    rules = learn_from_labels(stats, labels, key, label)
-    flagged = stats.withColumn("base_failed", base_failed())
+    rules = learn_from_labels(docs, labels, key, text, label)
+    flagged = statistics(docs, key, text).withColumn("base_failed", base_failed())
     return flagged.select(
         key, *COUNTS[:5], "base_failed", (~F.col("base_failed") & verdict(rules)).alias("kept")
     )
