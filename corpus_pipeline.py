@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe_codec import encode
-from tidemark.llm.mil_quality import quality
+from tidemark.llm.mil_quality import good_documents
 from tidemark.llm.mixing import mixed_documents
-from tidemark.llm.neardup import near_duplicates
-from tidemark.llm.quality_rules import learned_verdicts
+from tidemark.llm.neardup import without_near_duplicates
+from tidemark.llm.quality_rules import accepted_documents
 from tidemark.llm.queries import vocabulary
 
 
@@ -39,24 +39,16 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _where(docs: DataFrame, decided: DataFrame, keep: str) -> DataFrame:
-    """Rows of docs whose id has a true decision; a null id counts as one id."""
-    names = decided.select(F.col("doc_id").alias("_decided_id"), F.col(keep).alias("_keep"))
-    chosen = names.where("_keep").select("_decided_id").distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_decided_id"]), "left_semi")
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality(docs, _labels(spark, sf_dir))
-    return _where(docs, scored.withColumn("keep", F.col("predicted") == 1), "keep")
+    return good_documents(docs, _labels(spark, sf_dir), threshold=0.5)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _where(docs, learned_verdicts(docs, _labels(spark, sf_dir)), "kept")
+    return accepted_documents(docs, _labels(spark, sf_dir))
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _where(docs, near_duplicates(docs, percent=80), "kept")
+    return without_near_duplicates(docs, percent=80)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
