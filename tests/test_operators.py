@@ -193,3 +193,17 @@ def test_streams_equal_batches(spark, tmp_path):
 
     touched = run(aggregate.accepted_touches(stream(), "user", "ts", 600), "touch")
     assert len(touched) == 301 and any(t[2] for t in touched) and any(t[3] == "rate_limited" for t in touched)
+
+
+def test_frame_duplicates(spark):
+    from tidemark.operators import policy
+
+    rows = [("a", at(0), 1), ("a", at(2), 1 << 40), ("a", at(4), 1), ("b", at(0), 1), ("b", at(11), 1)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, bits long")
+    got = policy.frame_duplicates(df, "k", "ts", "bits", window_seconds=10, fraction=0.0)
+    assert [r["duplicate"] for r in got.orderBy("k", "ts").collect()] == [False, False, True, False, False]
+    now = F.lit(at(48 * 3600))
+    stale = policy.stale_split(df, now, 48, "ts").where("k = 'b'").orderBy("ts").collect()
+    assert [r["stale"] for r in stale] == [False, False]
+    assert policy.stale_split(df, F.lit(at(48 * 3600 + 1)), 48, "ts").where("stale").count() == 2
+    assert policy.namespace_view(df, "a", "k").count() == 3

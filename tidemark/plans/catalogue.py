@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.plans import activity_queries, audit_queries, browse_queries, search_queries  # noqa: F401
+from tidemark.plans import (  # noqa: F401
+    activity_queries,
+    audit_queries,
+    browse_queries,
+    policy_queries,
+    search_queries,
+)
 from tidemark.plans.registry import ORACLES, QUERIES
 
 
