@@ -351,10 +351,13 @@ def near_duplicates(
         .select("f1", "f2", "n", "r.id", "r.buckets", "r.sig")
     )
     exploded = reps.select("id", "n", F.explode("buckets").alias("bucket"))
-    shared = exploded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    # Tables by bucket are written before they are joined: a join with rows that an aggregate has just
+    # dealt out by bucket would keep a very large bucket in one task, where one that deals both sides
+    # out anew is split by adaptive execution.
+    shared = materialise(exploded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"))
     sharing = materialise(exploded.join(shared, "bucket"))
     central = sharing.groupBy("id").agg(F.sum(F.log2("c")).alias("weight"))
-    pivots = (
+    pivots = materialise(
         sharing.join(central, "id")
         .groupBy("bucket")
         .agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("p"))
@@ -377,10 +380,10 @@ def near_duplicates(
     links = links_of(first)
     star = connected(links)
 
-    rooted = members.join(star.withColumnRenamed("node", "id"), "id", "left").withColumn(
-        "root", F.coalesce("root", "id")
+    rooted = materialise(
+        members.join(star.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     )
-    apart = (
+    apart = materialise(
         rooted.groupBy("bucket")
         .agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
         .where("lo <> hi")
@@ -393,7 +396,7 @@ def near_duplicates(
     # document that its members know from any bucket, so the group is worked on once.
     hub = F.max(F.struct("weight", (-F.col("pivot")).alias("minus"))).alias("hub")
     refs = large.select("id", "bucket").join(members.groupBy("id").agg(hub), "id")
-    refs = refs.groupBy("bucket").agg((-F.max("hub")["minus"]).alias("pivot"))
+    refs = materialise(refs.groupBy("bucket").agg((-F.max("hub")["minus"]).alias("pivot")))
     large = materialise(large.drop("pivot").join(refs, "bucket").select("pivot", "id", "root").distinct())
     ids = materialise(large.select("id").distinct())
     late = links_of(more)
