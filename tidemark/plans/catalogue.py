@@ -8,6 +8,7 @@ from tidemark.plans import (  # noqa: F401
     browse_queries,
     policy_queries,
     search_queries,
+    stream_queries,
 )
 from tidemark.plans.registry import ORACLES, QUERIES
 
