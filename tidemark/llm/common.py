@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 512, "16m"
 
 #: Characters of text that a Python worker turns into arrays at a time.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 ASCII_LOWER = bytes.maketrans(
     bytes(range(ord("A"), ord("Z") + 1)), bytes(range(ord("a"), ord("z") + 1))
@@ -96,19 +96,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _BASE = 0x2545F4914F6CDD1D
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least n of them."""
-    if len(_powers[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            factors = np.full(size, base, np.uint64)
-            factors[0] = 1
-            _powers[k] = np.multiply.accumulate(factors)
-    return _powers[0], _powers[1]
 
 
 _IS_SPACE = np.zeros(256, bool)
@@ -125,13 +112,20 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     before[1:] = space[:-1]
     starts = np.flatnonzero(~space & before)
     ends = np.flatnonzero(space & ~before)
-    power, inverse = _power_tables(len(joined) + 1)
-    values = _BYTE_VALUES[joined]
-    values *= power[: len(joined)]
-    total = np.empty(len(joined) + 1, np.uint64)
-    total[0] = 0
+    if not len(starts):
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    # Every byte's value times the base to its place in its word; gaps count as places too, unused.
+    gaps = np.diff(starts, append=len(joined))
+    place = np.arange(starts[0], len(joined), dtype=np.int32) - np.repeat(starts.astype(np.int32), gaps)
+    power = np.full(int(gaps.max()), _BASE, np.uint64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    values = _BYTE_VALUES[joined[starts[0] :]]
+    values *= power[place]
+    del place
+    total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values, out=total[1:])
-    hashes = (total[ends] - total[starts]) * inverse[starts]
+    hashes = total[ends - starts[0]] - total[starts - starts[0]]
     hashes += (ends - starts).astype(np.uint64)
     last = np.searchsorted(starts, ends_of_text)
     return mix64(hashes), np.diff(last, prepend=0)

@@ -236,7 +236,7 @@ def quality(
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_chunks(batches, 1, 2_000_000):
+        for part, texts in text_chunks(batches, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_scores(model, texts))], ["key", "score"])
 
     out = docs.select(key, text).mapInArrow(run, f"key {kind}, score double")
@@ -264,7 +264,7 @@ def good_documents(
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_chunks(batches, at, 2_000_000):
+        for part, texts in text_chunks(batches, at):
             yield part.filter(pa.array(_scores(model, texts) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -312,7 +312,7 @@ def _linked(ids: pa.Array, roots: pa.Array, items: pa.Array, percent: int) -> pa
     _, token = np.unique(token[keep], return_inverse=True)
     order = np.argsort(token, kind="stable")
     row, token = rows[owner[keep]][order], token[order]
-    width = max(1, 8_000_000 // max(1, d))  # columns of the product taken at a time
+    width = max(1, 4_000_000 // max(1, d))  # columns of the product taken at a time
     for low in range(0, int(token[-1]) + 1 if len(token) else 0, width):
         at = slice(*np.searchsorted(token, [low, low + width]))
         x = np.zeros((d, width), np.float32)

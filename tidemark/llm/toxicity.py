@@ -42,7 +42,7 @@ PUNCTUATION = ".,;:!?\"'()[]{}#*$%&|<>-_"
 
 _U = np.uint64
 #: Words that a worker remembers.
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 200_000
 
 
 def word_slots(words: list[str], live: np.ndarray | None = None) -> list[tuple[int, ...]]:

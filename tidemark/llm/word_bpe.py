@@ -227,7 +227,7 @@ def encode_symbols(symbols: list[int], merges: dict[int, int]) -> list[int]:
 class Remembered(dict):
     """A value for each piece, made on demand; the pieces of the last two generations are kept."""
 
-    def __init__(self, make, pieces: int = 250_000, chars: int = 48):
+    def __init__(self, make, pieces: int = 120_000, chars: int = 48):
         super().__init__()
         self.make, self.pieces, self.chars, self.old = make, pieces, chars, {}
 
