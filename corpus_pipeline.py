@@ -82,13 +82,22 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     base = (base or tempfile.mkdtemp(prefix="tidemark-pipeline-")).rstrip("/")
     base = f"{base}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}_{name}")
-        docs = spark.read.parquet(f"{base}/{k}_{name}")
+        stage(spark, docs, sf_dir).write.parquet(out := f"{base}/{k}_{name}")
+        docs = spark.read.parquet(out)
+        if before:
+            _remove(spark, before)
+        before = out
     return docs
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that a later stage has replaced, in whatever file system it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def queries() -> dict:
     return {"pipeline": run}
 
