@@ -36,8 +36,8 @@ def corpus_stats(index: DataFrame, key: str) -> DataFrame:
 
 
 def _occurrences(term: str) -> Column:
-    """How often a term occurs in the token array ``t``."""
-    return F.size(F.filter("t", lambda x: x == F.lit(term)))
+    """How often a term occurs in the array ``hits``."""
+    return F.size(F.filter("hits", lambda x: x == F.lit(term)))
 
 
 def bm25(docs: DataFrame, query: Sequence[str], key: str, column: str) -> DataFrame:
@@ -48,9 +48,12 @@ def bm25(docs: DataFrame, query: Sequence[str], key: str, column: str) -> DataFr
     """
     terms = list(dict.fromkeys(t.lower() for t in query))
     tokens = text.terms(F.coalesce(F.col(column), F.lit("")))
-    counts = docs.select(key, tokens.alias("t")).select(
+    # Most tokens are no term of the query: one pass keeps those that are.
+    hits = F.filter("t", lambda x: x.isin(*terms)).alias("hits")
+    counts = docs.select(key, tokens.alias("t")).select(key, F.size("t").alias("length"), hits)
+    counts = counts.select(
         key,
-        F.size("t").alias("length"),
+        "length",
         *(_occurrences(t).alias(f"tf{k}") for k, t in enumerate(terms)),
     )
     stats = counts.agg(
@@ -64,8 +67,9 @@ def bm25(docs: DataFrame, query: Sequence[str], key: str, column: str) -> DataFr
         tf = F.col(f"tf{k}")
         share = scoring.bm25_weight(tf, F.col("length"), F.col("mean_length"), F.col("n_docs"), F.col(f"df{k}"))
         score = score + F.when(tf > 0, share).otherwise(0.0)
-    any_hit = F.greatest(*(F.col(f"tf{k}") for k in range(len(terms))), F.lit(0)) > 0
-    return joined.where(any_hit).select(key, score.alias("bm25"))
+    # A hit's score is positive. Filtering on it rather than on the counts keeps the filter above the
+    # join: pushed below, it would split every text into terms once more for each term.
+    return joined.select(key, score.alias("bm25")).where("bm25 > 0")
 
 
 # --- boolean queries -------------------------------------------------------------------------
