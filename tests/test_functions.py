@@ -173,3 +173,26 @@ def test_planner(spark):
     for query, want in (("roadmap", 1), ("ticket-123", 1), ("Alpha Beta", 3)):
         assert planner.retrieve(docs, query, "k", "t", planner.Budget()).first()["k"] == want
     assert planner.retrieve(docs, "unobtainium", "k", "t", planner.Budget()).count() == 0
+
+
+def test_times_of_queries(spark):
+    import datetime as dt
+
+    from tidemark.functions import when
+
+    utc = dt.timezone.utc
+    now = dt.datetime(2026, 1, 16, 18, tzinfo=utc)
+    five = dt.datetime(2026, 1, 15, 17, tzinfo=utc)
+    hour = dt.timedelta(hours=1)
+    assert when.time_range("an hour ago", now) == (now - hour, now)
+    for query in ("yesterday 5 pm", "at 17:00 yesterday", "what was open yesterday 5pm?"):
+        assert when.time_range(query, now) == (five, five + hour)
+    assert when.time_range("5pm yesterday", now, "Europe/Berlin") == (five - hour, five)
+    assert when.time_range("yesterday 25:00", now) is None and when.time_range("", now) is None
+    assert when.only_a_time(" Last  hour ") and when.only_a_time("at 5 pm yesterday") and not when.only_a_time("notes yesterday 5 pm")
+    assert when.late_window_allowed((five, five + hour)) and not when.late_window_allowed(None)
+    assert not when.late_window_allowed((five - dt.timedelta(days=8), five))
+    rows = [(1, k, now.replace(tzinfo=None), "x" * (10 if k else 300), k / 10) for k in range(5)]
+    spans = spark.createDataFrame(rows, "e int, k int, ts timestamp, body string, c double")
+    got = when.late_eligible(spans, "e", "ts", "body", "c", "k", F.lit(now.replace(tzinfo=None)), most=2)
+    assert sorted(r["k"] for r in got.collect()) == [3, 4]
