@@ -277,10 +277,12 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     rest one product of matrices gives all overlaps. Out come the links that a
     union-find needs, not pairs.
     """
-    own = members.join(sets, "id").withColumn("n", F.size("items"))
-    sizes = own.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    lengths = members.join(sets.select("id", F.size("items").alias("n")), "id")
+    sizes = lengths.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK_MEMBERS), F.ceil(F.col("s") / BLOCK_ITEMS)).cast("int")
-    dealt = own.join(sizes.select("pivot", blocks.alias("blocks")), "pivot")
+    sizes = materialise(sizes.select("pivot", blocks.alias("blocks")))
+    # One row for each group: within its bound it is broadcast, so that sets aren't dealt by group.
+    dealt = members.join(_bounded(sizes), "pivot").join(sets, "id")
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     work = dealt.groupBy("pivot", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(
@@ -403,7 +405,7 @@ def near_duplicates(
     if not ids.isEmpty():
         sets = full_sets(docs, ids, shingle, key, text)
         # Rows that repeat an id and a text have one set between them.
-        once = sets.groupBy("id", "items").agg(F.count("*").alias("c")).drop("c")
+        once = materialise(sets.groupBy("id", "items").agg(F.count("*").alias("c")).drop("c"))
         late = materialise(late.union(_block_links(large, once, percent)))
     if not late.isEmpty():
         star = connected(links.union(late))
