@@ -6,7 +6,8 @@ last return the columns of documents.
 
 1. ``quality_classifier`` drops documents that the attention classifier scores
    below 0.5.
-2. ``quality_rules`` drops documents that the learned decision list rejects.
+2. ``quality_rules`` drops documents that the learned decision list rejects. The
+   list is learned on the documents table, not on what stage 1 has left of it.
    The fixed base rule of the rules operator (50 words, repeated windows) is
    not part of this stage: clean documents may be short.
 3. ``near_duplicates`` keeps one document of each group (five-word shingles,
@@ -44,7 +45,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return accepted_documents(docs, _labels(spark, sf_dir))
+    every = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return accepted_documents(docs, _labels(spark, sf_dir), learn_on=every)
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

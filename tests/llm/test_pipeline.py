@@ -40,3 +40,17 @@ def test_no_documents(spark, tmp_path):
         stage(spark, docs, DIR).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         assert docs.count() == 0
+
+
+def test_rules_are_learned_on_the_documents_table(spark):
+    from tidemark.llm.queries import op6_quality_rules
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    bad = spark.read.parquet(f"{DIR}/labels.parquet").where("quality = 0").select("doc_id")
+    fed = docs.join(bad, "doc_id", "left_anti")  # as after a classifier that has caught all labelled bad ones
+    verdicts = op6_quality_rules(spark, DIR).where("not base_failed").join(fed.select("doc_id"), "doc_id")
+    rejected = {r[0] for r in verdicts.where("not kept").select("doc_id").collect()}
+    kept = {r[0] for r in verdicts.where("kept").select("doc_id").collect()}
+    out = {r[0] for r in pipeline.quality_rules(spark, fed, DIR).select("doc_id").collect()}
+    assert rejected and not rejected & out
+    assert kept and kept <= out

@@ -274,14 +274,21 @@ def base_failed() -> Column:
 
 
 def accepted_documents(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality"
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+    learn_on: DataFrame | None = None,
 ) -> DataFrame:
     """The rows of docs, with all their columns, that the learned list keeps; the base rule isn't applied.
 
+    The list is learned on the labelled rows of ``learn_on`` (docs where it is
+    None): an earlier filter may have left docs without bad rows to learn from.
     Statistics travel beside the row, so nothing is shuffled.
     """
     session_of(docs)
-    rules = learn_from_labels(docs, labels, key, text, label)
+    rules = learn_from_labels(docs if learn_on is None else learn_on, labels, key, text, label)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text"))
     kind = packed.schema["row"].dataType.simpleString()
 
