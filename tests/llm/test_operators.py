@@ -282,3 +282,24 @@ def test_targets_stop_at_three_times_the_source(spark):
     assert by[1]["target"] == 30 and by[2]["target"] == 60 and by[4]["target"] == 0
     assert by[0]["target"] + by[3]["target"] == pytest.approx(12030 - 90)
     assert all(r["taken"] == pytest.approx(r["target"], rel=0.05, abs=3) for r in got)
+
+
+@pytest.mark.parametrize("words", [1, 4096])
+def test_small_sources_get_their_targets_at_every_block_size(spark, monkeypatch, words):
+    from tidemark.llm import mixing
+
+    monkeypatch.setattr(mixing, "LEAST_SLOTS", 1)
+    sizes = {"a": 200, "b": 500, "c": 3000, "d": 60_000, "e": 40_000}
+    rows = [(i, "w " * (n // 10), s) for i, (s, n) in enumerate((s, n) for s, n in sizes.items() for _ in range(10))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {i: s for i, _, s in rows}
+    got = mixing.mix(docs, block_words=words).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[source[r["doc_id"]]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+    assert target["a"] == 600 and target["b"] == 1500 and target["c"] == 9000
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= 0.5
+    copies = Counter(r["source"] for r in mixing.mixed_documents(docs).select("source").collect())
+    assert copies["a"] == 30 and copies["b"] == 30

@@ -6,8 +6,12 @@ words. The mix consists of slots of ``block`` words each; slot i takes the point
 interval, so that every stretch of the schedule holds the sources in proportion.
 The slots of one source are ranked, and slot r takes block r of that source's
 documents in shuffled order, block r being words ``r * block`` up to
-``(r + 1) * block`` of that order repeated. All blocks therefore hold equally
-many words, and a source is repeated evenly, ``repeats`` times at most.
+``(r + 1) * block`` of that order repeated. A source gets its target, rounded to
+whole words, at every size of input: its last block is a partial one, slots that
+the schedule gives it beyond that stay empty, and where the schedule gives too
+few (a target below one slot may get none) slots are added at the end. All other
+blocks hold equally many words, and a source is repeated evenly, ``repeats``
+times at most.
 
 Offsets in the shuffled order and ranks in the schedule are running sums in two
 levels (within buckets of the order, then over the buckets), so that no task
@@ -107,6 +111,18 @@ def schedule(targets: DataFrame, slots: int) -> DataFrame:
     )
 
 
+def filled_up(slots: DataFrame, targets: DataFrame, block: int) -> DataFrame:
+    """``(src, rank)``: the scheduled slots, and those that a target takes beyond them.
+
+    Shares of the schedule are within a few slots of the targets, so few are added.
+    """
+    given = slots.groupBy("src").agg(F.count("*").alias("given"))
+    wanted = targets.select("src", F.expr(f"(used + {block - 1}) div {block}").alias("blocks"))
+    short = wanted.join(given, "src", "left").withColumn("given", F.coalesce("given", F.lit(0).cast("long")))
+    added = short.where("given < blocks").select("src", F.explode(F.expr("sequence(given, blocks - 1)")).alias("rank"))
+    return slots.select("src", "rank").unionByName(added)
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[int] = (1, 2, 3),
@@ -123,10 +139,11 @@ def mix(
             F.col(key).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")
         )
     )
-    targets = materialise(source_targets(sized, weights, repeats))
+    targets = source_targets(sized, weights, repeats)
+    targets = materialise(targets.withColumn("used", F.floor(F.col("target") + 0.5)))
     rows, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = max(1, min(block_words, words // LEAST_SLOTS))
-    slots = materialise(schedule(targets, -(-words // block)))
+    slots = filled_up(materialise(schedule(targets, -(-words // block))), targets, block)
     bits = max(1, math.ceil(math.log2(max(2, rows / BUCKET_ROWS))))
 
     named = sized.join(
@@ -142,13 +159,11 @@ def mix(
         .orderBy("h", "id", "size")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    used = slots.groupBy("src").agg((F.count("*") * block).alias("used"))
     located = materialise(
         ordered.withColumn("upto", F.sum("size").over(within))
         .join(starts, ["src", "bucket"])
-        .join(used, "src", "left")
         .select(
-            "id", "size", "src", "source_size", "target", F.coalesce("used", F.lit(0)).alias("used"),
+            "id", "size", "src", "source_size", "target", "used",
             (F.col("start") + F.col("upto") - F.col("size")).alias("off"),
         )
     )
@@ -166,11 +181,11 @@ def mix(
             F.explode(F.expr(f"sequence(at div {block}, (least(at + size, used) - 1) div {block})")),
         )
     )
-    overlap = F.least(F.col("at") + F.col("size"), (F.col("rank") + 1) * block) - F.greatest(
+    overlap = F.least(F.col("at") + F.col("size"), (F.col("rank") + 1) * block, "used") - F.greatest(
         F.col("at"), F.col("rank") * block
     )
     columns = ["id", "size", "src", "source_size", "target", "off"]
-    taken = pieces.join(slots.select("src", "rank"), ["src", "rank"]).select(
+    taken = pieces.join(slots, ["src", "rank"]).select(
         *columns, overlap.alias("taken")
     )
     nothing = located.select(*columns, F.lit(0).cast("long").alias("taken"))
