@@ -303,3 +303,52 @@ def test_small_sources_get_their_targets_at_every_block_size(spark, monkeypatch,
         assert abs(taken[s] - target[s]) <= 0.5
     copies = Counter(r["source"] for r in mixing.mixed_documents(docs).select("source").collect())
     assert copies["a"] == 30 and copies["b"] == 30
+
+
+# --- licences --------------------------------------------------------------------------------------
+
+
+def test_notices_in_mid_line_wrapped_and_full_texts(spark):
+    from tidemark.llm.license_scan import scan_notices
+
+    cases = [
+        ("Copyright 2020 Jane Doe. Licensed under the Apache License, Version 2.0.", "Apache-2.0", 1),
+        ("Copyright (c) 2020 Jane Doe. Released under the MIT License.", "MIT", 1),
+        ("This page is licensed under CC BY 4.0.", "CC-BY-4.0", 1),
+        ("All rights kept. This work is licensed under the GNU General\nPublic License, version 3 or later", "GPL-3.0", 1),
+        ("MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\n of this software "
+         "and associated documentation files (the Software), to deal in the Software", "MIT", 1),
+        ("word " * 500 + "Licensed under CC BY-SA 4.0 " + "word " * 500 + "Released under the ISC License", "ISC", 2),
+        ("Redistribution and use in source and binary forms, with or\nwithout modification, are permitted provided that "
+         "the following\nconditions are met:", "BSD-2-Clause", 1),
+        ("a licensed driver under the version", None, 0),
+        (None, None, 0),
+        ("", None, 0),
+    ]
+    docs = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in scan_notices(docs).collect()}
+    for i, (_, name, n) in enumerate(cases):
+        assert (got[i]["license"], got[i]["n_matches"]) == (name, n), got[i]
+    assert got[1]["word_no"] == 6 and got[1]["dice"] == 1.0
+
+
+def test_notices_equal_all_windows(spark):
+    from tidemark.llm.license_scan import BODIES, TEMPLATES, bigrams, scan_notices, template_words
+
+    rng, templates = random.Random(5), [(n, bigrams(template_words(t))) for n, t in TEMPLATES + BODIES]
+    texts = []
+    for k in range(60):
+        words = template_words(rng.choice(TEMPLATES + BODIES)[1])
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = rng.choice(["other", "license", "the"])
+        texts.append(" ".join(["word"] * rng.randrange(4) + words + ["more"] * rng.randrange(4)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in scan_notices(docs).collect():
+        words, best = texts[r["doc_id"]].split(), 0.0
+        pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+        for _, grams in templates:
+            for a in range(len(pairs)):
+                for b in range(a, min(len(pairs), a + int(len(grams) * 1.5 + 1e-9))):
+                    inside = set(pairs[a : b + 1])
+                    best = max(best, 2 * len(inside & set(grams)) / (len(inside) + len(grams)))
+        assert (r["dice"] or 0.0) == (round(best, 6) if best >= 0.8 - 1e-9 else 0.0)

@@ -10,6 +10,10 @@ lies between ``t / (2 - t)`` and ``(2 - t) / t`` times its own.
 
 Templates are a bounded literal of the plan, so there is no join and no shuffle.
 
+``scan_licenses`` compares whole lines, as its SQL does. ``scan_notices`` compares
+windows of words of the whole text instead, so that it also finds notices in mid-line,
+notices that are wrapped over lines, and licence texts.
+
 Edge cases: null and empty texts and texts without a notice give no matches and
 null licence columns; units of fewer than two words have no bigrams and match
 nothing; ties go to the earlier template, then to the earlier line; repeated
@@ -45,6 +49,36 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
 )
 
+#: First sentences of licence texts and headers; with TEMPLATES what scan_notices looks for.
+BODIES: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files",
+    ),
+    (
+        "BSD-3-Clause",
+        "may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted",
+    ),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+)
+
 #: Templates that one plan carries at most.
 MOST_TEMPLATES = 500
 
@@ -169,6 +203,109 @@ def scan_licenses(
     )
 
 
+def _word_pairs(low: Column) -> Column:
+    """All word bigrams of a lower-cased text, in order and with repeats."""
+    words = F.filter(F.split(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != F.lit(""))
+    pairs = F.transform(
+        F.array(words),
+        lambda w: F.zip_with(
+            F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))),
+            F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))),
+            lambda a, b: F.concat(a, F.lit(" "), b),
+        ),
+    )
+    return F.element_at(pairs, 1)
+
+
+def scan_notices(
+    docs: DataFrame,
+    threshold: float = 0.8,
+    templates: Sequence[tuple[str, str]] = TEMPLATES + BODIES,
+    key: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """``(key, n_matches, license, dice, word_no)`` for every row of docs, from windows of the whole text.
+
+    A window of the highest coefficient begins and ends with bigrams of its
+    template, for one that doesn't can be cut there; so only windows between such
+    bigrams are compared, of ``(2 - t) / t`` times the template's bigrams at most.
+    Each begins with the best end for its template. Of overlapping windows the
+    best one counts, then the earlier template, the shorter window, the earlier
+    start. ``word_no`` is the best window's first word, from 1.
+    """
+    if len(templates) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    hints = sorted({a for _, t in templates for a in anchors(t, threshold)})
+    listed = [(name, bigrams(template_words(t))) for name, t in templates]
+    every = sorted({g for _, grams in listed for g in grams})
+    known = F.array(
+        *(
+            F.struct(
+                F.lit(k).alias("order"),
+                F.lit(name).alias("name"),
+                F.array(*map(F.lit, grams)).alias("grams"),
+                F.lit(len(grams)).alias("n"),
+                F.lit(int(len(grams) * (2 - threshold) / threshold + 1e-9)).alias("most"),
+            )
+            for k, (name, grams) in enumerate(listed)
+        )
+    )
+
+    def windows(t: Column) -> Column:
+        def scored(a: Column, b: Column) -> Column:
+            grams = F.slice("pairs", a, b - a + 1)
+            shared = F.size(F.array_intersect(grams, t["grams"])) * 2.0
+            return F.struct(
+                (-shared / (F.size(F.array_distinct(grams)) + t["n"])).alias("minus_dice"),
+                t["order"].alias("order"),
+                (b - a).alias("longer"),
+                a.alias("first"),
+                b.alias("last"),
+                t["name"].alias("name"),
+            )
+
+        def from_start(a: Column, i: Column) -> Column:
+            ends = F.filter(F.slice(t["own"], i + 1, t["most"]), lambda b: b - a < t["most"])
+            return F.array_min(F.transform(ends, lambda b: scored(a, b)))
+
+        return F.transform(t["own"], from_start)
+
+    low = F.lower(F.col(text))
+    hinted = reduce(or_, (F.contains(low, F.lit(h)) for h in hints))
+    rows = docs.select(F.col(key), F.when(hinted, _word_pairs(low)).alias("pairs"))
+    at = F.transform("pairs", lambda g, i: F.struct((i + 1).alias("at"), g.alias("g")))
+    rows = rows.select(key, "pairs", F.filter(at, lambda h: h["g"].isin(every)).alias("hits"))
+    own = F.transform(
+        known,
+        lambda t: F.struct(
+            t["order"].alias("order"), t["name"].alias("name"), t["grams"].alias("grams"), t["n"].alias("n"),
+            t["most"].alias("most"),
+            F.transform(F.filter("hits", lambda h: F.array_contains(t["grams"], h["g"])), lambda h: h["at"]).alias("own"),
+        ),
+    )
+    rows = rows.select(key, "pairs", F.when(F.size("hits") > 0, own).alias("near"))
+    near = F.filter("near", lambda t: F.size(t["own"]) * (2 - threshold) >= t["n"] * threshold - 1e-9)
+    rows = rows.select(key, "pairs", near.alias("near"))
+    found = F.filter(F.flatten(F.transform("near", windows)), lambda m: m["minus_dice"] <= 1e-9 - threshold)
+    rows = rows.select(key, F.array_sort(found).alias("found"))
+    kept = F.reduce(
+        "found",
+        F.slice("found", 1, 1),
+        lambda kept, m: F.when(
+            F.exists(kept, lambda o: (o["first"] <= m["last"]) & (m["first"] <= o["last"])), kept
+        ).otherwise(F.concat(kept, F.array(m))),
+    )
+    rows = rows.select(key, kept.alias("kept"))
+    top = F.get("kept", F.lit(0))
+    return rows.select(
+        key,
+        F.greatest(F.coalesce(F.size("kept"), F.lit(0)), F.lit(0)).cast("long").alias("n_matches"),
+        top["name"].alias("license"),
+        F.round(-top["minus_dice"], 6).alias("dice"),
+        top["first"].cast("long").alias("word_no"),
+    )
+
+
 def oracle(threshold: float = 0.8, templates: Sequence[tuple[str, str]] = TEMPLATES) -> str:
     """DuckDB SQL for scan_licenses over ``documents``, without the bounds."""
     values = ", ".join(
