@@ -207,3 +207,15 @@ def test_frame_duplicates(spark):
     assert [r["stale"] for r in stale] == [False, False]
     assert policy.stale_split(df, F.lit(at(48 * 3600 + 1)), 48, "ts").where("stale").count() == 2
     assert policy.namespace_view(df, "a", "k").count() == 3
+
+
+def test_common_passages_keep_their_candidates(spark, tmp_path):
+    from tidemark.plans import audit_queries
+
+    passage = "Shared words of a passage that many documents hold"
+    docs = [(i, f"{passage} number{i}" if i < 30 else f"other text {i}") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = audit_queries.eval_recall_mrr_all_terms(spark, str(tmp_path)).first()
+    assert got["n_queries"] == 1 and got["mrr"] == 1.0 and got["recall"] == pytest.approx(10 / 30, abs=1e-6)
+    assert audit_queries.sensitivity_jaccard_all_terms(spark, str(tmp_path)).first()["jaccard"] == 1.0

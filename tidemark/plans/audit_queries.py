@@ -192,6 +192,54 @@ def sensitivity_jaccard(spark: SparkSession, base: str) -> DataFrame:
     return audit.sensitivity(_runs(spark, base), "by_terms", "item_id", "variant", "doc_id")
 
 
+def _full_runs(spark: SparkSession, base: str) -> DataFrame:
+    """As ``_runs``, by all words of a passage, each weighed by ``ln(1 + documents / df)`` in whole millionths.
+
+    Whole numbers add up alike in any order, so ties are ties in every engine.
+    """
+    from pyspark.sql import Window
+
+    items = table(spark, base, "benchmark").select("item_id", F.array_distinct(text.terms(F.col("text"))).alias("t"))
+    words = items.select("item_id", F.explode("t").alias("term"))
+    docs = table(spark, base, "documents")
+    index = lexical.postings(docs.select("doc_id", "text"), "doc_id", "text")
+    index = index.join(words.select("term").distinct(), "term", "left_semi")
+    df = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(docs.agg(F.count("*").alias("n")))
+    weights = df.select("term", F.floor(F.log(1 + F.col("n") / F.col("df")) * 1e6).cast("long").alias("w"))
+    hits = words.join(weights, "term").join(index, "term")
+    scores = hits.groupBy("item_id", "doc_id").agg(F.sum("w").alias("by_terms"), F.sum(F.col("w") * F.col("tf")).alias("by_tf"))
+    kinds = F.array(*(F.struct(F.lit(v).alias("variant"), F.col(v).alias("score")) for v in ("by_terms", "by_tf")))
+    each = scores.select("item_id", "doc_id", F.inline(kinds))
+    w = Window.partitionBy("item_id", "variant").orderBy(F.desc("score"), "doc_id")
+    each = each.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+    return each.select("item_id", "variant", "doc_id", "rank")
+
+
+_FULL_RUNS = _RUNS.replace(
+    "r AS (SELECT term FROM i GROUP BY 1 HAVING count(*) <= 20)",
+    "r AS (SELECT term, floor(ln(1 + (SELECT count(*) FROM documents)::DOUBLE / count(*)) * 1e6)::BIGINT AS w FROM i GROUP BY 1)",
+).replace("count(*) AS by_terms, sum(tf) AS by_tf", "sum(w) AS by_terms, sum(w * tf) AS by_tf")
+
+
+@query(f"""
+WITH {_FULL_RUNS}, h AS (SELECT item_id, count(*) AS found, min(rank) AS first FROM t JOIN x USING (item_id, doc_id) WHERE variant = 'by_terms' GROUP BY 1),
+w AS (SELECT item_id, count(*) AS wanted FROM x GROUP BY 1)
+SELECT round(avg(coalesce(found, 0) / wanted), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, count(*) AS n_queries FROM w LEFT JOIN h USING (item_id)
+""")
+def eval_recall_mrr_all_terms(spark: SparkSession, base: str) -> DataFrame:
+    runs = _full_runs(spark, base).where("variant = 'by_terms'")
+    return audit.retrieval_metrics(runs, _expected(spark, base), "item_id", "doc_id", 10)
+
+
+@query(f"""
+WITH {_FULL_RUNS}, l AS (SELECT item_id, variant, list(doc_id) AS s FROM t GROUP BY 1, 2)
+SELECT a.variant, round(avg(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s)))), 6) AS jaccard
+FROM l a JOIN l b ON a.item_id = b.item_id AND b.variant = 'by_terms' WHERE a.variant <> 'by_terms' GROUP BY 1
+""")
+def sensitivity_jaccard_all_terms(spark: SparkSession, base: str) -> DataFrame:
+    return audit.sensitivity(_full_runs(spark, base), "by_terms", "item_id", "variant", "doc_id")
+
+
 @query("""
 WITH o AS (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50), n AS (SELECT doc_id FROM documents ORDER BY length(source), n_chars DESC, doc_id LIMIT 50)
 SELECT count(*) / 50.0::DOUBLE AS ratio FROM n WHERE doc_id NOT IN (SELECT doc_id FROM o)
