@@ -219,3 +219,13 @@ def test_common_passages_keep_their_candidates(spark, tmp_path):
     got = audit_queries.eval_recall_mrr_all_terms(spark, str(tmp_path)).first()
     assert got["n_queries"] == 1 and got["mrr"] == 1.0 and got["recall"] == pytest.approx(10 / 30, abs=1e-6)
     assert audit_queries.sensitivity_jaccard_all_terms(spark, str(tmp_path)).first()["jaccard"] == 1.0
+
+
+def test_strategies_are_compared_on_whole_texts(spark, tmp_path):
+    from tidemark.plans import policy_queries
+
+    rows = [("The same beginning, one end", "en"), ("The same beginning, two end", "en"), ("the same", "de")]
+    docs = spark.createDataFrame([(i, t, lang, len(t)) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r[0]: (r["pass_rate"], r["mean_tokens"]) for r in policy_queries.strategy_comparison_texts(spark, str(tmp_path)).collect()}
+    assert got == {"en": (0.5, 7.0), "de": (1.0, 2.0)}

@@ -88,6 +88,20 @@ def strategy_comparison(spark: SparkSession, base: str) -> DataFrame:
     return policy.compare_strategies(rows, "strategy", "answer", "expected", "n_chars")
 
 
+@query("""
+WITH e AS (SELECT lang, n_chars, min(text) AS expected FROM documents GROUP BY 1, 2)
+SELECT lang AS strategy, round(avg((lower(trim(text)) = lower(trim(expected)))::INT::DOUBLE), 6) AS pass_rate,
+  round(avg(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, ceil(length(text) / 4.0)) END), 6)::DOUBLE AS mean_tokens,
+  round(avg(n_chars), 6) AS mean_ms FROM documents JOIN e USING (lang, n_chars) GROUP BY 1
+""")
+def strategy_comparison_texts(spark: SparkSession, base: str) -> DataFrame:
+    """Whole texts as answers; expected is the least text of the same language and length."""
+    docs = table(spark, base, "documents").select("lang", "n_chars", "text")
+    expected = docs.groupBy("lang", "n_chars").agg(F.min("text").alias("expected"))
+    rows = docs.join(expected, ["lang", "n_chars"]).withColumnRenamed("lang", "strategy")
+    return policy.compare_strategies(rows, "strategy", "text", "expected", "n_chars")
+
+
 @query("""
 WITH h AS (SELECT * FROM part WHERE contains(lower(p_name), 'red') OR (len(list_filter(string_split_regex(lower(p_name), '\\W+'), lambda w: starts_with(w, 'bo'))) > 0
   AND len(list_filter(string_split_regex(lower(p_name), '\\W+'), lambda w: starts_with(w, 'bl'))) > 0) OR contains(lower(p_name), 'bo bl')),
