@@ -221,6 +221,17 @@ def test_common_passages_keep_their_candidates(spark, tmp_path):
     assert audit_queries.sensitivity_jaccard_all_terms(spark, str(tmp_path)).first()["jaccard"] == 1.0
 
 
+def test_conflicts_are_found_in_whole_texts(spark, tmp_path):
+    from tidemark.plans import audit_queries
+
+    far = "word " * 2000
+    rows = [(0, f"{far} version 2.0."), (5, f"{far} version 3."), (1, "cost: $5"), (2, "Cost: $6,"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_chars": F.lit(1), "lang": F.lit("en")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["field"]: tuple(r)[1:] for r in audit_queries.conflict_detect_texts(spark, str(tmp_path)).collect()}
+    assert got == {"version": (2, False, True), "amount": (2, True, False)}
+
+
 def test_strategies_are_compared_on_whole_texts(spark, tmp_path):
     from tidemark.plans import policy_queries
 

@@ -101,6 +101,27 @@ def conflict_detect(spark: SparkSession, base: str) -> DataFrame:
     return audit.conflicts(audit.stated_values(rows, "t", "at"), "at")
 
 
+@query("""
+WITH s AS (SELECT TIMESTAMP '2024-01-01' + to_hours(doc_id % 5) AS seen,
+  regexp_replace(regexp_replace(text, '[^\\p{L}\\p{Nd}\\p{Mn}\\x00-\\x7F]', '~', 'g'), '[^\\x00-\\x7F]', 'q', 'g') AS t FROM documents),
+v AS (SELECT seen, 'amount' AS field, unnest(regexp_extract_all(t, '(?i)\\b(price|cost|total|amount)\\b\\s*[:=]?\\s*\\$?([0-9,.]+)', 2)) AS value FROM s
+  UNION ALL SELECT seen, 'version', unnest(regexp_extract_all(t, '(?i)\\b(version|ver)\\b\\s*[:=]?\\s*([0-9.]+)', 2)) FROM s
+  UNION ALL SELECT seen, 'status', unnest(regexp_extract_all(t, '(?i)\\b(status)\\b\\s*[:=]?\\s*([a-zA-Z0-9_-]+)', 2)) FROM s),
+c AS (SELECT seen, field, lower(regexp_replace(value, '[,.]+$', '')) AS value FROM v),
+o AS (SELECT field, max(n) AS at_once FROM (SELECT field, seen, count(DISTINCT value) AS n FROM c WHERE value <> '' GROUP BY 1, 2) GROUP BY 1)
+SELECT field, count(DISTINCT value) AS n_values, count(DISTINCT value) > 1 AND any_value(at_once) = 1 AS changed, any_value(at_once) > 1 AS conflict
+FROM c JOIN o USING (field) WHERE value <> '' GROUP BY 1
+""")
+def conflict_detect_texts(spark: SparkSession, base: str) -> DataFrame:
+    """What whole texts state, where conflict_detect looks at a sentence made from other columns.
+
+    The SQL puts ASCII in the place of other letters and marks first, for its word boundaries know no others.
+    """
+    at = F.timestamp_micros(F.lit(1704067200000000) + F.col("doc_id") % 5 * 3_600_000_000)
+    rows = table(spark, base, "documents").select(at.alias("at"), "text")
+    return audit.conflicts(audit.stated_values(rows, "text", "at"), "at")
+
+
 @query("""
 WITH m AS (SELECT conv_id, turn, role, text, list_filter(string_split(regexp_replace(regexp_replace(text, '^ +| +$', '', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
   lambda x: trim(x) <> '') AS s FROM conversations)
