@@ -3,9 +3,11 @@
 Method: *tree concatenation*. A text is split into pieces as the vocabulary
 declares. A short piece is merged directly (and remembered). A long unsplit
 piece is cut in halves, again and again, down to leaves that are encoded
-independently (in parallel where the worker has threads to give); neighbours are
-then joined level by level. At each join a window of the last tokens of the
-left side and the first tokens of the right side is encoded anew. When the new
+independently, one after the other within a task: merging is Python code that holds
+the interpreter lock, and a machine's other cores have tasks of their own
+(``encode_long`` takes a number of threads all the same); neighbours are then
+joined level by level. At each join a window of the last tokens of the left
+side and the first tokens of the right side is encoded anew. When the new
 tokens begin with the left side's first window token and end with the right
 side's last one, every adjacent pair of the joined run is one that merging
 leaves apart, so the joined run is exactly what merging the whole would give:
