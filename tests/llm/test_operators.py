@@ -16,7 +16,8 @@ from tokenizers import Tokenizer
 
 from tests.conftest import DATA
 from tidemark.llm import queries as registered
-from tidemark.llm.bpe_codec import Codec, encode_long, join_runs
+from tidemark.llm import bpe_codec
+from tidemark.llm.bpe_codec import Codec, encode, join_runs
 from tidemark.llm.components import connected
 from tidemark.llm.mil_quality import encode_passages
 from tidemark.llm.neardup import banding, near_duplicates, shingle_sets, superminhash
@@ -47,17 +48,54 @@ def test_codec_equals_the_library(text):
     assert count_text(text, PieceCounts(load(vocabulary()))) == len(ids)
 
 
-@pytest.mark.parametrize("alphabet", ["a", "ab", "aeinrst", "thehereand"])
+@pytest.mark.parametrize("alphabet", ["a", "ab", "aeinrst", "thehereand", "a'srev e", "é1#日a ", "ab\n \u0301"])
 def test_tree_concatenation_is_exact(alphabet):
-    bpe, rng = load(vocabulary()), random.Random(5)
-    for n in (1, 2, 3, 50, 700):
-        symbols = bpe.symbols("".join(rng.choice(alphabet) for _ in range(n)))
-        whole = encode_symbols(symbols, bpe.merges)
-        assert encode_long(symbols, bpe, leaf=3) == whole
-        assert encode_long(symbols, bpe, leaf=16, threads=2) == whole
+    rng = random.Random(5)
+    for leaf in (3, 16, 100):
+        own = Codec(vocabulary(), leaf=leaf)
+        for n in (1, 2, 3, 50, 700, 3000):
+            text = "".join(rng.choice(alphabet) for _ in range(n))
+            assert own.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+        assert own.joins > 30
+
+
+def test_joins_within_a_word_are_exact():
+    bpe, rng = load(vocabulary()), random.Random(6)
+    for n in (2, 3, 50, 700):
+        word = "".join(rng.choice("theinrsand") for _ in range(n))
         cut = n // 2
-        runs = [encode_symbols(x, bpe.merges) for x in (symbols[:cut], symbols[cut:])]
-        assert join_runs(*runs, bpe, first=1) == whole
+        runs = [encode_symbols(bpe.symbols(x), bpe.merges) for x in (word[:cut], word[cut:])]
+        assert join_runs(*runs, bpe, first=1) == encode_symbols(bpe.symbols(word), bpe.merges)
+
+
+def _long_texts() -> list[str]:
+    rng = random.Random(7)
+    words = ["".join(rng.choice("aeiourstnhld") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    special = "x" * 40_000 + "<|endoftext|>" + "don't " * 9_000 + "<|startoftext|>" * 5_000 + "end"
+    return [
+        " ".join(rng.choice(words) for _ in range(20_000)),  # 100 KB
+        " ".join(rng.choice(words) for _ in range(900_000)),  # 5 MB
+        "".join(rng.choice("theandingofur") for _ in range(100_000)),  # one word
+        "".join(rng.choice("abcdefgh") for _ in range(1_000_000)),
+        "日本語テキスト" * 30_000,
+        "e\u0301İσΣ " * 20_000 + "#!?" * 40_000,
+        special,
+        "\n\t " * 60_000,
+    ]
+
+
+def test_long_texts_equal_the_library(spark):
+    texts = _long_texts()
+    rows = [(i, x) for i, x in enumerate(texts)] + [(6, texts[6]), (None, texts[0])]
+    got = encode(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary()).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted((i is None, i or 0) for i, _ in rows)
+    for r in got:
+        want = LIBRARY.encode(texts[r["doc_id"] or 0], add_special_tokens=False).ids
+        assert r["ids"] == want
+        assert r["decoded"] == LIBRARY.decode(want, skip_special_tokens=False)
+        assert r["joins"] > 90
+        assert Codec(vocabulary()).encode(texts[r["doc_id"] or 0]) == want
+        assert count_text(texts[r["doc_id"] or 0], PieceCounts(load(vocabulary()))) == len(want)
 
 
 def test_encoded_documents_equal_the_library(spark, texts):
@@ -72,6 +110,13 @@ def test_encoded_documents_equal_the_library(spark, texts):
         c = counts[r["doc_id"]]
         assert r["n_tokens"] == c["n_tokens"] == len(ids) and c["n_bytes"] == len(texts[r["doc_id"]].encode())
         assert c["over_limit"] == (len(ids) > 2048)
+        assert (r["joins"] > 0) == (len(texts[r["doc_id"]]) > bpe_codec.LEAF_CHARS)
+
+
+def test_most_of_a_table_is_joined(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    joins, longest = encode(docs, vocabulary()).selectExpr("sum(joins)", "max(joins)").first()
+    assert joins > 1000 and longest > 16
 
 
 # --- near duplicates ---------------------------------------------------------------------------

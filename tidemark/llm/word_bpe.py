@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 
 #: Bits that an id takes in a packed pair.
@@ -97,6 +97,8 @@ class WordBpe:
         self.names |= {i: s for s, i in self.special.items()}
         self.inner = [vocab[s] for s in byte_symbols()]
         self.final = [vocab[s + end] for s in byte_symbols()]
+        #: Base symbol at the end of a piece to the same within one.
+        self.unended = dict(zip(self.final, self.inner))
         self.merges = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
@@ -115,30 +117,43 @@ class WordBpe:
         out[-1] = self.final[raw[-1]]
         return out
 
+    def parts(self, text: str) -> list[str]:
+        """Ordinary text and special strings in turn, ordinary text first."""
+        return self._special_cut.split(text) if "<|" in text or not self._quick else [text]
+
     def segments(self, text: str):
         """``(pieces, None)`` for ordinary text, ``(None, string)`` for a special string, in order."""
-        parts = self._special_cut.split(text) if "<|" in text or not self._quick else [text]
-        for k, part in enumerate(parts):
+        for k, part in enumerate(self.parts(text)):
             if k % 2:
                 yield None, part
             elif part:
-                yield self.pieces(part), None
+                yield split(*self.prepared(part)), None
 
-    @property
+    @cached_property
     def _quick(self) -> bool:
         """Whether every special string holds the mark that segments() looks for first."""
         return all("<|" in s for s in self.special)
 
-    def pieces(self, text: str) -> list[str]:
-        """The normalised pieces of a text without special strings."""
+    def prepared(self, text: str) -> tuple[str, str]:
+        """A text without special strings, normalised, and the string of plain characters that it is split by."""
         if _plain_text(text):
             # Lower case may leave the plain range (U+0130 gives a combining dot).
             low = text.lower()
             if low.isascii() or _plain_text(low):
-                return _plain_piece.findall(low)
+                return low, low
         real = self._normalise(text)
-        shadow = real.translate(self._shadow)
-        return [real[m.start() : m.end()] for m in _plain_piece.finditer(shadow)]
+        return real, self.shadow(real)
+
+    def shadow(self, real: str) -> str:
+        """The string that a normalised text is split by; the text itself where all of it is plain."""
+        return real if _plain_text(real) else real.translate(self._shadow)
+
+
+def split(real: str, shadow: str) -> list[str]:
+    """The pieces of a prepared text."""
+    if shadow is real:
+        return _plain_piece.findall(real)
+    return [real[m.start() : m.end()] for m in _plain_piece.finditer(shadow)]
 
 
 @lru_cache(maxsize=4)
