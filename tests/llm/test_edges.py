@@ -12,7 +12,8 @@ from tidemark.llm import (
 from tidemark.llm.queries import vocabulary
 
 # Column names of the operators' own that the input also has.
-EXTRA = ["score", "size", "target", "taken", "id", "n", "key", "ids", "root", "src", "kept", "held_out", "predicted"]
+EXTRA = ["a.b", "_mix_words", "mix_words", "words", "copies", "text2", "h", "hits", "pairs", "row",
+         "score", "size", "target", "taken", "id", "n", "key", "ids", "root", "src", "kept", "held_out", "predicted"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA)
 
 TEXTS = [
@@ -135,6 +136,7 @@ def test_documents_of_a_mix_keep_their_columns(docs):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
     assert {r["doc_id"] for r in out.where("text is null").collect()} == {3, None}
+    assert {r["_mix_words"] for r in out.collect()} == {"x"} == {r["a.b"] for r in out.collect()}
 
 
 def test_vectors(spark):

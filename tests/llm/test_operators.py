@@ -172,6 +172,87 @@ def test_large_groups_of_near_copies(spark):
         assert got == brute_components(texts, percent)
 
 
+def _copies_and_strays(n: int) -> list[tuple[int, str]]:
+    """n near copies of a text, and strays that share many of their buckets but no link with most of them."""
+    rng = random.Random(n)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(n + 12):
+        words = list(base)
+        if i < n:
+            words[rng.randrange(200)] = f"x{i}"
+        else:
+            words[: 22 + i - n] = [f"y{i}_{k}" for k in range(22 + i - n)]
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_work_on_a_group_grows_with_its_size(spark):
+    """Members of one component aren't compared with each other again."""
+    pairs = []
+    for n in (300, 1200):
+        rows, work = _copies_and_strays(n), {}
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85, work=work).collect()
+        if n == 300:
+            assert {r[0]: (r[1], r[2]) for r in got} == brute_components(dict(rows), 85)
+        pairs.append(work["pairs"])
+    assert pairs[1] < 6 * pairs[0], pairs
+
+
+def test_many_strays_are_gathered(spark, monkeypatch):
+    """Two large components and loose members in the same buckets, with the bound for rounds of gathering passed."""
+    from tidemark.llm import neardup
+
+    monkeypatch.setattr(neardup, "MANY_STRAYS", 8)
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 16)
+    rng = random.Random(4)
+    base, rows = [f"w{k}" for k in range(150)], []
+    for i in range(150):
+        words = list(base)
+        if i % 2:
+            words[:13] = [f"z{k}" for k in range(13)]
+        if i % 10 == 9:
+            words[20:33] = [f"u{i}_{k}" for k in range(13)]
+        words[rng.randrange(40, 150)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == brute_components(dict(rows), 85)
+
+
+def test_ids_beyond_the_broadcast_bound(spark, texts, monkeypatch):
+    from tidemark.llm import neardup
+
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    got = near_duplicates(spark.read.parquet(f"{DATA}/documents.parquet"), 80).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == brute_components(texts, 80)
+
+
+def test_a_sample_against_all_rows(spark):
+    """At sf0.01: every link of each 25th document with any other one is within a component."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r[0]: r[2] for r in near_duplicates(docs, 85).collect()}
+    sets = {}
+    for i, t in docs.select("doc_id", "text").collect():
+        sets[i] = set(shingle_sets([t or ""], 5)[0].tolist())
+    for a in sorted(sets)[::25]:
+        for b, other in sets.items():
+            both = len(sets[a] & other)
+            if a != b and both and 100 * both >= 85 * (len(sets[a]) + len(other) - both):
+                assert got[a] == got[b]
+
+
+def test_checkpoints_are_deleted(spark, tmp_path):
+    place = tmp_path / "shared"
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(place))
+    try:
+        near_duplicates(spark.read.parquet(f"{DATA}/documents.parquet"), 85).collect()
+        assert len([x for x in place.glob("*/rdd-*")]) <= 4
+    finally:
+        spark.sparkContext.setCheckpointDir(before)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     shared, own = rng.integers(1, 1 << 62, 400, np.uint64), rng.integers(1, 1 << 62, 200, np.uint64)
@@ -264,6 +345,99 @@ def _held(spark, rows, label, modulus, fold):
     return out
 
 
+def test_attention_gradients():
+    """Each weight's gradient against the difference quotient of the loss."""
+    from tidemark.llm.mil_quality import N_FEATURES, Model, train
+
+    rng = np.random.default_rng(6)
+    passages = np.array([1, 3, 2])
+    features, good = rng.normal(size=(6, N_FEATURES)), np.array([1.0, 0.0, 1.0])
+    model = train(features.astype(np.float32), passages, good, epochs=1)
+    model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
+
+    def loss(m: Model) -> float:
+        p = m.forward(features, passages)["score"]
+        return float(-(good * np.log(p) + (1 - good) * np.log(1 - p)).sum())
+
+    passed = model.forward(features, passages)
+    starts = np.cumsum(passages) - passages
+    assert np.allclose(np.add.reduceat(passed["attention"], starts), 1)
+    for name, g in model.gradients(passed, passed["score"] - good).items():
+        flat = model.weights[name].reshape(-1)
+        for at in rng.integers(0, flat.size, 5):
+            kept, step = flat[at], 1e-5
+            flat[at] = kept + step
+            high = loss(model)
+            flat[at] = kept - step
+            low = loss(model)
+            flat[at] = kept
+            assert (high - low) / (2 * step) == pytest.approx(np.asarray(g).reshape(-1)[at], abs=1e-5), name
+
+
+def test_attention_against_a_loop_over_passages(texts):
+    """Scores of the batch form against one passage after the other."""
+    import math
+
+    from tidemark.llm.mil_quality import encode_passages, train
+
+    some = [t or "" for _, t in sorted(texts.items())][:40]
+    features, passages = encode_passages(some)
+    model = train(features, passages, np.arange(40) % 2, epochs=2)
+    w, at = model.weights, 0
+    scores = model.forward(features, passages)["score"]
+    for n, score in zip(passages, scores):
+        hidden, energy = [], []
+        for row in features[at : at + n]:
+            x = np.clip((row - model.mean) / model.scale, -8, 8)
+            h = np.tanh(x @ w["W"] + w["b"])
+            gate = 1 / (1 + np.exp(-(h @ w["U"])))
+            hidden.append(h)
+            energy.append(float((gate * np.tanh(h @ w["V"])) @ w["a"]))
+        weigh = [math.exp(e - max(energy)) for e in energy]
+        z = sum(a / sum(weigh) * h for a, h in zip(weigh, hidden))
+        assert score == pytest.approx(1 / (1 + math.exp(-(float(z @ w["c"]) + float(w["d"][0])))), abs=1e-5)
+        at += n
+
+
+def test_log_count_ratios_and_scores_against_a_plain_version():
+    from tidemark.llm import toxicity
+
+    rng = random.Random(9)
+    good = ["sunny meadow walk", "quiet river song", "gentle morning light"]
+    bad = ["vile stupid fool", "awful stupid brute", "vile rotten fool"]
+    texts = [" ".join(rng.sample((bad if i % 3 == 0 else good), 2)) for i in range(90)]
+    toxic = np.array([i % 3 == 0 for i in range(90)], float)
+    model = toxicity.train(texts, toxic)
+
+    def grams(text):
+        out = set()
+        for word in text.lower().split():
+            marked = f"<{word.strip(toxicity.PUNCTUATION)}>"
+            out |= {marked[i : i + n] for n in toxicity.NGRAMS for i in range(len(marked) - n + 1)}
+        return out
+
+    slot_of = {g: toxicity._slots([g], None)[0] for t in texts for g in grams(t)}
+    # A string's last n-gram of its own length is the string itself.
+    slot_of = {g: [s for s in x if s in toxicity._slots([g], None)[0]][-1] for g, x in slot_of.items()}
+    held = {}
+    for t, y in zip(texts, toxic):
+        for s in {slot_of[g] for g in grams(t)}:
+            n = held.setdefault(s, [0, 0])
+            n[int(y)] += 1
+    kept = dict(zip(model.slots.tolist(), model.weights.tolist()))
+    for s, (q, p) in held.items():
+        ratio = np.log((p + 1) / (toxic.sum() + 2)) - np.log((q + 1) / ((1 - toxic).sum() + 2))
+        stands_out = p + q >= toxicity.LEAST_DOCS and abs(ratio) > 2.5 * np.sqrt(1 / (p + 1) + 1 / (q + 1))
+        assert (s in kept) == stands_out
+        if s in kept and kept[s]:
+            assert kept[s] > 0 or ratio * kept[s] >= 0 or abs(kept[s]) < 1
+    score = model.scorer()
+    for t in texts[:12]:
+        z = model.bias + sum(kept.get(s, 0.0) for s in {slot_of[g] for g in grams(t)})
+        assert score([t])[0] == pytest.approx(1 / (1 + np.exp(-z)))
+    assert (score(texts) >= 0.5).tolist() == (toxic > 0).tolist()
+
+
 def test_quality_on_held_out_labels(spark):
     rows = registered.op1_mil_quality(spark, "/root/testdata/sf0.01").collect()
     held = _held(spark, rows, "quality", 3, 1)
@@ -279,6 +453,30 @@ def test_toxicity_on_held_out_labels(spark):
     assert np.mean([r["predicted"] for y, r in held if y == 0]) < 0.1
 
 
+@pytest.mark.parametrize("size", [700, 4096])
+def test_slices_of_long_texts_change_nothing(texts, monkeypatch, size):
+    """Hashes, passages, statistics and n-grams of texts in slices against those of whole texts."""
+    from tidemark.llm import common, mil_quality, quality_rules, toxicity
+
+    rng = random.Random(size)
+    some = [max(texts.values(), key=lambda t: len(t or "")), "x" * 5000, " " * 900 + "ab " * 3000 + "\n" * 800 + "z" * 1500]
+    some.append("\n".join(rng.choice(["same line here", "other", "", "  ", "q" * 900]) for _ in range(400)))
+    whole = [
+        (common.word_hashes([t.encode()])[0].tolist(), encode_passages([t])[0], text_statistics([t]), toxicity.Slots().of([t]))
+        for t in some
+    ]
+    for module in (common, mil_quality, quality_rules):
+        monkeypatch.setattr(module, "SLICE_BYTES", size)
+    monkeypatch.setattr(quality_rules, "SORTED_WINDOWS", size)
+    monkeypatch.setattr(toxicity, "_SLICE_CHARS", size)
+    monkeypatch.setattr(toxicity, "_SLOT_CHARS", size)
+    for t, (hashes, passages, counts, slots) in zip(some, whole):
+        assert common.word_hashes([t.encode()])[0].tolist() == hashes
+        assert np.array_equal(encode_passages([t])[0], passages)
+        assert {k: v.tolist() for k, v in text_statistics([t]).items()} == {k: v.tolist() for k, v in counts.items()}
+        assert toxicity.Slots().of([t]) == slots
+
+
 def test_passages_do_not_depend_on_the_batch(texts):
     some = list(texts.values())[:40] + ["", " ", "one"]
     together, counts = encode_passages(some)
@@ -318,6 +516,47 @@ def test_mix_reaches_its_targets(spark, texts):
         assert taken[s] == pytest.approx(want, rel=0.02)
 
 
+def test_running_sums_over_many_stretches(spark):
+    from tidemark.llm.mixing import sums_before
+
+    rng = random.Random(8)
+    rows = [(s, b, rng.randrange(9)) for s in ("x", None, "y") for b in rng.sample(range(400), 150)]
+    df = spark.createDataFrame(rows, "src string, bucket long, n long").where("src is not null")
+    for r in sums_before(df, "src", "bucket", "n", 16).collect():
+        assert r["start"] == sum(n for s, b, n in rows if s == r["src"] and b < r["bucket"])
+
+
+def test_slots_against_a_plain_loop(spark):
+    """Every slot's source, its rank and what is taken of each document, one after the other."""
+    import math
+
+    from tidemark.llm import mixing
+
+    targets = [("a", 0, 400, 300.0), ("b", 1, 500, 900.0), ("c", 2, 300, 0.0)]
+    df = spark.createDataFrame(targets, "source string, src int, source_size long, target double")
+    got = sorted((r["slot"], r["src"], r["rank"]) for r in mixing.schedule(df, 3000).collect())
+    want, ranks, edge = [], {0: 0, 1: 0}, 300.0 / 1200.0
+    for i in range(3000):
+        x = (i + 1) * mixing.GOLDEN
+        src = 0 if x - math.floor(x) < edge else 1
+        want.append((i, src, ranks[src]))
+        ranks[src] += 1
+    assert got == want
+
+    docs = [(i, f"s{i % 3}", " ".join(["w"] * (1 + i * 7 % 23))) for i in range(90)]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, source string, text string"), block_words=1).collect()
+    # With blocks of one word a document is taken as often as its source's target covers its place.
+    sizes = {i: len(t.split()) for i, _, t in docs}
+    for s in range(3):
+        own = [r for r in rows if r["doc_id"] % 3 == s]
+        target, total = math.floor(own[0]["target"] + 0.5), sum(sizes[r["doc_id"]] for r in own)
+        assert sum(r["taken"] for r in own) == target
+        full, rest = divmod(target, total)
+        partial = [r for r in own if r["taken"] not in (full * r["size"], (full + 1) * r["size"])]
+        assert len(partial) <= 1
+        assert all(full * r["size"] <= r["taken"] <= (full + 1) * r["size"] for r in own)
+
+
 def test_targets_stop_at_three_times_the_source(spark):
     from tidemark.llm.mixing import mix
 
@@ -354,8 +593,10 @@ def test_small_sources_get_their_targets_at_every_block_size(spark, monkeypatch,
 
 
 def test_notices_in_mid_line_wrapped_and_full_texts(spark):
-    from tidemark.llm.license_scan import scan_notices
+    from tidemark.llm.license_scan import scan_licenses
+    from tidemark.llm.license_texts import TEXTS
 
+    wrapped = re.sub("(.{60}) ", r"\1\n * ", TEXTS[0][1])
     cases = [
         ("Copyright 2020 Jane Doe. Licensed under the Apache License, Version 2.0.", "Apache-2.0", 1),
         ("Copyright (c) 2020 Jane Doe. Released under the MIT License.", "MIT", 1),
@@ -369,31 +610,72 @@ def test_notices_in_mid_line_wrapped_and_full_texts(spark):
         ("a licensed driver under the version", None, 0),
         (None, None, 0),
         ("", None, 0),
+        ("intro " * 300 + wrapped + " outro" * 300, "MIT", 1),
+        ("license", None, 0),
     ]
     docs = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in scan_notices(docs).collect()}
+    got = {r["doc_id"]: r for r in scan_licenses(docs).collect()}
     for i, (_, name, n) in enumerate(cases):
         assert (got[i]["license"], got[i]["n_matches"]) == (name, n), got[i]
     assert got[1]["word_no"] == 6 and got[1]["dice"] == 1.0
+    assert got[10]["word_no"] == 301 and got[10]["dice"] == 1.0
+
+
+def brute_scan(text: str, templates: list, threshold: float = 0.8):
+    """All windows of all templates, one by one, as (matches, licence, coefficient, first word)."""
+    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    pairs, found = [f"{a} {b}" for a, b in zip(words, words[1:])], []
+    for k, (name, grams) in enumerate(templates):
+        best = None
+        for a in range(len(pairs)):
+            for b in range(a, min(len(pairs), a + int(len(grams) * (2 - threshold) / threshold + 1e-9))):
+                inside = set(pairs[a : b + 1])
+                dice = 2 * len(inside & set(grams)) / (len(inside) + len(grams))
+                if best is None or (-dice, b - a, a) < best[:3]:
+                    best = (-dice, b - a, a, b)
+        if best and -best[0] >= threshold - 1e-9:
+            found.append((best[0], k, best[1], best[2], best[3], name))
+    counts = [m for m in found if not any(o < m and o[3] <= m[4] and m[3] <= o[4] for o in found)]
+    if not counts:
+        return 0, None, None, None
+    top = min(counts)
+    return len(counts), top[5], round(-top[0], 6), top[3] + 1
 
 
 def test_notices_equal_all_windows(spark):
-    from tidemark.llm.license_scan import BODIES, TEMPLATES, bigrams, scan_notices, template_words
+    from tidemark.llm.license_scan import bigrams, scan_licenses, template_words
+    from tidemark.llm.license_texts import HEADERS, SENTENCES
 
-    rng, templates = random.Random(5), [(n, bigrams(template_words(t))) for n, t in TEMPLATES + BODIES]
+    some = SENTENCES + HEADERS
+    rng, templates = random.Random(5), [(n, bigrams(template_words(t))) for n, t in some]
     texts = []
-    for k in range(60):
-        words = template_words(rng.choice(TEMPLATES + BODIES)[1])
-        for _ in range(rng.randrange(3)):
-            words[rng.randrange(len(words))] = rng.choice(["other", "license", "the"])
-        texts.append(" ".join(["word"] * rng.randrange(4) + words + ["more"] * rng.randrange(4)))
+    for _ in range(80):
+        text = []
+        for _ in range(rng.randrange(1, 3)):
+            words = template_words(rng.choice(some)[1])
+            for _ in range(rng.randrange(4)):  # near misses among them
+                words[rng.randrange(len(words))] = rng.choice(["other", "license", "the"])
+            text += ["word"] * rng.randrange(4) + words + ["more"] * rng.randrange(4)
+        texts.append("".join(w + rng.choice([" ", " ", "\n", ", ", " * "]) for w in text))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in scan_notices(docs).collect():
-        words, best = texts[r["doc_id"]].split(), 0.0
-        pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
-        for _, grams in templates:
-            for a in range(len(pairs)):
-                for b in range(a, min(len(pairs), a + int(len(grams) * 1.5 + 1e-9))):
-                    inside = set(pairs[a : b + 1])
-                    best = max(best, 2 * len(inside & set(grams)) / (len(inside) + len(grams)))
-        assert (r["dice"] or 0.0) == (round(best, 6) if best >= 0.8 - 1e-9 else 0.0)
+    table = spark.createDataFrame(some, "name string, text string")
+    by_name = sorted(some)
+    for given, order in ((some, templates), (table, [(n, bigrams(template_words(t))) for n, t in by_name])):
+        got = scan_licenses(docs, templates=given).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            assert tuple(r)[1:] == brute_scan(texts[r["doc_id"]], order), texts[r["doc_id"]]
+
+
+def test_registered_sql(spark):
+    """Each query with SQL against DuckDB on the same tables."""
+    import duckdb
+
+    for name, sql in registered.oracle_sql().items():
+        con = duckdb.connect()
+        for table in ("documents", "embeddings", "pages"):
+            con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+        df = getattr(registered, name)(spark, DATA)
+        want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()
+        key = lambda r: tuple((x is None, str(x)) for x in r)
+        assert sorted(map(key, want)) == sorted(key(tuple(r)) for r in df.collect()), name

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 class UnionFind:
@@ -80,4 +80,5 @@ def connected(links: DataFrame) -> DataFrame:
         if size == seen or not size[0]:
             return edges
         seen = size
-        edges = materialise(_star(_star(edges, large=True), large=False))
+        before, edges = edges, materialise(_star(_star(edges, large=True), large=False))
+        discard(before)

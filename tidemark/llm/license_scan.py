@@ -1,24 +1,29 @@
 """Licence notices by the Dice coefficient over word bigrams. DataFrame functions only.
 
-A text's lines are its units. A unit is lower-cased, everything but letters and
-digits becomes a space, and its distinct word bigrams are compared with those of
-licence templates: ``2 * |A & B| / (|A| + |B|)``. Two bounds come first, neither
-of which can lose a match: a unit must hold one of a template's *anchor* words
-(those without which too few of the template's bigrams are left to reach the
-threshold), and a template is only compared with units whose number of bigrams
-lies between ``t / (2 - t)`` and ``(2 - t) / t`` times its own.
-
-Templates are a bounded literal of the plan, so there is no join and no shuffle.
-
-``scan_licenses`` compares whole lines, as its SQL does. ``scan_notices`` compares
-windows of words of the whole text instead, so that it also finds notices in mid-line,
-notices that are wrapped over lines, and licence texts.
+A text is lower-cased and everything but letters and digits becomes a space. Windows
+of its word bigrams are compared with those of licence templates (sentences, headers
+and whole licence texts): ``2 * |A & B| / (|A| + |B|)`` of the distinct bigrams. A
+window may begin in mid-line and go over many lines.
+
+Bounds that can't lose a match come first. A text must hold one of a template's *anchor*
+words, those without which too few of the template's bigrams are left to reach the
+threshold t. A window of the highest coefficient begins and ends with a bigram of its
+template, for one that doesn't can be cut there. With n bigrams in a template a window
+has at most ``(2 - t) / t * n`` bigrams, and at least ``t / (2 - t) * n`` of them are the
+template's; so a template whose bigrams don't lie that close together anywhere is not
+compared at all.
+
+Of each template the best window counts: the highest coefficient, then the shorter one,
+then the earlier one. Where the best windows of two templates overlap, the better one
+counts (then that of the earlier template).
+
+Templates are a bounded literal of the plan, so there is no join and no shuffle. They
+come from a table of ``(name, text)`` rows, or from :mod:`.license_texts`.
 
 Edge cases: null and empty texts and texts without a notice give no matches and
-null licence columns; units of fewer than two words have no bigrams and match
-nothing; ties go to the earlier template, then to the earlier line; repeated
-rows are independent; an empty table gives an empty table; other columns are not
-looked at.
+null licence columns; texts of fewer than two words have no bigrams and match
+nothing; repeated rows are independent; an empty table gives an empty table; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,58 +31,14 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import reduce
+from math import ceil
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Licence and a sentence by which works are put under it (fixed values).
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("MIT", "Released under the MIT License"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
-    ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license"),
-    ("ISC", "Released under the ISC License"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
-)
-
-#: First sentences of licence texts and headers; with TEMPLATES what scan_notices looks for.
-BODIES: tuple[tuple[str, str], ...] = (
-    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
-    (
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files",
-    ),
-    (
-        "BSD-3-Clause",
-        "may be used to endorse or promote products derived from this software without specific prior written permission",
-    ),
-    (
-        "BSD-2-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met",
-    ),
-    (
-        "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted",
-    ),
-    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
-    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
-    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
-    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-)
+from .common import column
+from .license_texts import TEMPLATES
 
 #: Templates that one plan carries at most.
 MOST_TEMPLATES = 500
@@ -93,10 +54,16 @@ def bigrams(words: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
+def listed(templates: DataFrame) -> list[tuple[str, str]]:
+    """The ``(name, text)`` rows of a table of templates, in the order of both; bounded."""
+    rows = templates.select("name", "text").where("name is not null and text is not null")
+    return [(r[0], r[1]) for r in rows.orderBy("name", "text").limit(MOST_TEMPLATES + 1).collect()]
+
+
 def anchors(text: str, threshold: float) -> list[str]:
-    """Words of a template of which every unit that reaches the threshold holds one.
+    """Words of a template of which every window that reaches the threshold holds one.
 
-    Without any of them a unit shares u bigrams at most, hence has a coefficient
+    Without any of them a window shares u bigrams at most, hence has a coefficient
     of ``2u / (u + n)`` at most. The longest words are taken until that is too little.
     """
     words = template_words(text)
@@ -110,102 +77,15 @@ def anchors(text: str, threshold: float) -> list[str]:
     return chosen
 
 
-def _grams(low: Column) -> Column:
-    """Distinct word bigrams of a lower-cased unit."""
-    words = F.filter(
-        F.split(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != F.lit("")
-    )
-    # Bound once by a one-element transform, so that the words are not split twice.
-    pairs = F.transform(
-        F.array(words),
-        lambda w: F.array_distinct(
-            F.zip_with(
-                F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))),
-                F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))),
-                lambda a, b: F.concat(a, F.lit(" "), b),
-            )
-        ),
-    )
-    return F.element_at(pairs, 1)
-
-
-def scan_licenses(
-    docs: DataFrame,
-    threshold: float = 0.8,
-    templates: Sequence[tuple[str, str]] = TEMPLATES,
-    key: str = "doc_id",
-    text: str = "text",
-) -> DataFrame:
-    """``(key, n_matches, license, dice, line_no)`` for every row of docs.
-
-    ``license``, ``dice`` (six decimals) and ``line_no`` (from 1) are those of
-    the best match.
-    """
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    hints = sorted({a for _, t in templates for a in anchors(t, threshold)})
-    known = F.array(
-        *(
-            F.struct(
-                F.lit(-k).alias("order"),
-                F.lit(name).alias("name"),
-                F.array(*map(F.lit, grams)).alias("grams"),
-                F.lit(len(grams)).alias("n"),
-            )
-            for k, (name, grams) in enumerate((n, bigrams(template_words(t))) for n, t in templates)
-        )
-    )
-
-    def hinted(low: Column) -> Column:
-        return reduce(or_, (F.contains(low, F.lit(h)) for h in hints))
-
-    def best(unit: Column) -> Column:
-        n = F.size(unit["grams"])
-        fitting = F.filter(
-            known,
-            lambda t: (n * (2 - threshold) >= t["n"] * threshold)
-            & (n * threshold <= t["n"] * (2 - threshold)),
-        )
-        scored = F.transform(
-            fitting,
-            lambda t: F.struct(
-                (F.size(F.array_intersect(unit["grams"], t["grams"])) * 2.0 / (n + t["n"])).alias("dice"),
-                t["order"].alias("order"),
-                (-unit["no"]).alias("minus_no"),
-                t["name"].alias("name"),
-            ),
-        )
-        return F.array_max(scored)
-
-    low = F.lower(F.col(text))
-    lines = F.when(hinted(low), F.split(low, "\n"))
-    rows = docs.select(
-        F.col(key),
-        F.filter(
-            F.transform(lines, lambda x, i: F.struct(i.alias("no"), x.alias("low"))),
-            lambda u: hinted(u["low"]),
-        ).alias("units"),
-    )
-    rows = rows.select(
-        key, F.transform("units", lambda u: F.struct(u["no"].alias("no"), _grams(u["low"]).alias("grams"))).alias("units")
-    )
-    rows = rows.select(
-        key,
-        F.filter(F.transform("units", best), lambda m: m["dice"] >= threshold - 1e-9).alias("found"),
-    )
-    top = F.array_max("found")
-    return rows.select(
-        key,
-        F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_matches"),
-        top["name"].alias("license"),
-        F.round(top["dice"], 6).alias("dice"),
-        (1 - top["minus_no"]).cast("long").alias("line_no"),
-    )
+def bounds(n: int, threshold: float) -> tuple[int, int]:
+    """(least shared, most) bigrams of a window that reaches the threshold with a template of n."""
+    return ceil(n * threshold / (2 - threshold) - 1e-9), int(n * (2 - threshold) / threshold + 1e-9)
 
 
 def _word_pairs(low: Column) -> Column:
     """All word bigrams of a lower-cased text, in order and with repeats."""
     words = F.filter(F.split(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != F.lit(""))
+    # Bound once by a one-element transform, so that the words are not split twice.
     pairs = F.transform(
         F.array(words),
         lambda w: F.zip_with(
@@ -217,27 +97,25 @@ def _word_pairs(low: Column) -> Column:
     return F.element_at(pairs, 1)
 
 
-def scan_notices(
+def scan_licenses(
     docs: DataFrame,
     threshold: float = 0.8,
-    templates: Sequence[tuple[str, str]] = TEMPLATES + BODIES,
+    templates: Sequence[tuple[str, str]] | DataFrame = TEMPLATES,
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """``(key, n_matches, license, dice, word_no)`` for every row of docs, from windows of the whole text.
-
-    A window of the highest coefficient begins and ends with bigrams of its
-    template, for one that doesn't can be cut there; so only windows between such
-    bigrams are compared, of ``(2 - t) / t`` times the template's bigrams at most.
-    Each begins with the best end for its template. Of overlapping windows the
-    best one counts, then the earlier template, the shorter window, the earlier
-    start. ``word_no`` is the best window's first word, from 1.
+    """``(key, n_matches, license, dice, word_no)`` for every row of docs.
+
+    ``n_matches`` counts the templates whose best window counts; ``license``, ``dice``
+    (six decimals) and ``word_no`` (its first word, from 1) are those of the best one.
     """
+    if isinstance(templates, DataFrame):
+        templates = listed(templates)
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    grams_of = [(name, bigrams(template_words(t))) for name, t in templates]
     hints = sorted({a for _, t in templates for a in anchors(t, threshold)})
-    listed = [(name, bigrams(template_words(t))) for name, t in templates]
-    every = sorted({g for _, grams in listed for g in grams})
+    every = sorted({g for _, grams in grams_of for g in grams})
     known = F.array(
         *(
             F.struct(
@@ -245,13 +123,16 @@ def scan_notices(
                 F.lit(name).alias("name"),
                 F.array(*map(F.lit, grams)).alias("grams"),
                 F.lit(len(grams)).alias("n"),
-                F.lit(int(len(grams) * (2 - threshold) / threshold + 1e-9)).alias("most"),
+                *(F.lit(x).alias(s) for s, x in zip(("least", "most"), bounds(len(grams), threshold))),
             )
-            for k, (name, grams) in enumerate(listed)
+            for k, (name, grams) in enumerate(grams_of)
+            if grams
         )
     )
 
-    def windows(t: Column) -> Column:
+    def best(t: Column) -> Column:
+        """A template's best window."""
+
         def scored(a: Column, b: Column) -> Column:
             grams = F.slice("pairs", a, b - a + 1)
             shared = F.size(F.array_intersect(grams, t["grams"])) * 2.0
@@ -265,41 +146,39 @@ def scan_notices(
             )
 
         def from_start(a: Column, i: Column) -> Column:
-            ends = F.filter(F.slice(t["own"], i + 1, t["most"]), lambda b: b - a < t["most"])
+            # The i-th bigram of the template begins the window; it ends with the least-th from there at the earliest.
+            room = F.greatest(t["most"] - t["least"] + 1, F.lit(0))
+            ends = F.filter(F.slice(t["own"], i + t["least"], room), lambda b: b - a < t["most"])
             return F.array_min(F.transform(ends, lambda b: scored(a, b)))
 
-        return F.transform(t["own"], from_start)
+        return F.array_min(F.transform(t["own"], from_start))
 
-    low = F.lower(F.col(text))
-    hinted = reduce(or_, (F.contains(low, F.lit(h)) for h in hints))
-    rows = docs.select(F.col(key), F.when(hinted, _word_pairs(low)).alias("pairs"))
+    low = F.lower(column(text))
+    hinted = reduce(or_, (F.contains(low, F.lit(h)) for h in hints)) if hints else F.lit(False)
+    rows = docs.select(column(key).alias("key"), F.when(hinted, _word_pairs(low)).alias("pairs"))
     at = F.transform("pairs", lambda g, i: F.struct((i + 1).alias("at"), g.alias("g")))
-    rows = rows.select(key, "pairs", F.filter(at, lambda h: h["g"].isin(every)).alias("hits"))
+    rows = rows.select("key", "pairs", F.filter(at, lambda h: h["g"].isin(every)).alias("hits"))
     own = F.transform(
         known,
         lambda t: F.struct(
-            t["order"].alias("order"), t["name"].alias("name"), t["grams"].alias("grams"), t["n"].alias("n"),
-            t["most"].alias("most"),
+            *(t[x].alias(x) for x in ("order", "name", "grams", "n", "least", "most")),
             F.transform(F.filter("hits", lambda h: F.array_contains(t["grams"], h["g"])), lambda h: h["at"]).alias("own"),
         ),
-    )
-    rows = rows.select(key, "pairs", F.when(F.size("hits") > 0, own).alias("near"))
-    near = F.filter("near", lambda t: F.size(t["own"]) * (2 - threshold) >= t["n"] * threshold - 1e-9)
-    rows = rows.select(key, "pairs", near.alias("near"))
-    found = F.filter(F.flatten(F.transform("near", windows)), lambda m: m["minus_dice"] <= 1e-9 - threshold)
-    rows = rows.select(key, F.array_sort(found).alias("found"))
-    kept = F.reduce(
+    )
+    rows = rows.select("key", "pairs", F.when(F.size("hits") > 0, own).alias("near"))
+    near = F.filter("near", lambda t: F.size(t["own"]) >= t["least"])
+    rows = rows.select("key", "pairs", near.alias("near"))
+    found = F.filter(F.transform("near", best), lambda m: m["minus_dice"] <= 1e-9 - threshold)
+    rows = rows.select("key", found.alias("found"))
+    counts = F.filter(
         "found",
-        F.slice("found", 1, 1),
-        lambda kept, m: F.when(
-            F.exists(kept, lambda o: (o["first"] <= m["last"]) & (m["first"] <= o["last"])), kept
-        ).otherwise(F.concat(kept, F.array(m))),
+        lambda m: ~F.exists("found", lambda o: (o < m) & (o["first"] <= m["last"]) & (m["first"] <= o["last"])),
     )
-    rows = rows.select(key, kept.alias("kept"))
-    top = F.get("kept", F.lit(0))
+    rows = rows.select("key", counts.alias("counts"))
+    top = F.array_min("counts")
     return rows.select(
-        key,
-        F.greatest(F.coalesce(F.size("kept"), F.lit(0)), F.lit(0)).cast("long").alias("n_matches"),
+        F.col("key").alias(key),
+        F.greatest(F.coalesce(F.size("counts"), F.lit(0)), F.lit(0)).cast("long").alias("n_matches"),
         top["name"].alias("license"),
         F.round(-top["minus_dice"], 6).alias("dice"),
         top["first"].cast("long").alias("word_no"),
@@ -307,36 +186,42 @@ def scan_notices(
 
 
 def oracle(threshold: float = 0.8, templates: Sequence[tuple[str, str]] = TEMPLATES) -> str:
-    """DuckDB SQL for scan_licenses over ``documents``, without the bounds."""
+    """DuckDB SQL for scan_licenses over ``documents``, without anchors."""
     values = ", ".join(
-        f"({k}, '{name}', {bigrams(template_words(t))!r})" for k, (name, t) in enumerate(templates)
+        "({}, '{}', {!r}, {}, {})".format(k, name, grams, *bounds(len(grams), threshold))
+        for k, (name, grams) in enumerate((n, bigrams(template_words(t))) for n, t in templates)
     )
     return f"""
-WITH t(k, name, grams) AS (VALUES {values}),
-line AS (
-  SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS low,
-         generate_subscripts(string_split(lower(text), chr(10)), 1) AS line_no
+WITH t(k, name, grams, least, most) AS (VALUES {values}),
+word AS (
+  SELECT doc_id,
+         list_filter(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w
   FROM documents
-), unit AS (
-  SELECT doc_id, line_no,
-         list_filter(string_split(regexp_replace(low, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w
-  FROM line
-), gram AS (
-  SELECT doc_id, line_no,
-         list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
-  FROM unit WHERE len(w) > 1
+), pair AS (
+  SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM word WHERE len(w) > 1
+), wanted AS (SELECT k, unnest(grams) AS gram FROM t),
+hit AS (
+  SELECT doc_id, k, p.i, row_number() OVER (PARTITION BY doc_id, k ORDER BY p.i) AS r
+  FROM (SELECT doc_id, unnest(g) AS gram, generate_subscripts(g, 1) AS i FROM pair) p JOIN wanted USING (gram)
+), near AS (
+  SELECT a.doc_id, a.k, a.i AS first, b.i AS last
+  FROM hit a JOIN t USING (k) JOIN hit b
+    ON b.doc_id = a.doc_id AND b.k = a.k AND b.r >= a.r + t.least - 1 AND b.i - a.i < t.most
 ), score AS (
-  SELECT doc_id, line_no, k, name,
-         2.0::DOUBLE * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
-  FROM gram g, t
-), unit_best AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, k) AS r
-  FROM score WHERE dice >= {threshold} - 1e-9
-), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, k, line_no) AS d,
-         count(*) OVER (PARTITION BY doc_id) AS n
-  FROM unit_best WHERE r = 1
+  SELECT doc_id, k, name, first, last,
+         2.0::DOUBLE * len(list_intersect(g[first:last], grams)) / (len(list_distinct(g[first:last])) + len(grams)) AS dice
+  FROM near JOIN pair USING (doc_id) JOIN t USING (k)
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY dice DESC, last - first, first) AS r FROM score
+), found AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, k) AS place
+  FROM best WHERE r = 1 AND dice >= {threshold} - 1e-9
+), counted AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS d, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM found m WHERE NOT EXISTS (
+    SELECT 1 FROM found o
+    WHERE o.doc_id = m.doc_id AND o.place < m.place AND o.first <= m.last AND m.first <= o.last)
 )
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_matches, name AS license, round(dice, 6) AS dice, line_no::BIGINT AS line_no
-FROM documents LEFT JOIN (SELECT * FROM ranked WHERE d = 1) USING (doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_matches, name AS license, round(dice, 6) AS dice, first::BIGINT AS word_no
+FROM documents LEFT JOIN (SELECT * FROM counted WHERE d = 1) USING (doc_id)
 """

@@ -7,9 +7,10 @@ and passed through a learned hidden layer. A gated attention unit
 from document labels alone; the document is the weighted sum of its passage
 representations, and a linear unit with a logistic gives its score.
 
-Training is on the driver from a bounded sample of labelled documents (a
-parameter); scoring runs in Arrow batches over whole texts, a passage at a time
-in arrays, so memory doesn't depend on the length of a text beyond the text.
+Training is on the driver from a bounded sample of labelled documents (see
+:mod:`.labelled`); scoring runs in Arrow batches over whole texts. Long texts are encoded
+in slices that end between passages, so besides the text and its word positions
+(24 bytes a word) memory is bounded by the slice.
 
 Edge cases: null and empty texts have one passage without features and get its
 score; an empty table gives an empty table; without usable labels, or with one
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, mix64, session_of, text_chunks, word_hashes
+from .common import SLICE_BYTES, column, fold, mix64, run_hashes, session_of, text_chunks, word_hashes
 from .labelled import labelled_texts
 
 #: Words in a passage.
@@ -61,8 +62,29 @@ _PAIR_BUCKET = (
 def encode_passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages of all texts in order, and each text's number of passages (1 at least)."""
     raw = [x.encode("utf-8") for x in texts]
+    if len(raw) > 1 or sum(map(len, raw)) <= SLICE_BYTES:
+        return _encode(raw)
+    # One long text: slices of whole passages, each from the first byte of its first word.
+    starts = run_hashes(raw[0])[0]
+    n_words, firsts = len(starts), starts[::PASSAGE_WORDS].copy()
+    del starts
+    firsts[:1] = 0
+    parts, at = [], 0
+    while at < max(1, len(firsts)):
+        begin = int(firsts[at]) if len(firsts) else 0
+        end = max(at + 1, int(np.searchsorted(firsts, begin + SLICE_BYTES)))
+        stop = int(firsts[end]) if end < len(firsts) else len(raw[0])
+        follow = raw[0][stop : stop + 1] if stop < len(raw[0]) else None
+        parts.append(_encode([raw[0][begin:stop]], n_words, follow)[0])
+        at = end
+    features = np.concatenate(parts)
+    return features, np.array([len(features)], np.int64)
+
+
+def _encode(raw: list[bytes], in_text: int | None = None, follow: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """encode_passages for texts, or for a slice of a text of ``in_text`` words that ``follow`` comes after."""
     sizes = np.array([len(x) + 1 for x in raw], np.int64)
-    joined = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    joined = np.frombuffer(b" ".join(raw) + (follow or b" "), np.uint8)
     words, counts = word_hashes(raw)
     passages = np.maximum(1, -(-counts // PASSAGE_WORDS))
     first = np.cumsum(passages) - passages
@@ -70,8 +92,8 @@ def encode_passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     # The passage of every word, and of every byte: that of the last word begun.
     owner = np.repeat(np.arange(len(raw)), counts)
-    in_text = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
-    word_at = first[owner] + in_text // PASSAGE_WORDS
+    nth_word = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+    word_at = first[owner] + nth_word // PASSAGE_WORDS
     space = (joined == 0x20) | ((joined >= 0x09) & (joined <= 0x0D))
     begins = ~space & np.concatenate([[True], space[:-1]])
     begun = np.cumsum(begins, dtype=np.int64)
@@ -80,7 +102,8 @@ def encode_passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     nth = np.clip(begun - 1 - before[text_of], 0, np.maximum(counts[text_of] - 1, 0))
     byte_at = first[text_of] + nth // PASSAGE_WORDS
 
-    kind = np.bincount(byte_at * _N_CLASSES + _CLASS_OF[joined], minlength=total * _N_CLASSES)
+    kind = byte_at * _N_CLASSES + _CLASS_OF[joined]
+    kind = np.bincount(kind if follow is None else kind[:-1], minlength=total * _N_CLASSES)
     kind = kind.reshape(total, _N_CLASSES)
     pair = _PAIR_BUCKET[joined[:-1].astype(np.int32) << 8 | joined[1:]]
     within = np.ones(len(joined), bool)
@@ -107,7 +130,7 @@ def encode_passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             (n_bytes - kind[:, 3] - kind[:, 4]) / some,
             1 - fresh(words, word_at) / some,
             1 - fresh(two, word_at[1:][inside]) / np.maximum(n_two, 1),
-            np.log1p(np.repeat(counts, passages)),
+            np.log1p(np.repeat(counts if in_text is None else np.array([in_text]), passages)),
         ],
         axis=1,
     )
@@ -239,7 +262,7 @@ def quality(
         for part, texts in text_chunks(batches, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_scores(model, texts))], ["key", "score"])
 
-    out = docs.select(key, text).mapInArrow(run, f"key {kind}, score double")
+    out = docs.select(column(key), column(text)).mapInArrow(run, f"key {kind}, score double")
     return out.withColumnRenamed("key", key).select(
         key,
         (fold(key, held[0]) == held[1]).alias("held_out"),
@@ -267,4 +290,6 @@ def good_documents(
         for part, texts in text_chunks(batches, at):
             yield part.filter(pa.array(_scores(model, texts) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Numbered, since names may hold dots.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

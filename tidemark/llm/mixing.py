@@ -13,9 +13,9 @@ few (a target below one slot may get none) slots are added at the end. All other
 blocks hold equally many words, and a source is repeated evenly, ``repeats``
 times at most.
 
-Offsets in the shuffled order and ranks in the schedule are running sums in two
-levels (within buckets of the order, then over the buckets), so that no task
-holds a whole source.
+Offsets in the shuffled order and ranks in the schedule are running sums in three
+levels (within buckets of the order, over the buckets of a stretch, over the
+stretches), so that no task holds a whole source or all of its buckets.
 
 Edge cases: a null or empty text has size 0 and nothing is taken of it; a null
 source is a source of its own, the last in order; rows that repeat an id are
@@ -32,7 +32,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, word_count
+from .common import column, free_names, materialise, word_count
 
 GOLDEN = (math.sqrt(5) - 1) / 2
 #: Words in a block at most, and slots at least (where there are as many words).
@@ -41,6 +41,28 @@ BLOCK_WORDS, LEAST_SLOTS = 4096, 16_384
 BUCKET_ROWS, STRETCH_SLOTS = 512, 8192
 #: Cells of the unit interval by which points find their source.
 GRID = 1024
+#: Buckets of a source whose sums are added up in one task.
+STRETCH_BUCKETS = 4096
+
+
+def sums_before(rows: DataFrame, group: str, order: str, value: str, stretch: int | None = None) -> DataFrame:
+    """``(group, order, start)``: the sum of ``value`` over a group's rows of lower ``order`` (whole numbers, one row each).
+
+    Sums go over stretches of the order first and within each stretch after that.
+    """
+    wide = F.floor(F.col(order) / (stretch or STRETCH_BUCKETS))
+    rows = rows.withColumn("stretch", wide)
+    before = lambda *keys: (
+        Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    total = rows.groupBy(group, "stretch").agg(F.sum(value).alias("sum"))
+    total = total.select(group, "stretch", F.coalesce(F.sum("sum").over(before(group, "stretch")), F.lit(0)).alias("far"))
+    near = F.coalesce(F.sum(value).over(before(group, "stretch", order)), F.lit(0))
+    return (
+        rows.withColumn("near", near)
+        .join(total, [group, "stretch"])
+        .select(group, order, (F.col("near") + F.col("far")).alias("start"))
+    )
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int] = (1, 2, 3), repeats: int = 3) -> DataFrame:
@@ -101,8 +123,7 @@ def schedule(targets: DataFrame, slots: int) -> DataFrame:
         .select("slot", "src", F.floor(F.col("slot") / STRETCH_SLOTS).alias("stretch"))
     )
     counts = placed.groupBy("src", "stretch").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("src").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("src", "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    starts = sums_before(counts.withColumnRenamed("stretch", "at"), "src", "at", "n").withColumnRenamed("at", "stretch")
     within = F.row_number().over(Window.partitionBy("src", "stretch").orderBy("slot")) - 1
     return (
         placed.withColumn("at", within)
@@ -136,7 +157,7 @@ def mix(
     """``(key, size, source_size, target, taken)`` for every row of docs."""
     sized = materialise(
         docs.select(
-            F.col(key).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")
+            column(key).alias("id"), column(source).alias("source"), word_count(column(text)).alias("size")
         )
     )
     targets = source_targets(sized, weights, repeats)
@@ -152,8 +173,7 @@ def mix(
     hashed = F.xxhash64(F.lit(seed), "id", "size")
     ordered = named.withColumn("h", hashed).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
     sums = ordered.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
-    earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("src", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    starts = sums_before(sums, "src", "bucket", "n")
     within = (
         Window.partitionBy("src", "bucket")
         .orderBy("h", "id", "size")
@@ -211,16 +231,14 @@ def mixed_documents(
     comes as often as the row of that id and size of which most is taken. A row
     without words or with a null id comes once.
     """
-    plan = mix(docs, weights, repeats, key, source, text)
-    copies = (
-        plan.where("size > 0")
-        .groupBy(F.col(key).alias("_mix_id"), F.col("size").alias("_mix_size"))
-        .agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_mix_copies"))
-    )
-    sized = docs.withColumn("_mix_words", word_count(F.col(text)))
-    joined = sized.join(
-        copies, (F.col(key) == F.col("_mix_id")) & (F.col("_mix_words") == F.col("_mix_size")), "left"
-    )
-    times = F.coalesce("_mix_copies", F.lit(1))
-    repeated = joined.where(times > 0).withColumn("_mix_n", F.explode(F.array_repeat(F.lit(1), times)))
-    return repeated.select(*docs.columns)
+    words, times = free_names(docs.columns, "mix_words", "mix_times")
+    plan = mix(docs, weights, repeats, key, source, text).where("size > 0")
+    copies = F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    plan = plan.groupBy(F.col(key).alias("id"), F.col("size").alias("words")).agg(copies.alias("copies"))
+    left = docs.select(*(column(c) for c in docs.columns), word_count(column(text)).alias(words)).alias("left")
+    on = (F.col(f"left.`{key}`") == F.col("plan.id")) & (F.col(f"left.`{words}`") == F.col("plan.words"))
+    joined = left.join(plan.alias("plan"), on, "left")
+    every = [F.col(f"left.`{c}`") for c in docs.columns]
+    repeated = joined.select(*every, F.coalesce("plan.copies", F.lit(1)).alias(times)).where(F.col(times) > 0)
+    again = F.explode(F.array_repeat(F.lit(1), F.col(times)))
+    return repeated.withColumn(times, again).drop(times)

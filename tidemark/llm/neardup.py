@@ -18,13 +18,18 @@ shingle, one without words has the empty set. Two documents are linked when
    a probability of 1e-6 at most.
 4. *Verification.* In each bucket every member is compared with its most central
    one, so a bucket of n costs n comparisons. Buckets that are then not within
-   one component go on: those of few members compare what is still apart; larger
-   ones are compared exactly in blocks, by products of matrices that emit nothing
-   but links between components. A comparison first looks at sizes and
-   at the signatures' agreement (refused beyond 6.5 standard deviations below
-   the threshold), then at the full sets.
+   one component go on: those of few members compare what is still apart. In larger
+   ones the members outside the largest component, the *strays*, are compared with
+   all members: while they are many, first with the most central stray, which
+   gathers them; then exactly in blocks, by products of matrices that emit nothing but
+   links between components. Members of the largest component aren't compared with
+   each other again, so n near copies and some strays cost about n. A comparison
+   looks at sizes first, then at the full sets.
 5. *Grouping.* Verified links go through union-find (:mod:`.components`).
 
+Texts are read twice: for all signatures, and for the full sets of one document of each
+class that shares a bucket.
+
 Edge cases: null or empty texts and texts without words have an empty set and
 are linked with nothing; a null id is linked with nothing, has a null component
 and is kept; rows that repeat an id are grouped each by its own text; ties between representatives go to the smaller id; an empty table
@@ -33,7 +38,6 @@ gives an empty table; other columns are not looked at.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialise, mix64, session_of, text_chunks, word_hashes
+from .common import ASCII_LOWER, column, discard, materialise, mix64, session_of, text_chunks, word_hashes
 from .components import UnionFind, connected
 
 _U = np.uint64
@@ -55,6 +59,8 @@ MISS = 1e-6
 SMALL_BUCKET = 32
 #: Members and shingles in a block of a larger one, about.
 BLOCK_MEMBERS, BLOCK_ITEMS = 512, 150_000
+#: Strays in a group that are too many for comparing all at once, and rounds that gather them at most.
+MANY_STRAYS, GATHERING_ROUNDS = 2048, 4
 #: Candidate ids that are broadcast to the text scan at most (8 bytes each).
 BROADCAST_IDS = 500_000
 #: Shingles of one signature step, and documents, that are handled together.
@@ -144,7 +150,7 @@ def _offer(rows: np.ndarray, items: np.ndarray, owner: np.ndarray, m: int) -> No
 def signatures(
     docs: DataFrame, shingle: int, bands: int, rows: int, key: str, text: str
 ) -> DataFrame:
-    """``(id, n, f1, f2, buckets array<long>, sig binary)`` for every row of docs."""
+    """``(id, n, f1, f2, buckets array<long>)`` for every row of docs."""
     session_of(docs)
     m = bands * rows
 
@@ -164,7 +170,6 @@ def signatures(
                 keys = mix64(keys + mixed[:, k::rows])
             keys = mix64(keys + _STEP * np.arange(1, bands + 1, dtype=np.uint64)).astype(np.int64)
             offsets = np.concatenate([[0], np.cumsum((sizes > 0) * bands)]).astype(np.int32)
-            short = (mixed >> _U(56)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0).cast(pa.int64()),
@@ -172,18 +177,17 @@ def signatures(
                     pa.array(prints[0]),
                     pa.array(prints[1]),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].reshape(-1))),
-                    pa.array([x.tobytes() for x in short], pa.binary()),
                 ],
-                ["id", "n", "f1", "f2", "buckets", "sig"],
+                ["id", "n", "f1", "f2", "buckets"],
             )
 
-    out = "id long, n long, f1 long, f2 long, buckets array<long>, sig binary"
-    return docs.select(key, text).mapInArrow(run, out)
+    out = "id long, n long, f1 long, f2 long, buckets array<long>"
+    return docs.select(column(key), column(text)).mapInArrow(run, out)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
     """``(id, items array<long>)``: full shingle sets of the documents in ids (distinct, one column)."""
-    wanted = _bounded(ids.toDF(key))
+    wanted = _bounded(ids.toDF("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches, 1):
@@ -194,35 +198,23 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int, key: str, text: str
                 [part.column(0).cast(pa.int64()), lists], ["id", "items"]
             )
 
-    chosen = docs.select(key, text).join(wanted, key, "left_semi")
+    chosen = docs.select(column(key).alias("id"), column(text).alias("text")).join(wanted, "id", "left_semi")
+    sets = chosen.mapInArrow(run, "id long, items array<long>")
     # Rows that repeat an id and a text have one set between them.
-    return chosen.mapInArrow(run, "id long, items array<long>")
-
-
-def _plausible(pairs: DataFrame, reps: DataFrame, percent: int, m: int) -> DataFrame:
-    """Distinct (a, b) pairs that sizes and signatures don't rule out."""
-    t = percent / 100
-    least = t * m - 6.5 * math.sqrt(t * (1 - t) * m)
+    once = sets.withColumn("h", F.xxhash64("items")).groupBy("id", "h").agg(F.first("items").alias("items"))
+    return once.drop("h")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (
-                np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, m)
-                for k in (2, 3)
-            )
-            keep = pa.array((a == b).sum(axis=1) >= least)
-            yield batch.select([0, 1]).filter(keep)
 
-    left = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    right = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+def _fitting(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The distinct (a, b) pairs that sizes don't rule out."""
+    left = reps.select(F.col("id").alias("a"), F.col("n").alias("na"))
+    right = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"))
     near = (
         pairs.join(left, "a")
         .join(right, "b")
         .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     )
-    return near.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    return near.select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -268,23 +260,30 @@ def _within_small(members: DataFrame, percent: int) -> DataFrame:
     return two.select("a", F.col("y.id").alias("b")).distinct()
 
 
-def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components within the groups of ``(pivot, id, root)`` rows, exact on full sets.
+def _stray_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between strays and any members of other components, exact on full sets.
 
-    A group is dealt into blocks of a bounded number of members and shingles, and
-    each pair of blocks is one small piece of work: shingles that only one member
-    of the two has can't be shared; members with too many of those are out; for the
-    rest one product of matrices gives all overlaps. Out come the links that a
-    union-find needs, not pairs.
+    ``members`` has ``(pivot, id, root, stray)`` rows. The strays and the others of a group
+    are dealt into blocks of a bounded number of members and shingles, and each block of
+    strays with itself and with every other block is one small piece of work: shingles
+    that only one member of the two has can't be shared; members with too many of those
+    are out; for the rest one product of matrices gives all overlaps. Out come the
+    links that a union-find needs, not pairs.
     """
     lengths = members.join(sets.select("id", F.size("items").alias("n")), "id")
-    sizes = lengths.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_MEMBERS), F.ceil(F.col("s") / BLOCK_ITEMS)).cast("int")
-    sizes = materialise(sizes.select("pivot", blocks.alias("blocks")))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int")
+    each = lengths.groupBy("pivot", "stray").agg(blocks.alias("blocks"))
+    of = lambda stray: F.coalesce(F.max(F.when(F.col("stray") == stray, F.col("blocks"))), F.lit(0))
+    sizes = materialise(each.groupBy("pivot").agg(of(True).alias("strays"), of(False).alias("others")))
     # One row for each group: within its bound it is broadcast, so that sets aren't dealt by group.
-    dealt = members.join(_bounded(sizes), "pivot").join(sets, "id")
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = members.join(_bounded(sizes), "pivot").where("strays > 0").join(sets, "id")
+    at = F.xxhash64("id")
+    dealt = dealt.withColumn(
+        "mine",
+        F.when(F.col("stray"), F.pmod(at, "strays")).otherwise(F.col("strays") + F.pmod(at, "others")).cast("int"),
+    )
+    upto = F.when(F.col("stray"), F.col("strays") + F.col("others")).otherwise(F.col("strays")) - 1
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), upto)))
     work = dealt.groupBy("pivot", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(
         F.collect_list(F.struct("id", "root", "items")).alias("all")
     )
@@ -295,7 +294,9 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
                 rows = batch.column(0)[i].values
                 yield _linked(*(rows.field(k) for k in range(3)), percent)
 
-    return work.select("all").mapInArrow(run, "a long, b long")
+    out = materialise(work.select("all").mapInArrow(run, "a long, b long"))
+    discard(sizes)
+    return out
 
 
 def _linked(ids: pa.Array, roots: pa.Array, items: pa.Array, percent: int) -> pa.RecordBatch:
@@ -339,18 +340,27 @@ def near_duplicates(
     shingle: int = 5,
     key: str = "doc_id",
     text: str = "text",
+    work: dict | None = None,
 ) -> DataFrame:
     """``(key, n_shingles, component_id, kept)`` for every row of docs.
 
-    ``component_id`` is the smallest id that links lead to, itself included.
+    ``component_id`` is the smallest id that links lead to, itself included. ``work``
+    gets the number of ``pairs`` of documents that were compared.
     """
+    return _grouped(docs, percent, shingle, key, text, work)[0]
+
+
+def _grouped(
+    docs: DataFrame, percent: int, shingle: int, key: str, text: str, work: dict | None = None
+) -> tuple[DataFrame, list[DataFrame]]:
+    """What near_duplicates returns, and the materialised frames that it reads."""
     bands, rows = banding(percent / 100)
     sigs = materialise(signatures(docs, shingle, bands, rows, key, text))
     reps = materialise(
         sigs.where("n > 0 and id is not null")
         .groupBy("f1", "f2", "n")
-        .agg(F.min(F.struct("id", "buckets", "sig")).alias("r"))
-        .select("f1", "f2", "n", "r.id", "r.buckets", "r.sig")
+        .agg(F.min(F.struct("id", "buckets")).alias("r"))
+        .select("f1", "f2", "n", "r.id", "r.buckets")
     )
     exploded = reps.select("id", "n", F.explode("buckets").alias("bucket"))
     # Tables by bucket are written before they are joined: a join with rows that an aggregate has just
@@ -358,7 +368,7 @@ def near_duplicates(
     # out anew is split by adaptive execution.
     shared = materialise(exploded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"))
     sharing = materialise(exploded.join(shared, "bucket"))
-    central = sharing.groupBy("id").agg(F.sum(F.log2("c")).alias("weight"))
+    central = materialise(sharing.groupBy("id").agg(F.sum(F.log2("c")).alias("weight")))
     pivots = materialise(
         sharing.join(central, "id")
         .groupBy("bucket")
@@ -366,22 +376,19 @@ def near_duplicates(
         .select("bucket", F.col("p.weight").alias("weight"), (-F.col("p.minus")).alias("pivot"))
     )
     members = materialise(sharing.join(pivots, "bucket"))
-    first = (
-        members.where("id <> pivot")
-        .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        .distinct()
-    )
-    m = bands * rows
+    sets = materialise(full_sets(docs, central.select("id"), shingle, key, text))
+    discard(shared, sharing, pivots)
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        near = materialise(_plausible(pairs, reps, percent, m))
-        ends = near.select("a").union(near.select("b")).distinct()
-        sets = materialise(full_sets(docs, materialise(ends), shingle, key, text))
-        return materialise(_verified(near, sets, percent))
-
-    links = links_of(first)
+        near = materialise(_fitting(pairs, reps, percent))
+        if work is not None:
+            work["pairs"] = work.get("pairs", 0) + near.count()
+        out = materialise(_verified(near, sets, percent))
+        discard(near)
+        return out
+
+    links = links_of(_ordered(members.where("id <> pivot"), "id", "pivot"))
     star = connected(links)
-
     rooted = materialise(
         members.join(star.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     )
@@ -392,23 +399,24 @@ def near_duplicates(
         .select("bucket")
     )
     open_ = materialise(rooted.where("c > 2").join(apart, "bucket", "left_semi"))
-    more = _within_small(open_.where(F.col("c") <= SMALL_BUCKET), percent)
+    discard(rooted, apart)
+    late = links_of(_within_small(open_.where(F.col("c") <= SMALL_BUCKET), percent))
     large = open_.where(F.col("c") > SMALL_BUCKET)
     # The large buckets of one group of copies differ by band; each goes under the most central
     # document that its members know from any bucket, so the group is worked on once.
     hub = F.max(F.struct("weight", (-F.col("pivot")).alias("minus"))).alias("hub")
     refs = large.select("id", "bucket").join(members.groupBy("id").agg(hub), "id")
     refs = materialise(refs.groupBy("bucket").agg((-F.max("hub")["minus"]).alias("pivot")))
-    large = materialise(large.drop("pivot").join(refs, "bucket").select("pivot", "id", "root").distinct())
-    ids = materialise(large.select("id").distinct())
-    late = links_of(more)
-    if not ids.isEmpty():
-        sets = full_sets(docs, ids, shingle, key, text)
-        # Rows that repeat an id and a text have one set between them.
-        once = materialise(sets.groupBy("id", "items").agg(F.count("*").alias("c")).drop("c"))
-        late = materialise(late.union(_block_links(large, once, percent)))
+    groups = materialise(large.drop("pivot").join(refs, "bucket").select("pivot", "id", "root").distinct())
+    discard(refs, open_, members)
+    if not groups.isEmpty():
+        late = _united(late, _large_groups(groups, central, sets, links_of, percent, work))
+    discard(groups, central, sets)
     if not late.isEmpty():
-        star = connected(links.union(late))
+        every = links.union(late)
+        discard(star)
+        star = connected(every)
+    discard(links, late)
 
     classes = reps.select("f1", "f2", "n", F.col("id").alias("rep"))
     classes = classes.join(star.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -416,12 +424,70 @@ def near_duplicates(
     )
     out = sigs.select("id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(
+    out = out.select(
         F.col("id").alias(key),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
     )
+    return out, [sigs, reps, star]
+
+
+def _ordered(rows: DataFrame, one: str, other: str) -> DataFrame:
+    """Distinct (a, b) with a < b."""
+    return rows.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+
+
+def _united(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Both tables of links as one materialised table in their place."""
+    out = materialise(one.union(other))
+    discard(one, other)
+    return out
+
+
+def _large_groups(
+    groups: DataFrame, central: DataFrame, sets: DataFrame, links_of, percent: int, work: dict | None
+) -> DataFrame:
+    """Links between components within ``(pivot, id, root)`` groups; ``central`` has each id's weight."""
+    found = None
+    for _ in range(GATHERING_ROUNDS):
+        strays = materialise(_strays(groups, found).where("stray"))
+        many = strays.groupBy("pivot").agg(F.count("*").alias("c")).where(F.col("c") > MANY_STRAYS).select("pivot")
+        strays = materialise(strays.join(many, "pivot", "left_semi").join(central, "id"))
+        if strays.isEmpty():
+            discard(strays)
+            break
+        first = F.max(F.struct("weight", (-F.col("id")).alias("minus")))
+        middle = materialise(strays.groupBy("pivot").agg((-first["minus"]).alias("middle")))
+        more = links_of(_ordered(strays.join(middle, "pivot").where("id <> middle"), "id", "middle"))
+        discard(strays, middle)
+        none = more.isEmpty()
+        found = more if found is None else _united(found, more)
+        if none:
+            break
+    marked = materialise(_strays(groups, found))
+    if work is not None:
+        counts = marked.groupBy("pivot").agg(
+            F.count_if("stray").alias("s"), F.count("*").alias("c")
+        )
+        work["pairs"] = work.get("pairs", 0) + (counts.agg(F.sum(F.col("s") * F.col("c"))).first()[0] or 0)
+    late = _stray_links(marked, sets, percent)
+    discard(marked)
+    return late if found is None else _united(found, late)
+
+
+def _strays(groups: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``(pivot, id, root, stray)``: whether a member is outside its group's largest component."""
+    if found is not None and not found.isEmpty():
+        # Links found meanwhile join the components that their ends were in.
+        roots = groups.select("id", "root").distinct()
+        ends = found.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b")
+        now = connected(ends.select("ra", "rb"))
+        groups = groups.join(now.toDF("root", "now"), "root", "left")
+        groups = groups.select("pivot", "id", F.coalesce("now", "root").alias("root"))
+    sizes = groups.groupBy("pivot", "root").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("pivot").agg(F.max(F.struct("c", F.col("root").alias("main")))["main"].alias("main"))
+    return groups.join(main, "pivot").select("pivot", "id", "root", (F.col("root") != F.col("main")).alias("stray"))
 
 
 def without_near_duplicates(
@@ -432,16 +498,20 @@ def without_near_duplicates(
     The representative of a group stays; rows that repeat an id and a text are one
     document; rows with a null id stay.
     """
-    groups = materialise(near_duplicates(docs, percent, shingle, key, text).select(key, "kept"))
-    each = groups.where(F.col(key).isNotNull()).groupBy(key)
+    grouped, frames = _grouped(docs, percent, shingle, key, text)
+    groups = materialise(grouped.select(F.col(key).alias("id"), "kept"))
+    discard(*frames)
+    each = groups.where("id is not null").groupBy("id")
     by_id = materialise(each.agg(F.bool_or("kept").alias("any"), F.count("*").alias("rows")))
-    out = docs.join(_bounded(by_id.where("not any").select(key)), key, "left_anti")
-    repeated = by_id.where("rows > 1 and any").select(key)
+    discard(groups)
+    every = [column(c) for c in docs.columns]
+    gone, repeated = (by_id.where(x).select(F.col("id").alias(key)) for x in ("not any", "rows > 1 and any"))
+    out = docs.join(_bounded(gone), key, "left_anti").select(*every)
     if repeated.isEmpty():
-        return out.select(docs.columns)
+        return out
     repeated = _bounded(repeated)
-    single = out.join(repeated, key, "left_anti").select(docs.columns)
-    several = out.join(repeated, key, "left_semi").select(docs.columns)
+    single = out.join(repeated, key, "left_anti").select(*every)
+    several = out.join(repeated, key, "left_semi").select(*every)
     return single.union(several.dropDuplicates([key, text]))
 
 

@@ -12,7 +12,8 @@ Edge cases: null and empty texts have no words and fail the base rule; an empty
 table gives an empty table; rows that repeat are independent; without usable
 labels (or with one class only) the list is empty and keeps what the base rule
 keeps; null labels and null ids take no part in learning; other columns are not
-looked at; ties between equally good thresholds go to the earlier statistic and
+looked at; a long text is gone through in slices, which takes some 40 bytes a word beside
+the text; ties between equally good thresholds go to the earlier statistic and
 the lower threshold.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, session_of, text_chunks, word_hashes
+from .common import SLICE_BYTES, column, mix64, run_hashes, session_of, text_chunks, word_hashes
 
 #: Characters that count as symbols (fixed by the result contract).
 SYMBOLS = "#*$%&|<>"
@@ -52,38 +53,72 @@ FEATURES = (*COUNTS[:5], *(r[0] for r in RATIOS))
 _U = np.uint64
 
 
+#: Windows that are sorted at a time.
+SORTED_WINDOWS = 2_000_000
+
+
 def repeat_words(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Per text: words within three-word windows that the text holds twice or more."""
     total = len(words)
     if total < 3:
         return np.zeros(len(counts), np.int64)
-    owner = np.repeat(np.arange(len(counts)), counts)
     odd = mix64(np.arange(11, 14, dtype=np.uint64)) | _U(1)
-    windows = words[:-2] * odd[0] + words[1:-1] * odd[1] + words[2:] * odd[2]
-    inside = owner[:-2] == owner[2:]
-    windows = mix64(windows) + mix64(owner[:-2].astype(np.uint64) + _U(1 << 40))
-    at = np.flatnonzero(inside)
-    order = at[np.argsort(windows[at], kind="stable")]
-    same = windows[order][1:] == windows[order][:-1]
-    twice = np.zeros(len(order), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    starts = order[twice]
+    windows = words[:-2] * odd[0]
+    windows += words[1:-1] * odd[1]
+    windows += words[2:] * odd[2]
+    owner = inside = None
+    if len(counts) > 1:
+        owner = np.repeat(np.arange(len(counts)), counts)
+        inside = owner[:-2] == owner[2:]
+        windows = mix64(windows) + mix64(owner[:-2].astype(np.uint64) + _U(1 << 40))
     covered = np.zeros(total, bool)
-    for k in range(3):
-        covered[starts + k] = True
+    # Equal windows are in one part, so parts of a long text can be sorted one after the other.
+    parts = 1 + total // SORTED_WINDOWS
+    for part in range(parts):
+        at = np.arange(len(windows)) if inside is None else np.flatnonzero(inside)
+        if parts > 1:
+            at = at[mix64(windows[at]) % _U(parts) == _U(part)]
+        order = at[np.argsort(windows[at], kind="stable")]
+        ordered = windows[order]
+        same = ordered[1:] == ordered[:-1]
+        twice = np.zeros(len(order), bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        starts = order[twice]
+        for k in range(3):
+            covered[starts + k] = True
+    if owner is None:
+        return np.array([np.count_nonzero(covered)], np.int64)
     return np.bincount(owner, covered, len(counts)).astype(np.int64)
 
 
+_IS_LINE_END = np.zeros(256, bool)
+_IS_LINE_END[0x0A] = True
+
+
 def text_statistics(texts: list[str]) -> dict[str, np.ndarray]:
-    """The COUNTS of some whole texts."""
+    """The COUNTS of some whole texts; one long text is gone through in slices."""
     raw = [x.encode("utf-8") for x in texts]
-    words, counts = word_hashes(raw)
+    long = len(raw) == 1 and len(raw[0]) > SLICE_BYTES
+    if long:
+        starts, _, words = run_hashes(raw[0])
+        counts = np.array([len(words)], np.int64)
+    else:
+        words, counts = word_hashes(raw)
     out = {"n_words": counts.astype(np.int64), "n_repeat_words": repeat_words(words, counts)}
     spaces = [sum(r.count(c) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) for r in raw]
     out["word_chars"] = np.array([len(t) - s for t, s in zip(texts, spaces)], np.int64)
     symbols = [c.encode() for c in SYMBOLS]
     out["n_symbols"] = np.array([sum(map(r.count, symbols)) for r in raw], np.int64)
+    if long:
+        del words
+        begins, ends, lines = run_hashes(raw[0], _IS_LINE_END)
+        lines = lines[np.searchsorted(starts, begins) < np.searchsorted(starts, ends)]  # with a word
+        out["n_lines"] = np.array([len(lines)], np.int64)
+        out["n_dup_lines"] = np.array([len(lines) - len(np.unique(lines))], np.int64)
+        out["n_upper"] = np.array([sum(raw[0].count(bytes([c])) for c in range(65, 91))], np.int64)
+        out["n_marks"] = np.array([raw[0].count(b"!") + raw[0].count(b"?")], np.int64)
+        return out
     lines = [[x for x in r.split(b"\n") if x.strip()] for r in raw]
     out["n_lines"] = np.array(list(map(len, lines)), np.int64)
     out["n_dup_lines"] = np.array([len(x) - len(set(x)) for x in lines], np.int64)
@@ -111,7 +146,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             )
 
     schema = ", ".join([f"key {kind}", *(f"{c} long" for c in COUNTS)])
-    return docs.select(key, text).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return docs.select(column(key), column(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def feature(name: str) -> Column:
@@ -246,6 +281,9 @@ def learn_from_labels(
     # Bounded by the sample size.
     ids = docs.sparkSession.createDataFrame([(i,) for i in marks], known.select(key).schema)
     stats = statistics(docs.join(F.broadcast(ids), key, "left_semi"), key, text)
+    # Ids may repeat in docs: as many rows as labels at most, by least hash.
+    order = [F.xxhash64(key), F.col(key), *map(F.col, COUNTS)]
+    stats = stats.orderBy(*order).limit(sample)
     got = stats.select(F.col(key).alias("id"), *(feature(f).alias(f) for f in FEATURES)).toPandas()
     got = got.sort_values(["id", *FEATURES], kind="stable")
     bad, at = [], []
@@ -289,7 +327,7 @@ def accepted_documents(
     """
     session_of(docs)
     rules = learn_from_labels(docs if learn_on is None else learn_on, labels, key, text, label)
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text"))
+    packed = docs.select(F.struct(*map(column, docs.columns)).alias("row"), column(text).alias("text"))
     kind = packed.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,12 +67,6 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"), threshold=0.8)
 
 
-def op7_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .license_scan import scan_notices
-
-    return scan_notices(_table(spark, sf_dir, "documents"), threshold=0.8)
-
-
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import fetch_days, filter_urls, listed_patterns
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_of, text_chunks
+from .common import column, session_of, text_chunks
 from .word_bpe import MergeList, Remembered, WordBpe, load
 
 
@@ -73,5 +73,5 @@ def token_counts(
                 ["key", "n_bytes", "n_tokens"],
             )
 
-    out = docs.select(key, text).mapInArrow(run, f"key {kind}, n_bytes long, n_tokens long")
+    out = docs.select(column(key), column(text)).mapInArrow(run, f"key {kind}, n_bytes long, n_tokens long")
     return out.withColumnRenamed("key", key).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -8,7 +8,9 @@ scaled values gets weights. A score is the logistic of the weighted sum, so each
 n-gram contributes ``ratio * weight``.
 
 N-grams are hashed to a fixed table. The sum over a text's distinct n-grams is
-over all of its words: a worker remembers the n-gram slots of common words.
+over all of its words: a worker remembers the n-gram slots of short words. Long texts are
+taken in slices and very long words in stretches that overlap, so memory beside
+the text is bounded.
 
 Edge cases: null and empty texts get the score of no features; an empty table
 gives an empty table; without usable labels, or with one class only, every score
@@ -18,6 +20,7 @@ part in learning; repeated rows are independent; other columns are not looked at
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, mix64, session_of, text_chunks
+from .common import column, fold, mix64, session_of, text_chunks
 from .labelled import labelled_texts
 
 #: Labelled documents that learning sees at most.
@@ -41,20 +44,44 @@ LEAST_DOCS = 5
 PUNCTUATION = ".,;:!?\"'()[]{}#*$%&|<>-_"
 
 _U = np.uint64
-#: Words that a worker remembers.
-_CACHE_WORDS = 200_000
+#: Words that a worker remembers, and characters in one of them at most.
+_CACHE_WORDS, _CACHE_CHARS = 200_000, 48
+#: Characters of a text, and of words, that are worked on at a time.
+_SLICE_CHARS, _SLOT_CHARS = 1_000_000, 200_000
+_space = re.compile(r"\s").search
 
 
 def word_slots(words: list[str], live: np.ndarray | None = None) -> list[tuple[int, ...]]:
     """Table slots of each word's n-grams; with live (a flag for each slot), only those."""
     marked = [f"<{w.strip(PUNCTUATION)}>" for w in words]
+    out: list[tuple[int, ...]] = []
+    at = 0
+    while at < len(marked):
+        if len(marked[at]) > _SLOT_CHARS:
+            # A very long word: its n-grams are those of stretches that overlap.
+            long = marked[at]
+            parts = (long[i : i + _SLOT_CHARS + max(NGRAMS) - 1] for i in range(0, len(long), _SLOT_CHARS))
+            out.append(tuple(set().union(*(_slots([x], live)[0] for x in parts))))
+            at += 1
+            continue
+        upto, chars = at, 0
+        while upto < len(marked) and chars + len(marked[upto]) <= _SLOT_CHARS:
+            chars += len(marked[upto])
+            upto += 1
+        out += _slots(marked[at:upto], live)
+        at = upto
+    return out
+
+
+def _slots(marked: list[str], live: np.ndarray | None) -> list[tuple[int, ...]]:
+    """Slots of the n-grams of some strings, taken as they are."""
     sizes = np.array(list(map(len, marked)), np.int64)
     joined = "".join(marked).encode("utf-32-le", "surrogatepass")
     total = len(joined) // 4
     letters = np.zeros(total + max(NGRAMS), np.uint64)
     letters[:total] = np.frombuffer(joined, np.uint32)
     ends = np.repeat(np.cumsum(sizes), sizes)
-    owner = np.repeat(np.arange(len(words)), sizes)
+    owner = np.repeat(np.arange(len(marked)), sizes)
     value = np.zeros(total, np.uint64)
     owners, slots = [], []
     for n in range(1, max(NGRAMS) + 1):
@@ -70,27 +97,38 @@ def word_slots(words: list[str], live: np.ndarray | None = None) -> list[tuple[i
     owner, slot = np.concatenate(owners), np.concatenate(slots)
     order = np.argsort(owner, kind="stable")
     slot = slot[order].tolist()
-    bounds = np.searchsorted(owner[order], np.arange(len(words) + 1)).tolist()
+    bounds = np.searchsorted(owner[order], np.arange(len(marked) + 1)).tolist()
     return [tuple(slot[i:j]) if j > i else () for i, j in zip(bounds, bounds[1:])]
 
 
 class Slots:
-    """The distinct n-gram slots of texts; slots of words seen before are remembered."""
+    """The distinct n-gram slots of texts; slots of short words seen before are remembered."""
 
     def __init__(self, live: np.ndarray | None = None):
         self.live = live
         self.known: dict[str, tuple[int, ...]] = {}
 
     def of(self, texts: list[str]) -> list[set[int]]:
-        """For each text the set of its slots."""
+        """For each text the set of its slots; a long text is taken in slices that end between words."""
+        if len(texts) == 1 and len(texts[0]) > _SLICE_CHARS:
+            text, found, at = texts[0], set(), 0
+            while at < len(text):
+                gap = _space(text, at + _SLICE_CHARS)
+                end = gap.start() if gap else len(text)
+                found |= self._of([text[at:end]])[0]
+                at = end
+            return [found]
+        return self._of(texts)
+
+    def _of(self, texts: list[str]) -> list[set[int]]:
         words = [set(t.lower().split()) for t in texts]
         if len(self.known) > _CACHE_WORDS:
             self.known = {}
         new = list(set().union(*words) - self.known.keys())
-        if new:
-            self.known.update(zip(new, word_slots(new, self.live)))
-        look = self.known.__getitem__
-        return [set().union(*map(look, w)) for w in words]
+        slots = dict(zip(new, word_slots(new, self.live)))
+        self.known.update((w, x) for w, x in slots.items() if len(w) <= _CACHE_CHARS)
+        known = self.known
+        return [set().union(*(known[w] if w in known else slots[w] for w in own)) for own in words]
 
 
 @dataclass
@@ -186,7 +224,7 @@ def toxicity(
         for part, texts in text_chunks(batches, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score(texts))], ["key", "score"])
 
-    out = docs.select(key, text).mapInArrow(run, f"key {kind}, score double")
+    out = docs.select(column(key), column(text)).mapInArrow(run, f"key {kind}, score double")
     return out.withColumnRenamed("key", key).select(
         key,
         (fold(key, held[0]) == held[1]).alias("held_out"),
