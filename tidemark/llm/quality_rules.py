@@ -327,7 +327,9 @@ def accepted_documents(
     """
     session_of(docs)
     rules = learn_from_labels(docs if learn_on is None else learn_on, labels, key, text, label)
-    packed = docs.select(F.struct(*map(column, docs.columns)).alias("row"), column(text).alias("text"))
+    # Numbered, since names may hold dots.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    packed = plain.select(F.struct(*plain.columns).alias("row"), F.col(f"c{docs.columns.index(text)}").alias("text"))
     kind = packed.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +340,7 @@ def accepted_documents(
             )
 
     schema = ", ".join([f"row {kind}", *(f"{c} long" for c in COUNTS)])
-    return packed.mapInArrow(run, schema).where(verdict(rules)).select("row.*")
+    return packed.mapInArrow(run, schema).where(verdict(rules)).select("row.*").toDF(*docs.columns)
 
 
 def quality_rules(
