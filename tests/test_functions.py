@@ -9,7 +9,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import scoring, structured, text, vectors
+from tidemark.functions import entities, images, notation, scoring, structured, text, vectors
 from tidemark.operators import documents, lexical, planner
 
 
@@ -24,7 +24,9 @@ def one(spark, column, **values):
         (text.normalise_text, "Alpha–Beta  \n  Gamma", "Alpha-Beta Gamma"),
         (text.normalise_text, "​ﬁne“x” ", 'fine"x"'),
         (text.normalise_document, "a  \r\nb\t\r\n\r\n", "a\nb"),
-        (text.normalise_alias, "  L33t  H@ck! ", "leet hack"),
+        (entities.normalise_alias, "  L33t  H@ck! ", "leet hack"),
+        (entities.normalise_alias, "(Straße & Söhne)", "strasse & söhne"),
+        (text.normalise_title, "  A – B ", "a - b"),
         (text.normalise_query, "  A  B\tc ", "a b c"),
         (text.token_estimate, "", 0),
         (text.token_estimate, "abcde", 2),
@@ -37,6 +39,7 @@ def one(spark, column, **values):
         (text.corpus_id, "a b/ç.d", "a_b_.d"),
         (text.citations, "One [E1]. Two 【E2:L1-L2】", ["E1", "E2"]),
         (text.sentences, "Dr. Who came. He left! Why?", ["Dr. Who came.", "He left!", "Why?"]),
+        (text.sentences, " Two items. They stay. \n Yes", ["Two items. They stay.", "Yes"]),
     ],
 )
 def test_text(spark, f, value, want):
@@ -53,9 +56,24 @@ def test_keyed_tokens(spark):
     for secret in ("k", "k" * 100):
         want = hmac.new(secret.encode(), "é@x".encode(), hashlib.sha256).hexdigest()
         assert one(spark, text.hmac_sha256(F.col("v"), secret), v="é@x") == want
-    got = one(spark, text.pseudonymise_emails(F.col("v"), "s"), v="mail A.b@c.org or a.B@C.org, thanks")
-    a = "email_" + hmac.new(b"s", b"a.b@c.org", hashlib.sha256).hexdigest()[:12]
-    assert got == f"mail {a} or {a}, thanks"
+
+
+def test_pseudonyms(spark):
+    token = lambda kind, v: f"{kind}_" + hmac.new(b"s", v.casefold().encode(), hashlib.sha256).hexdigest()[:20].upper()
+    body = r"mail A.b@c.org or a.B@C.org, see C:\Users\x and Example.com!"
+    mail, path, domain = token("EMAIL", "a.b@c.org"), token("PATH", r"C:\Users\x"), token("DOMAIN", "example.com")
+    want = f"mail {mail} or {mail}, see {path} and {domain}!"
+    assert one(spark, entities.pseudonymised(F.col("v"), "s"), v=body) == want
+    mapped = one(spark, entities.pseudonymised_with_mapping(F.col("v"), "s"), v=body)
+    assert mapped["text"] == want
+    for m in mapped["mapping"]:
+        assert body[m["start"] : m["end"]] == m["value"] and want[m["new_start"] : m["new_end"]] == m["token"]
+    spans = one(spark, entities.moved_span(F.lit(body.index("see")), F.lit(body.index("!")), entities.pseudonymised_with_mapping(F.col("v"), "s")["mapping"]), v=body)
+    assert want[spans["start"] : spans["end"]] == f"see {path} and {domain}"
+    inside = one(spark, entities.moved_span(F.lit(6), F.lit(8), entities.pseudonymised_with_mapping(F.col("v"), "s")["mapping"]), v=body)
+    assert want[inside["start"] : inside["end"]] == mail
+    shown = one(spark, entities.redact_json(F.col("v")), v='{"API_KEY":1,"x":[{"url":"u"},"bearer abcdefgh12"]}')
+    assert shown == '{"API_KEY":"[REDACTED]","x":[{"url":"[REDACTED]"},"Bearer [REDACTED]"]}'
 
 
 def test_snippets(spark):
@@ -145,9 +163,32 @@ def test_layout(spark):
     assert got == [(0, "Hello world", "text"), (1, "- item", "list")]
 
 
-def test_compact_notation_round_trip():
-    value = {"a": [{"x": 1, "y": "é"}, {"x": 2, "y": None}], "#": [1], "=": {"b": []}, "c": [{"x": [{"q": 1}, {"q": 2}]}, {"x": []}]}
-    assert documents.decode_compact(documents.encode_compact(value)) == value
+def test_notation(spark):
+    pack = {"warnings": [], "evidence": [{"text": "a \"b\"", "id": "E1", "zz": {"k": [1.5, None]}}, {"text": "é", "id": "E2", "zz": {}}], "query": "q", "version": 1, "generated_at": "t"}
+    packed = notation.encode(pack)
+    assert packed.startswith('class EvidenceItem { id text zz }\n\n{ "version": 1, "query": "q", "generated_at": "t", "evidence": [ EvidenceItem("E1", "a \\"b\\"", { "k": [ 1.5, null ] })')
+    assert notation.decode(packed) == pack
+    for value in (pack, {"spans": [{"span_id": 1}, {"x": 2}], "b": True}, [], {"a": -1e-7}, "x", {"evidence": []}):
+        assert notation.decode(notation.encode(value)) == value
+    assert notation.decode("class A { x y }\n\n[ A(1), A(1, 2) ]") == [{"x": 1, "y": None}, {"x": 1, "y": 2}]
+    for bad in ("", "B(1)", "{ 1: 2 }", "[ 1", "{ a 2 }", "%"):
+        with pytest.raises(ValueError):
+            notation.decode(bad)
+    assert one(spark, notation.decoded(F.col("v")), v=packed) == __import__("json").dumps(pack, sort_keys=True, separators=(",", ":"))
+
+
+def test_image_hashes(spark):
+    import numpy as np
+
+    grey = np.add.outer(np.arange(40.0), np.sin(np.arange(60.0) / 5) * 30) % 255
+    same, other = images.perceptual_hash(grey), images.perceptual_hash(np.random.default_rng(1).random((40, 60)) * 255)
+    assert (images.perceptual_hash(grey + 0.01) == same).mean() > 0.98 > (other == same).mean()
+    assert np.allclose(images.shrink(np.ones((7, 13)) * 3, 5), 3)
+    blocks = np.kron(np.arange(16.0).reshape(4, 4), np.ones((3, 2)))
+    assert np.allclose(images.shrink(blocks, 4), np.arange(16.0).reshape(4, 4))
+    rows = spark.createDataFrame([([1.0] * 12, 4), ([1.0] * 5, 4), (None, 4)], "p array<double>, w int")
+    got = [r[0] for r in rows.select(images.image_hash("p", "w")).collect()]
+    assert len(got[0]) == 64 and got[1:] == [None, None]
 
 
 def test_boolean_grammar(spark):
@@ -165,7 +206,11 @@ def test_boolean_grammar(spark):
 
 def test_planner(spark):
     assert lexical.query_class("cost 2026") == "FACT_NUMERIC_TIMEBOUND" and lexical.query_class("alpha") == "SHORT"
-    assert lexical.rewrites("Alpha  beta-x")[0] == "Alpha  beta-x"
+    assert lexical.query_class("last invoice from Ann") == "FACT_NUMERIC_TIMEBOUND" == lexical.query_class("a holiday note here")
+    assert lexical.query_class("alpha beta gamma", True) == "FILTERED" and lexical.query_class("one two three") == "GENERAL"
+    assert lexical.rewrites("Alpha  beta-x") == ["Alpha beta x", "alpha AND beta AND x"]
+    assert lexical.rewrites("the Cost of a Trip, today") == ["the Cost of a Trip  today", "cost trip today", "cost AND trip AND today"]
+    assert lexical.query_tokens("of the") == ["of", "the"] and lexical.rewrites("?!") == []
     low = planner.Budget(left=100)
     assert planner.plan("alpha", low).stages == ("FAST",)
     assert planner.plan("alpha", planner.Budget(), help_rate={"RERANK": 0.0}).stages == ("FAST", "FUSION")

@@ -4,14 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def min_max(score: Column, *by: str) -> Column:
-    """Score on [0, 1] within a partition; 1 where all are equal."""
-    w = Window.partitionBy(*by)
-    low, high = F.min(score).over(w), F.max(score).over(w)
+def min_max(score: Column, by: str, *more: str) -> Column:
+    """Score on [0, 1] within a partition; 1 where all are equal. Over all rows: with_bounds."""
+    w = Window.partitionBy(by, *more)
+    return between(score, F.min(score).over(w), F.max(score).over(w))
+
+
+def with_bounds(rows: DataFrame, **columns: str) -> DataFrame:
+    """rows with ``<name>_low`` and ``<name>_high``: least and greatest value of a column over all rows.
+
+    A one-row aggregate beside the rows, so that no task holds them all.
+    """
+    ends = [
+        f(c).alias(f"{name}_{end}") for name, c in columns.items() for end, f in (("low", F.min), ("high", F.max))
+    ]
+    return rows.join(F.broadcast(rows.agg(*ends)))  # one row
+
+
+def between(score: Column, low: Column, high: Column) -> Column:
+    """Score on [0, 1] between two bounds; 1 where they are equal."""
     return F.when(high == low, F.lit(1.0)).otherwise((score - low) / (high - low))
 
 

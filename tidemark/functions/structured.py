@@ -109,6 +109,21 @@ def frame_size(payload: Column) -> Column:
     return F.struct(width.alias("width"), height.alias("height"))
 
 
+def iso_time(value: Column) -> Column:
+    """A timestamp from ISO 8601 text; without a zone it is UTC, what doesn't parse is null."""
+    zoned = value.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$")
+    return F.when(zoned, value).otherwise(F.concat(value, F.lit("Z"))).try_cast("timestamp")
+
+
+def iso_text(when: Column) -> Column:
+    """ISO 8601 text of a timestamp in UTC, with microseconds where it has some."""
+    utc = F.to_utc_timestamp(when, F.current_timezone())
+    whole = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss")
+    part = F.pmod(F.unix_micros(when), F.lit(1_000_000))
+    digits = F.when(part > 0, F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0"))).otherwise(F.lit(""))
+    return F.concat(whole, digits, F.lit("+00:00"))
+
+
 #: Declared types and what they are here (a closed set).
 DTYPES = {"text": "string", "integer": "bigint", "real": "double", "blob": "binary", "json": "string"}
 

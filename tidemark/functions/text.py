@@ -78,10 +78,11 @@ def normalise_document(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, r"(?m)[ \t]+$", ""), r"^\s+|\s+$", "")
 
 
-def normalise_alias(text: Column) -> Column:
-    """Alias form: lower case, leet characters as letters, no punctuation, single spaces."""
-    plain = F.translate(F.lower(nfkc(text)), *LEET)
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{N}\s]", ""), r"\s+", " "))
+def normalise_title(title: Column, most: int | None = None) -> Column:
+    """A window title in index form, lower-cased, cut to ``most`` characters; blank titles are null."""
+    plain = F.lower(normalise_text(title))
+    cut = plain if most is None else F.trim(F.left(plain, F.lit(most)))
+    return F.nullif(cut, F.lit(""))
 
 
 def normalise_query(text: Column) -> Column:
@@ -169,22 +170,6 @@ def hmac_sha256(text: Column, secret: str) -> Column:
     return F.sha2(F.concat(F.lit(outer), first), 256)
 
 
-def pseudonym(text: Column, secret: str, prefix: str, length: int = 12) -> Column:
-    """A stable token that stands for a value."""
-    return F.concat(F.lit(prefix + "_"), F.substring(hmac_sha256(text, secret), 1, length))
-
-
-def pseudonymise_emails(text: Column, secret: str) -> Column:
-    """Every e-mail address replaced by its token; addresses are cut out and put back in order."""
-    pattern = PII_PATTERNS[0]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern)
-    tokens = F.transform(found, lambda x: pseudonym(F.lower(x), secret, "email"))
-    return F.array_join(
-        F.zip_with(between, tokens, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
-    )
-
-
 def url_identity(url: Column, process: Column | None = None, title: Column | None = None) -> Column:
     """Host (without www.) and first two path segments; otherwise process and title."""
     host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
@@ -216,11 +201,17 @@ ABBREVIATIONS = ("e.g.", "i.e.", "mr.", "mrs.", "ms.", "dr.", "vs.", "prof.", "s
 
 
 def sentences(text: Column) -> Column:
-    """Sentences by end marks followed by white space, unless an abbreviation ends there."""
+    """Sentences by end marks followed by white space, unless the text so far ends like an abbreviation.
+
+    An abbreviation counts at the end of a longer word too.
+    """
     short = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-    marked = F.regexp_replace(F.trim(text), r"([.!?])\s+", "$1\u0001")
-    marked = F.regexp_replace(marked, rf"(?i)\b({short})\x01", "$1 ")
-    return F.filter(F.split(marked, "\u0001"), lambda x: F.trim(x) != "")
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    # White space that ends a sentence begins with a mark of its own; that of an abbreviation loses it again.
+    marked = F.regexp_replace(plain, r"(?U)([.!?])(\s+)", "$1\u0001$2")
+    marked = F.regexp_replace(marked, rf"(?i)({short})\x01", "$1")
+    parts = F.transform(F.split(marked, "\u0001"), lambda x: F.regexp_replace(x, r"(?U)^\s+", ""))
+    return F.filter(parts, lambda x: x != "")
 
 
 #: A citation such as [E1], [E1:L2-L3] or the same in lenticular brackets (fixed value).

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.operators.folds import fold_in_order
 
 
 def orphans(children: Mapping[str, tuple[DataFrame, str]], parents: DataFrame, parent_key: str) -> DataFrame:
@@ -49,21 +51,17 @@ def audit_summary(requests: DataFrame, key: str, children: Mapping[str, tuple[Da
 def chain(entries: DataFrame, by: str, payload: Column, *order: str) -> DataFrame:
     """entries with ``prev_hash`` and ``entry_hash``; each hash covers the one before in its key.
 
-    The fold is over one key's entries in order, within one row's array.
+    A key's entries go through in order with the last hash carried on.
     """
-    packed = F.sort_array(F.collect_list(F.struct(*order, payload.alias("_p"), F.struct(*entries.columns).alias("_row"))))
-    grouped = entries.groupBy(F.col(by).alias("_by")).agg(packed.alias("all"))
-    empty = F.array().cast("array<string>")
-    hashes = F.aggregate(
-        "all",
-        empty,
-        lambda s, x: F.concat(
-            s, F.array(F.sha2(F.concat(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit("")), x["_p"]), 256))
-        ),
-    )
-    each = grouped.withColumn("hashes", hashes).select(F.posexplode(F.arrays_zip("all", "hashes")).alias("i", "z"), "hashes")
-    previous = F.when(F.col("i") > 0, F.element_at("hashes", F.greatest(F.col("i"), F.lit(1)))).otherwise(F.lit(""))
-    return each.select("z.all._row.*", previous.alias("prev_hash"), F.col("z.hashes").alias("entry_hash"))
+
+    def step(held: str, group: tuple, row: dict) -> tuple:
+        digest = hashlib.sha256((held + (row["_payload"] or "")).encode()).hexdigest()
+        return digest, f"{held}:{digest}"
+
+    packed = entries.withColumn("_payload", payload)
+    both = fold_in_order(packed, [by], list(order), step, "_both", "string", start="")
+    halves = F.split("_both", ":")
+    return both.select(*entries.columns, halves[0].alias("prev_hash"), halves[1].alias("entry_hash"))
 
 
 def verify_chain(entries: DataFrame, by: str, payload: Column, *order: str) -> DataFrame:
@@ -85,7 +83,7 @@ STATED = (
 
 
 def stated_values(rows: DataFrame, column: str, *keep: str) -> DataFrame:
-    """``(keep, field, value)`` of everything that texts state about the known fields."""
+    """``(keep, field, value)`` of everything that texts state about the known fields; values without commas, lower-cased."""
     found = F.array(
         *(
             F.struct(F.lit(name).alias("field"), F.regexp_extract_all(F.col(column), F.lit(p), F.lit(2)).alias("values"))
@@ -93,30 +91,93 @@ def stated_values(rows: DataFrame, column: str, *keep: str) -> DataFrame:
         )
     )
     each = rows.select(*keep, F.inline(found)).select(*keep, "field", F.explode("values").alias("value"))
-    return each.withColumn("value", F.lower(F.regexp_replace("value", r"[,.]+$", ""))).where("value <> ''")
+    return each.withColumn("value", F.lower(F.trim(F.regexp_replace("value", ",", ""))))
 
 
-def conflicts(values: DataFrame, ts: str) -> DataFrame:
-    """``(field, n_values, changed, conflict)``: different values at one time conflict, over time they change."""
-    per_time = values.groupBy("field", ts).agg(F.count_distinct("value").alias("n"))
-    at_once = per_time.groupBy("field").agg(F.max("n").alias("at_once"))
-    whole = values.groupBy("field").agg(F.count_distinct("value").alias("n_values"))
-    return whole.join(at_once, "field").select(
-        "field", "n_values",
-        ((F.col("n_values") > 1) & (F.col("at_once") == 1)).alias("changed"), (F.col("at_once") > 1).alias("conflict"),
-    )
+def conflicts(evidence: DataFrame, by: str, ts: str, column: str) -> DataFrame:
+    """``(by, fields, conflict, changed)`` of each set of evidence texts.
+
+    ``fields`` are those with two or more different values. Such values conflict if
+    all evidence of the set has one time, whatever it states; else they changed.
+    """
+    counts = stated_values(evidence, column, by).groupBy(by, "field").agg(F.count_distinct("value").alias("n"))
+    several = counts.where("n >= 2").groupBy(by).agg(F.array_sort(F.collect_list("field")).alias("fields"))
+    times = evidence.groupBy(by).agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
+    some = F.col("fields").isNotNull()
+    return times.join(several, by, "left").select(
+        by,
+        F.coalesce("fields", F.array().cast("array<string>")).alias("fields"),
+        (some & F.col("first").eqNullSafe(F.col("last"))).alias("conflict"),
+        (some & ~F.col("first").eqNullSafe(F.col("last"))).alias("changed"),
+    )
+
+
+#: A sentence that says that there is nothing to cite (fixed values).
+META = ("no evidence", "not enough evidence")
 
 
-def coverage(answer: Column) -> Column:
-    """Share of sentences with a citation; 0 without sentences.
+def cited_sentences(answer: Column, known: Column) -> Column:
+    """``array<struct<text, citations>>``: an answer's sentences with the known evidence ids that each cites.
 
-    A sentence is one that ends in a mark; citations that follow it belong to it.
+    Citations that begin a sentence belong to the one before if that has none; a sentence
+    of nothing but citations is merged into the one before.
     """
-    parts = text.sentences(F.regexp_replace(answer, r"([.!?])\s*((?:(?:\[|【)E\d+(?::L\d+-L\d+)?(?:\]|】)\s*)+)", " $2$1 "))
-    cited = F.filter(parts, lambda s: F.size(text.citations(s)) > 0)
+    known_of = lambda s: F.array_distinct(F.filter(text.citations(s), lambda c: F.array_contains(known, c)))
+    each = F.transform(text.sentences(answer), lambda s: F.struct(s.alias("text"), known_of(s).alias("citations")))
+    none = F.slice(each, 1, 0)
+    before = lambda done: F.slice(done, 1, F.size(done) - 1)
+    one = lambda t, c: F.array(F.struct(t.alias("text"), c.alias("citations")))
+
+    def carry(done: Column, x: Column) -> Column:
+        lead = known_of(F.regexp_extract(x["text"], r"^\s*(?:" + text.CITATION + r"\s*)+", 0))
+        last = F.try_element_at(done, F.lit(-1))
+        moved = F.concat(
+            before(done), one(last["text"], lead), one(x["text"], F.array_except(x["citations"], lead))
+        )
+        free = (F.size(done) > 0) & (F.size(lead) > 0) & (F.size(last["citations"]) == 0)
+        return F.when(free, moved).otherwise(F.concat(done, F.array(x)))
+
+    def merge(done: Column, x: Column) -> Column:
+        only = F.trim(F.regexp_replace(x["text"], text.CITATION, "")) == ""
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.concat(before(done), one(last["text"], F.array_union(last["citations"], x["citations"])))
+        return F.when((F.size(done) > 0) & only, joined).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.aggregate(each, none, carry), none, merge)
+
+
+def coverage(answer: Column, known: Column, meta_counts: bool = True) -> Column:
+    """Share of an answer's sentences that cite known evidence; 0 without sentences.
+
+    With ``meta_counts`` False sentences that say there is no evidence are left out.
+    """
+    parts = cited_sentences(answer, known)
+    if not meta_counts:
+        meta = lambda s: F.lower(s["text"]).rlike("|".join(META))
+        parts = F.filter(parts, lambda s: ~meta(s))
+    cited = F.filter(parts, lambda s: F.size(s["citations"]) > 0)
     return F.when(F.size(parts) > 0, F.size(cited) / F.size(parts)).otherwise(F.lit(0.0))
 
 
+def claim_errors(claims: Column, known: Column, tokens: Column) -> Column:
+    """What a rule-based verifier finds wrong with ``array<struct<evidence_ids, entity_tokens>>``, in order."""
+
+    def of(c: Column, i: Column) -> Column:
+        name = F.concat(F.lit("Claim "), (i + 1).cast("string"))
+        wrong = F.array_compact(
+            F.array(
+                F.when(F.size(F.array_except(c["evidence_ids"], known)) > 0, F.concat(name, F.lit(" references unknown evidence"))),
+                F.when(
+                    F.size(F.array_except(c["entity_tokens"], tokens)) > 0,
+                    F.concat(name, F.lit(" references unknown entity tokens")),
+                ),
+            )
+        )
+        return F.when(F.size(c["evidence_ids"]) <= 0, F.array(F.concat(name, F.lit(" missing evidence IDs")))).otherwise(wrong)
+
+    return F.flatten(F.transform(claims, of))
+
+
 def entailed(claim: Column, evidence: Column) -> Column:
     """Whether every number of a claim occurs in its evidence."""
     numbers = lambda c: F.regexp_extract_all(c, F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
@@ -124,12 +185,14 @@ def entailed(claim: Column, evidence: Column) -> Column:
 
 
 def answer_mode(conflict: Column, blocked: Column, share: Column, none: float = 0.2, least: float = 0.6) -> Column:
-    """Mode of an answer; conflict comes before blocking, and that before missing evidence."""
+    """Mode of an answer; conflict comes before blocking, and that before missing evidence.
+
+    Below ``none`` the answer counts as without evidence, below ``least`` as not enough of it: one mode for both.
+    """
     return (
         F.when(conflict, "CONFLICT")
         .when(blocked, "BLOCKED")
-        .when(share < none, "NO_EVIDENCE")
-        .when(share < least, "NO_EVIDENCE")
+        .when(share < max(none, least), "NO_EVIDENCE")
         .otherwise("NORMAL")
     )
 
@@ -151,6 +214,33 @@ def retrieval_metrics(results: DataFrame, expected: DataFrame, query: str, item:
     )
 
 
+#: Metrics of an evaluation, and whether the least or the greatest of repeats is the worst (fixed values).
+METRICS = {"citation_coverage": "min", "verifier_pass_rate": "min", "refusal_rate": "max", "mean_latency_ms": "max"}
+
+
+def eval_metrics(cases: DataFrame, *by: str) -> DataFrame:
+    """``(by, METRICS)`` of evaluated cases ``(cited, verified, refused, ms)``."""
+    share = lambda c: F.round(F.avg(F.col(c).cast("double")), 6)
+    return cases.groupBy(*by).agg(
+        share("cited").alias("citation_coverage"), share("verified").alias("verifier_pass_rate"),
+        share("refused").alias("refusal_rate"), F.round(F.avg("ms"), 6).alias("mean_latency_ms"),
+    )
+
+
+def over_repeats(metrics: DataFrame, mode: str, *by: str) -> DataFrame:
+    """METRICS of repeated evaluations: their means, or the worst of each."""
+    if mode not in ("mean", "worst_case"):
+        raise ValueError(f"unknown mode {mode!r}")
+    worst = {"min": F.min, "max": F.max}
+    of = (lambda name, end: F.round(F.avg(name), 6)) if mode == "mean" else (lambda name, end: worst[end](name))
+    return metrics.groupBy(*by).agg(*(of(name, end).alias(name) for name, end in METRICS.items()))
+
+
+def within_latency(elapsed_ms: Column, budget_ms: float, slow_machine: bool = False) -> Column:
+    """Whether a request kept to its budget: twice of it, three times on a slow machine (fixed values)."""
+    return elapsed_ms <= budget_ms * (3 if slow_machine else 2)
+
+
 def summary(rows: DataFrame, column: str, *by: str) -> DataFrame:
     """Least, median, 95th percentile (interpolated linearly) and greatest value."""
     out = rows.groupBy(*by).agg(
@@ -199,11 +289,13 @@ def change_ratio(old: DataFrame, new: DataFrame, item: str, n: int) -> DataFrame
 
 
 def gate(measured: DataFrame, baseline: DataFrame, on: str, percent: float, absolute: float) -> DataFrame:
-    """measured with ``delta`` and ``failed``: over the baseline by both tolerances."""
+    """measured with ``delta``, ``failed`` (over the baseline by both tolerances) and ``improved`` (below it)."""
     both = measured.join(baseline.select(on, F.col("value").alias("base")), on)
     delta = F.col("value") - F.col("base")
-    return both.withColumn("delta", delta).withColumn(
-        "failed", (delta > F.col("base") * percent / 100) & (delta > absolute)
+    return (
+        both.withColumn("delta", delta)
+        .withColumn("failed", (delta > F.col("base") * percent / 100) & (delta > absolute))
+        .withColumn("improved", delta < 0)
     )
 
 

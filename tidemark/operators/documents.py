@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
 
@@ -97,75 +95,40 @@ def layout_lines(spans: DataFrame, by: str, tolerance: float = 0.6) -> DataFrame
     before, going down, are one line; a line with wide gaps is a table row, one
     that begins with a bullet a list item, a tall one a heading.
     """
-    kind = spans.schema[by].dataType.simpleString()
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(c=(rows.y0 + rows.y1) / 2, h=rows.y1 - rows.y0).sort_values(["c", "x0"])
-        apart = rows.c.diff().fillna(0) > tolerance * rows.h
-        usual = rows.h.median()
-        out = []
-        for n, (_, line) in enumerate(rows.groupby(apart.cumsum())):
-            line = line.sort_values("x0")
-            gaps = line.x0.to_numpy()[1:] - line.x1.to_numpy()[:-1]
-            wide = (gaps > 2 * line.h.mean()).sum()
-            body = (" | " if wide >= 1 and len(line) > 2 else " ").join(line.word)
-            what = "table" if wide >= 1 and len(line) > 2 else "list" if re.match(r"[-*•]|\d+[.)]", body) else (
-                "heading" if line.h.mean() > 1.4 * usual else "text"
-            )
-            out.append((rows[by].iloc[0], n, body, what))
-        return pd.DataFrame(out, columns=[by, "line", "text", "kind"])
-
-    return spans.groupBy(by).applyInPandas(fold, f"`{by}` {kind}, line int, text string, kind string")
+    rows = spans.withColumn("c", (F.col("y0") + F.col("y1")) / 2).withColumn("h", (F.col("y1") - F.col("y0")).cast("double"))
+    down = Window.partitionBy(by).orderBy("c", "x0", "word")
+    apart = F.coalesce((F.col("c") - F.lag("c").over(down)) > tolerance * F.col("h"), F.lit(False)).cast("int")
+    rows = rows.withColumn("apart", apart)
+    rows = rows.withColumn("line", F.sum("apart").over(down.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    usual = rows.groupBy(by).agg(F.percentile("h", 0.5).alias("usual"))
+    lines = rows.groupBy(by, "line").agg(
+        F.array_sort(F.collect_list(F.struct("x0", "x1", "word"))).alias("words"), F.avg("h").alias("h")
+    )
+    words = F.transform("words", lambda w: w["word"])
+    gaps = F.zip_with(
+        F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))),
+        F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))),
+        lambda b, a: b["x0"] - a["x1"],
+    )
+    wide = F.exists(gaps, lambda g: g > 2 * F.col("h")) & (F.size("words") > 2)
+    body = F.when(wide, F.array_join(words, " | ")).otherwise(F.array_join(words, " "))
+    kind = (
+        F.when(wide, "table").when(body.rlike(r"^(?:[-*•]|\d+[.)])"), "list")
+        .when(F.col("h") > 1.4 * F.col("usual"), "heading").otherwise("text")
+    )
+    return lines.join(usual, by).select(by, "line", body.alias("text"), kind.alias("kind"))
+
+
+def layout_markdown(lines: DataFrame, by: str) -> DataFrame:
+    """``(by, markdown)`` of a page's lines: headings marked, table rows between bars, list items and text as they are."""
+    shown = F.when(F.col("kind") == "heading", F.concat(F.lit("## "), "text")).when(
+        F.col("kind") == "table", F.concat(F.lit("| "), "text", F.lit(" |"))
+    ).otherwise(F.col("text"))
+    listed = F.array_sort(F.collect_list(F.struct("line", shown.alias("s"))))
+    return lines.groupBy(by).agg(F.array_join(F.transform(listed, lambda x: x["s"]), "\n").alias("markdown"))
 
 
 def injection_report(docs: DataFrame, key: str, column: str) -> DataFrame:
     """``(key, risk, cleaned)``: the share of lines with injected instructions, and the text without them."""
     body = F.col(column)
     return docs.select(key, tx.injection_risk(body).alias("risk"), tx.without_injection(body).alias("cleaned"))
-
-
-# --- compact notation ----------------------------------------------------------------------------
-
-
-def encode_compact(value) -> str:
-    """JSON values with each list of like objects as one header and rows of values."""
-
-    def shrink(x):
-        if isinstance(x, list) and len(x) > 1 and all(isinstance(i, dict) and i for i in x):
-            names = list(x[0])
-            if all(list(i) == names for i in x):
-                return {"#": names, "=": [[shrink(i[n]) for n in names] for i in x]}
-        if isinstance(x, list):
-            return [shrink(i) for i in x]
-        if isinstance(x, dict):
-            return {("#" + k if k.startswith("#") or k == "=" else k): shrink(v) for k, v in x.items()}
-        return x
-
-    return json.dumps(shrink(value), separators=(",", ":"), ensure_ascii=False)
-
-
-def decode_compact(text: str):
-    """The value that encode_compact was given."""
-
-    def grow(x):
-        if isinstance(x, dict) and set(x) == {"#", "="} and isinstance(x["#"], list):
-            return [dict(zip(x["#"], map(grow, row))) for row in x["="]]
-        if isinstance(x, list):
-            return [grow(i) for i in x]
-        if isinstance(x, dict):
-            return {(k[1:] if k.startswith("#") else k): grow(v) for k, v in x.items()}
-        return x
-
-    return grow(json.loads(text))
-
-
-@F.pandas_udf(T.StringType())
-def compact(payload: pd.Series) -> pd.Series:
-    """JSON text in compact notation."""
-    return payload.map(lambda x: encode_compact(json.loads(x)), na_action="ignore")
-
-
-@F.pandas_udf(T.StringType())
-def expanded(payload: pd.Series) -> pd.Series:
-    """JSON text of a value in compact notation."""
-    return payload.map(lambda x: json.dumps(decode_compact(x), separators=(",", ":"), ensure_ascii=False), na_action="ignore")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
+from tidemark.operators.folds import fold_in_order
 
 # Half-lives in seconds, weights, quotas and bins of hotness.
 HALF_LIVES = {"fast": 3600.0, "mid": 21600.0, "warm": 86400.0, "cool": 604800.0}
@@ -78,21 +78,17 @@ def select_pins(pins: DataFrame, limits: Mapping[str, int], item: str) -> DataFr
 def rate_limited(touches: DataFrame, by: list[str], ts: str, seconds: float, key: str) -> DataFrame:
     """touches with ``accepted``: at least ``seconds`` after the last accepted one of its key.
 
-    Each decision hangs on the one before, so a key is folded in order.
+    Each decision hangs on the one before. A key's rows go through in order, batch by
+    batch, with the last accepted time carried on, so a key of any size takes no more
+    memory than a batch.
     """
-    order = [ts, key]
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        last, kept = None, []
-        for t in rows[ts]:
-            ok = last is None or (t - last).total_seconds() >= seconds
-            last = t if ok else last
-            kept.append(ok)
-        return rows.assign(accepted=kept)
+    def step(held, group: tuple, row: dict) -> tuple:
+        last = held
+        ok = last is None or (row[ts] - last).total_seconds() >= seconds
+        return (row[ts] if ok else last), ok
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in touches.schema) + ", accepted boolean"
-    return touches.groupBy(*by).applyInPandas(fold, schema)
+    return fold_in_order(touches, by, [ts, key], step, "accepted", "boolean")
 
 
 # Weights of memory ranking, and card types in order of preference.
@@ -103,29 +99,29 @@ TYPE_ORDER = ("decision", "procedure", "fact", "episodic", "glossary")
 
 def rank_memories(candidates: DataFrame, as_of: Column, key: str, when: str, rerank: Column | None = None) -> DataFrame:
     """candidates with ``score``: signals over their maxima, recency by half-life, importance and trust."""
-    whole = Window.partitionBy()
+    signals = ("semantic", "keyword", "graph")
+    bounded = scoring.with_bounds(candidates, **{f"_{n}": n for n in signals})
 
     def over_max(name: str) -> Column:
-        most = F.max(name).over(whole)
+        most = F.col(f"_{name}_high")
         return F.when(most > 0, F.col(name) / most).otherwise(F.lit(0.0))
 
     age = scoring.age_seconds(F.col(when), as_of) / 86400
-    parts = {n: over_max(n) for n in ("semantic", "keyword", "graph")}
+    parts = {n: over_max(n) for n in signals}
     parts["recency"] = F.pow(F.lit(2.0), -age / RECENCY_DAYS)
     parts |= {n: F.col(n).cast("double") for n in ("importance", "trust")}
     total = F.lit(0.0)
     for name, weight in RANKING.items():
         total = total + parts[name] * weight
-    out = candidates.withColumn("score", F.round(total, 6))
+    out = bounded.select(*candidates.columns, F.round(total, 6).alias("score"))
     if rerank is None:
         return out
-    w = Window.orderBy(F.desc("score"), key)
-    inside = out.withColumn("_n", F.row_number().over(w)).withColumn(
-        "_r", F.when(F.col("_n") <= RERANK_WINDOW, rerank).otherwise(F.lit(0.0))
-    )
-    most = F.max("_r").over(whole)
-    share = F.when(most > 0, F.col("_r") / most).otherwise(F.lit(0.0))
-    return inside.withColumn("score", F.round(F.col("score") + RERANK_WEIGHT * share, 6)).drop("_n", "_r")
+    # The window's rows are few, so they go to the others by a broadcast.
+    head = out.orderBy(F.desc("score"), key).limit(RERANK_WINDOW).select(key, rerank.alias("_r"))
+    most = head.agg(F.max("_r").alias("_most"))
+    joined = out.join(F.broadcast(head), key, "left").join(F.broadcast(most))
+    share = F.when(F.col("_most") > 0, F.coalesce("_r", F.lit(0.0)) / F.col("_most")).otherwise(F.lit(0.0))
+    return joined.withColumn("score", F.round(F.col("score") + RERANK_WEIGHT * share, 6)).drop("_r", "_most")
 
 
 def pack(
@@ -152,21 +148,71 @@ def pack(
     return taken.select(key, F.col("_at").alias("position"), F.col(tokens))
 
 
-def expand(edges: DataFrame, start: DataFrame, depth: int = 2, node: str = "node") -> DataFrame:
-    """``(node, depth)`` of all nodes within ``depth`` undirected steps of the start nodes.
+#: Nodes that an expansion visits at most (fixed value).
+MOST_NODES = 200
+
+
+def entity_ids(entities: DataFrame, namespace: str, names: Sequence[str]) -> DataFrame:
+    """``(node)`` of the entities of a namespace that have one of some names."""
+    hit = (F.col("namespace") == namespace) & F.col("name").isin(*names)
+    return entities.where(hit).select(F.col("entity_id").alias("node")).distinct()
+
 
-    One join per step; nodes seen before don't go on, so a step costs its frontier.
+def expand(edges: DataFrame, start: DataFrame, depth: int = 2, node: str = "node", most: int = MOST_NODES) -> DataFrame:
+    """``(node, depth)`` of what ``depth`` steps along edges ``(src, dst, relation, weight)`` reach.
+
+    Edges are followed from src to dst. A step visits new nodes by relation, falling
+    weight and id, and visiting ends at ``most`` nodes, start included; the node that
+    reaches the bound is still visited. So no step holds more than ``most`` new nodes.
     """
-    both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct()
     seen = start.select(F.col(node).alias("node")).distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    frontier = seen.select("node")
     for k in range(1, depth + 1):
-        step = frontier.join(both, frontier["node"] == both["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(k))
-        seen = seen.unionByName(frontier)
+        met = edges.join(frontier, edges["src"] == frontier["node"], "left_semi")
+        first = met.groupBy(F.col("dst").alias("node")).agg(
+            F.min(F.struct("relation", (-F.col("weight")).alias("minus"))).alias("o")
+        )
+        fresh = first.join(seen, "node", "left_anti").orderBy("o", "node").limit(most)
+        nth = F.row_number().over(Window.orderBy("o", "node"))  # of ``most`` rows
+        room = F.greatest(F.lit(most) - F.count("*"), F.lit(1)).alias("room")
+        # Once the bound is reached no step goes on.
+        full = F.when(F.count("*") < most, F.lit(True)).otherwise(F.lit(k == 1)).alias("open")
+        fresh = fresh.withColumn("n", nth).join(F.broadcast(seen.agg(room, full))).where("open and n <= room")
+        step = fresh.select("node", F.lit(k).alias("depth"))
+        frontier = step.select("node")
+        seen = seen.unionByName(step)
     return seen
 
 
+def keyword_fallback(items: DataFrame, query: str, key: str, content: str, limit: int) -> DataFrame:
+    """``(key, score)``: how many of a query's words occur in an item's text, best first; at least one."""
+    words = [w.lower() for w in query.split()]
+    low = F.lower(F.coalesce(content, F.lit("")))
+    score = F.lit(0.0)
+    for word in words:
+        score = score + F.contains(low, F.lit(word)).cast("double")
+    return items.select(key, score.alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(limit)
+
+
+def gather(signals: Mapping[str, tuple[DataFrame, str]], key: str) -> DataFrame:
+    """``(key, <signal> ..., reasons)`` of candidates of any signal: each signal's best score and why it was found.
+
+    Signals are ``name: ((key, score) rows, reason)``; one shuffle serves all of them.
+    """
+    rows = None
+    for name, (hits, reason) in signals.items():
+        one = hits.select(key, F.lit(name).alias("signal"), F.col("score").cast("double").alias("score"), F.lit(reason).alias("reason"))
+        rows = one if rows is None else rows.unionByName(one)
+    best = (F.coalesce(F.max(F.when(F.col("signal") == n, F.col("score"))), F.lit(0.0)).alias(n) for n in signals)
+    return rows.groupBy(key).agg(*best, F.array_sort(F.collect_set("reason")).alias("reasons"))
+
+
+def linked_items(links: DataFrame, items: DataFrame, nodes: DataFrame, item: str) -> DataFrame:
+    """``(item, score)`` of items that any of some nodes is linked with, each once, score 1."""
+    met = links.join(nodes, links["entity_id"] == nodes["node"], "left_semi").select(item).distinct()
+    return items.join(met, item, "left_semi").select(item, F.lit(1.0).alias("score"))
+
+
 def policy_filter(
     rows: DataFrame, as_of: Column, statuses: Sequence[str], most_sensitive: int, audiences: Sequence[str]
 ) -> DataFrame:
@@ -183,10 +229,10 @@ def policy_filter(
 
 def span_query(hits: DataFrame, as_of_newest: str, key: str, content: str, k: int = 8) -> DataFrame:
     """Memory span search: lexical score mixed with age against the newest hit, one row per content."""
-    newest = F.max(as_of_newest).over(Window.partitionBy())
-    age = (F.unix_micros(newest) - F.unix_micros(as_of_newest)) / 1e6 / 86400
+    newest = scoring.with_bounds(hits, _at=as_of_newest)
+    age = (F.unix_micros("_at_high") - F.unix_micros(as_of_newest)) / 1e6 / 86400
     score = F.round(0.85 * F.col("lexical") + 0.15 * F.pow(F.lit(2.0), -age / 30), 6)
-    scored = hits.withColumn("score", score)
+    scored = newest.withColumn("score", score).drop("_at_low", "_at_high")
     w = Window.partitionBy(content).orderBy(F.desc("score"), key)
     once = scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     return once.orderBy(F.desc("score"), key).limit(min(k, 24))

@@ -4,60 +4,117 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring, text
+from tidemark.operators.folds import fold_in_order
 
-# Key words of preferences, and patterns of statements about persons.
-PREFERENCE_WORDS = ("preference", "preferences", "likes", "dislikes", "favorite")
+# Words that mark preferences, and patterns of statements about persons.
+PREFERENCE_WORDS = (
+    "preference", "preferences", "likes", "dislikes", "favorite", "favourite", "user_profile", "user_preferences",
+)
 PERSON_PATTERNS = (
     r"\b(?:employee|person|user|owner|manager|lead|contact)\s*:\s*[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}\b",
     r"\b(?:mr|ms|mrs|dr)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}\b",
 )
+PERSON_KINDS = ("person", "user", "individual", "employee")
 SENSITIVITY = ("low", "medium", "high")
 
 
-def proposal_reasons(
-    body: Column, key: Column, sensitivity: Column, audiences: Column, allowed: Sequence[str], most: str = "medium"
-) -> Column:
-    """Why a proposed memory is refused, in order; empty when it isn't."""
-    rank = F.array_position(F.array(*map(F.lit, SENSITIVITY)), sensitivity)
-    secrets = [p for p, _ in text.SECRET_PATTERNS]
+def _caseless(patterns: Sequence[str]) -> list[str]:
+    return ["(?i)" + p.removeprefix("(?i)") for p in patterns]
+
+
+def _allowed(audiences: Column, allowed: Sequence[str]) -> Column:
+    """Whether any audience is allowed, without regard to case; none is allowed where there are none."""
+    low = F.transform(F.coalesce(audiences, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)))
+    return F.arrays_overlap(low, F.array(*(F.lit(a.strip().lower()) for a in allowed)))
+
+
+def query_policy_reasons(sensitivity: Column, audiences: Column, allowed: Sequence[str]) -> Column:
+    """Why a reader's policy is refused, in order: no audience, unknown sensitivity, audience not allowed."""
+    return F.array_compact(F.array(*_policy_checks(sensitivity, audiences, allowed)))
+
+
+def _policy_checks(sensitivity: Column, audiences: Column, allowed: Sequence[str]) -> list[Column]:
     checks = {
-        "empty": F.trim(F.coalesce(body, F.lit(""))) == "",
-        "pii": text.has_any(body, text.PII_PATTERNS),
-        "secret": text.has_any(body, secrets),
-        "person": text.has_any(body, PERSON_PATTERNS),
-        "preference": F.coalesce(F.lower(key).isin(*PREFERENCE_WORDS), F.lit(False)),
-        "no_audience": F.coalesce(F.size(audiences) == 0, F.lit(True)),
-        "audience": F.coalesce(F.size(F.array_except(audiences, F.array(*map(F.lit, allowed)))) > 0, F.lit(False)),
-        "unknown_sensitivity": F.coalesce(rank == 0, F.lit(True)),
-        "sensitivity": F.coalesce(rank > SENSITIVITY.index(most) + 1, F.lit(False)),
+        "policy_audience_missing": F.coalesce(F.size(audiences) <= 0, F.lit(True)),
+        "policy_sensitivity_invalid": ~F.coalesce(sensitivity.isin(*SENSITIVITY), F.lit(False)),
+        "policy_audience_blocked": ~F.coalesce(_allowed(audiences, allowed), F.lit(False)),
     }
-    return F.array_compact(F.array(*(F.when(failed, F.lit(name)) for name, failed in checks.items())))
+    return [F.when(failed, F.lit(name)) for name, failed in checks.items()]
 
 
-def artifact_decision(labels: Column, body: Column, blocked: Sequence[str], exclude: Sequence[str], redact: Sequence[str]) -> Column:
-    """exclude, redact or allow: blocked labels and excluding patterns come first."""
-    hit = F.arrays_overlap(labels, F.array(*map(F.lit, blocked))) if blocked else F.lit(False)
-    return (
-        F.when(F.coalesce(hit, F.lit(False)) | text.has_any(body, exclude), "exclude")
-        .when(text.has_any(body, redact), "redact")
-        .otherwise("allow")
+def proposal_reasons(
+    body: Column, keys: Column, kinds: Column, sensitivity: Column, audiences: Column, allowed: Sequence[str],
+    has_policy: Column | None = None,
+) -> Column:
+    """Why a proposed memory is refused, in order; empty when it isn't.
+
+    ``keys`` are the keys of its JSON content at any depth, ``kinds`` those of its
+    entities. Without content, or without a policy, that is the only reason.
+    """
+    checks = _policy_checks(sensitivity, audiences, allowed)
+    plain = F.trim(F.regexp_replace(F.coalesce(body, F.lit("")), r"(?U)\s+", " "))
+    lower = F.lower(plain)
+    wordy = F.lit(False)
+    for word in PREFERENCE_WORDS:
+        wordy = wordy | F.contains(lower, F.lit(word))
+    listed = lambda x, known: F.coalesce(F.exists(x, lambda v: F.lower(F.trim(v)).isin(*known)), F.lit(False))
+    found = {
+        "policy_pii_detected": text.has_any(body, _caseless(text.PII_PATTERNS)),
+        "policy_secret_detected": text.has_any(body, _caseless([p for p, _ in text.SECRET_PATTERNS])),
+        "policy_person_entity_detected": listed(kinds, PERSON_KINDS),
+        "policy_person_text_detected": text.has_any(plain, _caseless(PERSON_PATTERNS)),
+        "policy_preference_detected": wordy | listed(keys, PREFERENCE_WORDS),
+    }
+    every = F.array_compact(F.array(*checks, *(F.when(hit, F.lit(name)) for name, hit in found.items())))
+    out = F.when(F.trim(F.coalesce(body, F.lit(""))) == "", F.array(F.lit("content_empty")))
+    if has_policy is not None:
+        out = out.when(~has_policy, F.array(F.lit("policy_missing")))
+    return out.otherwise(every)
+
+
+def artifact_decision(
+    body: Column, exclude: Sequence[str], redact: Sequence[str], labels: Column | None = None, blocked: Sequence[str] = ()
+) -> Column:
+    """``struct(action, reason)``: blocked labels, then excluding, then redacting patterns; case doesn't count.
+
+    Without labels it is the decision on a span.
+    """
+    out = F.when(text.has_any(body, _caseless(exclude)), _decision("exclude", "exclude_pattern"))
+    if labels is not None and blocked:
+        low = F.transform(labels, lambda x: F.lower(F.trim(x)))
+        hit = F.arrays_overlap(low, F.array(*(F.lit(b.strip().lower()) for b in blocked)))
+        out = F.when(F.coalesce(hit, F.lit(False)), _decision("exclude", "blocked_labels")).when(
+            text.has_any(body, _caseless(exclude)), _decision("exclude", "exclude_pattern")
+        )
+    return out.when(text.has_any(body, _caseless(redact)), _decision("redact", "redact_pattern")).otherwise(
+        _decision("allow", None)
     )
 
 
+def _decision(action: str, reason: str | None) -> Column:
+    return F.struct(F.lit(action).alias("action"), F.lit(reason).cast("string").alias("reason"))
+
+
+def denied_process(process: Column, processes: Sequence[str]) -> Column:
+    """Whether a process is on a list, without regard to case and blanks around it; a blank name isn't."""
+    known = [p.strip().lower() for p in processes if p and p.strip()]
+    return F.coalesce(F.lower(F.trim(process)).isin(*known), F.lit(False)) if known else F.lit(False)
+
+
 def capture_skipped(
-    paused: Column, process: Column, title: Column, processes: Sequence[str], titles: Sequence[str]
-) -> Column:
-    """Why a capture is skipped, null when it isn't."""
-    name = F.lower(process)
+    paused: Column, monitor: Column, process: Column, title: Column, monitors: Sequence[str], processes: Sequence[str],
+    titles: Sequence[str],
+) -> Column:
+    """Why a capture is skipped, null when it isn't: paused, its monitor, its process, its title (by pattern)."""
     return (
         F.when(paused, "paused")
-        .when(F.coalesce(name.isin(*[p.lower() for p in processes]), F.lit(False)), "process")
-        .when(text.has_any(title, [f"(?i){t}" for t in titles]), "title")
+        .when(F.coalesce(monitor.isin(*monitors), F.lit(False)), "monitor")
+        .when(denied_process(process, processes), "process")
+        .when(text.has_any(title, titles), "title")
     )
 
 
@@ -108,7 +165,9 @@ def scout(items: DataFrame, value: str, title: str, keywords: Sequence[str], *ti
         for part in parts:
             each = each & F.exists(words, _starts(part))
         hit = hit | F.contains(low, F.lit(keyword.lower())) | each
-    scored = items.where(hit).withColumn("score", F.round(scoring.min_max(F.col(value)), 6))
+    bounded = scoring.with_bounds(items.where(hit), _value=value)
+    score = F.round(scoring.between(F.col(value), F.col("_value_low"), F.col("_value_high")), 6)
+    scored = bounded.select(*items.columns, score.alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *ties)))
 
 
@@ -117,26 +176,31 @@ def _starts(part: str):
 
 
 def frame_duplicates(
-    frames: DataFrame, by: str, ts: str, bits: str, window_seconds: float = 10, fraction: float = 0.02, most: int = 16
-) -> DataFrame:
+    frames: DataFrame, by: str, ts: str, bits: str, pixels: str | None = None, window_seconds: float = 10,
+    fraction: float = 0.02, error: float = 2.5, most: int = 16, key: str | None = None,
+) -> DataFrame:
     """frames with ``duplicate``: like one of the last ``most`` distinct frames within a time.
 
     ``bits`` is a 64-bit hash; frames are alike if at most ``fraction`` of the bits
-    differ. Duplicates aren't remembered, so decisions hang on earlier ones and a
-    key is folded in order.
+    differ and, where ``pixels`` names a small grey image (an array of numbers), its mean
+    absolute error is at most ``error``. Duplicates aren't remembered, so decisions hang
+    on earlier ones; a key goes through in order with ``most`` frames carried on.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([ts, bits])
-        held: list = []
-        out = []
-        for t, b in zip(rows[ts], rows[bits]):
-            held = [h for h in held if (t - h[0]).total_seconds() <= window_seconds][-most:]
-            same = any(((int(b) ^ int(h[1])) & (1 << 64) - 1).bit_count() <= 64 * fraction for h in held)
-            out.append(same)
-            if not same:
-                held.append((t, b))
-        return rows.assign(duplicate=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema) + ", duplicate boolean"
-    return frames.groupBy(by).applyInPandas(fold, schema)
+    def alike(row: dict, other: tuple) -> bool:
+        differ = ((int(row[bits]) ^ int(other[1])) & (1 << 64) - 1).bit_count()
+        if differ > 64 * fraction:
+            return False
+        if pixels is None:
+            return True
+        a, b = row[pixels], other[2]
+        return len(a) == len(b) and sum(abs(x - y) for x, y in zip(a, b)) <= error * max(1, len(a))
+
+    def step(held: tuple, group: tuple, row: dict) -> tuple:
+        near = tuple(h for h in held if (row[ts] - h[0]).total_seconds() <= window_seconds)[-most:]
+        same = any(alike(row, h) for h in near)
+        if not same:
+            near = (*near, (row[ts], row[bits], None if pixels is None else row[pixels]))
+        return near, same
+
+    return fold_in_order(frames, [by], [ts, key or bits], step, "duplicate", "boolean", start=())

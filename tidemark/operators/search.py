@@ -17,6 +17,11 @@ def knn(rows: DataFrame, query: Sequence[float], k: int, key: str, vector: str,
     return rows.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def candidate_cap(k: int, k_filtered: bool = False) -> int:
+    """How many candidates an index scores for k results: 20 for each, 200 to 5000; with filters k, 50 at least (fixed values)."""
+    return max(k, 100, 50) if k_filtered else min(max(20 * k, 200), 5000)
+
+
 def lsh_index(rows: DataFrame, key: str, vector: str, dim: int, bits: int = 63, bucket_bits: int = 16) -> DataFrame:
     """``(key, vector, norm, signature, bucket)``; written partitioned by bucket, a search reads one bucket."""
     planes = vectors.hyperplanes(dim, bits)
@@ -42,8 +47,9 @@ def lsh_knn(
     """kNN within the query's bucket; if that holds fewer than k rows, over all rows instead.
 
     ``cap`` limits candidates by id before scoring, as an index with such a limit
-    does; None scores all. The choice is part of the plan, so nothing is counted
-    on the driver.
+    does; None scores all. The bucket's rows are counted first (k of them at most),
+    so that only one of the two is read: with an index that is written partitioned by
+    bucket that is one folder.
     """
     planes = vectors.hyperplanes(len(query), bits)
     bucket = python_signature(query, planes) & ((1 << bucket_bits) - 1)
@@ -53,13 +59,8 @@ def lsh_knn(
         rows = rows if cap is None else rows.orderBy(key).limit(cap)
         return rows.select(key, score).orderBy(F.desc("score"), key).limit(k)
 
-    near = best(index.where(F.col("bucket") == bucket))
-    enough = near.agg((F.count("*") >= k).alias("enough"))
-    wide = best(index)
-    return (
-        near.join(F.broadcast(enough)).where("enough").drop("enough")
-        .unionByName(wide.join(F.broadcast(enough)).where("not enough").drop("enough"))
-    )
+    near = index.where(F.col("bucket") == bucket)
+    return best(near if near.limit(k).count() >= k else index)
 
 
 def sparse_rows(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -103,16 +104,20 @@ def assemble(signals: Mapping[str, DataFrame], key: str) -> DataFrame:
 
 def hybrid(candidates: DataFrame, as_of: Column | None = None, when: str | None = None) -> DataFrame:
     """candidates with ``score``: normalised lexical and dense, sparse, late and recency by weight (fixed values)."""
-    parts = {
-        "lexical": (scoring.min_max(F.col("lexical")), 0.4),
-        "dense": (scoring.min_max(F.col("dense")), 0.4),
-    }
+    signals = [n for n in ("lexical", "dense", "sparse", "late") if n in candidates.columns]
+    bounded = scoring.with_bounds(candidates, **{f"_{n}": n for n in signals})
+
+    def normal(name: str) -> Column:
+        return scoring.between(F.col(name), F.col(f"_{name}_low"), F.col(f"_{name}_high"))
+
+    parts = {"lexical": (normal("lexical"), 0.4), "dense": (normal("dense"), 0.4)}
     for name, weight in (("sparse", 0.15), ("late", 0.1)):
-        if name in candidates.columns:
-            parts[name] = (F.when(F.col(name) > 0, scoring.min_max(F.col(name))).otherwise(0.0), weight)
+        if name in signals:
+            parts[name] = (F.when(F.col(name) > 0, normal(name)).otherwise(0.0), weight)
     if when is not None:
         parts["recency"] = (scoring.recency(F.col(when), as_of), 0.1)
-    return candidates.withColumn("score", F.round(scoring.weighted(parts, optional=("sparse", "late")), 6))
+    score = F.round(scoring.weighted(parts, optional=("sparse", "late")), 6)
+    return bounded.select(*candidates.columns, score.alias("score"))
 
 
 def ranked(rows: DataFrame, key: str, score: str = "score") -> DataFrame:
@@ -172,8 +177,9 @@ def rerank_head(rows: DataFrame, score: Column, head: int, key: str) -> DataFram
 
 def late_rerank(rows: DataFrame, late: DataFrame, key: str, weight: float = 0.2) -> DataFrame:
     """Scores mixed with normalised late scores; of several late scores of a key the lowest counts."""
-    lowest = late.groupBy(key).agg(F.min("score").alias("late"))
-    lowest = lowest.withColumn("late", scoring.min_max(F.col("late")))
+    lowest = scoring.with_bounds(late.groupBy(key).agg(F.min("score").alias("late")), _late="late")
+    normal = scoring.between(F.col("late"), F.col("_late_low"), F.col("_late_high"))
+    lowest = lowest.select(key, normal.alias("late"))
     joined = rows.join(lowest, key, "left").withColumn("late", F.coalesce("late", F.lit(0.0)))
     return joined.withColumn("score", F.round(F.col("score") * (1 - weight) + F.col("late") * weight, 6))
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import policy
+from tidemark.operators.folds import fold_in_order
+from tidemark.operators.memory import rate_limited
 from tidemark.operators.search import jaccard
 
 
@@ -95,16 +100,62 @@ def changes(rows: DataFrame, by: str, ts: str, key: str, value: str) -> DataFram
     return seen.where(F.col("old").isNotNull() & (F.col("old") != F.col("new")))
 
 
-def input_buckets(rows: DataFrame, by: str, ts: str, key: str, kind: str, flush_seconds: float, idle_seconds: float) -> DataFrame:
-    """Buckets of input within sessions: counts by kind, flushed by age from a session's start.
+#: Counters of an input bucket (fixed names).
+COUNTERS = (
+    "keyboard_events", "mouse_left_clicks", "mouse_right_clicks", "mouse_middle_clicks", "mouse_wheel_events",
+    "mouse_wheel_delta", "mouse_move_dx", "mouse_move_dy",
+)
+
+
+def input_buckets(
+    rows: DataFrame, by: str, ts: str, key: str, device: str, flush_seconds: float, idle_seconds: float, movement: bool = True
+) -> DataFrame:
+    """``(by, session, bucket, ts_start, ts_end, n, COUNTERS)`` of input events and changes of the foreground.
 
-    The batch form of the streaming aggregator: a session closes when it was idle
-    for ``idle_seconds``, and a bucket is a span of ``flush_seconds`` from its start.
+    ``device`` is keyboard, mouse or foreground; rows have the COUNTERS (null: 0; a keyboard
+    row counts once at least). A bucket is flushed once ``flush_seconds`` have passed
+    since it began, by any mouse row once it holds something, and by a foreground row; a
+    session ends when nothing came for ``idle_seconds``. Foreground rows are in no bucket.
     """
-    own = gap_sessions(rows, by, ts, key, idle_seconds)
-    start = F.min(ts).over(Window.partitionBy(by, "session"))
-    nth = F.floor((F.unix_micros(ts) - F.unix_micros(start)) / (flush_seconds * 1e6))
-    return own.withColumn("bucket", nth).groupBy(by, "session", "bucket").agg(
-        F.min(ts).alias("ts_start"), F.max(ts).alias("ts_end"), F.count("*").alias("n"),
-        F.count_if(F.col(kind) == "click").alias("clicks"), F.count_if(F.col(kind) == "view").alias("views"),
-    )
+    shown = [c for c in COUNTERS if movement or not c.startswith("mouse_move")]
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") if c in rows.columns else F.lit(0).cast("long") for c in COUNTERS})
+    typed = F.when(F.col(device) == "keyboard", F.greatest("keyboard_events", F.lit(1))).otherwise(F.lit(0))
+    rows = rows.withColumn("keyboard_events", typed.cast("long"))
+    millis = lambda t: int(t.timestamp() * 1000 + 0.5)
+
+    def step(held: tuple, group: tuple, row: dict) -> tuple:
+        session, bucket, last, start, content = held
+        now = millis(row[ts])
+        if last is not None and now - last >= idle_seconds * 1000:
+            session, bucket, last, start, content = session + 1, bucket + (start is not None), None, None, False
+        if row[device] == "foreground":
+            return (session, bucket + (start is not None), last, None, False), None
+        if start is None:
+            start, content = now, False
+        own = f"{session}:{bucket}"
+        content = content or any(row[c] for c in shown)
+        done = now - start >= flush_seconds * 1000 or (row[device] == "mouse" and content)
+        if done:
+            return (session, bucket + 1, now, None, False), own
+        return (session, bucket, now, start, content), own
+
+    placed = fold_in_order(rows.select(by, ts, key, device, *COUNTERS), [by], [ts, key], step, "_at", "string", (0, 0, None, None, False))
+    inside = placed.where("_at is not null")
+    at = F.split("_at", ":")
+    return inside.groupBy(by, at[0].cast("long").alias("session"), at[1].cast("long").alias("bucket")).agg(
+        F.min(ts).alias("ts_start"), F.max(ts).alias("ts_end"), F.count("*").alias("n"), *(F.sum(c).alias(c) for c in shown)
+    )
+
+
+def input_activity(rows: DataFrame, by: str, ts: str, key: str, kind: str, context: str, denied: Sequence[str], seconds: float) -> DataFrame:
+    """``(by, ts, key, kind, context)`` of foreground changes and of input under the context that they set.
+
+    A foreground row of a denied process sets no context and isn't kept; input without
+    a context isn't kept; of one context input within ``seconds`` of the last kept one isn't.
+    """
+    set_by = F.when(F.col(kind) == "foreground", F.when(policy.denied_process(F.col(context), denied), "").otherwise(F.col(context)))
+    seen = as_of_context(rows, by, ts, key, set_by, "_now").where("_now is not null and _now <> ''")
+    changes_ = seen.where((F.col(kind) == "foreground") & (F.col(context) == F.col("_now")))
+    typed = seen.where(F.col(kind) != "foreground").withColumn(context, F.col("_now"))
+    kept = rate_limited(typed.select(by, ts, key, kind, context), [by, context], ts, seconds, key).where("accepted").drop("accepted")
+    return changes_.select(by, ts, key, kind, context).unionByName(kept)

@@ -84,14 +84,37 @@ def tumbling_5s_buckets(spark: SparkSession, base: str) -> DataFrame:
     return out.select("event_type", micros("bucket").alias("bucket_us"), "n")
 
 
-@query(f"""
-WITH {_SESSIONS}, f AS (SELECT *, min(ts) OVER (PARTITION BY user_id, session) AS first FROM s)
-SELECT user_id, session, floor((epoch_us(ts) - epoch_us(first)) / 3.6e9)::BIGINT AS bucket, count(*) AS n,
-  count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'view') AS views FROM f GROUP BY 1, 2, 3
+@query("""
+WITH RECURSIVE d AS (SELECT user_id, epoch_ms(ts) AS ms, CASE WHEN event_type = 'view' THEN 'keyboard' WHEN event_type = 'error' THEN 'foreground' ELSE 'mouse' END AS device,
+  CASE event_type WHEN 'click' THEN 1 ELSE 0 END AS clicks, CASE event_type WHEN 'purchase' THEN event_id % 2 ELSE 0 END AS wheel,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f(user_id, n, session, bucket, last, start, content, own) AS (
+  SELECT user_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, false, NULL::VARCHAR FROM (SELECT DISTINCT user_id FROM d)
+  UNION ALL
+  SELECT user_id, n, s, CASE WHEN device = 'foreground' THEN k + (st IS NOT NULL)::INT WHEN done THEN k + 1 ELSE k END,
+    CASE WHEN device = 'foreground' THEN la ELSE ms END,
+    CASE WHEN device = 'foreground' OR done THEN NULL ELSE coalesce(st, ms) END,
+    CASE WHEN device = 'foreground' OR done THEN false ELSE co END, CASE WHEN device <> 'foreground' THEN s || ':' || k END
+  FROM (SELECT *, ms - coalesce(st, ms) >= 3600000 OR (device = 'mouse' AND co) AS done FROM (
+    SELECT d.*, s, k, la, st, (st IS NOT NULL AND c0) OR device = 'keyboard' OR clicks > 0 OR wheel > 0 AS co FROM (
+      SELECT f.user_id AS u, f.n AS before, CASE WHEN over THEN session + 1 ELSE session END AS s, CASE WHEN over THEN bucket + (start IS NOT NULL)::INT ELSE bucket END AS k,
+        CASE WHEN over THEN NULL ELSE last END AS la, CASE WHEN over THEN NULL ELSE start END AS st, content AND NOT over AS c0
+      FROM (SELECT f.*, last IS NOT NULL AND ms - last >= 21600000 AS over FROM f JOIN d ON d.user_id = f.user_id AND d.n = f.n + 1) f) g
+    JOIN d ON d.user_id = u AND d.n = before + 1)))
+SELECT user_id, session, bucket, count(*) AS n, sum((device = 'keyboard')::INT)::BIGINT AS keyboard_events, sum(clicks)::BIGINT AS mouse_left_clicks, sum(wheel)::BIGINT AS mouse_wheel_events
+FROM (SELECT f.user_id, string_split(own, ':')[1]::BIGINT AS session, string_split(own, ':')[2]::BIGINT AS bucket, device, clicks, wheel FROM f JOIN d USING (user_id, n) WHERE own IS NOT NULL)
+GROUP BY 1, 2, 3
 """)
 def input_buckets(spark: SparkSession, base: str) -> DataFrame:
-    out = sessions.input_buckets(_events(spark, base), "user_id", "ts", "event_id", "event_type", 3600, 21600)
-    return out.select("user_id", "session", "bucket", "n", "clicks", "views")
+    kind = F.col("event_type")
+    rows = _events(spark, base).select(
+        "user_id", "event_id", "ts",
+        F.when(kind == "view", "keyboard").when(kind == "error", "foreground").otherwise("mouse").alias("device"),
+        F.when(kind == "click", 1).otherwise(0).alias("mouse_left_clicks"),
+        F.when(kind == "purchase", F.col("event_id") % 2).otherwise(0).alias("mouse_wheel_events"),
+    )
+    out = sessions.input_buckets(rows, "user_id", "ts", "event_id", "device", 3600, 21600)
+    return out.select("user_id", "session", "bucket", "n", "keyboard_events", "mouse_left_clicks", "mouse_wheel_events")
 
 
 @query("""
@@ -164,9 +187,15 @@ def hotness_select(spark: SparkSession, base: str) -> DataFrame:
     return memory.select_hot(_hotness(spark, base).withColumn("score", F.col("score") / 4), 21, "user_id")
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT user_id, event_id, epoch_us(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, n, tm AS last, true AS accepted FROM d WHERE n = 1
+  UNION ALL SELECT d.user_id, d.event_id, d.n, CASE WHEN d.tm - f.last >= 3600000000 THEN d.tm ELSE f.last END, d.tm - f.last >= 3600000000
+  FROM f JOIN d ON d.user_id = f.user_id AND d.n = f.n + 1)
+SELECT event_id, accepted FROM f
+""")
 def hotness_rate_limit(spark: SparkSession, base: str) -> DataFrame:
-    """Touches accepted by the rate limit; each hangs on the one accepted before (tests hold it against a loop)."""
+    """Touches accepted by the rate limit; each hangs on the one accepted before."""
     rows = _events(spark, base).select("user_id", "event_id", "ts")
     return memory.rate_limited(rows, ["user_id"], "ts", 3600, "event_id").select("event_id", "accepted")
 
@@ -248,22 +277,62 @@ def memory_policy_filter(spark: SparkSession, base: str) -> DataFrame:
     return memory.policy_filter(rows, _now(), ["F", "O"], 1, ["1-URGENT", "2-HIGH"]).select("o_orderkey")
 
 
-@query("""
-WITH RECURSIVE e AS (
-  SELECT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst FROM nation JOIN region ON n_regionkey = r_regionkey
-  UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier
-), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-w(node, depth) AS (SELECT 's1', 0 UNION SELECT b.dst, w.depth + 1 FROM w JOIN b ON b.src = w.node WHERE w.depth < 3)
-SELECT node, min(depth)::INT AS depth FROM w GROUP BY 1
+_EDGES = """
+e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'holds' AS relation, n_nationkey % 3 AS weight FROM nation
+  UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'serves', s_suppkey % 7 FROM supplier
+  UNION ALL SELECT 's' || s_suppkey, 'n' || ((s_nationkey + 1) % 25), 'also', s_suppkey % 5 FROM supplier)
+"""
+
+
+def _edges(spark: SparkSession, base: str) -> DataFrame:
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c) if isinstance(c, str) else c)
+    nation, supplier = table(spark, base, "nation"), table(spark, base, "supplier")
+    one = nation.select(
+        name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst"), F.lit("holds").alias("relation"),
+        (F.col("n_nationkey") % 3).cast("long").alias("weight"),
+    )
+    two = supplier.select(
+        name("n", "s_nationkey"), name("s", "s_suppkey"), F.lit("serves"), (F.col("s_suppkey") % 7).cast("long")
+    )
+    three = supplier.select(
+        name("s", "s_suppkey"), name("n", (F.col("s_nationkey") + 1) % 25), F.lit("also"), (F.col("s_suppkey") % 5).cast("long")
+    )
+    return one.union(two).union(three)
+
+
+@query(f"""
+WITH {_EDGES}, s0 AS (SELECT 'r1' AS node, 0 AS depth),
+a1 AS (SELECT dst, min((relation, -weight)) AS o FROM e JOIN s0 ON src = node WHERE dst NOT IN (SELECT node FROM s0) GROUP BY 1),
+s1 AS (SELECT * FROM s0 UNION ALL SELECT dst, 1 FROM (SELECT dst, row_number() OVER (ORDER BY o, dst) AS n FROM a1) WHERE n <= greatest(20 - (SELECT count(*) FROM s0), 1)),
+a2 AS (SELECT dst, min((relation, -weight)) AS o FROM e JOIN s1 ON src = node AND depth = 1 WHERE dst NOT IN (SELECT node FROM s1) AND (SELECT count(*) FROM s1) < 20 GROUP BY 1),
+s2 AS (SELECT * FROM s1 UNION ALL SELECT dst, 2 FROM (SELECT dst, row_number() OVER (ORDER BY o, dst) AS n FROM a2) WHERE n <= greatest(20 - (SELECT count(*) FROM s1), 1)),
+a3 AS (SELECT dst, min((relation, -weight)) AS o FROM e JOIN s2 ON src = node AND depth = 2 WHERE dst NOT IN (SELECT node FROM s2) AND (SELECT count(*) FROM s2) < 20 GROUP BY 1),
+s3 AS (SELECT * FROM s2 UNION ALL SELECT dst, 3 FROM (SELECT dst, row_number() OVER (ORDER BY o, dst) AS n FROM a3) WHERE n <= greatest(20 - (SELECT count(*) FROM s2), 1))
+SELECT node, depth::INT AS depth FROM s3
 """)
 def graph_bfs(spark: SparkSession, base: str) -> DataFrame:
-    nation = table(spark, base, "nation").join(table(spark, base, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    one = nation.select(F.concat(F.lit("r"), "r_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
-    two = table(spark, base, "supplier").select(
-        F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("s"), "s_suppkey").alias("dst")
+    """Directed expansion in edge order, with a bound of 20 nodes (its feature)."""
+    start = spark.range(1).select(F.lit("r1").alias("node"))
+    return memory.expand(_edges(spark, base), start, depth=3, most=20)
+
+
+@query(f"""
+WITH {_EDGES}, s0 AS (SELECT 'r' || r_regionkey AS node FROM region WHERE r_name IN ('ASIA', 'EUROPE')),
+s1 AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT node FROM s0) AND dst NOT IN (SELECT node FROM s0)),
+n AS (SELECT node FROM s0 UNION SELECT node FROM s1),
+l AS (SELECT c_custkey, 'n' || c_nationkey AS entity_id FROM customer)
+SELECT c_custkey, 1.0::DOUBLE AS score FROM l WHERE entity_id IN (SELECT node FROM n)
+""")
+def entity_linked_items(spark: SparkSession, base: str) -> DataFrame:
+    """Items of what the hinted entities lead to."""
+    names = table(spark, base, "region").select(
+        F.concat(F.lit("r"), "r_regionkey").alias("entity_id"), F.col("r_name").alias("name"), F.lit("default").alias("namespace")
     )
-    start = spark.range(1).select(F.lit("s1").alias("node"))
-    return memory.expand(one.unionByName(two), start, depth=3)
+    start = memory.entity_ids(names, "default", ["ASIA", "EUROPE"])
+    nodes = memory.expand(_edges(spark, base), start, depth=1)
+    items = table(spark, base, "customer").select("c_custkey")
+    links = table(spark, base, "customer").select("c_custkey", F.concat(F.lit("n"), "c_nationkey").alias("entity_id"))
+    return memory.linked_items(links, items, nodes, "c_custkey")
 
 
 @query("""

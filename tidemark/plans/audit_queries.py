@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import text
-from tidemark.operators import audit, lexical, search
+from tidemark.functions import entities, text
+from tidemark.operators import audit, lexical
+from tidemark.plans.policy_queries import _ascii_words
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
 
@@ -82,49 +83,31 @@ def ledger_verify(spark: SparkSession, base: str) -> DataFrame:
     return checked.groupBy("valid").agg(F.count("*").alias("n"))
 
 
-@query("""
-WITH s AS (SELECT doc_id, TIMESTAMP '2024-01-01' + to_hours(doc_id % 5) AS seen, 'cost: $' || (n_chars % 3) || ' version ' || (doc_id % 5 // 2) || '. status=' || lang AS t FROM documents),
-v AS (SELECT seen, 'amount' AS field, unnest(regexp_extract_all(t, '(?i)\\b(price|cost|total|amount)\\b\\s*[:=]?\\s*\\$?([0-9,.]+)', 2)) AS value FROM s
-  UNION ALL SELECT seen, 'version', unnest(regexp_extract_all(t, '(?i)\\b(version|ver)\\b\\s*[:=]?\\s*([0-9.]+)', 2)) FROM s
-  UNION ALL SELECT seen, 'status', unnest(regexp_extract_all(t, '(?i)\\b(status)\\b\\s*[:=]?\\s*([a-zA-Z0-9_-]+)', 2)) FROM s),
-c AS (SELECT seen, field, lower(regexp_replace(value, '[,.]+$', '')) AS value FROM v),
-o AS (SELECT field, max(n) AS at_once FROM (SELECT field, seen, count(DISTINCT value) AS n FROM c WHERE value <> '' GROUP BY 1, 2) GROUP BY 1)
-SELECT field, count(DISTINCT value) AS n_values, count(DISTINCT value) > 1 AND any_value(at_once) = 1 AS changed, any_value(at_once) > 1 AS conflict
-FROM c JOIN o USING (field) WHERE value <> '' GROUP BY 1
+@query(f"""
+WITH s AS (SELECT doc_id % 40 AS pack, CASE WHEN doc_id % 40 % 2 = 0 THEN 0 ELSE doc_id % 5 END AS tm, {_ascii_words('text')} AS t FROM documents),
+v AS (SELECT pack, 'amount' AS field, unnest(regexp_extract_all(t, '(?i)\\b(price|cost|total|amount)\\b\\s*[:=]?\\s*\\$?([0-9,.]+)', 2)) AS value FROM s
+  UNION ALL SELECT pack, 'version', unnest(regexp_extract_all(t, '(?i)\\b(version|ver)\\b\\s*[:=]?\\s*([0-9.]+)', 2)) FROM s
+  UNION ALL SELECT pack, 'status', unnest(regexp_extract_all(t, '(?i)\\b(status)\\b\\s*[:=]?\\s*([a-zA-Z0-9_-]+)', 2)) FROM s),
+n AS (SELECT pack, field, count(DISTINCT lower(trim(replace(value, ',', '')))) AS n FROM v GROUP BY 1, 2),
+c AS (SELECT pack, array_to_string(list(field ORDER BY field), ',') AS fields FROM n WHERE n >= 2 GROUP BY 1),
+t AS (SELECT pack, min(tm) = max(tm) AS once FROM s GROUP BY 1)
+SELECT pack, coalesce(fields, '') AS fields, fields IS NOT NULL AND once AS conflict, fields IS NOT NULL AND NOT once AS changed FROM t LEFT JOIN c USING (pack)
 """)
 def conflict_detect(spark: SparkSession, base: str) -> DataFrame:
-    said = F.concat(
-        F.lit("cost: $"), F.col("n_chars") % 3, F.lit(" version "), F.expr("doc_id % 5 div 2"), F.lit(". status="), "lang"
-    )
-    at = F.timestamp_micros(F.lit(1704067200000000) + F.col("doc_id") % 5 * 3_600_000_000)
-    rows = table(spark, base, "documents").select(at.alias("at"), said.alias("t"))
-    return audit.conflicts(audit.stated_values(rows, "t", "at"), "at")
+    """What whole texts state, in packs of evidence of one time or of several."""
+    pack = (F.col("doc_id") % 40).alias("pack")
+    at = F.when(F.col("doc_id") % 40 % 2 == 0, 0).otherwise(F.col("doc_id") % 5).alias("at")
+    found = audit.conflicts(table(spark, base, "documents").select(pack, at, "text"), "pack", "at", "text")
+    return found.select("pack", F.array_join("fields", ",").alias("fields"), "conflict", "changed")
 
 
-@query("""
-WITH s AS (SELECT TIMESTAMP '2024-01-01' + to_hours(doc_id % 5) AS seen,
-  regexp_replace(regexp_replace(text, '[^\\p{L}\\p{Nd}\\p{Mn}\\x00-\\x7F]', '~', 'g'), '[^\\x00-\\x7F]', 'q', 'g') AS t FROM documents),
-v AS (SELECT seen, 'amount' AS field, unnest(regexp_extract_all(t, '(?i)\\b(price|cost|total|amount)\\b\\s*[:=]?\\s*\\$?([0-9,.]+)', 2)) AS value FROM s
-  UNION ALL SELECT seen, 'version', unnest(regexp_extract_all(t, '(?i)\\b(version|ver)\\b\\s*[:=]?\\s*([0-9.]+)', 2)) FROM s
-  UNION ALL SELECT seen, 'status', unnest(regexp_extract_all(t, '(?i)\\b(status)\\b\\s*[:=]?\\s*([a-zA-Z0-9_-]+)', 2)) FROM s),
-c AS (SELECT seen, field, lower(regexp_replace(value, '[,.]+$', '')) AS value FROM v),
-o AS (SELECT field, max(n) AS at_once FROM (SELECT field, seen, count(DISTINCT value) AS n FROM c WHERE value <> '' GROUP BY 1, 2) GROUP BY 1)
-SELECT field, count(DISTINCT value) AS n_values, count(DISTINCT value) > 1 AND any_value(at_once) = 1 AS changed, any_value(at_once) > 1 AS conflict
-FROM c JOIN o USING (field) WHERE value <> '' GROUP BY 1
-""")
-def conflict_detect_texts(spark: SparkSession, base: str) -> DataFrame:
-    """What whole texts state, where conflict_detect looks at a sentence made from other columns.
-
-    The SQL puts ASCII in the place of other letters and marks first, for its word boundaries know no others.
-    """
-    at = F.timestamp_micros(F.lit(1704067200000000) + F.col("doc_id") % 5 * 3_600_000_000)
-    rows = table(spark, base, "documents").select(at.alias("at"), "text")
-    return audit.conflicts(audit.stated_values(rows, "text", "at"), "at")
+_SENTENCES = """list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '^\\s+|\\s+$', '', 'g'),
+  '([.!?])(\\s+)', '\\1' || chr(1) || '\\2', 'g'), '(?i)(e\\.g\\.|i\\.e\\.|mr\\.|mrs\\.|ms\\.|dr\\.|vs\\.|prof\\.|sr\\.|jr\\.)' || chr(1), '\\1', 'g'), chr(1)),
+  lambda x: regexp_replace(x, '^\\s+', '')), lambda x: x <> '')"""
 
 
-@query("""
-WITH m AS (SELECT conv_id, turn, role, text, list_filter(string_split(regexp_replace(regexp_replace(text, '^ +| +$', '', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
-  lambda x: trim(x) <> '') AS s FROM conversations)
+@query(f"""
+WITH m AS (SELECT conv_id, turn, role, text, {_SENTENCES.format('text')} AS s FROM conversations)
 SELECT conv_id, turn, role, len(s)::INT AS n_sentences, round(CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: regexp_matches(x, 'th')))::DOUBLE / len(s) ELSE 0 END, 6) AS share FROM m
 """)
 def sentence_share(spark: SparkSession, base: str) -> DataFrame:
@@ -134,32 +117,63 @@ def sentence_share(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("conv_id", "turn", "role", F.size("s").alias("n_sentences"), F.round(share, 6).alias("share"))
 
 
+_CITED_TEXT = "regexp_replace(regexp_replace(text, '([.!?]) ', '\\1 [E' || (turn % 4) || '] ', 'g'), 'th', 't[E2:L1-L3]h')"
+
+
+@query(f"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, {_SENTENCES.format(_CITED_TEXT)} AS s FROM conversations),
+x AS (SELECT id, generate_subscripts(s, 1) AS i, unnest(s) AS t FROM m),
+c AS (SELECT id, i, t, list_filter(regexp_extract_all(t, '(?:\\[|【)(E\\d+)(?::L\\d+-L\\d+)?(?:\\]|】)', 1), lambda e: e IN ('E1', 'E2')) AS own,
+  list_filter(regexp_extract_all(regexp_extract(t, '^\\s*(?:(?:\\[|【)E\\d+(?::L\\d+-L\\d+)?(?:\\]|】)\\s*)+'), '(?:\\[|【)(E\\d+)(?::L\\d+-L\\d+)?(?:\\]|】)', 1), lambda e: e IN ('E1', 'E2')) AS lead,
+  trim(regexp_replace(t, '(?:\\[|【)(E\\d+)(?::L\\d+-L\\d+)?(?:\\]|】)', '', 'g'), ' ') = '' AS bare FROM x),
+f AS (SELECT id, i, own AS left_over, false AS moved FROM c WHERE i = 1
+  UNION ALL SELECT c.id, c.i, CASE WHEN len(lead) > 0 AND len(left_over) = 0 THEN list_filter(own, lambda e: NOT list_contains(lead, e)) ELSE own END,
+    len(lead) > 0 AND len(left_over) = 0 FROM f JOIN c ON c.id = f.id AND c.i = f.i + 1),
+g AS (SELECT f.id, f.i, len(left_over) > 0 OR coalesce(lead(moved) OVER (PARTITION BY f.id ORDER BY f.i), false) AS cited, bare AND f.i > 1 AS merged
+  FROM f JOIN c USING (id, i)),
+h AS (SELECT *, sum(CASE WHEN merged THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i) AS whole FROM g),
+w AS (SELECT id, whole, bool_or(cited) AS cited FROM h GROUP BY 1, 2), r AS (SELECT id, count(*) AS n, count(*) FILTER (cited) AS k FROM w GROUP BY 1)
+SELECT conv_id, turn, role, coalesce(n, 0)::INT AS n, round(coalesce(k::DOUBLE / n, 0), 6) AS share FROM m LEFT JOIN r USING (id)
+""")
+def citation_coverage(spark: SparkSession, base: str) -> DataFrame:
+    """Share of sentences that cite known evidence; citations are put into the turns' whole texts."""
+    marked = F.regexp_replace("text", F.lit("([.!?]) "), F.concat(F.lit("$1 [E"), F.col("turn") % 4, F.lit("] ")))
+    marked = F.regexp_replace(marked, "^((?s:.*?))th", "$1t[E2:L1-L3]h")
+    rows = table(spark, base, "conversations").withColumn("answer", marked)
+    known = F.array(F.lit("E1"), F.lit("E2"))
+    rows = rows.withColumn("s", audit.cited_sentences(F.col("answer"), known))
+    share = audit.coverage(F.col("answer"), known)
+    return rows.select("conv_id", "turn", "role", F.size("s").alias("n"), F.round(share, 6).alias("share"))
 
 
 def _runs(spark: SparkSession, base: str) -> DataFrame:
-    """``(query, variant, doc_id, rank)``: for each benchmark passage the documents that share most of its words."""
+    """``(item_id, variant, doc_id, rank)``: for each passage the documents that share its words, each weighed by ``ln(1 + documents / df)`` in whole millionths.
+
+    Whole numbers add up alike in any order, so ties are ties in every engine.
+    """
+    from pyspark.sql import Window
+
     items = table(spark, base, "benchmark").select("item_id", F.array_distinct(text.terms(F.col("text"))).alias("t"))
     words = items.select("item_id", F.explode("t").alias("term"))
-    index = lexical.postings(table(spark, base, "documents"), "doc_id", "text")
-    rare = index.groupBy("term").agg(F.count("*").alias("df")).where("df <= 20")
-    hits = words.join(rare, "term").join(index, "term")
-    scores = hits.groupBy("item_id", "doc_id").agg(F.count("*").alias("by_terms"), F.sum("tf").alias("by_tf"))
-    out = None
-    for variant in ("by_terms", "by_tf"):
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("item_id").orderBy(F.desc(variant), "doc_id")
-        one = scores.select("item_id", F.lit(variant).alias("variant"), "doc_id", F.row_number().over(w).alias("rank"))
-        one = one.where("rank <= 10")
-        out = one if out is None else out.unionByName(one)
-    return out
+    docs = table(spark, base, "documents")
+    index = lexical.postings(docs.select("doc_id", "text"), "doc_id", "text")
+    index = index.join(words.select("term").distinct(), "term", "left_semi")
+    df = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(docs.agg(F.count("*").alias("n")))
+    weights = df.select("term", F.floor(F.log(1 + F.col("n") / F.col("df")) * 1e6).cast("long").alias("w"))
+    hits = words.join(weights, "term").join(index, "term")
+    scores = hits.groupBy("item_id", "doc_id").agg(F.sum("w").alias("by_terms"), F.sum(F.col("w") * F.col("tf")).alias("by_tf"))
+    kinds = F.array(*(F.struct(F.lit(v).alias("variant"), F.col(v).alias("score")) for v in ("by_terms", "by_tf")))
+    each = scores.select("item_id", "doc_id", F.inline(kinds))
+    w = Window.partitionBy("item_id", "variant").orderBy(F.desc("score"), "doc_id")
+    each = each.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+    return each.select("item_id", "variant", "doc_id", "rank")
 
 
 _RUNS = """
 b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS term FROM benchmark),
 p AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents),
-i AS (SELECT term, doc_id, count(*) AS tf FROM p GROUP BY ALL), r AS (SELECT term FROM i GROUP BY 1 HAVING count(*) <= 20),
-s AS (SELECT item_id, doc_id, count(*) AS by_terms, sum(tf) AS by_tf FROM b JOIN r USING (term) JOIN i USING (term) GROUP BY 1, 2),
+i AS (SELECT term, doc_id, count(*) AS tf FROM p GROUP BY ALL), r AS (SELECT term, floor(ln(1 + (SELECT count(*) FROM documents)::DOUBLE / count(*)) * 1e6)::BIGINT AS w FROM i GROUP BY 1),
+s AS (SELECT item_id, doc_id, sum(w) AS by_terms, sum(w * tf) AS by_tf FROM b JOIN r USING (term) JOIN i USING (term) GROUP BY 1, 2),
 v AS (SELECT item_id, 'by_terms' AS variant, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY by_terms DESC, doc_id) AS rank FROM s
   UNION ALL SELECT item_id, 'by_tf', doc_id, row_number() OVER (PARTITION BY item_id ORDER BY by_tf DESC, doc_id) FROM s),
 t AS (SELECT * FROM v WHERE rank <= 10),
@@ -213,54 +227,6 @@ def sensitivity_jaccard(spark: SparkSession, base: str) -> DataFrame:
     return audit.sensitivity(_runs(spark, base), "by_terms", "item_id", "variant", "doc_id")
 
 
-def _full_runs(spark: SparkSession, base: str) -> DataFrame:
-    """As ``_runs``, by all words of a passage, each weighed by ``ln(1 + documents / df)`` in whole millionths.
-
-    Whole numbers add up alike in any order, so ties are ties in every engine.
-    """
-    from pyspark.sql import Window
-
-    items = table(spark, base, "benchmark").select("item_id", F.array_distinct(text.terms(F.col("text"))).alias("t"))
-    words = items.select("item_id", F.explode("t").alias("term"))
-    docs = table(spark, base, "documents")
-    index = lexical.postings(docs.select("doc_id", "text"), "doc_id", "text")
-    index = index.join(words.select("term").distinct(), "term", "left_semi")
-    df = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(docs.agg(F.count("*").alias("n")))
-    weights = df.select("term", F.floor(F.log(1 + F.col("n") / F.col("df")) * 1e6).cast("long").alias("w"))
-    hits = words.join(weights, "term").join(index, "term")
-    scores = hits.groupBy("item_id", "doc_id").agg(F.sum("w").alias("by_terms"), F.sum(F.col("w") * F.col("tf")).alias("by_tf"))
-    kinds = F.array(*(F.struct(F.lit(v).alias("variant"), F.col(v).alias("score")) for v in ("by_terms", "by_tf")))
-    each = scores.select("item_id", "doc_id", F.inline(kinds))
-    w = Window.partitionBy("item_id", "variant").orderBy(F.desc("score"), "doc_id")
-    each = each.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
-    return each.select("item_id", "variant", "doc_id", "rank")
-
-
-_FULL_RUNS = _RUNS.replace(
-    "r AS (SELECT term FROM i GROUP BY 1 HAVING count(*) <= 20)",
-    "r AS (SELECT term, floor(ln(1 + (SELECT count(*) FROM documents)::DOUBLE / count(*)) * 1e6)::BIGINT AS w FROM i GROUP BY 1)",
-).replace("count(*) AS by_terms, sum(tf) AS by_tf", "sum(w) AS by_terms, sum(w * tf) AS by_tf")
-
-
-@query(f"""
-WITH {_FULL_RUNS}, h AS (SELECT item_id, count(*) AS found, min(rank) AS first FROM t JOIN x USING (item_id, doc_id) WHERE variant = 'by_terms' GROUP BY 1),
-w AS (SELECT item_id, count(*) AS wanted FROM x GROUP BY 1)
-SELECT round(avg(coalesce(found, 0) / wanted), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, count(*) AS n_queries FROM w LEFT JOIN h USING (item_id)
-""")
-def eval_recall_mrr_all_terms(spark: SparkSession, base: str) -> DataFrame:
-    runs = _full_runs(spark, base).where("variant = 'by_terms'")
-    return audit.retrieval_metrics(runs, _expected(spark, base), "item_id", "doc_id", 10)
-
-
-@query(f"""
-WITH {_FULL_RUNS}, l AS (SELECT item_id, variant, list(doc_id) AS s FROM t GROUP BY 1, 2)
-SELECT a.variant, round(avg(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s)))), 6) AS jaccard
-FROM l a JOIN l b ON a.item_id = b.item_id AND b.variant = 'by_terms' WHERE a.variant <> 'by_terms' GROUP BY 1
-""")
-def sensitivity_jaccard_all_terms(spark: SparkSession, base: str) -> DataFrame:
-    return audit.sensitivity(_full_runs(spark, base), "by_terms", "item_id", "variant", "doc_id")
-
-
 @query("""
 WITH o AS (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50), n AS (SELECT doc_id FROM documents ORDER BY length(source), n_chars DESC, doc_id LIMIT 50)
 SELECT count(*) / 50.0::DOUBLE AS ratio FROM n WHERE doc_id NOT IN (SELECT doc_id FROM o)
@@ -369,6 +335,6 @@ def normalised_digest(spark: SparkSession, base: str) -> DataFrame:
 
 @query()
 def pseudonymised(spark: SparkSession, base: str) -> DataFrame:
-    """Texts with e-mail addresses as keyed tokens; the keyed hash has no SQL form (tests hold it against hmac)."""
-    out = text.pseudonymise_emails(F.col("text"), "local-secret")
+    """Texts with addresses, paths and domains as keyed tokens; the keyed hash has no SQL form (tests hold it against a loop)."""
+    out = entities.pseudonymised(F.col("text"), "local-secret")
     return table(spark, base, "documents").select("doc_id", F.md5(out).alias("digest"))

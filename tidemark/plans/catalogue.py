@@ -7,8 +7,11 @@ from tidemark.plans import (  # noqa: F401
     audit_queries,
     browse_queries,
     policy_queries,
+    evidence_queries,
     search_queries,
+    state_queries,
     stream_queries,
+    value_queries,
 )
 from tidemark.plans.registry import ORACLES, QUERIES
 

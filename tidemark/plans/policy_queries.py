@@ -21,41 +21,96 @@ def _any_sql(column: str, patterns) -> str:
     return "(" + " OR ".join(f"regexp_matches(coalesce({column}, ''), '{p}')" for p in patterns) + ")"
 
 
+def _ascii_words(column: str) -> str:
+    """SQL of a text in which ASCII stands for other letters and marks, for its word boundaries know no others."""
+    marked = f"regexp_replace({column}, '[^\\\\p{{L}}\\\\p{{Nd}}\\\\p{{Mn}}\\\\x00-\\\\x7F]', '~', 'g')".replace("\\\\", "\\")
+    return f"regexp_replace({marked}, '[^\\x00-\\x7F]', '_', 'g')"
+
+
+_PERSON = [f"(?i){p}" for p in policy.PERSON_PATTERNS]
+_PREFERENCE = " OR ".join(f"contains(lower(text), '{w}')" for w in policy.PREFERENCE_WORDS)
+
+
 @query(f"""
-SELECT doc_id, concat_ws(',', CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' END,
-  CASE WHEN {_any_sql('text', text.PII_PATTERNS)} THEN 'pii' END,
-  CASE WHEN {_any_sql('text', [p for p, _ in text.SECRET_PATTERNS])} THEN 'secret' END,
-  CASE WHEN {_any_sql('text', policy.PERSON_PATTERNS)} THEN 'person' END,
-  CASE WHEN source = 'src1' THEN 'preference' END,
-  CASE WHEN lang = 'es' THEN 'audience' END, CASE WHEN doc_id % 7 = 0 THEN 'sensitivity' END) AS reasons FROM documents
+SELECT doc_id, CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 'content_empty' WHEN doc_id % 11 = 0 THEN 'policy_missing' ELSE concat_ws(',',
+  CASE WHEN doc_id % 5 = 0 THEN 'policy_audience_missing' END, CASE WHEN doc_id % 7 = 0 THEN 'policy_sensitivity_invalid' END,
+  CASE WHEN doc_id % 5 = 0 OR lang = 'es' THEN 'policy_audience_blocked' END,
+  CASE WHEN {_any_sql('text', ["(?i)" + p.removeprefix("(?i)") for p in text.PII_PATTERNS])} THEN 'policy_pii_detected' END,
+  CASE WHEN {_any_sql('text', [p for p, _ in text.SECRET_PATTERNS])} THEN 'policy_secret_detected' END,
+  CASE WHEN doc_id % 13 = 0 THEN 'policy_person_entity_detected' END,
+  CASE WHEN {_any_sql(_ascii_words('text'), _PERSON)} THEN 'policy_person_text_detected' END,
+  CASE WHEN {_PREFERENCE} OR source = 'src1' THEN 'policy_preference_detected' END) END AS reasons FROM documents
 """)
 def proposal_policy(spark: SparkSession, base: str) -> DataFrame:
-    key = F.when(F.col("source") == "src1", "likes").otherwise("fact")
-    level = F.when(F.col("doc_id") % 7 == 0, "high").otherwise("low")
-    reasons = policy.proposal_reasons(F.col("text"), key, level, F.array("lang"), ["en", "fr", "de"])
+    nth = lambda n: F.col("doc_id") % n == 0
+    reasons = policy.proposal_reasons(
+        F.col("text"),
+        F.array(F.when(F.col("source") == "src1", "User_Profile").otherwise("fact")),
+        F.array(F.when(nth(13), " Person ").otherwise("place")),
+        F.when(nth(7), "secret").otherwise("low"),
+        F.when(nth(5), F.array().cast("array<string>")).otherwise(F.array(F.upper("lang"))),
+        ["en", "FR", "de"],
+        ~nth(11),
+    )
     return table(spark, base, "documents").select("doc_id", F.array_join(reasons, ",").alias("reasons"))
 
 
 @query("""
-SELECT doc_id, CASE WHEN lang = 'de' OR regexp_matches(text, '(?i)licensed under') THEN 'exclude'
-  WHEN regexp_matches(text, '(?i)moron|idiot') THEN 'redact' ELSE 'allow' END AS decision FROM documents
+SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 4 = 0 THEN 'policy_audience_missing' END,
+  CASE WHEN c_mktsegment NOT IN ('low', 'medium', 'high') THEN 'policy_sensitivity_invalid' END,
+  CASE WHEN c_custkey % 4 = 0 OR c_nationkey > 9 THEN 'policy_audience_blocked' END) AS reasons FROM customer
+""")
+def query_policy(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "customer")
+    who = F.when(F.col("c_custkey") % 4 != 0, F.array(F.col("c_nationkey").cast("string"))).otherwise(F.array().cast("array<string>"))
+    reasons = policy.query_policy_reasons(F.col("c_mktsegment"), who, [str(i) for i in range(10)])
+    return rows.select("c_custkey", F.array_join(reasons, ",").alias("reasons"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN lang = 'de' THEN 'exclude' WHEN regexp_matches(text, '(?i)licensed under') THEN 'exclude'
+  WHEN regexp_matches(text, '(?i)moron|idiot') THEN 'redact' ELSE 'allow' END AS action,
+  CASE WHEN lang = 'de' THEN 'blocked_labels' WHEN regexp_matches(text, '(?i)licensed under') THEN 'exclude_pattern'
+  WHEN regexp_matches(text, '(?i)moron|idiot') THEN 'redact_pattern' END AS reason FROM documents
 """)
 def artifact_policy(spark: SparkSession, base: str) -> DataFrame:
     decision = policy.artifact_decision(
-        F.array("lang"), F.col("text"), ["de"], ["(?i)licensed under"], ["(?i)moron|idiot"]
+        F.col("text"), ["licensed under"], ["moron|idiot"], F.array(F.upper("lang")), [" De "]
     )
-    return table(spark, base, "documents").select("doc_id", decision.alias("decision"))
+    return table(spark, base, "documents").select("doc_id", decision.alias("d")).select("doc_id", "d.*")
+
+
+@query("""
+SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)licensed under') THEN 'exclude'
+  WHEN regexp_matches(text, '(?i)moron|idiot') THEN 'redact' ELSE 'allow' END AS action FROM documents
+""")
+def span_policy(spark: SparkSession, base: str) -> DataFrame:
+    decision = policy.artifact_decision(F.col("text"), ["licensed under"], ["moron|idiot"])
+    return table(spark, base, "documents").select("doc_id", decision["action"].alias("action"))
 
 
 @query("""
-SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'paused' WHEN event_type = 'error' THEN 'process'
-  WHEN regexp_matches(props, '(?i): 6') THEN 'title' END AS reason FROM events
+SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'paused' WHEN user_id % 8 = 3 THEN 'monitor' WHEN event_type = 'error' THEN 'process'
+  WHEN regexp_matches(props, ': 6') THEN 'title' END AS reason FROM events
 """)
 def capture_skip(spark: SparkSession, base: str) -> DataFrame:
-    why = policy.capture_skipped(F.col("event_id") % 9 == 0, F.col("event_type"), F.col("props"), ["ERROR"], [": 6"])
+    monitor = F.concat(F.lit("m"), F.col("user_id") % 8)
+    process = F.concat(F.lit(" "), F.upper("event_type"))
+    why = policy.capture_skipped(F.col("event_id") % 9 == 0, monitor, process, F.col("props"), ["m3"], ["Error "], [": 6"])
     return table(spark, base, "events").select("event_id", why.alias("reason"))
 
 
+@query("SELECT event_id FROM events WHERE event_type NOT IN ('error', 'view')")
+def process_deny(spark: SparkSession, base: str) -> DataFrame:
+    denied = policy.denied_process(F.upper("event_type"), [" Error", "view", ""])
+    return table(spark, base, "events").where(~denied).select("event_id")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'")
+def namespace_rows(spark: SparkSession, base: str) -> DataFrame:
+    return policy.namespace_view(table(spark, base, "customer"), "BUILDING", "c_mktsegment").select("c_custkey")
+
+
 @query(f"""
 SELECT event_id, epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts) > 172800000000 AS stale FROM events
 WHERE event_id % 5 <> 0 OR ts + INTERVAL 10 DAY <= TIMESTAMP '{AS_OF}'
@@ -76,25 +131,13 @@ def enrichment_backlog(spark: SparkSession, base: str) -> DataFrame:
     return policy.backlog(table(spark, base, "events"), _now(), "ts", F.col("event_type") != "error", 240)
 
 
-@query("""
-SELECT lang AS strategy, round(avg((lower(trim(left(text, 3))) = 'the')::INT::DOUBLE), 6) AS pass_rate,
-  round(avg(CASE WHEN length(left(text, 3)) = 0 THEN 0 ELSE greatest(1, ceil(length(left(text, 3)) / 4.0)) END), 6)::DOUBLE AS mean_tokens,
-  round(avg(n_chars), 6) AS mean_ms FROM documents GROUP BY 1
-""")
-def strategy_comparison(spark: SparkSession, base: str) -> DataFrame:
-    rows = table(spark, base, "documents").select(
-        F.col("lang").alias("strategy"), F.left("text", F.lit(3)).alias("answer"), F.lit("The").alias("expected"), "n_chars"
-    )
-    return policy.compare_strategies(rows, "strategy", "answer", "expected", "n_chars")
-
-
 @query("""
 WITH e AS (SELECT lang, n_chars, min(text) AS expected FROM documents GROUP BY 1, 2)
 SELECT lang AS strategy, round(avg((lower(trim(text)) = lower(trim(expected)))::INT::DOUBLE), 6) AS pass_rate,
   round(avg(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, ceil(length(text) / 4.0)) END), 6)::DOUBLE AS mean_tokens,
   round(avg(n_chars), 6) AS mean_ms FROM documents JOIN e USING (lang, n_chars) GROUP BY 1
 """)
-def strategy_comparison_texts(spark: SparkSession, base: str) -> DataFrame:
+def strategy_comparison(spark: SparkSession, base: str) -> DataFrame:
     """Whole texts as answers; expected is the least text of the same language and length."""
     docs = table(spark, base, "documents").select("lang", "n_chars", "text")
     expected = docs.groupBy("lang", "n_chars").agg(F.min("text").alias("expected"))
@@ -114,8 +157,26 @@ def scout_rank(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("p_partkey", "score", "rank")
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT vec_id, label, list_transform(embedding, lambda x: x > 0.0) AS bits, embedding[1:8] AS px,
+  row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+h AS (SELECT vec_id, label, n, list_sum(list_transform(bits, lambda b, i: CASE WHEN b AND i <= 4 THEN (1::BIGINT << (i - 1)::INT) ELSE 0::BIGINT END))::BIGINT AS hash,
+  list_transform(px, lambda x: floor(x::DOUBLE * 4)) AS px FROM d),
+f AS (SELECT label, 0::BIGINT AS n, []::STRUCT(tm BIGINT, hash BIGINT, px DOUBLE[])[] AS held, NULL::BIGINT AS vec_id, false AS duplicate FROM (SELECT DISTINCT label FROM h)
+  UNION ALL SELECT label, n, CASE WHEN same THEN near ELSE list_append(near, {'tm': vec_id, 'hash': hash, 'px': px}) END, vec_id, same FROM (
+    SELECT h.*, list_filter(held, lambda o: h.vec_id - o.tm <= 400)[-16:] AS near,
+      len(list_filter(list_filter(held, lambda o: h.vec_id - o.tm <= 400)[-16:], lambda o: bit_count(xor(o.hash, h.hash)) <= 1
+        AND list_sum(list_transform(list_zip(o.px, h.px), lambda z: abs(z[1] - z[2]))) <= 0.5 * 8)) > 0 AS same
+    FROM f JOIN h ON h.label = f.label AND h.n = f.n + 1))
+SELECT vec_id, duplicate FROM f WHERE vec_id IS NOT NULL
+""")
 def frame_duplicates(spark: SparkSession, base: str) -> DataFrame:
-    """Duplicate frames by hash within a time; each decision hangs on earlier ones (tests hold it against cases)."""
-    frames = table(spark, base, "events").select("user_id", "event_id", "ts", F.xxhash64("event_type").alias("bits"))
-    return policy.frame_duplicates(frames, "user_id", "ts", "bits", 7200).select("event_id", "duplicate")
+    """Duplicate frames by hash and mean pixel error within a time; each decision hangs on earlier ones."""
+    rows = table(spark, base, "embeddings")
+    bits = F.lit(0).cast("long")
+    for i in range(4):
+        bits = bits + F.when(F.get("embedding", F.lit(i)) > 0, 1 << i).otherwise(0)
+    pixels = F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x.cast("double") * 4).cast("double"))
+    frames = rows.select("label", "vec_id", F.timestamp_seconds("vec_id").alias("ts"), bits.alias("bits"), pixels.alias("px"))
+    out = policy.frame_duplicates(frames, "label", "ts", "bits", "px", 400, 1 / 64, 0.5, key="vec_id")
+    return out.select("vec_id", "duplicate")

@@ -64,3 +64,59 @@ def export_jsonl(events: DataFrame, out: str, as_of, days: int, ts: str = "ts")
 def append(df: DataFrame, path: str, *by: str) -> None:
     """Append rows to a Parquet table, partitioned by columns."""
     df.write.mode("append").partitionBy(*by).parquet(path)
+
+
+def append_new(df: DataFrame, path: str, key: list[str], *by: str) -> None:
+    """Append rows whose key the table lacks, each key once, so that writing a batch again changes nothing."""
+    spark = df.sparkSession
+    fresh = df.dropDuplicates(key)
+    if _exists(spark, path):
+        fresh = fresh.join(spark.read.parquet(path).select(*key), key, "left_anti")
+    append(fresh, path, *by)
+
+
+def append_log(df: DataFrame, path: str, most_bytes: int = 5_000_000, keep: int = 5) -> None:
+    """Append JSON lines to the newest folder ``log=n`` of a log; a new one begins once that has ``most_bytes``.
+
+    The oldest folders beyond ``keep`` go.
+    """
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+    numbers = sorted(int(n[4:]) for n in names if n.startswith("log=") and n[4:].isdigit())
+    last = numbers[-1] if numbers else 0
+    if numbers and fs.getContentSummary(hadoop.Path(f"{path}/log={last}")).getLength() >= most_bytes:
+        last += 1
+        numbers.append(last)
+    df.write.mode("append").json(f"{path}/log={last}")
+    for old in numbers[:-keep]:
+        fs.delete(hadoop.Path(f"{path}/log={old}"), True)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A small report as one JSON file, in the place of the last one."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def append_report(df: DataFrame, path: str) -> None:
+    """A report's rows beside those of earlier reports."""
+    df.write.mode("append").json(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+#: Columns of events that come in as JSON.
+EVENT_SCHEMA = (
+    "event_id string, ts_start timestamp, ts_end timestamp, app_name string, window_title string, url string, "
+    "domain string, ocr_text string, monitor_id string, paused boolean, tags string"
+)
+
+
+def json_events(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of events from JSON lines in a folder; lines that don't parse have a null id."""
+    return spark.readStream.schema(EVENT_SCHEMA).json(path)
