@@ -17,18 +17,19 @@ last return the columns of documents.
 5. ``bpe_encoding`` encodes whole texts and decodes the ids again.
 
 Edge cases follow the operators: null texts count as empty; an empty table gives
-an empty table at every stage; extra columns of documents are carried along.
+an empty table at every stage; extra columns of documents, whatever their names, are
+carried along by all stages but the last, which gives its own columns only.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe_codec import encode
+from tidemark.llm.common import remove, shared_folder
 from tidemark.llm.mil_quality import good_documents
 from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.neardup import without_near_duplicates
@@ -79,27 +80,19 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written and read again.
 
     The tables between stages go to the shared folder that the cluster names in
-    ``spark.checkpoint.dir``; a temporary folder serves where it is unset.
+    ``spark.checkpoint.dir``; a temporary folder serves where it is unset, on one machine only.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    base = (base or tempfile.mkdtemp(prefix="tidemark-pipeline-")).rstrip("/")
-    base = f"{base}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(out := f"{base}/{k}_{name}")
         docs = spark.read.parquet(out)
         if before:
-            _remove(spark, before)
+            remove(spark, before)
         before = out
     return docs
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    """Delete a table that a later stage has replaced, in whatever file system it lies."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def queries() -> dict:
     return {"pipeline": run}
 

@@ -161,6 +161,18 @@ def test_vectors(spark):
     assert topk.exact_top_k(df.limit(0)).collect() == []
 
 
+def test_very_common_sites_are_dealt_out(spark, monkeypatch):
+    """With few and with many parts the result is the same."""
+    rows = [(i, "http://hot.example.org/shop/x" if i % 3 else f"http://h{i}.org/") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    captures, listed = url_filter.fetch_days(pages), url_filter.listed_patterns(pages)
+    got = []
+    for shares in (1, 4, 1000):
+        monkeypatch.setattr(url_filter, "SHARES", shares)
+        got.append(sorted(map(str, url_filter.filter_urls(captures, listed).collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 300
+
+
 def test_urls(spark):
     schema = "page_id long, url string, day date, pattern string, rules string"
     import datetime as dt

@@ -54,3 +54,30 @@ def test_rules_are_learned_on_the_documents_table(spark):
     out = {r[0] for r in pipeline.quality_rules(spark, fed, DIR).select("doc_id").collect()}
     assert rejected and not rejected & out
     assert kept and kept <= out
+
+
+def test_run_on_odd_rows(spark, tmp_path, monkeypatch):
+    """Nulls in every column, repeated rows, clashing names and dots go through; only the last table stays."""
+    odd = spark.read.parquet(f"{DIR}/documents.parquet").where("doc_id < 60")
+    nulls = odd.limit(1).selectExpr(*(f"cast(null as {t}) as {c}" for c, t in odd.dtypes))
+    rows = odd.union(odd.limit(3)).union(nulls)
+    extra = ["a.b", "key", "row", "mix_words", "kept", "score", "ids", "id", "n"]
+    rows = rows.toDF(*odd.columns).selectExpr("*", *(f"'x' as `{c}`" for c in extra))
+    base = str(tmp_path / "in")
+    rows.write.parquet(f"{base}/documents.parquet")
+    spark.read.parquet(f"{DIR}/labels.parquet").write.parquet(f"{base}/labels.parquet")
+    monkeypatch.setattr(pipeline, "shared_folder", lambda spark: str(tmp_path / "shared"))
+    out = pipeline.run(spark, base)
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    ids = {r[0] for r in out.select("doc_id").collect()}
+    assert ids and ids <= {r[0] for r in rows.select("doc_id").collect()}
+    left = [p.name for p in (tmp_path / "shared").glob("*/*")]
+    assert left == ["4_bpe_encoding"]
+
+
+def test_every_stage_keeps_odd_columns(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").where("doc_id < 40").selectExpr("*", "'x' as `a.b`", "'y' as words")
+    for name, stage in pipeline.STAGES[:4]:
+        got = stage(spark, docs, DIR)
+        assert got.columns == docs.columns, name
+        assert {tuple(r) for r in got.select("`a.b`", "words").collect()} <= {("x", "y")}

@@ -75,12 +75,33 @@ def encode_passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         end = max(at + 1, int(np.searchsorted(firsts, begin + SLICE_BYTES)))
         stop = int(firsts[end]) if end < len(firsts) else len(raw[0])
         follow = raw[0][stop : stop + 1] if stop < len(raw[0]) else None
-        parts.append(_encode([raw[0][begin:stop]], n_words, follow)[0])
+        slice_ = raw[0][begin:stop]
+        one = end == at + 1 and len(slice_) > 2 * SLICE_BYTES
+        parts.append(_encode_wide(slice_, n_words, follow) if one else _encode([slice_], n_words, follow)[0])
         at = end
     features = np.concatenate(parts)
     return features, np.array([len(features)], np.int64)
 
 
+def _encode_wide(raw: bytes, in_text: int, follow: bytes | None) -> np.ndarray:
+    """_encode for one passage of very long words, a stretch of bytes after the other."""
+    kind, pairs = np.zeros(_N_CLASSES, np.int64), np.zeros(PAIR_BUCKETS, np.int64)
+    for at in range(0, len(raw), SLICE_BYTES):
+        after = raw[at + SLICE_BYTES : at + SLICE_BYTES + 1] or follow or b" "
+        part = np.frombuffer(raw[at : at + SLICE_BYTES] + after, np.uint8)
+        kind += np.bincount(_CLASS_OF[part[:-1]], minlength=_N_CLASSES)
+        pairs += np.bincount(_PAIR_BUCKET[part[:-1].astype(np.int32) << 8 | part[1:]], minlength=PAIR_BUCKETS)
+    kind[3] += follow is None  # the blank that ends a text
+    words = run_hashes(raw)[2]
+    two = mix64(words[:-1] * _U(3) + words[1:])
+    n_bytes, some = max(int(kind.sum()), 1), max(len(words), 1)
+    shape = [
+        np.log1p(len(words)), (n_bytes - kind[3] - kind[4]) / some, 1 - len(np.unique(words)) / some,
+        1 - len(np.unique(two)) / max(len(two), 1), np.log1p(in_text),
+    ]
+    return np.concatenate([kind / n_bytes, pairs / n_bytes, shape]).astype(np.float32)[None, :]
+
+
 def _encode(raw: list[bytes], in_text: int | None = None, follow: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
     """encode_passages for texts, or for a slice of a text of ``in_text`` words that ``follow`` comes after."""
     sizes = np.array([len(x) + 1 for x in raw], np.int64)

@@ -9,8 +9,10 @@ as-of join.
 
 Captures of one site (host and first segment) see the same patterns. So the
 intervals of a site are gathered once per distinct site, and captures join them
-on the site: one row for each capture, however many entries there are. A very
-common site is dealt to several parts by a salt.
+on the site: one row for each capture, however many entries there are. Sites are
+counted first: one that holds more than a thousandth of all captures is dealt to
+as many parts as it holds thousandths, each with its copy of the site's intervals;
+all other sites have one copy.
 
 Edge cases: a null or malformed URL has no host and is not blocked; a null day
 is evaluated as not blocked; of several entries of a pattern on one day a
@@ -25,8 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts that the captures of one site are dealt to.
-SALTS = 16
+from .common import column, materialise
+
+#: A site that holds more than this share of all captures (1 / SHARES) is dealt to parts of that size.
+SHARES = 1000
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 _SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)"
@@ -73,9 +77,14 @@ def filter_urls(
 ) -> DataFrame:
     """``(key, host, day, blocked, pattern, since)`` for every row of captures."""
     seen = captures.select(
-        F.col(key), F.col(day).alias("day"), host_of(F.col(url)).alias("host"), segment_of(F.col(url)).alias("seg")
-    )
-    sites = seen.where(F.col("host").isNotNull()).select("host", "seg").distinct()
+        column(key).alias("key"), column(day).alias("day"), host_of(column(url)).alias("host"),
+        segment_of(column(url)).alias("seg"),
+    )
+    sites = materialise(seen.where(F.col("host").isNotNull()).groupBy("host", "seg").agg(F.count("*").alias("n")))
+    total = sites.agg(F.sum("n").alias("total"))  # one row
+    hot = sites.join(F.broadcast(total)).where(F.col("n") * SHARES > F.col("total"))
+    # Fewer than SHARES rows, since each stands for more than such a share.
+    hot = F.broadcast(hot.select("host", "seg", F.ceil(F.col("n") * SHARES / F.col("total")).cast("int").alias("parts")))
     rules = (
         sites.withColumn("pattern", F.explode(patterns_of(F.col("host"), F.col("seg"))))
         .join(intervals(entries), "pattern")
@@ -93,11 +102,12 @@ def filter_urls(
         ),
         F.lit(0),
     )
-    # Captures of a very common site are dealt to SALTS parts, each with its copy of the site's rules.
-    dealt = seen.withColumn("salt", F.pmod(F.xxhash64(key, "day"), F.lit(SALTS)).cast("int"))
-    copies = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = seen.join(hot, ["host", "seg"], "left").withColumn("salt", F.pmod(F.xxhash64("key", "day"), parts).cast("int"))
+    copies = rules.join(hot, ["host", "seg"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    copies = copies.drop("parts")
     return dealt.join(copies, ["host", "seg", "salt"], "left").withColumn("hit", active).select(
-        key,
+        F.col("key").alias(key),
         "host",
         "day",
         F.col("hit").isNotNull().alias("blocked"),
