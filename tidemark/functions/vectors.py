@@ -104,3 +104,31 @@ def byte_vector(text: Column, dim: int) -> Column:
         F.array(raw), lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))
     )
     return F.element_at(unit, 1)
+
+
+def padded_bytes(text: Column, dim: int) -> Column:
+    """Bytes of SHA-256 on [0, 1], zeros after the last one up to dim: the plain stand-in encoder."""
+    shares = _byte_shares(F.sha2(text, 256), min(dim, 32))
+    return F.concat(shares, F.array_repeat(F.lit(0.0), max(0, dim - 32)))
+
+
+def counted_bytes(text: Column, dim: int) -> Column:
+    """Bytes on [0, 1] of SHA-256 of the text's digest and a counter of two bytes, digest after digest, up to dim."""
+    seed = F.unhex(F.sha2(text, 256))
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.lit(max(0, -(-dim // 32) - 1))),
+        lambda i: F.sha2(F.concat(seed, F.unhex(F.lpad(F.hex(i.cast("long")), 4, "0"))), 256),
+    )
+    return _byte_shares(F.array_join(blocks, ""), dim)
+
+
+def _byte_shares(digits: Column, n: int) -> Column:
+    """The first n bytes of hexadecimal digits over 255."""
+    each = F.sequence(F.lit(0), F.lit(n - 1))
+    return F.transform(each, lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255)
+
+
+def hash_score(query: str, document: Column) -> Column:
+    """First byte of SHA-256 of query and document over 255: the stand-in reranker."""
+    digest = F.sha2(F.concat(F.lit(f"{query}:"), F.coalesce(document, F.lit(""))), 256)
+    return F.conv(F.substring(digest, 1, 2), 16, 10).cast("double") / 255

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.operators import ordered
 from tidemark.operators.folds import fold_in_order
 
 
@@ -242,11 +243,14 @@ def within_latency(elapsed_ms: Column, budget_ms: float, slow_machine: bool = Fa
 
 
 def summary(rows: DataFrame, column: str, *by: str) -> DataFrame:
-    """Least, median, 95th percentile (interpolated linearly) and greatest value."""
-    out = rows.groupBy(*by).agg(
-        F.min(column).alias("min"), F.percentile(column, 0.5).alias("median"),
-        F.percentile(column, 0.95).alias("p95"), F.max(column).alias("max"),
-    )
+    """Least, median, 95th percentile (interpolated linearly) and greatest value; no group's values meet in one task."""
+    ends = rows.groupBy(*by).agg(F.min(column).alias("min"), F.max(column).alias("max"))
+    found = ordered.exact_quantiles(rows, column, by, (0.5, 0.95))
+    levels = found.groupBy(*by).agg(
+        F.max(F.when(F.col("level") == 0.5, F.col("value"))).alias("median"),
+        F.max(F.when(F.col("level") == 0.95, F.col("value"))).alias("p95"),
+    )
+    out = ends.join(levels, list(by), "left") if by else ends.join(F.broadcast(levels))
     return out.select(*by, *(F.round(c, 6).alias(c) for c in ("min", "median", "p95", "max")))
 
 

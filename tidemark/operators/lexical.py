@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring, text
@@ -29,10 +29,35 @@ def bm25_from_postings(index: DataFrame, stats: DataFrame, query: Sequence[str],
     return joined.groupBy(key).agg(F.sum(weight).alias("bm25"))
 
 
-def corpus_stats(index: DataFrame, key: str) -> DataFrame:
-    """``(n_docs, mean_length)`` of an index: documents without a term aren't in it."""
-    lengths = index.groupBy(key).agg(F.first("length").alias("length"))
-    return lengths.agg(F.count("*").cast("double").alias("n_docs"), F.avg("length").alias("mean_length"))
+def lengths(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """``(key, length)`` of documents with a term: what statistics need, without the index."""
+    sized = docs.select(key, F.size(text.terms(F.coalesce(F.col(column), F.lit("")))).alias("length"))
+    return sized.where("length > 0")
+
+
+def corpus_stats(sizes: DataFrame) -> DataFrame:
+    """``(n_docs, mean_length)`` of document lengths, one row."""
+    return sizes.agg(F.count("*").cast("double").alias("n_docs"), F.avg("length").alias("mean_length"))
+
+
+#: Folders that a stored index deals its terms to.
+INDEX_PARTS = 64
+
+
+def write_index(docs: DataFrame, path: str, key: str, column: str, parts: int = INDEX_PARTS) -> None:
+    """Store a text column's postings, dealt to folders by term, with a table of statistics beside them."""
+    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
+    rows = postings(docs, key, column).withColumn("part", part)
+    rows.repartition("part", F.pmod(F.xxhash64(key), F.lit(8))).write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    corpus_stats(lengths(docs, key, column)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def search_index(spark: SparkSession, path: str, query: Sequence[str], key: str, parts: int = INDEX_PARTS) -> DataFrame:
+    """``(key, bm25)`` from a stored index: only the folders of the query's terms are read."""
+    rows = spark.createDataFrame([(t,) for t in query], "term string")
+    wanted = [r[0] for r in rows.select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).distinct().collect()]
+    index = spark.read.parquet(f"{path}/postings").where(F.col("part").isin(*wanted)).drop("part")
+    return bm25_from_postings(index, spark.read.parquet(f"{path}/stats"), query, key)
 
 
 def _occurrences(term: str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import policy
+from tidemark.operators import ordered, policy
 from tidemark.operators.folds import fold_in_order
 from tidemark.operators.memory import rate_limited
 from tidemark.operators.search import jaccard
@@ -21,8 +21,20 @@ def split_on(rows: DataFrame, by: str, starts: Column, *order: str, name: str =
     return marked.withColumn(name, F.sum("_begins").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_begins")
 
 
-def gap_sessions(rows: DataFrame, by: str, ts: str, key: str, seconds: float, at_gap: bool = True) -> DataFrame:
-    """Sessions of a key: a new one begins when ``seconds`` have passed (``at_gap``: or exactly that)."""
+def gap_sessions(
+    rows: DataFrame, by: str, ts: str, key: str, seconds: float, at_gap: bool = True, span_seconds: float | None = None
+) -> DataFrame:
+    """Sessions of a key: a new one begins when ``seconds`` have passed (``at_gap``: or exactly that).
+
+    With ``span_seconds`` keys are cut into spans of that time, so that a very common key
+    isn't one task's work.
+    """
+    if span_seconds is not None:
+        held = ordered.previous(rows, [by], ts, key, span_seconds, _before=ts)
+        gap = (F.unix_micros(ts) - F.unix_micros("_before")) / 1e6
+        begins = F.when(gap >= seconds if at_gap else gap > seconds, 1).otherwise(0)
+        marked = held.select(*rows.columns, begins.alias("_begins"))
+        return ordered.running(marked, [by], ts, key, span_seconds, "_begins", "session").drop("_begins")
     w = Window.partitionBy(by).orderBy(ts, key)
     gap = (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))) / 1e6
     return split_on(rows, by, gap >= seconds if at_gap else gap > seconds, ts, key, name="session")
@@ -74,16 +86,31 @@ def as_of_context(rows: DataFrame, by: str, ts: str, key: str, context: Column,
     return rows.withColumn(name, latest["c"])
 
 
-def as_of_join(left: DataFrame, right: DataFrame, by: str, ts: str, right_ts: str, payload: list[str]) -> DataFrame:
+def as_of_join(
+    left: DataFrame, right: DataFrame, by: str, ts: str, right_ts: str, payload: list[str], span_seconds: float | None = None
+) -> DataFrame:
     """left with the payload of the latest right row of the same key at or before it.
 
-    Both sides go through one shuffle as a union; there is no join product.
+    Both sides go through one shuffle as a union; there is no join product. With
+    ``span_seconds`` keys are cut into spans of that time and the latest row of each is
+    carried on, so that a very common key isn't one task's work.
     """
     packed = F.struct(*(F.col(c) for c in payload))
-    a = left.select(F.col(by).alias("_by"), F.col(ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(packed).schema[0].dataType).alias("_r"))
-    b = right.select(F.col(by).alias("_by"), F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), packed.alias("_r"))
-    w = Window.partitionBy("_by").orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = a.unionByName(b).withColumn("_last", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    kind = right.select(packed).schema[0].dataType
+    a = left.select(
+        F.col(by).alias("_by"), F.col(ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"),
+        F.lit(None).cast(kind).alias("_r"),
+    )
+    b = right.select(
+        F.col(by).alias("_by"), F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"),
+        F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), packed.alias("_r"),
+    )
+    both = a.unionByName(b)
+    if span_seconds is not None:
+        seen = ordered.latest(both, ["_by"], "_ts", "_side", span_seconds, "_r", "_last").where("_side = 1")
+    else:
+        w = Window.partitionBy("_by").orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        seen = both.withColumn("_last", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
     return seen.select("_l.*", *(F.col(f"_last.{c}").alias(c) for c in payload))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
-from tidemark.operators import memory, sessions
+from tidemark.operators import memory, ordered, sessions
 from tidemark.plans.registry import micros, query
 from tidemark.plans.search_queries import TERMS, _bm25, _bm25_sql
 from tidemark.sources.tables import table
@@ -138,6 +138,27 @@ def asof_join(spark: SparkSession, base: str) -> DataFrame:
     return sessions.as_of_join(left, right, "user_id", "ts", "at", ["o_orderkey"]).select("event_id", "o_orderkey")
 
 
+@query("""
+WITH r AS (SELECT o_custkey, o_orderdate + INTERVAL 24 YEAR AS at, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2)
+SELECT event_id, r.o_orderkey FROM events e ASOF LEFT JOIN r ON e.user_id = r.o_custkey AND e.ts >= r.at
+""")
+def asof_join_spans(spark: SparkSession, base: str) -> DataFrame:
+    """The as-of join with keys cut into spans of a week."""
+    orders = table(spark, base, "orders").withColumn("at", F.expr("o_orderdate + interval 24 year"))
+    right = orders.groupBy("o_custkey", "at").agg(F.max("o_orderkey").alias("o_orderkey"))
+    right = right.withColumnRenamed("o_custkey", "user_id")
+    left = _events(spark, base).select("event_id", "user_id", "ts")
+    out = sessions.as_of_join(left, right, "user_id", "ts", "at", ["o_orderkey"], span_seconds=604_800)
+    return out.select("event_id", "o_orderkey")
+
+
+@query(f"WITH {_SESSIONS} SELECT user_id, event_id, session FROM s")
+def session_spans(spark: SparkSession, base: str) -> DataFrame:
+    """Sessions of keys that are cut into spans of a day."""
+    rows = _events(spark, base).select("user_id", "event_id", "ts")
+    return sessions.gap_sessions(rows, "user_id", "ts", "event_id", 21600, span_seconds=86_400).drop("ts")
+
+
 @query("""
 WITH l AS (SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old, event_type AS new FROM events)
 SELECT * FROM l WHERE old IS NOT NULL AND old <> new
@@ -164,10 +185,8 @@ def _hotness(spark: SparkSession, base: str) -> DataFrame:
 
 @query(f"WITH {_HOT} SELECT user_id, score, rank() OVER (ORDER BY score DESC)::INT AS rank FROM h")
 def hotness_rank(spark: SparkSession, base: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rank = F.rank().over(Window.orderBy(F.desc("score")))
-    return _hotness(spark, base).select("user_id", "score", rank.alias("rank"))
+    ranked = ordered.rank_over_all(_hotness(spark, base), "score")
+    return ranked.select("user_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"WITH {_HOT} SELECT {_BIN} AS bin, count(*) AS n FROM h GROUP BY 1")

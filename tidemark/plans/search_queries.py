@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scoring, text, vectors
 from tidemark.operators import lexical, search
-from tidemark.plans.registry import query
+from tidemark.plans.registry import query, shared_folder
 from tidemark.sources.tables import table
 
 TERMS = ("license", "the", "moron")
@@ -79,8 +79,27 @@ SELECT doc_id, round(sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln(
 FROM i JOIN d USING (term), s GROUP BY doc_id
 """)
 def lexical_postings_bm25(spark: SparkSession, base: str) -> DataFrame:
-    index = lexical.postings(table(spark, base, "documents"), "doc_id", "text")
-    hits = lexical.bm25_from_postings(index, lexical.corpus_stats(index, "doc_id"), TERMS, "doc_id")
+    docs = table(spark, base, "documents").select("doc_id", "text")
+    stats = lexical.corpus_stats(lexical.lengths(docs, "doc_id", "text"))
+    hits = lexical.bm25_from_postings(lexical.postings(docs, "doc_id", "text"), stats, TERMS, "doc_id")
+    return hits.select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS t FROM documents),
+p AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM t),
+i AS (SELECT term, doc_id, length, count(*) AS tf FROM p GROUP BY ALL),
+s AS (SELECT count(*)::DOUBLE AS n, avg(length) AS mean FROM (SELECT DISTINCT doc_id, length FROM i)),
+d AS (SELECT term, count(*) AS df FROM i WHERE term IN ('license', 'the', 'moron') GROUP BY 1)
+SELECT doc_id, round(sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END)
+  * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75 * length / mean))), 6) AS bm25
+FROM i JOIN d USING (term), s GROUP BY doc_id
+""")
+def lexical_stored_index(spark: SparkSession, base: str) -> DataFrame:
+    """The same from an index that was written and is read by its terms' folders."""
+    folder = shared_folder(spark, "index")
+    lexical.write_index(table(spark, base, "documents").select("doc_id", "text"), folder, "doc_id", "text", 8)
+    hits = lexical.search_index(spark, folder, TERMS, "doc_id", 8)
     return hits.select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark import extend
 from tidemark.operators import context, graph, lexical, queues, writes
-from tidemark.plans.registry import query
+from tidemark.plans.registry import query, shared_folder
 from tidemark.plans.search_queries import _bm25_sql, _cosine_sql, _query_vector
-from tidemark.plans.stream_queries import shared_folder
 from tidemark.sources import tables
 from tidemark.sources.tables import table
 from tidemark.streaming import aggregate

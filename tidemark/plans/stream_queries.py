@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans.registry import query
+from tidemark.plans.registry import query, shared_folder
 from tidemark.sources import tables
 from tidemark.sources.tables import table
 from tidemark.streaming import aggregate
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir``.
-
-    Where that is unset a temporary folder serves, but only on one machine.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not base and spark.sparkContext.master.partition("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    base = base or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, base: str) -> DataFrame:
     schema = spark.read.parquet(f"{base}/events.parquet").schema
     # A pattern, since a stream takes a folder or a pattern but no single file.

@@ -352,6 +352,22 @@ def hash_vectors(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "benchmark").select("item_id", F.array_join(shown, ",").alias("vector"))
 
 
+_BYTES = "list_transform(range(0, 40), lambda i: CASE WHEN i >= {1} THEN 0 ELSE round(('0x' || substr({0}, (i * 2 + 1)::INT, 2))::INT / 255.0::DOUBLE, 5) END::DECIMAL(9, 5))"
+
+
+@query(f"""
+WITH h AS (SELECT item_id, sha256(text) AS h, sha256(from_hex(sha256(text)) || from_hex('0000')) || sha256(from_hex(sha256(text)) || from_hex('0001')) AS g, sha256('license:' || text) AS s FROM benchmark)
+SELECT item_id, array_to_string({_BYTES.format('h', 32)}, ',') AS plain, array_to_string({_BYTES.format('g', 99)}, ',') AS counted, round(('0x' || substr(s, 1, 2))::INT / 255.0::DOUBLE, 6) AS score FROM h
+""")
+def hash_encoders(spark: SparkSession, base: str) -> DataFrame:
+    shown = lambda v: F.array_join(F.transform(v, lambda x: F.round(x, 5).cast("decimal(9,5)").cast("string")), ",")
+    return table(spark, base, "benchmark").select(
+        "item_id", shown(vectors.padded_bytes(F.col("text"), 40)).alias("plain"),
+        shown(vectors.counted_bytes(F.col("text"), 40)).alias("counted"),
+        F.round(vectors.hash_score("license", F.col("text")), 6).alias("score"),
+    )
+
+
 # --- times and budgets -----------------------------------------------------------------------------
 
 _NOW = dt.datetime(2024, 1, 20, 18, tzinfo=dt.timezone.utc)
