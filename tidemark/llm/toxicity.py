@@ -165,28 +165,31 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 150, l2: float = 2.
     if not len(toxic) or toxic.min() == toxic.max():
         share = float(toxic.mean()) if len(toxic) else 0.0
         return Model(empty, np.empty(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    all_slots = Slots()
+    all_slots, size = Slots(), 1 << TABLE_BITS
+    p, q = np.zeros(size), np.zeros(size)
     docs = []
-    for at in range(0, len(texts), 256):
-        docs += [np.array(sorted(x), np.int64) for x in all_slots.of(texts[at : at + 256])]
-    owner = np.repeat(np.arange(len(docs)), list(map(len, docs)))
-    slot = np.concatenate(docs)
-    size = 1 << TABLE_BITS
-    p = np.bincount(slot, toxic[owner], size)
-    q = np.bincount(slot, 1 - toxic[owner], size)
+    for at in range(0, len(texts), 64):
+        for found, bad in zip(all_slots.of(texts[at : at + 64]), toxic[at : at + 64]):
+            docs.append(np.sort(np.fromiter(found, np.int32, len(found))))
+            (p if bad else q)[docs[-1]] += 1  # slots of one text are distinct
+    del all_slots
     used = np.flatnonzero(p + q >= LEAST_DOCS)
     ratio = np.log((p[used] + 1) / (toxic.sum() + 2)) - np.log((q[used] + 1) / ((1 - toxic).sum() + 2))
     # Slots whose ratio is noise add noise over long texts: keep those that stand out.
     error = np.sqrt(1 / (p[used] + 1) + 1 / (q[used] + 1))
     keep = np.abs(ratio) > 2.5 * error
     used, ratio = used[keep], ratio[keep]
-    place = np.full(size, -1)
+    place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
-    col = place[slot]
-    row, col = owner[col >= 0], col[col >= 0]
+    # Only slots that are kept go on, text by text.
+    cols = [c[c >= 0] for c in (place[d] for d in docs)]
+    del docs
+    row = np.repeat(np.arange(len(cols)), list(map(len, cols)))
+    col = np.concatenate(cols).astype(np.int64)
+    del cols
     value = ratio[col]
     weights, bias = np.zeros(len(used)), float(np.log(toxic.mean() / (1 - toxic.mean())))
-    n = len(docs)
+    n = len(toxic)
     balance = np.where(toxic > 0, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean()))
     m = v = np.zeros(len(used) + 1)
     for t in range(1, rounds + 1):
