@@ -345,6 +345,25 @@ def _held(spark, rows, label, modulus, fold):
     return out
 
 
+def test_rows_of_least_hash(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.labelled import least_hashed, labelled_texts
+
+    rows = spark.range(30_000).selectExpr("id as doc_id", "cast(id % 2 as int) as _label")
+    want = [r[0] for r in rows.orderBy(F.xxhash64("doc_id")).limit(500).collect()]
+    assert [r["doc_id"] for r in least_hashed(rows, "doc_id", 500, "_label")] == want
+    one = rows.selectExpr("7L as doc_id", "_label")  # a single key: all or none are below any bound
+    assert len(least_hashed(one, "doc_id", 500, "_label")) == 500
+    assert len(least_hashed(rows.limit(10), "doc_id", 500, "_label")) == 10
+    # A repeated id and texts that are too long don't widen the sample.
+    docs = rows.selectExpr("doc_id % 3 as doc_id", "concat('text ', doc_id) as text")
+    docs = docs.union(spark.createDataFrame([(4, "x" * 200_000)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (4, 1)], "doc_id long, quality int")
+    texts, good = labelled_texts(docs, labels, "quality", (3, 9), 40, "doc_id", "text")
+    assert len(texts) == len(good) == 40 and max(map(len, texts)) < 20
+
+
 def test_attention_gradients():
     """Each weight's gradient against the difference quotient of the loss."""
     from tidemark.llm.mil_quality import N_FEATURES, Model, train

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, column, mix64, run_hashes, session_of, text_chunks, word_hashes
+from .labelled import least_hashed
 
 #: Characters that count as symbols (fixed by the result contract).
 SYMBOLS = "#*$%&|<>"
@@ -271,8 +272,8 @@ def learn_from_labels(
     Only the documents of those rows are measured for it.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
-    known = known.select(F.col(key), F.col(label).cast("int").alias("_label"), F.xxhash64(key).alias("_h"))
-    chosen = known.orderBy("_h", key, "_label").limit(sample).select(key, "_label").collect()
+    known = known.select(F.col(key), F.col(label).cast("int").alias("_label"))
+    chosen = least_hashed(known, key, sample, "_label")
     marks: dict = {}
     for i, mark in chosen:
         marks.setdefault(i, []).append(mark)
