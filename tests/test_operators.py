@@ -153,6 +153,22 @@ def test_expansion_is_directed_ordered_and_bounded(spark):
         assert got == depths, most
 
 
+def test_exact_quantiles_and_ranks(spark):
+    import numpy as np
+
+    from tidemark.operators import ordered
+
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(size=9000), "b": rng.integers(0, 4, 8000).astype(float), "c": np.array([7.0]), "d": np.arange(4100.0) ** 3}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), ("e", None)], "k string, x double")
+    got = {(r["k"], r["level"]): r["value"] for r in ordered.exact_quantiles(rows, "x", ["k"], (0.0, 0.5, 0.95, 1.0), 200).collect()}
+    assert got == {(k, q): pytest.approx(np.quantile(v, q)) for k, v in groups.items() for q in (0.0, 0.5, 0.95, 1.0)}
+    ranked = {(r["k"], r["x"]): r["rank"] for r in ordered.rank_over_all(rows.where("x is not null"), "x", buckets=8).collect()}
+    every = np.sort(np.concatenate(list(groups.values())))[::-1]
+    for (_, x), rank in list(ranked.items())[::97]:
+        assert rank == 1 + int((every > x).sum())
+
+
 def test_folds_go_through_large_keys_in_order(spark):
     from tidemark.operators.folds import fold_in_order
 

@@ -60,8 +60,9 @@ def thread_hits(candidates: DataFrame, members: DataFrame, thread: str, event: s
 
 
 def graph_query(hits: DataFrame, fallback: Callable[[], DataFrame]) -> DataFrame:
-    """Thread hits, or the fallback's where there are none. The hits are a limited list, so counting them is cheap."""
-    return fallback() if hits.isEmpty() else hits
+    """Thread hits, or the fallback's where there are none. The hits are a limited list: they are run once and held."""
+    rows = hits.collect()
+    return hits.sparkSession.createDataFrame(rows, hits.schema) if rows else fallback()
 
 
 def adapters(

@@ -66,10 +66,10 @@ def _occurrences(term: str) -> Column:
 
 
 def bm25(docs: DataFrame, query: Sequence[str], key: str, column: str) -> DataFrame:
-    """``(key, bm25)`` by one scan for statistics and one for scores, without an index.
+    """``(key, bm25)`` by one scan, without an index.
 
-    Term frequencies are counted within rows, so nothing is shuffled but one row
-    of statistics.
+    Term frequencies are counted within rows. A few numbers for each document are dealt out
+    by key, so that statistics and scores both read those and texts are split once.
     """
     terms = list(dict.fromkeys(t.lower() for t in query))
     tokens = text.terms(F.coalesce(F.col(column), F.lit("")))
@@ -80,9 +80,10 @@ def bm25(docs: DataFrame, query: Sequence[str], key: str, column: str) -> DataFr
         key,
         "length",
         *(_occurrences(t).alias(f"tf{k}") for k, t in enumerate(terms)),
-    )
+    ).repartition(key)
     stats = counts.agg(
-        F.count("*").cast("double").alias("n_docs"),
+        # Of the key too, so that both readers of the exchange want the same columns.
+        F.count(F.struct(key)).cast("double").alias("n_docs"),
         F.avg("length").alias("mean_length"),
         *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))),
     )

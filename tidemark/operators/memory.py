@@ -163,25 +163,32 @@ def expand(edges: DataFrame, start: DataFrame, depth: int = 2, node: str = "node
 
     Edges are followed from src to dst. A step visits new nodes by relation, falling
     weight and id, and visiting ends at ``most`` nodes, start included; the node that
-    reaches the bound is still visited. So no step holds more than ``most`` new nodes.
+    reaches the bound is still visited. With ``most`` start nodes or more only the first
+    new node is. A step's nodes are ``most`` at most, so they are held on the driver and
+    go to the scan of the edges as a condition.
     """
-    seen = start.select(F.col(node).alias("node")).distinct().withColumn("depth", F.lit(0))
-    frontier = seen.select("node")
+    begin = start.select(F.col(node).alias("node")).distinct()
+    held = [r[0] for r in begin.limit(most + 1).collect()]
+    kind = begin.schema["node"].dataType.simpleString()
+    few = len(held) <= most
+    seen, found = set(held), []
+    if not few:  # too many to hold: the bound is reached with the first new node
+        depth = min(depth, 1)
     for k in range(1, depth + 1):
-        met = edges.join(frontier, edges["src"] == frontier["node"], "left_semi")
-        first = met.groupBy(F.col("dst").alias("node")).agg(
-            F.min(F.struct("relation", (-F.col("weight")).alias("minus"))).alias("o")
-        )
-        fresh = first.join(seen, "node", "left_anti").orderBy("o", "node").limit(most)
-        nth = F.row_number().over(Window.orderBy("o", "node"))  # of ``most`` rows
-        room = F.greatest(F.lit(most) - F.count("*"), F.lit(1)).alias("room")
-        # Once the bound is reached no step goes on.
-        full = F.when(F.count("*") < most, F.lit(True)).otherwise(F.lit(k == 1)).alias("open")
-        fresh = fresh.withColumn("n", nth).join(F.broadcast(seen.agg(room, full))).where("open and n <= room")
-        step = fresh.select("node", F.lit(k).alias("depth"))
-        frontier = step.select("node")
-        seen = seen.unionByName(step)
-    return seen
+        met = edges.where(F.col("src").isin(*held)) if few else edges.join(begin, edges["src"] == begin["node"], "left_semi")
+        order = F.min(F.struct("relation", (-F.col("weight")).alias("minus"))).alias("o")
+        first = met.groupBy(F.col("dst").alias("node")).agg(order)
+        first = first.where(~F.col("node").isin(*seen)) if few else first.join(begin, "node", "left_anti")
+        room = max(1, most - len(seen)) if few else 1
+        step = [r["node"] for r in first.orderBy("o", "node").limit(room).collect()]
+        found += [(n, k) for n in step]
+        seen |= set(step)
+        held = step
+        if not step or len(seen) >= most:
+            break
+    spark = edges.sparkSession
+    visited = spark.createDataFrame(found, f"node {kind}, depth int")
+    return begin.withColumn("depth", F.lit(0)).unionByName(visited)
 
 
 def keyword_fallback(items: DataFrame, query: str, key: str, content: str, limit: int) -> DataFrame:

@@ -78,30 +78,42 @@ def rank_over_all(rows: DataFrame, score: str, name: str = "rank", buckets: int
     return ranked.select(*rows.columns, (F.col("_within") + F.col("_above")).alias(name))
 
 
-def exact_quantiles(rows: DataFrame, column: str, by: Sequence[str], levels: Sequence[float], buckets: int = 128) -> DataFrame:
+def exact_quantiles(
+    rows: DataFrame, column: str, by: Sequence[str], levels: Sequence[float], accuracy: int = 2000
+) -> DataFrame:
     """``(by, level, value)``: exact quantiles, interpolated linearly, of each group.
 
-    Approximate quantiles, whose sketch is bounded, deal a group's values to buckets;
-    exact counts tell which buckets hold the wanted ranks, and only those are ordered.
+    A sketch, which is bounded and within ``1 / accuracy`` of each rank, gives two values
+    that every wanted rank lies between. What lies below them is only counted, what
+    lies between, a few thousandths of a group, is counted by value and ordered. Of a group
+    of twice ``accuracy`` rows or fewer all are, since there a sketch may be off by a whole rank.
     """
     known = rows.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_x"))
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = known.groupBy(*by).agg(F.percentile_approx("_x", cuts, 4 * buckets).alias("_cuts"), F.count("*").alias("_n"))
-    # A row for each group: whoever groups by more than fits a broadcast gets a join by key.
+    slack = 2.5 / accuracy
+    cuts = [min(1.0, max(0.0, q + d)) for q in levels for d in (-slack, slack)]
+    bounds = known.groupBy(*by).agg(F.percentile_approx("_x", cuts, accuracy).alias("_c"), F.count("*").alias("_n"))
     joined = known.join(bounds, list(by)) if by else known.join(F.broadcast(bounds))
-    dealt = joined.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))))
-    counts = dealt.groupBy(*by, "_bucket").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
-    upto = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_end", F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
-    places = F.array(*(F.struct(F.lit(float(q)).alias("level"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("at")) for q in levels))
-    each = counts.select(*by, "_bucket", "_start", "_end", F.explode(places).alias("_p"))
-    ends = each.select(*by, "_bucket", "_start", "_end", F.col("_p.level").alias("level"), F.col("_p.at").alias("at"),
-                       F.explode(F.array(F.floor("_p.at"), F.ceil("_p.at"))).alias("_r"))
-    wanted = ends.where("_r >= _start and _r < _end").distinct()
-    some = dealt.join(F.broadcast(wanted.select(*by, "_bucket", "_start").distinct()), [*by, "_bucket"])
-    nth = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_x")) - 1 + F.col("_start")
-    found = some.select(*by, "_bucket", "_x", nth.alias("_r"))
-    met = found.join(F.broadcast(wanted), [*by, "_bucket", "_r"])
-    low, high = F.min_by("_x", "_r"), F.max_by("_x", "_r")
-    part = F.first("at") - F.floor(F.first("at"))
-    return met.groupBy(*by, "level").agg((low + (high - low) * part).alias("value"))
+    small = F.col("_n") <= 2 * accuracy
+    parts = F.array(
+        *(
+            # Of what lies below only one mark is left, so the partial counts take one row for each.
+            F.when(
+                small | (F.col("_x") <= F.col("_c")[2 * i + 1]),
+                F.struct(
+                    F.lit(float(q)).alias("level"),
+                    F.when(small | (F.col("_x") >= F.col("_c")[2 * i]), F.col("_x")).alias("x"),
+                ),
+            )
+            for i, q in enumerate(levels)
+        )
+    )
+    each = joined.select(*by, "_n", F.explode(F.array_compact(parts)).alias("_p"))
+    counted = each.groupBy(*by, "_p.level", "_p.x").agg(F.count("*").alias("_k"), F.first("_n").alias("_n"))
+    upto = Window.partitionBy(*by, "level").orderBy(F.col("x").asc_nulls_first())
+    ends = counted.withColumn("_end", F.sum("_k").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.col("level") * (F.col("_n") - 1)
+    # The values at the ranks below and above: the first ones whose counts reach beyond them.
+    low = F.min(F.when(F.col("x").isNotNull() & (F.col("_end") > F.floor(at)), F.col("x")))
+    high = F.min(F.when(F.col("x").isNotNull() & (F.col("_end") > F.ceil(at)), F.col("x")))
+    part = F.first(at - F.floor(at))
+    return ends.groupBy(*by, "level").agg((low + (high - low) * part).alias("value"))
