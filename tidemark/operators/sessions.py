@@ -62,12 +62,11 @@ def threads(
 
 
 def rollup(rows: DataFrame, by: str, segment: str, ts: str, key: str, app: str) -> DataFrame:
-    """One row per segment: its ends, first application, size and ids in order."""
-    first = F.min_by(app, F.struct(ts, key))
+    """One row per segment: its ends, first and last application and size. Its members are rows of ``positions``."""
+    place = F.struct(ts, key)
     return rows.groupBy(by, segment).agg(
-        F.min(ts).alias("ts_start"), F.max(ts).alias("ts_end"), first.alias("first_app"),
-        F.count("*").alias("n_events"),
-        F.transform(F.array_sort(F.collect_list(F.struct(ts, key))), lambda x: x[key]).alias("ids"),
+        F.min(ts).alias("ts_start"), F.max(ts).alias("ts_end"), F.min_by(app, place).alias("first_app"),
+        F.max_by(app, place).alias("last_app"), F.count("*").alias("n_events"),
     )
 
 

@@ -43,13 +43,13 @@ def thread_segments(spark: SparkSession, base: str) -> DataFrame:
 @query(f"""
 WITH {_THREADS}
 SELECT user_id, thread, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, arg_min(event_type, (ts, event_id)) AS first_app,
-  count(*) AS n_events, array_to_string(list(event_id ORDER BY ts, event_id), ',') AS ids FROM t GROUP BY 1, 2
+  arg_max(event_type, (ts, event_id)) AS last_app, count(*) AS n_events FROM t GROUP BY 1, 2
 """)
 def thread_rollup(spark: SparkSession, base: str) -> DataFrame:
     out = sessions.rollup(_threads(spark, base), "user_id", "thread", "ts", "event_id", "event_type")
     return out.select(
         "user_id", "thread", micros("ts_start").alias("start_us"), micros("ts_end").alias("end_us"),
-        "first_app", "n_events", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"),
+        "first_app", "last_app", "n_events",
     )
 
 
