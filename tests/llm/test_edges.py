@@ -80,6 +80,14 @@ def test_every_row_has_a_result_and_no_rows_give_none(name, docs, none, labels):
     assert out.collect() == [] and out.schema == run(docs).schema
 
 
+@pytest.mark.parametrize("name", ["quality", "encode", "counts", "neardup", "rules", "licenses", "toxicity", "mix"])
+def test_texts_of_millions_of_characters(spark, name, labels):
+    """Longer than any slice, with and without blanks."""
+    texts = ["x" * 3_000_000, "one two three four " * 200_000, "\n" * 2_500_000, "short text"]
+    rows = spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    assert ids(operators(labels)[name](rows).collect()) == [0, 1, 2, 3]
+
+
 @pytest.mark.parametrize("name", ["quality", "toxicity", "rules"])
 def test_learning_without_labels(name, docs, labels):
     rows = operators(labels.limit(0))[name](docs).collect()

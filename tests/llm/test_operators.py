@@ -68,6 +68,19 @@ def test_joins_within_a_word_are_exact():
         assert join_runs(*runs, bpe, first=1) == encode_symbols(bpe.symbols(word), bpe.merges)
 
 
+def test_scan_and_heap_merge_alike():
+    """Runs on both sides of the length from which pairs are kept in a heap."""
+    from tidemark.llm.word_bpe import SCAN_SYMBOLS, MergeList
+
+    bpe, rng = load(vocabulary()), random.Random(11)
+    for n in (SCAN_SYMBOLS - 1, SCAN_SYMBOLS, SCAN_SYMBOLS + 1):
+        for _ in range(50):
+            symbols = bpe.symbols("".join(rng.choice("theinrsand") for _ in range(n)))
+            run = MergeList(symbols, bpe.merges)
+            merges = run.run()
+            assert encode_symbols(symbols, bpe.merges) == run.result() and len(symbols) - merges == len(run.result())
+
+
 def _long_texts() -> list[str]:
     rng = random.Random(7)
     words = ["".join(rng.choice("aeiourstnhld") for _ in range(rng.randint(1, 9))) for _ in range(400)]
@@ -199,6 +212,21 @@ def test_work_on_a_group_grows_with_its_size(spark):
     assert pairs[1] < 6 * pairs[0], pairs
 
 
+def test_documents_that_share_a_passage_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Buckets of documents that have a passage in common and nothing more, and a few that are near copies of each other."""
+    from tidemark.llm import neardup
+
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 4)
+    passage = [f"p{k}" for k in range(90)]
+    for n in (400,):
+        rows = [(i, " ".join([*passage, *(f"o{i}_{k}" for k in range(110))])) for i in range(n)]
+        rows += [(n + i, " ".join([*passage, *(f"o{i}_{k}" for k in range(108)), "x", f"y{i}"])) for i in range(0, 40, 7)]
+        work: dict = {}
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85, work=work).collect()
+        assert {r[0]: (r[1], r[2]) for r in got} == brute_components(dict(rows), 85)
+        assert work["pairs"] < 12 * n, work
+
+
 def test_many_strays_are_gathered(spark, monkeypatch):
     """Two large components and loose members in the same buckets, with the bound for rounds of gathering passed."""
     from tidemark.llm import neardup

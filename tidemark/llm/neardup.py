@@ -21,10 +21,12 @@ shingle, one without words has the empty set. Two documents are linked when
    one component go on: those of few members compare what is still apart. In larger
    ones the members outside the largest component, the *strays*, are compared with
    all members: while they are many, first with the most central stray, which
-   gathers them; then exactly in blocks, by products of matrices that emit nothing but
-   links between components. Members of the largest component aren't compared with
-   each other again, so n near copies and some strays cost about n. A comparison
-   looks at sizes first, then at the full sets.
+   gathers them. Then strays go of whose shingles too few are anyone else's in the group
+   (documents that share a passage and nothing more), and the others are compared exactly
+   in blocks, by products of matrices that emit nothing but links between components.
+   Members of the largest component aren't compared with each other again, so n near
+   copies and some strays cost about n. A comparison looks at sizes first, then at the
+   full sets.
 5. *Grouping.* Verified links go through union-find (:mod:`.components`).
 
 Texts are read twice: for all signatures, and for the full sets of one document of each
@@ -260,6 +262,18 @@ def _within_small(members: DataFrame, percent: int) -> DataFrame:
     return two.select("a", F.col("y.id").alias("b")).distinct()
 
 
+def _able(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members without strays that can't be linked: fewer of their shingles than a link needs are anyone else's in the group."""
+    each = members.join(sets, "id").select("pivot", "id", "stray", F.size("items").alias("n"), F.explode("items").alias("item"))
+    shared = each.groupBy("pivot", "item").agg(F.count("*").alias("c")).where("c > 1").select("pivot", "item")
+    common = each.where("stray").join(shared, ["pivot", "item"]).groupBy("pivot", "id").agg(
+        F.count("*").alias("k"), F.first("n").alias("n")
+    )
+    able = common.where(F.col("k") * 100 >= F.col("n") * percent).select("pivot", "id")
+    strays = members.where("stray").join(able, ["pivot", "id"], "left_semi")
+    return members.where("not stray").unionByName(strays.select(*members.columns))
+
+
 def _stray_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between strays and any members of other components, exact on full sets.
 
@@ -465,7 +479,9 @@ def _large_groups(
         found = more if found is None else _united(found, more)
         if none:
             break
-    marked = materialise(_strays(groups, found))
+    every = materialise(_strays(groups, found))
+    marked = materialise(_able(every, sets, percent))
+    discard(every)
     if work is not None:
         counts = marked.groupBy("pivot").agg(
             F.count_if("stray").alias("s"), F.count("*").alias("c")
