@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from tidemark.functions import scoring, text
 
 
-def postings(docs: DataFrame, key: str, column: str) -> DataFrame:
-    """``(term, key, tf, length)``: the inverted index of a text column."""
+def postings(docs: DataFrame, key: str, column: str, only: Sequence[str] | None = None) -> DataFrame:
+    """``(term, key, tf, length)``: the inverted index of a text column, of some terms only where they are given.
+
+    Terms that aren't wanted go before rows are made of them, which no filter on the index could bring about.
+    """
     tokens = docs.select(key, text.terms(F.col(column)).alias("t"))
-    each = tokens.select(key, F.size("t").alias("length"), F.explode("t").alias("term"))
+    kept = F.col("t") if only is None else F.filter("t", lambda x: x.isin(*only))
+    each = tokens.select(key, F.size("t").alias("length"), F.explode(kept).alias("term"))
     return each.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 

@@ -56,7 +56,7 @@ def proposal_reasons(
     entities. Without content, or without a policy, that is the only reason.
     """
     checks = _policy_checks(sensitivity, audiences, allowed)
-    plain = F.trim(F.regexp_replace(F.coalesce(body, F.lit("")), r"(?U)\s+", " "))
+    plain = text.normalise_text(F.coalesce(body, F.lit("")))
     lower = F.lower(plain)
     wordy = F.lit(False)
     for word in PREFERENCE_WORDS:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import entities, text
 from tidemark.operators import audit, lexical
-from tidemark.plans.policy_queries import _ascii_words
+from tidemark.plans.policy_queries import _ascii_words, _index_form
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
 
@@ -327,9 +327,7 @@ def stable_ids(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "documents").select("doc_id", ident.alias("stable"))
 
 
-@query(f"""
-SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(translate(nfc_normalize(text), '{"".join(text.PUNCTUATION)}', '{"".join(text.PUNCTUATION.values()).replace("'", "''")}'), '\\p{{Cf}}', '', 'g'), '\\s+', ' ', 'g'), ' ')) AS digest FROM documents
-""")
+@query(f"SELECT doc_id, sha256({_index_form('text')}) AS digest FROM documents")
 def normalised_digest(spark: SparkSession, base: str) -> DataFrame:
     """Digest of the index form; SQL has canonical composition only, which is the same for these texts."""
     return table(spark, base, "documents").select("doc_id", F.sha2(text.normalise_text(F.col("text")), 256).alias("digest"))

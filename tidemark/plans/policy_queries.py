@@ -27,8 +27,15 @@ def _ascii_words(column: str) -> str:
     return f"regexp_replace({marked}, '[^\\x00-\\x7F]', '_', 'g')"
 
 
+def _index_form(column: str) -> str:
+    """SQL of a text in index form; canonical composition stands for compatibility composition."""
+    marks, plain = "".join(text.PUNCTUATION), "".join(text.PUNCTUATION.values()).replace("'", "''")
+    shown = f"regexp_replace(translate(nfc_normalize({column}), '{marks}', '{plain}'), '\\p{{Cf}}', '', 'g')"
+    return f"trim(regexp_replace({shown}, '\\s+', ' ', 'g'), ' ')"
+
+
 _PERSON = [f"(?i){p}" for p in policy.PERSON_PATTERNS]
-_PREFERENCE = " OR ".join(f"contains(lower(text), '{w}')" for w in policy.PREFERENCE_WORDS)
+_PREFERENCE = " OR ".join(f"contains(lower({_index_form('text')}), '{w}')" for w in policy.PREFERENCE_WORDS)
 
 
 @query(f"""
@@ -38,7 +45,7 @@ SELECT doc_id, CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 'content_empty'
   CASE WHEN {_any_sql('text', ["(?i)" + p.removeprefix("(?i)") for p in text.PII_PATTERNS])} THEN 'policy_pii_detected' END,
   CASE WHEN {_any_sql('text', [p for p, _ in text.SECRET_PATTERNS])} THEN 'policy_secret_detected' END,
   CASE WHEN doc_id % 13 = 0 THEN 'policy_person_entity_detected' END,
-  CASE WHEN {_any_sql(_ascii_words('text'), _PERSON)} THEN 'policy_person_text_detected' END,
+  CASE WHEN {_any_sql(_ascii_words(_index_form('text')), _PERSON)} THEN 'policy_person_text_detected' END,
   CASE WHEN {_PREFERENCE} OR source = 'src1' THEN 'policy_preference_detected' END) END AS reasons FROM documents
 """)
 def proposal_policy(spark: SparkSession, base: str) -> DataFrame:
