@@ -23,15 +23,15 @@ def _any_sql(column: str, patterns) -> str:
 
 def _ascii_words(column: str) -> str:
     """SQL of a text in which ASCII stands for other letters and marks, for its word boundaries know no others."""
-    marked = f"regexp_replace({column}, '[^\\\\p{{L}}\\\\p{{Nd}}\\\\p{{Mn}}\\\\x00-\\\\x7F]', '~', 'g')".replace("\\\\", "\\")
-    return f"regexp_replace({marked}, '[^\\x00-\\x7F]', '_', 'g')"
+    marked = rf"regexp_replace({column}, '[^\p{{L}}\p{{Nd}}\p{{Mn}}\x00-\x7F]', '~', 'g')"
+    return rf"regexp_replace({marked}, '[^\x00-\x7F]', '_', 'g')"
 
 
 def _index_form(column: str) -> str:
     """SQL of a text in index form; canonical composition stands for compatibility composition."""
     marks, plain = "".join(text.PUNCTUATION), "".join(text.PUNCTUATION.values()).replace("'", "''")
-    shown = f"regexp_replace(translate(nfc_normalize({column}), '{marks}', '{plain}'), '\\p{{Cf}}', '', 'g')"
-    return f"trim(regexp_replace({shown}, '\\s+', ' ', 'g'), ' ')"
+    shown = rf"regexp_replace(translate(nfc_normalize({column}), '{marks}', '{plain}'), '\p{{Cf}}', '', 'g')"
+    return rf"trim(regexp_replace({shown}, '\s+', ' ', 'g'), ' ')"
 
 
 _PERSON = [f"(?i){p}" for p in policy.PERSON_PATTERNS]
