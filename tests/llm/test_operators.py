@@ -476,8 +476,6 @@ def test_log_count_ratios_and_scores_against_a_plain_version():
         ratio = np.log((p + 1) / (toxic.sum() + 2)) - np.log((q + 1) / ((1 - toxic).sum() + 2))
         stands_out = p + q >= toxicity.LEAST_DOCS and abs(ratio) > 2.5 * np.sqrt(1 / (p + 1) + 1 / (q + 1))
         assert (s in kept) == stands_out
-        if s in kept and kept[s]:
-            assert kept[s] > 0 or ratio * kept[s] >= 0 or abs(kept[s]) < 1
     score = model.scorer()
     for t in texts[:12]:
         z = model.bias + sum(kept.get(s, 0.0) for s in {slot_of[g] for g in grams(t)})
