@@ -265,13 +265,15 @@ def _within_small(members: DataFrame, percent: int) -> DataFrame:
 def _able(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """members without strays that can't be linked: fewer of their shingles than a link needs are anyone else's in the group."""
     each = members.join(sets, "id").select("pivot", "id", "stray", F.size("items").alias("n"), F.explode("items").alias("item"))
-    shared = each.groupBy("pivot", "item").agg(F.count("*").alias("c")).where("c > 1").select("pivot", "item")
+    shared = materialise(each.groupBy("pivot", "item").agg(F.count("*").alias("c")).where("c > 1").select("pivot", "item"))
     common = each.where("stray").join(shared, ["pivot", "item"]).groupBy("pivot", "id").agg(
         F.count("*").alias("k"), F.first("n").alias("n")
     )
     able = common.where(F.col("k") * 100 >= F.col("n") * percent).select("pivot", "id")
     strays = members.where("stray").join(able, ["pivot", "id"], "left_semi")
-    return members.where("not stray").unionByName(strays.select(*members.columns))
+    out = materialise(members.where("not stray").unionByName(strays.select(*members.columns)))
+    discard(shared)
+    return out
 
 
 def _stray_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -480,7 +482,7 @@ def _large_groups(
         if none:
             break
     every = materialise(_strays(groups, found))
-    marked = materialise(_able(every, sets, percent))
+    marked = _able(every, sets, percent)
     discard(every)
     if work is not None:
         counts = marked.groupBy("pivot").agg(
