@@ -331,3 +331,63 @@ def test_strategies_are_compared_on_whole_texts(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = {r[0]: (r["pass_rate"], r["mean_tokens"]) for r in policy_queries.strategy_comparison(spark, str(tmp_path)).collect()}
     assert got == {"en": (0.5, 7.0), "de": (1.0, 2.0)}
+
+
+def test_input_under_a_context_is_debounced(spark):
+    rows = [
+        (at(0), "input", "none"), (at(1), "foreground", "Editor"), (at(2), "input", "x"), (at(4), "input", "x"), (at(9), "input", "x"),
+        (at(10), "foreground", " DENIED"), (at(11), "input", "x"), (at(12), "foreground", "Mail"), (at(13), "input", "x"), (at(14), "input", "x"),
+    ]
+    df = spark.createDataFrame([("u", n, *r) for n, r in enumerate(rows)], "u string, n int, ts timestamp, kind string, app string")
+    out = sessions.input_activity(df, "u", "ts", "n", "kind", "app", ["denied"], 5)
+    assert sorted((r["n"], r["app"]) for r in out.collect()) == [(1, "Editor"), (2, "Editor"), (4, "Editor"), (7, "Mail"), (8, "Mail")]
+
+
+def test_input_buckets_flush(spark):
+    rows = [
+        (at(0), "keyboard", 0), (at(1), "keyboard", 0), (at(2), "mouse", 1), (at(3), "mouse", 0), (at(4), "foreground", 0),
+        (at(5), "keyboard", 0), (at(16), "keyboard", 0), (at(17), "keyboard", 0), (at(80), "keyboard", 0),
+    ]
+    df = spark.createDataFrame([("u", n, *r) for n, r in enumerate(rows)], "u string, n int, ts timestamp, device string, mouse_left_clicks int")
+    out = sessions.input_buckets(df, "u", "ts", "n", "device", 10, 60).orderBy("bucket")
+    got = [(r["session"], r["n"], r["keyboard_events"], r["mouse_left_clicks"]) for r in out.collect()]
+    # By a click; what a foreground row ends; by age; what is left when the session ends; the next session.
+    assert got == [(0, 3, 2, 1), (0, 1, 0, 0), (0, 2, 2, 0), (0, 1, 1, 0), (1, 1, 1, 0)]
+
+
+def test_micro_batches_by_time(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen = []
+    query = aggregate.flush_by_size(stream, lambda batch, n: seen.extend(r[0] for r in batch.collect()), str(tmp_path / "state"), 0.1)
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(seen) == list(range(10))
+
+
+def test_layout_as_markdown(spark):
+    from tidemark.operators import documents
+
+    words = [(0, 0, 10, 30, "Title"), (0, 40, 10, 50, "a"), (100, 40, 110, 50, "b"), (200, 40, 210, 50, "c"), (0, 60, 9, 70, "1)"), (12, 60, 20, 70, "one")]
+    rows = spark.createDataFrame([(1, *map(float, w[:4]), w[4]) for w in words], "doc long, x0 double, y0 double, x1 double, y1 double, word string")
+    lines = documents.layout_lines(rows, "doc")
+    assert [r["kind"] for r in lines.orderBy("line").collect()] == ["heading", "table", "list"]
+    assert documents.layout_markdown(lines, "doc").first()["markdown"] == "## Title\n| a | b | c |\n1) one"
+
+
+def test_queues(spark):
+    from tidemark.operators import queues
+
+    schema = "job_key string, job_type string, status string, attempts int, max_attempts int, scheduled_for timestamp, created_at timestamp, lease_expires_at timestamp, leased_by string, last_error string"
+    jobs = spark.createDataFrame([("a", "x", "pending", 0, 2, at(0), at(0), None, None, None), ("b", "x", "pending", 0, 2, at(9), at(0), None, None, None)], schema)
+    new = spark.createDataFrame([("b", 1), ("c", 2), ("c", 3), ("d", 4), ("e", 5)], "job_key string, n int")
+    assert sorted(r[0] for r in queues.enqueue(jobs, new, "job_key", "n", 4).select("job_key").collect()) == ["a", "b", "c", "d"]
+    now = F.lit(at(5))
+    leased = queues.lease(jobs, now, "w", 10)
+    state = {r["job_key"]: (r["status"], r["attempts"]) for r in leased.collect()}
+    assert state == {"a": ("leased", 1), "b": ("pending", 0)}  # b isn't due
+    failed = queues.fail(leased, spark.createDataFrame([("a", "oops")], "job_key string, error string"), now, 30)
+    row = failed.where("job_key = 'a'").first()
+    assert (row["status"], row["last_error"], row["scheduled_for"]) == ("pending", "oops", at(35))
+    late = queues.recover_stale(leased, F.lit(at(16)))
+    assert {r["job_key"]: (r["status"], r["leased_by"]) for r in late.collect()} == {"a": ("pending", None), "b": ("pending", None)}
