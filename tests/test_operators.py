@@ -391,3 +391,25 @@ def test_queues(spark):
     assert (row["status"], row["last_error"], row["scheduled_for"]) == ("pending", "oops", at(35))
     late = queues.recover_stale(leased, F.lit(at(16)))
     assert {r["job_key"]: (r["status"], r["leased_by"]) for r in late.collect()} == {"a": ("pending", None), "b": ("pending", None)}
+
+
+def test_keys_in_spans_give_the_same(spark):
+    """Every order-dependent operator with keys cut into spans of different lengths against whole keys."""
+    rng = random.Random(8)
+    rows = [
+        (u, n, at(rng.randrange(200_000)), rng.choice(["mail", "mail app", "editor"]), rng.choice(["a b", "c", None]))
+        for u in ("x", "y") for n in range(300)
+    ]
+    df = spark.createDataFrame(rows, "u string, n int, ts timestamp, app string, title string")
+    whole = lambda x: sorted(map(str, x.collect()))
+    context = F.when(F.col("n") % 3 == 0, F.col("title"))
+    calls = [
+        lambda s: sessions.gap_sessions(df, "u", "ts", "n", 900, span_seconds=s),
+        lambda s: sessions.threads(df, "u", "ts", "n", "app", "title", 10, span_seconds=s),
+        lambda s: sessions.as_of_context(df, "u", "ts", "n", context, span_seconds=s).select("u", "n", "context"),
+        lambda s: sessions.changes(df, "u", "ts", "n", "app", span_seconds=s),
+    ]
+    for call in calls:
+        want = whole(call(None))
+        for seconds in (60, 7000, 1e7):
+            assert whole(call(seconds)) == want

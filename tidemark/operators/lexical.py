@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring, text
+from tidemark.sources.tables import spread
 
 
 def postings(docs: DataFrame, key: str, column: str, only: Sequence[str] | None = None) -> DataFrame:
@@ -17,7 +18,7 @@ def postings(docs: DataFrame, key: str, column: str, only: Sequence[str] | None
 
     Terms that aren't wanted go before rows are made of them, which no filter on the index could bring about.
     """
-    tokens = docs.select(key, text.terms(F.col(column)).alias("t"))
+    tokens = spread(docs.select(key, column)).select(key, text.terms(F.col(column)).alias("t"))
     kept = F.col("t") if only is None else F.filter("t", lambda x: x.isin(*only))
     each = tokens.select(key, F.size("t").alias("length"), F.explode(kept).alias("term"))
     return each.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
@@ -35,7 +36,7 @@ def bm25_from_postings(index: DataFrame, stats: DataFrame, query: Sequence[str],
 
 def lengths(docs: DataFrame, key: str, column: str) -> DataFrame:
     """``(key, length)`` of documents with a term: what statistics need, without the index."""
-    sized = docs.select(key, F.size(text.terms(F.coalesce(F.col(column), F.lit("")))).alias("length"))
+    sized = spread(docs.select(key, column)).select(key, F.size(text.terms(F.coalesce(F.col(column), F.lit("")))).alias("length"))
     return sized.where("length > 0")
 
 
@@ -79,7 +80,7 @@ def bm25(docs: DataFrame, query: Sequence[str], key: str, column: str) -> DataFr
     tokens = text.terms(F.coalesce(F.col(column), F.lit("")))
     # Most tokens are no term of the query: one pass keeps those that are.
     hits = F.filter("t", lambda x: x.isin(*terms)).alias("hits")
-    counts = docs.select(key, tokens.alias("t")).select(key, F.size("t").alias("length"), hits)
+    counts = spread(docs.select(key, column)).select(key, tokens.alias("t")).select(key, F.size("t").alias("length"), hits)
     counts = counts.select(
         key,
         "length",
@@ -198,7 +199,7 @@ def _leaf(phrase, word):
 
 def boolean_search(docs: DataFrame, query: str, key: str, column: str) -> DataFrame:
     """``(key)`` of documents that a boolean query matches."""
-    tokens = docs.select(key, text.terms(F.coalesce(F.col(column), F.lit(""))).alias("t"))
+    tokens = spread(docs.select(key, column)).select(key, text.terms(F.coalesce(F.col(column), F.lit(""))).alias("t"))
     return tokens.where(parse(query).holds(F.col("t"))).select(key)
 
 

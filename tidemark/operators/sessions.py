@@ -42,23 +42,33 @@ def gap_sessions(
 
 def threads(
     rows: DataFrame, by: str, ts: str, key: str, app: str, title: str | None = None, minutes: float = 15,
-    app_similarity: float = 0.5, title_similarity: float = 0.3,
+    app_similarity: float = 0.5, title_similarity: float = 0.3, span_seconds: float | None = None,
 ) -> DataFrame:
     """Threads: a new one begins after a longer gap, or where neither application nor title is similar.
 
-    Only the row before matters, so one window per key is exact.
+    Only the row before matters. With ``span_seconds`` keys are cut into spans of that time,
+    so that a very common key isn't one task's work.
     """
-    w = Window.partitionBy(by).orderBy(ts, key)
-    gap = (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))) / 1e6 / 60
 
-    def alike(column: str) -> Column:
-        words = F.filter(F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), r"\W+"), lambda x: x != "")
-        return jaccard(words, F.lag(words).over(w))
+    def words(column: Column) -> Column:
+        return F.filter(F.split(F.lower(F.coalesce(column, F.lit(""))), r"\W+"), lambda x: x != "")
+
+    def starts(before) -> Column:
+        gap = (F.unix_micros(ts) - F.unix_micros(before(ts))) / 1e6 / 60
+        apart = jaccard(words(F.col(app)), words(before(app))) < app_similarity
+        if title is not None:
+            apart = apart & (jaccard(words(F.col(title)), words(before(title))) < title_similarity)
+        return (gap > minutes) | apart
 
-    apart = alike(app) < app_similarity
-    if title is not None:
-        apart = apart & (alike(title) < title_similarity)
-    return split_on(rows, by, (gap > minutes) | apart, ts, key, name="thread")
+    if span_seconds is not None:
+        names = {c: f"_before_{c}" for c in (ts, app, *([title] if title is not None else []))}
+        held = ordered.previous(rows, [by], ts, key, span_seconds, **{n: c for c, n in names.items()})
+        # The first row of a key has none before it and begins nothing.
+        begins = F.when(F.col(names[ts]).isNotNull() & starts(lambda c: F.col(names[c])), 1).otherwise(0)
+        marked = held.select(*rows.columns, begins.alias("_begins"))
+        return ordered.running(marked, [by], ts, key, span_seconds, "_begins", "thread").drop("_begins")
+    w = Window.partitionBy(by).orderBy(ts, key)
+    return split_on(rows, by, starts(lambda c: F.lag(c).over(w)), ts, key, name="thread")
 
 
 def rollup(rows: DataFrame, by: str, segment: str, ts: str, key: str, app: str) -> DataFrame:
@@ -75,11 +85,19 @@ def positions(rows: DataFrame, by: str, *order: str) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
 
 
-def as_of_context(rows: DataFrame, by: str, ts: str, key: str, context: Column, name: str = "context") -> DataFrame:
+def as_of_context(
+    rows: DataFrame, by: str, ts: str, key: str, context: Column, name: str = "context", span_seconds: float | None = None
+) -> DataFrame:
     """rows with the latest non-null context at or before them: an as-of join of a table with itself.
 
-    Rows at one time see each other's context.
+    Rows at one time see each other's context. With ``span_seconds`` keys are cut into spans
+    of that time, so that a very common key isn't one task's work.
     """
+    if span_seconds is not None:
+        # The context of each time that sets one, which its rows and the later ones see.
+        set_at = rows.where(context.isNotNull()).groupBy(by, F.col(ts).alias("_at"))
+        set_at = set_at.agg(F.max_by(F.struct(context.alias("c")), key).alias("_set"))
+        return as_of_join(rows, set_at, by, ts, "_at", ["_set"], span_seconds).withColumn(name, F.col("_set.c")).drop("_set")
     w = Window.partitionBy(by).orderBy(ts).rangeBetween(Window.unboundedPreceding, 0)
     latest = F.max(F.when(context.isNotNull(), F.struct(F.col(ts), F.col(key), context.alias("c")))).over(w)
     return rows.withColumn(name, latest["c"])
@@ -119,10 +137,14 @@ def tumbling(rows: DataFrame, by: list[str], ts: str, seconds: int) -> DataFrame
     return rows.groupBy(*by, start.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def changes(rows: DataFrame, by: str, ts: str, key: str, value: str) -> DataFrame:
-    """``(by, key, ts, old, new)`` where a value differs from the one before."""
-    w = Window.partitionBy(by).orderBy(ts, key)
-    seen = rows.select(by, key, ts, F.lag(value).over(w).alias("old"), F.col(value).alias("new"))
+def changes(rows: DataFrame, by: str, ts: str, key: str, value: str, span_seconds: float | None = None) -> DataFrame:
+    """``(by, key, ts, old, new)`` where a value differs from the one before; keys may be cut into spans of time."""
+    if span_seconds is not None:
+        seen = ordered.previous(rows.select(by, key, ts, F.col(value).alias("new")), [by], ts, key, span_seconds, old="new")
+    else:
+        w = Window.partitionBy(by).orderBy(ts, key)
+        seen = rows.select(by, key, ts, F.lag(value).over(w).alias("old"), F.col(value).alias("new"))
+    seen = seen.select(by, key, ts, "old", "new")
     return seen.where(F.col("old").isNotNull() & (F.col("old") != F.col("new")))
 
 

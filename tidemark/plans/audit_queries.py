@@ -9,7 +9,7 @@ from tidemark.functions import entities, text
 from tidemark.operators import audit, lexical
 from tidemark.plans.policy_queries import _ascii_words, _index_form
 from tidemark.plans.registry import query
-from tidemark.sources.tables import table
+from tidemark.sources.tables import spread, table
 
 
 @query("""
@@ -283,7 +283,8 @@ def _secret_sql(column: str) -> str:
 
 @query(f"SELECT doc_id, md5({_secret_sql('text')}) AS digest FROM documents")
 def redact_secrets(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "documents").select("doc_id", F.md5(text.redact_secrets(F.col("text"))).alias("digest"))
+    docs = spread(table(spark, base, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.md5(text.redact_secrets(F.col("text"))).alias("digest"))
 
 
 @query(f"SELECT doc_id, {' OR '.join(f"regexp_matches(text, '{p}')" for p in text.PII_PATTERNS)} AS pii FROM documents")

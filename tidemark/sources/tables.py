@@ -18,6 +18,21 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return df.withColumns(naive) if naive else df
 
 
+#: Bytes for each task below which a table is dealt out before work that costs far more than a shuffle of it.
+SPREAD_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all tasks if it is too small for its files to do so, else as it is.
+
+    A file of one row group is read by one task, whatever its size. The plan's own statistics
+    decide; a large table is never shuffled for this.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(tasks) if int(str(size)) < SPREAD_BYTES * tasks else df
+
+
 def eval_cases(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation cases from JSON lines."""
     schema = "id string, scenario_class string, query string, expected_evidence_ids array<string>, expected_no_evidence boolean"
