@@ -217,6 +217,7 @@ def test_documents_that_share_a_passage_are_not_compared_pair_by_pair(spark, mon
     from tidemark.llm import neardup
 
     monkeypatch.setattr(neardup, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(neardup, "BLOCK_ITEMS", 900)
     passage = [f"p{k}" for k in range(90)]
     for n in (400,):
         rows = [(i, " ".join([*passage, *(f"o{i}_{k}" for k in range(110))])) for i in range(n)]
@@ -234,6 +235,7 @@ def test_many_strays_are_gathered(spark, monkeypatch):
     monkeypatch.setattr(neardup, "MANY_STRAYS", 8)
     monkeypatch.setattr(neardup, "SMALL_BUCKET", 4)
     monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 16)
+    monkeypatch.setattr(neardup, "BLOCK_ITEMS", 2000)
     rng = random.Random(4)
     base, rows = [f"w{k}" for k in range(150)], []
     for i in range(150):

@@ -263,19 +263,80 @@ def _within_small(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _able(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members without strays that can't be linked: fewer of their shingles than a link needs are anyone else's in the group."""
-    each = members.join(sets, "id").select("pivot", "id", "stray", F.size("items").alias("n"), F.explode("items").alias("item"))
-    shared = materialise(each.groupBy("pivot", "item").agg(F.count("*").alias("c")).where("c > 1").select("pivot", "item"))
-    common = each.where("stray").join(shared, ["pivot", "item"]).groupBy("pivot", "id").agg(
-        F.count("*").alias("k"), F.first("n").alias("n")
-    )
-    able = common.where(F.col("k") * 100 >= F.col("n") * percent).select("pivot", "id")
+    """members without strays that can't be linked: fewer of their shingles than a link needs are anyone else's in the group.
+
+    Sets are cut into ranges of hashes, as many as a group's shingles take, and each range of
+    a group counts on its own which shingles occur again. The members of the largest
+    component go as one set for each batch, since only what they hold matters.
+    """
+    whole = members.join(sets, "id")
+    parts = F.ceil(F.sum(F.size("items")) / BLOCK_ITEMS).cast("int").alias("parts")
+    sizes = materialise(whole.groupBy("pivot").agg(parts))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pivots, strays, ranges = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in (0, 2, 3))
+            rows: list[tuple] = []
+            for pivot in np.unique(pivots):
+                own = np.flatnonzero(pivots == pivot)
+                n_ranges, others = int(ranges[own[0]]), []
+                for i in own:
+                    items = np.asarray(batch.column(4)[i].values).view(np.uint64)
+                    if strays[i]:
+                        name = batch.column(1)[i].as_py()
+                        rows += [(int(pivot), r, name, len(items), x, x[:0]) for r, x in _ranges(items, n_ranges)]
+                    else:
+                        others.append(items)
+                if others:
+                    seen, times = np.unique(np.concatenate(others), return_counts=True)
+                    again = dict(_ranges(seen[times > 1], n_ranges))
+                    rows += [(int(pivot), r, None, 0, x, again.get(r, x[:0])) for r, x in _ranges(seen, n_ranges)]
+            columns = list(zip(*rows)) if rows else [()] * 6
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, k) for c, k in zip(columns, kinds)), *map(_hash_lists, columns[4:])],
+                ["pivot", "part", "id", "n", "items", "twice"],
+            )
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = batch.column(1)[i].values
+                names, sizes_, items, twice = (rows.field(k) for k in range(4))
+                every = np.concatenate([np.asarray(x.flatten()) for x in (items, twice)])
+                found, times = np.unique(every, return_counts=True)
+                shared = np.isin(np.asarray(items.flatten()), found[times > 1])
+                upto = np.concatenate([[0], np.cumsum(shared)])
+                ends = np.asarray(items.offsets) - items.offsets[0].as_py()
+                common = pa.array(upto[ends[1:]] - upto[ends[:-1]], pa.int64())
+                out = [pa.array([batch.column(0)[i].as_py()] * len(names), pa.int64()), names, sizes_, common]
+                yield pa.RecordBatch.from_arrays(out, ["pivot", "id", "n", "k"]).filter(names.is_valid())
+
+    dealt = whole.join(_bounded(sizes), "pivot").select("pivot", "id", "stray", "parts", "items")
+    dealt = dealt.mapInArrow(cut, "pivot long, part int, id long, n long, items array<long>, twice array<long>")
+    cells = dealt.groupBy("pivot", "part").agg(F.collect_list(F.struct("id", "n", "items", "twice")).alias("all"))
+    common = cells.select("pivot", "all").mapInArrow(counted, "pivot long, id long, n long, k long")
+    able = common.groupBy("pivot", "id").agg(F.sum("k").alias("k"), F.first("n").alias("n"))
+    able = able.where(F.col("k") * 100 >= F.col("n") * percent).select("pivot", "id")
     strays = members.where("stray").join(able, ["pivot", "id"], "left_semi")
     out = materialise(members.where("not stray").unionByName(strays.select(*members.columns)))
-    discard(shared)
+    discard(sizes)
     return out
 
 
+def _ranges(items: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+    """Sorted hashes as ``(range, hashes)`` for those of n equal ranges of hashes that have some."""
+    at = ((items >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
+    found, first = np.unique(at, return_index=True)
+    return list(zip(found.tolist(), np.split(items, first[1:]))) if len(items) else []
+
+
+def _hash_lists(rows: tuple) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    flat = np.concatenate([np.empty(0, np.uint64), *rows]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
 def _stray_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between strays and any members of other components, exact on full sets.
 
