@@ -184,14 +184,14 @@ x AS (SELECT b.item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.t
 def _expected(spark: SparkSession, base: str) -> DataFrame:
     """``(item_id, doc_id)`` of documents that hold a benchmark passage as it is.
 
-    Pairs come from a shared rare word, the passage's longest run is then looked up in the text.
+    Pairs come from a shared rare word, the whole passage is then looked up in the text.
     """
     runs = _pairs(spark, base)
     return runs.where(F.contains("text", F.col("passage"))).select("item_id", "doc_id").distinct()
 
 
 def _pairs(spark: SparkSession, base: str) -> DataFrame:
-    """Passages beside the documents that hold their first 40 characters at some line or sentence start.
+    """Passages beside the documents that hold their rarest word.
 
     The equi-join key is the passage's rarest word, so no pair of a document and
     a passage without a common word is ever made.
