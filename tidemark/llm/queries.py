@@ -87,6 +87,24 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), repeats=3)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import filter_audit
+
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"), least_bytes=1000)
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
+
+
 def queries() -> dict:
     return {
         name: f
@@ -114,10 +132,12 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import license_scan, url_filter
+    from . import filter_audit, license_scan, url_filter, warc
 
     return {
         "op5_exact_top_k": OP5_SQL,
         "op7_license_scan": license_scan.oracle(0.8),
         "op8_url_filter": url_filter.ORACLE,
+        "op11_filter_audit": filter_audit.oracle(),
+        "op12_warc": warc.ORACLE,
     }
