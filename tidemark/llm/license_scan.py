@@ -17,13 +17,21 @@ Of each template the best window counts: the highest coefficient, then the short
 then the earlier one. Where the best windows of two templates overlap, the better one
 counts (then that of the earlier template).
 
-Templates are a bounded literal of the plan, so there is no join and no shuffle. They
-come from a table of ``(name, text)`` rows, or from :mod:`.license_texts`.
+The template's bigrams are one hash table, a literal of the plan: a bucket for each remainder of
+``xxhash64``, so finding a bigram takes one look-up however many templates there are, and
+there is no join and no shuffle. Each beginning of a window takes one pass over the
+next ``most`` bigrams, with running counts of distinct and of shared ones: a bigram is new in
+the window if its last occurrence lies before the beginning. A window ends with a bigram that is
+new, for one that isn't can be cut. Beginnings are passed over from which too few of the template's
+bigrams are near enough to beat the best window so far, or which follow on one that the window
+could gain. Templates come from a table of ``(name, text)`` rows, or from
+:mod:`.license_texts`; the list's bigrams are held by every task.
 
 Edge cases: null and empty texts and texts without a notice give no matches and
 null licence columns; texts of fewer than two words have no bigrams and match
 nothing; repeated rows are independent; an empty table gives an empty table; other
-columns are not looked at.
+columns are not looked at. A text with an anchor is held as its bigrams, about ten times its
+size; one megabyte of notices takes seconds (a test holds the number of windows down).
 """
 
 from __future__ import annotations
@@ -40,8 +48,8 @@ from pyspark.sql import functions as F
 from .common import column
 from .license_texts import TEMPLATES
 
-#: Templates that one plan carries at most.
-MOST_TEMPLATES = 500
+#: Anchors that are looked for in texts before words are split; with more, all texts are split.
+MOST_ANCHORS = 200
 
 
 def template_words(text: str) -> list[str]:
@@ -55,9 +63,9 @@ def bigrams(words: Sequence[str]) -> list[str]:
 
 
 def listed(templates: DataFrame) -> list[tuple[str, str]]:
-    """The ``(name, text)`` rows of a table of templates, in the order of both; bounded."""
+    """The ``(name, text)`` rows of a table of templates, in the order of both."""
     rows = templates.select("name", "text").where("name is not null and text is not null")
-    return [(r[0], r[1]) for r in rows.orderBy("name", "text").limit(MOST_TEMPLATES + 1).collect()]
+    return [(r[0], r[1]) for r in rows.orderBy("name", "text").collect()]
 
 
 def anchors(text: str, threshold: float) -> list[str]:
@@ -97,6 +105,118 @@ def _word_pairs(low: Column) -> Column:
     return F.element_at(pairs, 1)
 
 
+def quoted(text: str) -> str:
+    """A string of the plan's SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal(items: list[str], kind: str) -> Column:
+    """An array of constants, which the optimizer folds into one value (a JSON text would be parsed for every row)."""
+    return F.expr(f"cast(array({', '.join(items)}) as {kind})")
+
+
+def hash_table(spark, grams_of: list[tuple[str, list[str]]]) -> tuple[Column, int]:
+    """Buckets of ``(g, ts)``, a bigram and the numbers of its templates, by ``xxhash64``; and how many buckets there are."""
+    owners: dict[str, list[int]] = {}
+    for k, (_, grams) in enumerate(grams_of):
+        for g in grams:
+            owners.setdefault(g, []).append(k)
+    slots = 2 * len(owners) + 1
+    buckets: list[list] = [[] for _ in range(slots)]
+    if owners:
+        rows = spark.createDataFrame([(g,) for g in owners], "g string")
+        for g, slot in rows.select("g", F.pmod(F.xxhash64("g"), F.lit(slots))).collect():
+            buckets[slot].append(f"named_struct('g', {quoted(g)}, 'ts', array({', '.join(map(str, owners[g]))}))")
+    kind = "array<struct<g:string, ts:array<int>>>"
+    return literal([f"array({', '.join(b)})" if b else f"cast(array() as {kind})" for b in buckets], f"array<{kind}>"), slots
+
+
+def steps(pairs: str, marks: str) -> Column:
+    """For every bigram of a text ``(at, back, on, ts)``: how far back and on the same one is (0: nowhere), and its templates."""
+    ordered = F.array_sort(F.transform(pairs, lambda g, i: F.struct(g.alias("g"), (i + 1).alias("at"))))
+
+    def linked(x: Column) -> Column:
+        def far(one: Column, other: Column) -> Column:
+            return F.when(one["g"] == other["g"], F.abs(one["at"] - other["at"])).otherwise(0)
+
+        return F.transform(
+            x,
+            lambda one, k: F.struct(
+                one["at"].alias("at"), far(one, F.get(x, k - 1)).alias("back"), far(one, F.get(x, k + 1)).alias("on")
+            ),
+        )
+
+    placed = F.array_sort(F.element_at(F.transform(F.array(ordered), linked), 1))
+    return F.zip_with(placed, marks, lambda s, m: F.struct(s["at"].alias("at"), s["back"].alias("back"), s["on"].alias("on"), m.alias("ts")))
+
+
+def close(t: Column, i: Column, need: Column, whole: bool = False) -> Column:
+    """Whether ``need`` of the template's bigrams from the i-th on (or from any on) lie within its longest window."""
+    if whole:
+        ahead = F.slice(t["own"], need, F.size(t["own"]))
+        gaps = F.zip_with(F.slice(t["own"], 1, F.size(ahead)), ahead, lambda a, b: b - a < t["most"])
+        return F.exists(gaps, lambda x: x)
+    return F.coalesce(F.get(t["own"], i + need - 1) - F.get(t["own"], i) < t["most"], F.lit(False))
+
+
+def best(t: Column, every: Column, threshold: float) -> Column:
+    """A template's best window, from the running counts of each beginning that can still win."""
+
+    def from_start(held: Column, a: Column, need: Column, near: Column) -> Column:
+        """The better one of ``held`` and the windows that begin at a."""
+        new = F.filter(F.slice(near, a, t["most"]), lambda x: (x["back"] == 0) | (x["at"] - x["back"] < a))
+        shared = F.array_compact(
+            F.transform(new, lambda x, k: F.when(x["own"], F.struct(x["at"].alias("at"), (k + 1).alias("distinct"))))
+        )
+
+        def top(hits: Column) -> Column:
+            return F.array_min(
+                F.transform(
+                    hits,
+                    lambda h, k: F.struct(
+                        (-2.0 * (k + 1) / (h["distinct"] + t["n"])).alias("minus_dice"), (h["at"] - a).alias("longer"), a.alias("first")
+                    ),
+                )
+            )
+
+        enough = F.transform(F.array(shared), lambda hits: F.when(F.size(hits) >= need, F.least(held, top(hits))).otherwise(held))
+        return F.element_at(enough, 1)
+
+    def beginning(held: Column, i: Column, near: Column) -> Column:
+        dice = F.greatest(-held["minus_dice"], F.lit(threshold))
+        need = F.ceil(dice * t["n"] / (2 - dice) - 1e-9).cast("int")
+        perfect = (held["minus_dice"] == -1.0) & (held["longer"] == t["n"] - 1)
+        a = F.get(t["own"], i)
+        # A window with one of the template's bigrams before it, which it doesn't hold, is better with that.
+        before = F.coalesce(F.get(t["own"], i - 1) == a - 1, F.lit(False))
+        on = F.get(near, a - 2)["on"]
+        grows = before & ((on == 0) | (on > t["most"]))
+        able = ~perfect & ~grows & close(t, i, need)
+        found = F.transform(F.array(F.struct(a.alias("a"), need.alias("need"))), lambda x: from_start(held, x["a"], x["need"], near))
+        return F.when(able, F.element_at(found, 1)).otherwise(held)
+
+    nothing = F.struct(F.lit(1.0).alias("minus_dice"), F.lit(0).alias("longer"), F.lit(0).alias("first"))
+    own = F.transform(
+        every,
+        lambda x: F.struct(
+            x["at"].alias("at"), x["back"].alias("back"), x["on"].alias("on"),
+            F.coalesce(F.array_contains(x["ts"], t["order"]), F.lit(False)).alias("own"),
+        ),
+    )
+    window = F.transform(
+        F.array(own),
+        lambda near: F.aggregate(F.sequence(F.lit(0), F.size(t["own"]) - 1), nothing, lambda held, i: beginning(held, i, near)),
+    )
+    held = F.transform(
+        window,
+        lambda w: F.struct(
+            w["minus_dice"].alias("minus_dice"), t["order"].alias("order"), w["longer"].alias("longer"), w["first"].alias("first"),
+            (w["first"] + w["longer"]).alias("last"), t["name"].alias("name"),
+        ),
+    )
+    return F.element_at(held, 1)
+
+
 def scan_licenses(
     docs: DataFrame,
     threshold: float = 0.8,
@@ -111,65 +231,40 @@ def scan_licenses(
     """
     if isinstance(templates, DataFrame):
         templates = listed(templates)
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates")
     grams_of = [(name, bigrams(template_words(t))) for name, t in templates]
     hints = sorted({a for _, t in templates for a in anchors(t, threshold)})
-    every = sorted({g for _, grams in grams_of for g in grams})
-    known = F.array(
-        *(
-            F.struct(
-                F.lit(k).alias("order"),
-                F.lit(name).alias("name"),
-                F.array(*map(F.lit, grams)).alias("grams"),
-                F.lit(len(grams)).alias("n"),
-                *(F.lit(x).alias(s) for s, x in zip(("least", "most"), bounds(len(grams), threshold))),
-            )
-            for k, (name, grams) in enumerate(grams_of)
-            if grams
-        )
+    known = literal(
+        [
+            f"named_struct('order', {k}, 'name', {quoted(name)}, 'n', {len(g)}, 'least', {least}, 'most', {most})"
+            for k, (name, g) in enumerate(grams_of)
+            if g
+            for least, most in (bounds(len(g), threshold),)
+        ],
+        "array<struct<order:int, name:string, n:int, least:int, most:int>>",
     )
-
-    def best(t: Column) -> Column:
-        """A template's best window."""
-
-        def scored(a: Column, b: Column) -> Column:
-            grams = F.slice("pairs", a, b - a + 1)
-            shared = F.size(F.array_intersect(grams, t["grams"])) * 2.0
-            return F.struct(
-                (-shared / (F.size(F.array_distinct(grams)) + t["n"])).alias("minus_dice"),
-                t["order"].alias("order"),
-                (b - a).alias("longer"),
-                a.alias("first"),
-                b.alias("last"),
-                t["name"].alias("name"),
-            )
-
-        def from_start(a: Column, i: Column) -> Column:
-            # The i-th bigram of the template begins the window; it ends with the least-th from there at the earliest.
-            room = F.greatest(t["most"] - t["least"] + 1, F.lit(0))
-            ends = F.filter(F.slice(t["own"], i + t["least"], room), lambda b: b - a < t["most"])
-            return F.array_min(F.transform(ends, lambda b: scored(a, b)))
-
-        return F.array_min(F.transform(t["own"], from_start))
-
+    table, slots = hash_table(docs.sparkSession, grams_of)
     low = F.lower(column(text))
-    hinted = reduce(or_, (F.contains(low, F.lit(h)) for h in hints)) if hints else F.lit(False)
+    few = hints and len(hints) <= MOST_ANCHORS
+    hinted = reduce(or_, (F.contains(low, F.lit(h)) for h in hints)) if few else F.lit(bool(hints))
     rows = docs.select(column(key).alias("key"), F.when(hinted, _word_pairs(low)).alias("pairs"))
-    at = F.transform("pairs", lambda g, i: F.struct((i + 1).alias("at"), g.alias("g")))
-    rows = rows.select("key", "pairs", F.filter(at, lambda h: h["g"].isin(every)).alias("hits"))
+    owners = lambda g: F.get(F.filter(F.get(table, F.pmod(F.xxhash64(g), F.lit(slots)).cast("int")), lambda x: x["g"] == g), F.lit(0))["ts"]
+    rows = rows.select("key", "pairs", F.transform("pairs", owners).alias("marks"))
+    hits = F.filter(F.transform("marks", lambda m, i: F.struct((i + 1).alias("at"), m.alias("ts"))), lambda h: h["ts"].isNotNull())
+    rows = rows.select("key", "pairs", "marks", F.when(F.exists("marks", lambda m: m.isNotNull()), hits).alias("hits"))
+    present = F.array_distinct(F.flatten(F.transform("hits", lambda h: h["ts"])))
     own = F.transform(
-        known,
+        F.filter(known, lambda t: F.array_contains(present, t["order"])),
         lambda t: F.struct(
-            *(t[x].alias(x) for x in ("order", "name", "grams", "n", "least", "most")),
-            F.transform(F.filter("hits", lambda h: F.array_contains(t["grams"], h["g"])), lambda h: h["at"]).alias("own"),
+            *(t[x].alias(x) for x in ("order", "name", "n", "least", "most")),
+            F.transform(F.filter("hits", lambda h: F.array_contains(h["ts"], t["order"])), lambda h: h["at"]).alias("own"),
         ),
     )
-    rows = rows.select("key", "pairs", F.when(F.size("hits") > 0, own).alias("near"))
-    near = F.filter("near", lambda t: F.size(t["own"]) >= t["least"])
-    rows = rows.select("key", "pairs", near.alias("near"))
-    found = F.filter(F.transform("near", best), lambda m: m["minus_dice"] <= 1e-9 - threshold)
-    rows = rows.select("key", found.alias("found"))
+    near = F.filter(own, lambda t: (F.size(t["own"]) >= t["least"]) & close(t, F.lit(0), t["least"], whole=True))
+    rows = rows.select("key", "pairs", "marks", near.alias("near"))
+    # Bound by a one-element transform, so that the steps aren't made anew for every window.
+    tried = F.transform(F.array(steps("pairs", "marks")), lambda x: F.transform("near", lambda t: best(t, x, threshold)))
+    found = F.filter(F.element_at(tried, 1), lambda m: m["minus_dice"] <= 1e-9 - threshold)
+    rows = rows.select("key", F.when(F.size("near") > 0, found).alias("found"))
     counts = F.filter(
         "found",
         lambda m: ~F.exists("found", lambda o: (o < m) & (o["first"] <= m["last"]) & (m["first"] <= o["last"])),
