@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import (
     bpe_codec, license_scan, mil_quality, mixing, neardup, quality_rules, token_counts, topk, toxicity, url_filter,
@@ -181,6 +182,24 @@ def test_very_common_sites_are_dealt_out(spark, monkeypatch):
     assert got[0] == got[1] == got[2] and len(got[0]) == 300
 
 
+def test_hosts(spark):
+    urls = {
+        "http://[2001:DB8::1]:80/a": ("[2001:db8::1]", ["[2001:db8::1]"]),
+        "http://user:p@ss@host.com/x": ("host.com", ["host.com"]),
+        "http://example.org./x": ("example.org", ["example.org"]),
+        "http://a.example.org:8080?q=@b": ("a.example.org", ["a.example.org", "example.org"]),
+        "http://10.0.0.1/": ("10.0.0.1", ["10.0.0.1"]),
+        "http://u@[::ffff:1.2.3.4]/": ("[::ffff:1.2.3.4]", ["[::ffff:1.2.3.4]"]),
+        "http:///path": (None, None),
+        "http://..": (None, None),
+        "http://h.org/" + "long/" * 400_000: ("h.org", ["h.org"]),
+    }
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    host = url_filter.host_of(df.url)
+    got = df.select("url", host.alias("host"), url_filter.patterns_of(host, F.lit("")).alias("p")).collect()
+    assert {r["url"]: (r["host"], r["p"] if r["host"] else None) for r in got} == urls
+
+
 def test_urls(spark):
     schema = "page_id long, url string, day date, pattern string, rules string"
     import datetime as dt

@@ -14,7 +14,9 @@ counted first: one that holds more than a thousandth of all captures is dealt to
 as many parts as it holds thousandths, each with its copy of the site's intervals;
 all other sites have one copy.
 
-Edge cases: a null or malformed URL has no host and is not blocked; a null day
+Edge cases: a null or malformed URL has no host and is not blocked; user names and ports
+are no part of a host, nor is a dot at its end, and addresses have no parents; URLs of any
+length are looked at as wholes; a null day
 is evaluated as not blocked; of several entries of a pattern on one day a
 removal wins; entries with a null pattern or day take no part; of several active
 patterns the longest is named, then the first in code-point order; repeated rows
@@ -32,13 +34,15 @@ from .common import column, materialise
 #: A site that holds more than this share of all captures (1 / SHARES) is dealt to parts of that size.
 SHARES = 1000
 
-_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+#: The host is what follows the last @, up to a port; an IPv6 address stands in brackets.
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)"
+_ADDRESS = r"^\[|^[0-9]+(\.[0-9]+){3}$"
 _SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)"
 
 
 def host_of(url: Column) -> Column:
-    """Lower-cased host, null where there is none."""
-    return F.nullif(F.lower(F.regexp_extract(url, _HOST, 1)), F.lit(""))
+    """Lower-cased host without the root's dot at its end, null where there is none."""
+    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"\.+$", ""), F.lit(""))
 
 
 def segment_of(url: Column) -> Column:
@@ -47,8 +51,8 @@ def segment_of(url: Column) -> Column:
 
 
 def patterns_of(host: Column, segment: Column) -> Column:
-    """All patterns that can match: the host and its parents, with and without the segment."""
-    labels = F.split(host, r"\.")
+    """All patterns that can match: the host and its parents (an address has none), with and without the segment."""
+    labels = F.when(host.rlike(_ADDRESS), F.array(host)).otherwise(F.split(host, r"\."))
     domains = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
@@ -154,7 +158,7 @@ def listed_patterns(pages: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH seen AS (
   SELECT page_id, (DATE '2024-01-01' + ((page_id * 37) % 366)::INT)::DATE AS day,
-         nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)', 1)), '\.+$', ''), '') AS host,
          coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1), '') AS seg
   FROM pages
 ), site AS (SELECT DISTINCT host, seg FROM seen WHERE host IS NOT NULL),
