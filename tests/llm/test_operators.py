@@ -386,12 +386,26 @@ def test_rows_of_least_hash(spark):
     one = rows.selectExpr("7L as doc_id", "_label")  # a single key: all or none are below any bound
     assert len(least_hashed(one, "doc_id", 500, "_label")) == 500
     assert len(least_hashed(rows.limit(10), "doc_id", 500, "_label")) == 10
-    # A repeated id and texts that are too long don't widen the sample.
+    # A repeated id doesn't widen the sample, and long texts take their part of the budget.
     docs = rows.selectExpr("doc_id % 3 as doc_id", "concat('text ', doc_id) as text")
     docs = docs.union(spark.createDataFrame([(4, "x" * 200_000)], "doc_id long, text string"))
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (4, 1)], "doc_id long, quality int")
-    texts, good = labelled_texts(docs, labels, "quality", (3, 9), 40, "doc_id", "text")
-    assert len(texts) == len(good) == 40 and max(map(len, texts)) < 20
+    texts, good, left_out = labelled_texts(docs, labels, "quality", (3, 9), 40, "doc_id", "text")
+    assert len(texts) == len(good) == 40 and left_out == 0
+    texts, good, left_out = labelled_texts(docs.where("doc_id != 0"), labels, "quality", (3, 9), 30_000, "doc_id", "text")
+    assert max(map(len, texts)) == 200_000 and left_out == 0
+    texts, good, left_out = labelled_texts(docs, labels, "quality", (3, 9), 30_000, "doc_id", "text", budget=150_000)
+    assert max(map(len, texts)) < 20 and left_out > 0 and sum(map(len, texts)) <= 150_000
+    assert 0.4 < good.mean() < 0.6
+
+
+def test_byte_budgets():
+    from tidemark.llm.labelled import within
+
+    assert within([], [], 10) == []
+    assert within([5, 5, 5, 5], [1, 1, 0, 0], 10) == [0, 2]
+    assert within([5, 5, 5, 5], [1, 1, 1, 1], 10) == [0, 1]  # one class may use what the other leaves
+    assert within([100, 1, 1], [1, 0, 1], 10) == [1, 2]
 
 
 def test_attention_gradients():

@@ -249,7 +249,7 @@ def fit(
     docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, held: tuple[int, int], sample: int
 ) -> Model:
     """A model from ``sample`` labelled documents at most, outside the held-out fold."""
-    texts, good = labelled_texts(docs, labels, label, held, sample, key, text)
+    texts, good, _ = labelled_texts(docs, labels, label, held, sample, key, text)
     parts = [encode_passages(texts[at : at + 200]) for at in range(0, len(texts), 200)]
     if not parts:
         return train(np.empty((0, N_FEATURES), np.float32), np.empty(0, np.int64), good)

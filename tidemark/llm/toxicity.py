@@ -218,7 +218,7 @@ def toxicity(
     Labels of rows whose id falls into fold ``held[1]`` of ``held[0]`` are not used.
     """
     session_of(docs)
-    texts, toxic = labelled_texts(docs, labels, label, held, sample, key, text)
+    texts, toxic, _ = labelled_texts(docs, labels, label, held, sample, key, text)
     model = train(texts, toxic)
     kind = docs.schema[key].dataType.simpleString()
 
