@@ -286,6 +286,49 @@ def sensitivity(results: DataFrame, base: str, query: str, variant: str, item: s
     return both.groupBy(variant).agg(F.round(F.avg(share), 6).alias("jaccard"))
 
 
+#: Limits of an instability report (fixed values): least mean similarity, greatest share of changed modes.
+LEAST_JACCARD, MOST_FLIPS = 0.4, 0.5
+
+
+def changed_lists(lists: DataFrame, sizes: Mapping[str, int], top_n: int, query: str, item: str, c: int = 60) -> DataFrame:
+    """``(query, variant, item, rank)``: fused lists of the given sizes (``base``) and with each size one less and one more.
+
+    ``lists`` has ``(query, signal, item, rank)`` with one row more than each signal's size, so that one
+    retrieval serves all variants. Lists are fused by reciprocal ranks; ties go to the smaller item.
+    """
+    base = {**sizes, "top_n": top_n}
+    variants = [("base", base)] + [(f"{n}{d:+d}", {**base, n: max(1, base[n] + d)}) for n in base for d in (-1, 1)]
+    kinds = F.array(*(F.struct(F.lit(v).alias("variant"), *(F.lit(n).alias(f"_{s}") for s, n in of.items())) for v, of in variants))
+    limit = F.coalesce(*(F.when(F.col("signal") == s, F.col(f"_{s}")) for s in sizes))
+    each = lists.select("*", F.inline(kinds)).where(F.col("rank") <= limit)
+    # Whole numbers add up alike in any order.
+    fused = each.groupBy(query, "variant", item, "_top_n").agg(F.sum(F.floor(F.lit(1e9) / (c + F.col("rank")))).alias("score"))
+    w = Window.partitionBy(query, "variant").orderBy(F.desc("score"), item)
+    ranked = fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("_top_n"))
+    return ranked.select(query, "variant", item, "rank")
+
+
+def instability(results: DataFrame, answers: DataFrame, query: str, item: str) -> DataFrame:
+    """One row: how much results ``(query, variant, item)`` and answers ``(query, variant, mode, coverage)`` hang on the sizes of lists.
+
+    ``(mean_jaccard, mode_flip_rate, coverage_delta_mean, variants, failed)`` over all queries and variants
+    but ``base``; a query without results in a variant has the empty set there, and two empty sets are equal.
+    """
+    sets = results.groupBy(query, "variant").agg(F.collect_set(item).alias("s"))
+    every = answers.join(sets, [query, "variant"], "left").withColumn("s", F.coalesce("s", F.array().cast(results.select(F.array(item)).schema[0].dataType)))
+    base = every.where("variant = 'base'").select(query, F.col("s").alias("s0"), F.col("mode").alias("mode0"), F.col("coverage").alias("coverage0"))
+    both = every.where("variant != 'base'").join(base, query)
+    union = F.size(F.array_union("s", "s0"))
+    share = F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("s", "s0")) / union)
+    out = both.agg(
+        F.round(F.avg(share), 6).alias("mean_jaccard"),
+        F.round(F.avg((F.col("mode") != F.col("mode0")).cast("double")), 6).alias("mode_flip_rate"),
+        F.round(F.avg(F.abs(F.col("coverage") - F.col("coverage0"))), 6).alias("coverage_delta_mean"),
+        F.count_distinct("variant").alias("variants"),
+    )
+    return out.withColumn("failed", (F.col("mean_jaccard") < LEAST_JACCARD) | (F.col("mode_flip_rate") > MOST_FLIPS))
+
+
 def change_ratio(old: DataFrame, new: DataFrame, item: str, n: int) -> DataFrame:
     """One row: the share of the new list's first n that isn't among the old list's."""
     fresh = new.where(F.col("rank") <= n).join(old.where(F.col("rank") <= n), item, "left_anti")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import entities, text
-from tidemark.operators import audit, lexical
+from tidemark.operators import audit, positional
 from tidemark.plans.policy_queries import _ascii_words, _index_form
-from tidemark.plans.registry import query
+from tidemark.plans.registry import query, shared_folder
 from tidemark.sources.tables import spread, table
 
 
@@ -146,85 +146,116 @@ def citation_coverage(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("conv_id", "turn", "role", F.size("s").alias("n"), F.round(share, 6).alias("share"))
 
 
-def _runs(spark: SparkSession, base: str) -> DataFrame:
-    """``(item_id, variant, doc_id, rank)``: for each passage the documents that share its words, each weighed by ``ln(1 + documents / df)`` in whole millionths.
+#: Sizes of the two lists that are fused, and of the fused one.
+SIZES, TOP_N = {"k_lex": 8, "k_vec": 8}, 8
 
-    Whole numbers add up alike in any order, so ties are ties in every engine.
-    """
-    from pyspark.sql import Window
-
-    items = table(spark, base, "benchmark").select("item_id", F.array_distinct(text.terms(F.col("text"))).alias("t"))
-    words = items.select("item_id", F.explode("t").alias("term"))
-    docs = table(spark, base, "documents")
-    index = lexical.postings(docs.select("doc_id", "text"), "doc_id", "text")
-    index = index.join(words.select("term").distinct(), "term", "left_semi")
-    df = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(docs.agg(F.count("*").alias("n")))
-    weights = df.select("term", F.floor(F.log(1 + F.col("n") / F.col("df")) * 1e6).cast("long").alias("w"))
-    hits = words.join(weights, "term").join(index, "term")
-    scores = hits.groupBy("item_id", "doc_id").agg(F.sum("w").alias("by_terms"), F.sum(F.col("w") * F.col("tf")).alias("by_tf"))
-    kinds = F.array(*(F.struct(F.lit(v).alias("variant"), F.col(v).alias("score")) for v in ("by_terms", "by_tf")))
-    each = scores.select("item_id", "doc_id", F.inline(kinds))
-    w = Window.partitionBy("item_id", "variant").orderBy(F.desc("score"), "doc_id")
-    each = each.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
-    return each.select("item_id", "variant", "doc_id", "rank")
-
-
-_RUNS = """
-b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS term FROM benchmark),
-p AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents),
-i AS (SELECT term, doc_id, count(*) AS tf FROM p GROUP BY ALL), r AS (SELECT term, floor(ln(1 + (SELECT count(*) FROM documents)::DOUBLE / count(*)) * 1e6)::BIGINT AS w FROM i GROUP BY 1),
-s AS (SELECT item_id, doc_id, sum(w) AS by_terms, sum(w * tf) AS by_tf FROM b JOIN r USING (term) JOIN i USING (term) GROUP BY 1, 2),
-v AS (SELECT item_id, 'by_terms' AS variant, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY by_terms DESC, doc_id) AS rank FROM s
-  UNION ALL SELECT item_id, 'by_tf', doc_id, row_number() OVER (PARTITION BY item_id ORDER BY by_tf DESC, doc_id) FROM s),
-t AS (SELECT * FROM v WHERE rank <= 10),
-x AS (SELECT b.item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
-"""
-
-
-def _expected(spark: SparkSession, base: str) -> DataFrame:
-    """``(item_id, doc_id)`` of documents that hold a benchmark passage as it is.
 
-    Pairs come from a shared rare word, the whole passage is then looked up in the text.
-    """
-    runs = _pairs(spark, base)
-    return runs.where(F.contains("text", F.col("passage"))).select("item_id", "doc_id").distinct()
+def _passages(spark: SparkSession, base: str) -> DataFrame:
+    """``(query, item_id, signal, term)``: the words of each passage, those at even and those at odd places apart."""
+    words = table(spark, base, "benchmark").select("item_id", F.posexplode(text.terms(F.col("text"))).alias("i", "term"))
+    signal = F.when(F.col("i") % 2 == 0, "k_lex").otherwise("k_vec")
+    return words.select(F.concat_ws(":", "item_id", signal).alias("query"), "item_id", signal.alias("signal"), "term").distinct()
 
 
-def _pairs(spark: SparkSession, base: str) -> DataFrame:
-    """Passages beside the documents that hold their rarest word.
+def _index(spark: SparkSession, base: str) -> str:
+    folder = shared_folder(spark, "positional")
+    positional.write(table(spark, base, "documents").select("doc_id", "text"), folder, "doc_id", {"text": 1.0}, positions=False)
+    return folder
 
-    The equi-join key is the passage's rarest word, so no pair of a document and
-    a passage without a common word is ever made.
+
+def _expected(spark: SparkSession, base: str, folder: str) -> DataFrame:
+    """``(item_id, doc_id)`` of documents that hold a benchmark passage as it is.
+
+    Candidates are the documents with the passage's rarest word; the whole passage is then looked up in the text.
     """
     items = table(spark, base, "benchmark").select("item_id", F.col("text").alias("passage"))
-    words = items.select("item_id", "passage", F.explode(F.array_distinct(text.terms(F.col("passage")))).alias("term"))
-    index = lexical.postings(table(spark, base, "documents"), "doc_id", "text")
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("item_id").orderBy("df", "term")
-    rarest = words.join(df, "term").withColumn("n", F.row_number().over(w)).where("n = 1")
+    words = items.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(text.terms(F.col("passage")))).alias("term"))
+    near = positional.rarest(spark, folder, words).select(F.col("query").alias("item_id"), F.col("key").alias("doc_id"))
     docs = table(spark, base, "documents").select("doc_id", "text")
-    return rarest.select("item_id", "passage", "term").join(index.select("term", "doc_id"), "term").join(docs, "doc_id")
+    both = near.join(items, "item_id").join(docs, "doc_id")
+    return both.where(F.contains("text", F.col("passage"))).select("item_id", "doc_id").distinct()
+
+
+_TERMS_OF = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')"
+_INDEX_SQL = f"""
+p AS (SELECT doc_id, unnest({_TERMS_OF}) AS term FROM documents), i AS (SELECT term, doc_id, count(*) AS tf FROM p GROUP BY ALL),
+l AS (SELECT doc_id, sum(tf) AS len FROM i GROUP BY 1), s AS (SELECT count(*)::DOUBLE AS n, avg(len)::DOUBLE AS mean FROM l),
+d AS (SELECT term, greatest(ln((n - count(*) + 0.5) / (count(*) + 0.5)), 0) AS odds FROM i, s GROUP BY term, n),
+w AS (SELECT term, doc_id, (CASE WHEN odds > 0 THEN odds ELSE 1e-6 END) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75 * len / mean))) AS x
+  FROM i JOIN d USING (term) JOIN l USING (doc_id), s),
+b AS (SELECT item_id, unnest({_TERMS_OF}) AS term, generate_subscripts({_TERMS_OF}, 1) - 1 AS place FROM benchmark),
+e AS (SELECT b.item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
 
 
 @query(f"""
-WITH {_RUNS}, h AS (SELECT item_id, count(*) AS found, min(rank) AS first FROM t JOIN x USING (item_id, doc_id) WHERE variant = 'by_terms' GROUP BY 1),
-w AS (SELECT item_id, count(*) AS wanted FROM x GROUP BY 1)
-SELECT round(avg(coalesce(found, 0) / wanted), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, count(*) AS n_queries FROM w LEFT JOIN h USING (item_id)
+WITH {_INDEX_SQL}, q AS (SELECT DISTINCT item_id, term FROM b),
+t AS (SELECT item_id, doc_id, round(sum(x), 6) AS score FROM q JOIN w USING (term) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM t QUALIFY rank <= 10),
+h AS (SELECT item_id, count(*) AS found, min(rank) AS first FROM r JOIN e USING (item_id, doc_id) GROUP BY 1),
+v AS (SELECT item_id, count(*) AS wanted FROM e GROUP BY 1)
+SELECT round(avg(coalesce(found, 0) / wanted), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, count(*) AS n_queries FROM v LEFT JOIN h USING (item_id)
 """)
 def eval_recall_mrr(spark: SparkSession, base: str) -> DataFrame:
-    runs = _runs(spark, base).where("variant = 'by_terms'")
-    return audit.retrieval_metrics(runs, _expected(spark, base), "item_id", "doc_id", 10)
+    """The ten best documents of each passage by BM25, from a stored index whose blocks are pruned."""
+    folder = _index(spark, base)
+    queries = _passages(spark, base).select(F.col("item_id").alias("query"), "term")
+    runs = positional.top_k(spark, folder, queries, 10, "doc_id").withColumnRenamed("query", "item_id")
+    return audit.retrieval_metrics(runs, _expected(spark, base, folder), "item_id", "doc_id", 10)
+
+
+def _changed(spark: SparkSession, base: str, folder: str) -> DataFrame:
+    """``(item_id, variant, doc_id, rank)`` of one retrieval with all changes of its sizes by one."""
+    words = _passages(spark, base)
+    best = positional.top_k(spark, folder, words, max(SIZES.values()) + 1, "doc_id")
+    lists = best.join(words.select("query", "item_id", "signal").distinct(), "query")
+    return audit.changed_lists(lists.select("item_id", "signal", "doc_id", "rank"), SIZES, TOP_N, "item_id", "doc_id")
+
+
+_CHANGED_SQL = _INDEX_SQL + """,
+q AS (SELECT DISTINCT item_id, CASE WHEN place % 2 = 0 THEN 'k_lex' ELSE 'k_vec' END AS signal, term FROM b),
+t AS (SELECT item_id, signal, doc_id, round(sum(x), 6) AS score FROM q JOIN w USING (term) GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id, signal ORDER BY score DESC, doc_id) AS rank FROM t QUALIFY rank <= 9),
+c(variant, k_lex, k_vec, top_n) AS (VALUES ('base', 8, 8, 8), ('k_lex-1', 7, 8, 8), ('k_lex+1', 9, 8, 8), ('k_vec-1', 8, 7, 8),
+  ('k_vec+1', 8, 9, 8), ('top_n-1', 8, 8, 7), ('top_n+1', 8, 8, 9)),
+f AS (SELECT item_id, variant, doc_id, top_n, sum(floor(1e9 / (60 + rank))) AS score FROM r, c
+  WHERE rank <= CASE WHEN signal = 'k_lex' THEN k_lex ELSE k_vec END GROUP BY ALL),
+g AS (SELECT *, row_number() OVER (PARTITION BY item_id, variant ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= top_n),
+k AS (SELECT item_id, variant, list(doc_id) AS s FROM g GROUP BY 1, 2)"""
 
 
 @query(f"""
-WITH {_RUNS}, l AS (SELECT item_id, variant, list(doc_id) AS s FROM t GROUP BY 1, 2)
+WITH {_CHANGED_SQL}
 SELECT a.variant, round(avg(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s)))), 6) AS jaccard
-FROM l a JOIN l b ON a.item_id = b.item_id AND b.variant = 'by_terms' WHERE a.variant <> 'by_terms' GROUP BY 1
+FROM k a JOIN k b ON a.item_id = b.item_id AND b.variant = 'base' WHERE a.variant <> 'base' GROUP BY 1
 """)
 def sensitivity_jaccard(spark: SparkSession, base: str) -> DataFrame:
-    return audit.sensitivity(_runs(spark, base), "by_terms", "item_id", "variant", "doc_id")
+    return audit.sensitivity(_changed(spark, base, _index(spark, base)), "base", "item_id", "variant", "doc_id")
+
+
+@query(f"""
+WITH {_CHANGED_SQL}, m AS (SELECT DISTINCT item_id FROM benchmark), wanted AS (SELECT item_id, count(*) AS n FROM e GROUP BY 1),
+found AS (SELECT item_id, variant, count(*) AS n FROM g JOIN e USING (item_id, doc_id) GROUP BY 1, 2),
+a AS (SELECT item_id, variant, coalesce(found.n::DOUBLE / wanted.n, 0) AS coverage FROM m CROSS JOIN c LEFT JOIN wanted USING (item_id) LEFT JOIN found USING (item_id, variant)),
+y AS (SELECT a.*, CASE WHEN coverage >= 0.6 THEN 'NORMAL' ELSE 'NO_EVIDENCE' END AS mode, coalesce(s, []) AS s FROM a LEFT JOIN k USING (item_id, variant)),
+z AS (SELECT v.variant, CASE WHEN len(v.s) + len(o.s) = 0 THEN 1.0 ELSE len(list_intersect(v.s, o.s))::DOUBLE / len(list_distinct(list_concat(v.s, o.s))) END AS j,
+  (v.mode <> o.mode)::INT::DOUBLE AS flip, abs(v.coverage - o.coverage) AS delta FROM y v JOIN y o ON v.item_id = o.item_id AND o.variant = 'base' WHERE v.variant <> 'base')
+SELECT round(avg(j), 6) AS mean_jaccard, round(avg(flip), 6) AS mode_flip_rate, round(avg(delta), 6) AS coverage_delta_mean, count(DISTINCT variant) AS variants,
+  round(avg(j), 6) < 0.4 OR round(avg(flip), 6) > 0.5 AS failed FROM z
+""")
+def retrieval_instability(spark: SparkSession, base: str) -> DataFrame:
+    """The report over all changes of list sizes by one; a passage's coverage is the share of its documents that are found."""
+    folder = _index(spark, base)
+    results = _changed(spark, base, folder)
+    results = results.checkpoint() if spark.sparkContext.getCheckpointDir() else results
+    expected = _expected(spark, base, folder)
+    wanted = expected.groupBy("item_id").agg(F.count("*").alias("wanted"))
+    found = results.join(expected, ["item_id", "doc_id"]).groupBy("item_id", "variant").agg(F.count("*").alias("found"))
+    names = ["base", *(f"{n}{d:+d}" for n in (*SIZES, "top_n") for d in (-1, 1))]
+    items = table(spark, base, "benchmark").select("item_id").distinct()
+    every = items.withColumn("variant", F.explode(F.array(*map(F.lit, names)))).join(wanted, "item_id", "left").join(found, ["item_id", "variant"], "left")
+    every = every.withColumn("coverage", F.coalesce(F.col("found") / F.col("wanted"), F.lit(0.0)))
+    answers = every.withColumn("mode", F.when(F.col("coverage") >= 0.6, "NORMAL").otherwise("NO_EVIDENCE"))
+    return audit.instability(results, answers.select("item_id", "variant", "mode", "coverage"), "item_id", "doc_id")
 
 
 @query("""

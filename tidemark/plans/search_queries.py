@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring, text, vectors
-from tidemark.operators import lexical, search
+from tidemark.operators import documents, lexical, positional, search
 from tidemark.plans.registry import query, shared_folder
 from tidemark.sources.tables import table
 
@@ -135,6 +135,81 @@ def fts_boolean_query(spark: SparkSession, base: str) -> DataFrame:
     return lexical.boolean_search(table(spark, base, "documents"), wanted, "doc_id", "text")
 
 
+def _share_sql(tf: str, df: str) -> str:
+    """DuckDB SQL of one leaf's part in BM25, given its frequency, document frequency and ``n``, ``len``, ``mean``."""
+    odds = f"ln((n - {df} + 0.5) / ({df} + 0.5))"
+    return f"CASE WHEN {tf} > 0 THEN (CASE WHEN {odds} > 0 THEN {odds} ELSE 1e-6 END) * {tf} * 2.2::DOUBLE / ({tf} + 1.2::DOUBLE * (0.25 + 0.75 * len / mean)) ELSE 0 END"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS t FROM documents),
+c AS (SELECT doc_id, len(t) AS len, len(list_filter(range(1, len(t)), lambda i: t[i] = 'licensed' AND t[i + 1] = 'under')) AS a,
+  len(list_filter(t, lambda x: x = 'idiot')) AS b, len(list_filter(t, lambda x: x = 'moron')) AS c, len(list_filter(t, lambda x: starts_with(x, 'th'))) AS d FROM t WHERE len(t) > 0),
+s AS (SELECT count(*)::DOUBLE AS n, avg(len) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db, count(*) FILTER (c > 0) AS dc, count(*) FILTER (d > 0) AS dd FROM c)
+SELECT doc_id, round({_share_sql("a", "da")} + {_share_sql("b", "db")} + {_share_sql("c", "dc")} + {_share_sql("d", "dd")}, 6) AS bm25
+FROM c, s WHERE (a > 0 OR b > 0) AND c = 0 AND d > 0
+""")
+def fts_indexed_query(spark: SparkSession, base: str) -> DataFrame:
+    """Phrase, prefix and NOT from a stored index with positions, with scores."""
+    folder = shared_folder(spark, "positional")
+    positional.write(table(spark, base, "documents").select("doc_id", "text"), folder, "doc_id", {"text": 1.0})
+    found = positional.search(spark, folder, '("licensed under" OR idiot) NOT moron th*', "doc_id")
+    return found.select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+def _best_sql(rows: str, key: str, n: int) -> str:
+    """DuckDB SQL of ``(key, bm25, rank)``: the best n of ``(key, t)`` rows, t an array of words, for TERMS."""
+    tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(TERMS))
+    df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(TERMS)))
+    score = " + ".join(_share_sql(f"tf{i}", f"df{i}") for i in range(len(TERMS)))
+    return f"""
+WITH RECURSIVE {rows}, c AS (SELECT {key}, len(t) AS len, {tf} FROM t WHERE len(t) > 0), s AS (SELECT count(*)::DOUBLE AS n, avg(len) AS mean, {df} FROM c),
+b AS (SELECT {key}, round({score}, 6) AS bm25 FROM c, s WHERE {" OR ".join(f"tf{i} > 0" for i in range(len(TERMS)))})
+SELECT {key}, bm25, (row_number() OVER (ORDER BY bm25 DESC, {key}))::INT AS rank FROM b QUALIFY rank <= {n}"""
+
+
+_CHUNK_SQL = """cut AS (
+  SELECT doc_id, text, 0 AS chunk, 0 AS s, CASE WHEN length(text) <= 800 THEN length(text) WHEN contains(substr(text, 201, 600), chr(10) || chr(10))
+    THEN 800 - strpos(reverse(substr(text, 201, 600)), chr(10) || chr(10)) + 1 ELSE 800 END AS e FROM documents WHERE length(text) > 0
+  UNION ALL SELECT doc_id, text, chunk + 1, e, CASE WHEN length(text) <= e + 800 THEN length(text) WHEN contains(substr(text, e + 201, 600), chr(10) || chr(10))
+    THEN e + 800 - strpos(reverse(substr(text, e + 201, 600)), chr(10) || chr(10)) + 1 ELSE e + 800 END FROM cut WHERE e < length(text)),
+t AS (SELECT doc_id || ':' || chunk AS chunk_id, regexp_extract_all(lower(substr(text, s + 1, e - s)), '[a-z0-9_]+') AS t FROM cut)"""
+
+
+@query(_best_sql(_CHUNK_SQL, "chunk_id", 30))
+def chunk_bm25(spark: SparkSession, base: str) -> DataFrame:
+    """The best chunks of all documents, from an index at the chunks' grain."""
+    folder = shared_folder(spark, "chunks")
+    cut = documents.chunks(table(spark, base, "documents"), "doc_id", "text")
+    cut = cut.select(F.concat_ws(":", "doc_id", "chunk").alias("chunk_id"), "body")
+    positional.write(cut, folder, "chunk_id", {"body": 1.0}, positions=False)
+    best = positional.top_k(spark, folder, positional.as_queries(spark, {"q": TERMS}), 30, "chunk_id")
+    return best.select("chunk_id", "bm25", "rank")
+
+
+_THREAD_SQL = """f AS (SELECT conv_id, arg_min(text, turn) AS title, string_agg(CASE WHEN role = 'assistant' THEN text END, ' ' ORDER BY turn) AS summary,
+  string_agg(array_to_string(regexp_extract_all(text, '[A-Z][a-z]+'), ' '), ' ' ORDER BY turn) AS entities, string_agg(CASE WHEN role = 'user' THEN text END, ' ' ORDER BY turn) AS tasks
+  FROM conversations GROUP BY 1),
+t AS (SELECT conv_id, list_concat(list_concat(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9_]+'), regexp_extract_all(lower(coalesce(summary, '')), '[a-z0-9_]+')),
+  list_concat(regexp_extract_all(lower(coalesce(entities, '')), '[a-z0-9_]+'), regexp_extract_all(lower(coalesce(tasks, '')), '[a-z0-9_]+'))) AS t FROM f)"""
+
+
+@query(_best_sql(_THREAD_SQL, "conv_id", 30))
+def thread_bm25(spark: SparkSession, base: str) -> DataFrame:
+    """The best conversations by their titles, summaries, entities and tasks, the fields of one index."""
+    folder = shared_folder(spark, "threads")
+    turns = table(spark, base, "conversations")
+    own = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", c.alias("x")))), lambda s: s["x"]), " ")
+    names = F.array_join(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)), " ")
+    threads = turns.groupBy("conv_id").agg(
+        F.min_by("text", "turn").alias("title"), own(F.when(F.col("role") == "assistant", F.col("text"))).alias("summary"),
+        own(names).alias("entities"), own(F.when(F.col("role") == "user", F.col("text"))).alias("tasks"),
+    )
+    positional.write(threads, folder, "conv_id", dict.fromkeys(("title", "summary", "entities", "tasks"), 1.0))
+    best = positional.top_k(spark, folder, positional.as_queries(spark, {"q": TERMS}), 30, "conv_id")
+    return best.select("conv_id", "bm25", "rank")
+
+
 @query(f"""
 SELECT vec_id, round({_cosine_sql()}, 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20
 """)
