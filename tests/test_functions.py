@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import random
+import re
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import entities, images, notation, scoring, structured, text, vectors
+from tidemark.functions import entities, images, notation, scoring, spans, structured, text, vectors
 from tidemark.operators import documents, lexical, planner
 
 
@@ -151,9 +153,43 @@ def test_chunks_cover_documents(spark):
     assert all(body[r["start"] : r["end"]] == r["body"] for r in got)
 
 
-def test_redaction_map():
-    got, known = documents.redact_spans("a@b.co and 12345 a@b.co", [("mail", r"\S+@\S+"), ("num", r"\d+")])
-    assert got == "[mail:1] and [num:2] [mail:1]" and known == {"mail:1": "a@b.co", "num:2": "12345"}
+def test_redaction_map(spark):
+    patterns = [("mail", r"\S+@\S+"), ("num", r"\d+"), ("long", r"[0-9 ]+x")]
+    for body, want, tokens in (
+        ("a@b.co and 12345 a@b.co", "[mail:1] and [num:2] [mail:1]", {"mail:1": "a@b.co", "num:2": "12345"}),
+        ("1 2x é 7", "[long:1] é [num:2]", {"long:1": "1 2x", "num:2": "7"}),
+        ("a 12@b 12", "a [mail:1] [num:2]", {"mail:1": "12@b", "num:2": "12"}),
+        ("", "", {}),
+        (None, "", {}),
+        ("nothing", "nothing", {}),
+    ):
+        got = one(spark, documents.redaction(F.col("v").cast("string"), patterns), v=body)
+        assert (got["body"], got["tokens"]) == (want, tokens)
+
+
+def test_ranges_of_matches(spark):
+    rng = random.Random(3)
+    patterns = [("a", "ab+"), ("b", "b+c"), ("c", r"(?U)\w+")]
+    bodies = ["", "ab", "é ab bc", "abc"] + ["".join(rng.choice("ab cé") for _ in range(rng.randrange(40))) for _ in range(60)]
+    df = spark.createDataFrame([(b,) for b in bodies], "v string")
+    for name, pattern in patterns:
+        got = df.select("v", spans.matches(F.col("v"), pattern).alias("m")).collect()
+        for r in got:
+            assert [tuple(m) for m in r["m"]] == [(m.start(), m.end(), m[0]) for m in re.finditer(pattern.replace("(?U)", ""), r["v"])]
+    for r in df.select("v", spans.by_precedence(F.col("v"), patterns).alias("m")).collect():
+        taken, want = set(), []
+        for name, pattern in patterns:
+            found = [m for m in re.finditer(pattern.replace("(?U)", ""), r["v"]) if not taken & set(range(m.start(), m.end()))]
+            want += [(m.start(), m.end(), name, m[0]) for m in found]
+            taken |= {i for m in found for i in range(m.start(), m.end())}
+        assert [tuple(m) for m in r["m"]] == sorted(want)
+
+
+def test_pseudonyms_stay_in_the_jvm(spark):
+    df = spark.createDataFrame([("x@y.org",)], "v string")
+    for c in (entities.pseudonymised(F.col("v"), "s"), entities.pseudonymised_with_mapping(F.col("v"), "s"), documents.redaction(F.col("v"), [("n", "[0-9]+")])):
+        plan = df.select(c.alias("x"))._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
 def test_layout(spark):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import spans
 from tidemark.functions import text as tx
 
 
@@ -52,40 +52,47 @@ def chunks(docs: DataFrame, key: str, column: str, most: int = 800, least: int =
     return out.withColumn("chunk_hash", F.sha2("body", 256))
 
 
-def redact_spans(body: str, patterns: Sequence[tuple[str, str]]) -> tuple[str, dict[str, str]]:
-    """A text with every match of named patterns as ``name:n``, and what each one stood for.
+def redaction(body: Column, patterns: Sequence[tuple[str, str]]) -> Column:
+    """``struct(body, tokens)``: a text with every match of named patterns as ``[name:n]``, and what each one stood for.
 
-    Overlapping matches are one range, named after the pattern that begins first.
+    Overlapping matches are one range, named after the one that begins first; equal values share a token, which
+    has the number of the value in order of appearance. A null text is the empty one.
     """
-    found = sorted((m.start(), -m.end(), name) for name, p in patterns for m in re.finditer(p, body))
-    merged: list[list] = []
-    for start, minus_end, name in found:
-        if merged and start < merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], -minus_end)
-        elif -minus_end > start:
-            merged.append([start, -minus_end, name])
-    out, at, known = [], 0, {}
-    for start, end, name in merged:
-        value = body[start:end]
-        token = next((t for t, v in known.items() if v == value), f"{name}:{len(known) + 1}")
-        known[token] = value
-        out += [body[at:start], f"[{token}]"]
-        at = end
-    return "".join([*out, body[at:]]), known
+    body = F.coalesce(body, F.lit(""))
+
+    def tokens(ranges: Column) -> Column:
+        def known(values: Column) -> Column:
+            # A token has the name of the first range with its value.
+            token = lambda v: F.concat_ws(":", F.get(F.filter(ranges, lambda r: r["value"] == v), F.lit(0))["kind"], F.array_position(values, v))
+            entries = F.transform(values, lambda v: F.struct(token(v).alias("token"), v.alias("value")))
+
+            def shown(named: Column) -> Column:
+                own = F.transform(
+                    ranges,
+                    lambda r: F.struct(
+                        r["start"].alias("start"), r["end"].alias("end"),
+                        F.concat(F.lit("["), F.get(named, (F.array_position(values, r["value"]) - 1).cast("int"))["token"], F.lit("]")).alias("token"),
+                    ),
+                )
+                return F.struct(spans.bound(own, lambda x: spans.with_tokens(body, x)).alias("body"), F.map_from_entries(named).alias("tokens"))
+
+            return spans.bound(entries, shown)
+
+        return spans.bound(F.array_distinct(F.transform(ranges, lambda r: r["value"])), known)
+
+    valued = lambda ranges: F.transform(
+        ranges,
+        lambda r: F.struct(
+            r["start"].alias("start"), r["end"].alias("end"), r["kind"].alias("kind"),
+            F.substring(body, r["start"] + 1, r["end"] - r["start"]).alias("value"),
+        ),
+    )
+    return spans.bound(spans.bound(spans.merged(body, patterns), valued), tokens)
 
 
 def redacted(docs: DataFrame, key: str, column: str, patterns: Sequence[tuple[str, str]]) -> DataFrame:
     """``(key, body, tokens map)`` with every match replaced by a token."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            done = [redact_spans(b if isinstance(b, str) else "", patterns) for b in batch["body"]]
-            yield pd.DataFrame({"key": batch["key"], "body": [d[0] for d in done], "tokens": [d[1] for d in done]})
-
-    rows = docs.select(F.col(key).alias("key"), F.col(column).alias("body"))
-    out = rows.mapInPandas(run, f"key {kind}, body string, tokens map<string,string>")
-    return out.withColumnRenamed("key", key)
+    return docs.select(key, redaction(F.col(column), patterns).alias("r")).select(key, "r.body", "r.tokens")
 
 
 def layout_lines(spans: DataFrame, by: str, tolerance: float = 0.6) -> DataFrame:

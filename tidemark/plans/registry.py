@@ -27,6 +27,22 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def hmac_sql(value: str, secret: str) -> str:
+    """DuckDB SQL of a text's HMAC-SHA256 in hex, for secrets of 64 bytes at most."""
+    inner, outer = (bytes(b ^ pad for b in secret.encode().ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({value}))))"
+
+
+def ranges_sql(name: str, rows: str, patterns: dict[str, str]) -> str:
+    """DuckDB CTEs ending in ``name``: ``(doc_id, kind, s, e, value)`` of what patterns match in ``(doc_id, text)`` rows."""
+    each = " UNION ALL ".join(
+        f"SELECT doc_id, '{kind}' AS kind, string_split_regex(text, '{p}') AS gap, regexp_extract_all(text, '{p}') AS hit FROM {rows}" for kind, p in patterns.items()
+    )
+    before = "list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0)"
+    return f"""{name}_all AS ({each}), {name}_at AS (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM {name}_all WHERE len(hit) > 0),
+{name} AS (SELECT doc_id, kind, ({before})::BIGINT AS s, ({before})::BIGINT + length(hit[i]) AS e, hit[i] AS value FROM {name}_at)"""
+
+
 def micros(column: str | Column) -> Column:
     """A timestamp as whole microseconds, which engines hash alike."""
     return F.unix_micros(column)

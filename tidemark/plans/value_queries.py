@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import entities, images, notation, structured, text, vectors, when
 from tidemark.operators import audit, documents, planner
-from tidemark.plans.registry import query
+from tidemark.plans.audit_queries import _KINDS
+from tidemark.plans.registry import hmac_sql, query, ranges_sql
 from tidemark.sources.tables import table
 
 # --- texts ---------------------------------------------------------------------------------------
@@ -300,10 +301,17 @@ def redacted_json(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "events").select("event_id", entities.redact_json(payload).alias("shown"))
 
 
-# Without SQL: keyed hashes and Fourier transforms; tests hold them against loops.
+_TOKEN = f"kind || '_' || upper(substr({hmac_sql('lower(value)', 'local-secret')}, 1, 20))"
+_CROSSES = "EXISTS (SELECT 1 FROM {} o WHERE o.doc_id = r.doc_id AND o.s < r.e AND r.s < o.e)"
+_MAPPED = f"""{ranges_sql("r", "documents", _KINDS)}, mail AS (SELECT * FROM r WHERE kind = 'EMAIL'),
+path AS (SELECT * FROM r WHERE kind = 'PATH' AND NOT {_CROSSES.format("mail")}),
+domain AS (SELECT * FROM r WHERE kind = 'DOMAIN' AND NOT {_CROSSES.format("mail")} AND NOT {_CROSSES.format("path")}),
+held AS (SELECT *, {_TOKEN} AS token FROM (SELECT * FROM mail UNION ALL SELECT * FROM path UNION ALL SELECT * FROM domain))"""
+_SHOWN = """shown AS (SELECT doc_id, count(s) AS n, coalesce(string_agg(substr(text, was + 1, s - was) || token, '' ORDER BY s), '') || substr(any_value(text), coalesce(max(e), 0) + 1) AS body
+  FROM (SELECT d.doc_id, d.text, s, e, token, coalesce(lag(e) OVER (PARTITION BY d.doc_id ORDER BY s), 0) AS was FROM documents d LEFT JOIN held USING (doc_id)) GROUP BY doc_id)"""
 
 
-@query()
+@query(f"WITH {_MAPPED}, {_SHOWN} SELECT doc_id, md5(body) AS digest, n::INT AS n FROM shown")
 def pseudonym_mapping(spark: SparkSession, base: str) -> DataFrame:
     """Where each replaced value was and is, over whole texts."""
     mapped = entities.pseudonymised_with_mapping(F.col("text"), "local-secret")
@@ -311,7 +319,7 @@ def pseudonym_mapping(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("doc_id", F.md5("m.text").alias("digest"), F.size("m.mapping").alias("n"))
 
 
-@query()
+@query(f"WITH {_MAPPED} SELECT token, arg_max(value, (doc_id, value)) AS value FROM held GROUP BY token")
 def token_vault(spark: SparkSession, base: str) -> DataFrame:
     """Tokens of all texts with the values that they stand for."""
     mapped = entities.pseudonymised_with_mapping(F.col("text"), "local-secret")["mapping"]
@@ -322,6 +330,9 @@ def token_vault(spark: SparkSession, base: str) -> DataFrame:
     return entities.resolve_tokens(seen, vault)
 
 
+# Without SQL: a Fourier transform; tests hold it against a loop.
+
+
 @query()
 def image_hashes(spark: SparkSession, base: str) -> DataFrame:
     """Perceptual hashes of vectors taken as small grey images."""
@@ -329,7 +340,20 @@ def image_hashes(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "embeddings").select("vec_id", images.image_hash(grey, F.lit(8)).alias("bits"))
 
 
-@query()
+_NAMED = {"mail": r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", "secret": r"(?i)sk-[A-Za-z0-9-]{8,}", "number": r"\b\d{3}-\d{2}-\d{4}\b"}
+
+
+@query(f"""
+WITH {ranges_sql("r", "documents", _NAMED)}, o AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e DESC, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM r),
+g AS (SELECT *, sum(CASE WHEN s < upto THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s, e DESC, kind) AS g FROM o),
+i AS (SELECT doc_id, min(s) AS s, max(e) AS e, first(kind ORDER BY s, e DESC, kind) AS kind FROM g GROUP BY doc_id, g),
+v AS (SELECT i.*, substr(text, i.s + 1, i.e - i.s) AS value FROM i JOIN documents USING (doc_id)),
+f AS (SELECT doc_id, value, min(s) AS begins, arg_min(kind, s) AS name FROM v GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY begins) AS nth FROM f),
+held AS (SELECT v.doc_id, v.s, v.e, '[' || name || ':' || nth || ']' AS token FROM v JOIN k USING (doc_id, value)), {_SHOWN},
+c AS (SELECT doc_id, count(*) AS n FROM f GROUP BY 1)
+SELECT doc_id, md5(body) AS digest, coalesce(c.n, 0)::INT AS n FROM shown LEFT JOIN c USING (doc_id)
+""")
 def redaction_maps(spark: SparkSession, base: str) -> DataFrame:
     """Texts with named tokens in the place of secrets and addresses, and how many there were."""
     patterns = [("mail", text.PII_PATTERNS[0]), ("secret", r"(?i)sk-[A-Za-z0-9-]{8,}"), ("number", r"\b\d{3}-\d{2}-\d{4}\b")]
