@@ -63,6 +63,99 @@ def lsh_knn(
     return best(near if near.limit(k).count() >= k else index)
 
 
+# --- several buckets of a stored index ---------------------------------------------------------
+
+
+def write_lsh(
+    rows: DataFrame, path: str, key: str, vector: str, dim: int, bits: int = 8, meta: Sequence[str] = (), held: Sequence[str] = ()
+) -> None:
+    """Store vectors in folders by bucket of ``bits`` planes, and the columns ``meta`` in a table of their own.
+
+    ``held`` columns stay beside the vectors, such as the arrays that a mean vector stands for.
+    """
+    planes = vectors.hyperplanes(dim, bits)
+    signed = rows.select(key, vector, *held, vectors.lsh_signature(F.col(vector), planes).cast("int").alias("bucket"))
+    signed.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/vectors")
+    rows.select(key, *meta).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def probes(queries: DataFrame, vector: str, dim: int, bits: int, n: int | None = None) -> DataFrame:
+    """queries with ``(bucket, probe)``: the buckets in the order in which each query looks into them, n or all.
+
+    A bucket on the other side of some planes is as far as the squares of the query's distances from
+    those planes add up to, so the nearest buckets come first; ties go to the lower bucket difference.
+    """
+    planes = F.array(*(vectors.literal(p) for p in vectors.hyperplanes(dim, bits)))
+    margin = F.transform(planes, lambda p: F.round(vectors.dot(F.col(vector), p), 6))
+    own = vectors.lsh_signature(F.col(vector), vectors.hyperplanes(dim, bits)).cast("int")
+    placed = queries.withColumn("_margin", margin).withColumn("_own", own)
+    flipped = lambda mask: F.aggregate(
+        F.transform("_margin", lambda m, i: F.when(F.get(F.array(*(mask.bitwiseAND(1 << b) != 0 for b in range(bits))), i), m * m).otherwise(0.0)),
+        F.lit(0.0),
+        lambda s, x: s + x,
+    )
+    masks = F.sequence(F.lit(0), F.lit((1 << bits) - 1))
+    ordered = F.array_sort(F.transform(masks, lambda m: F.struct(F.round(flipped(m), 6).alias("cost"), m.alias("mask"))))
+    some = ordered if n is None else F.slice(ordered, 1, n)
+    each = placed.select(*queries.columns, "_own", F.posexplode(some).alias("_at", "_p"))
+    return each.select(*queries.columns, F.col("_own").bitwiseXOR(F.col("_p.mask")).alias("bucket"), (F.col("_at") + 1).alias("probe"))
+
+
+def probe_candidates(spark, path: str, queries: DataFrame, key: str, vector: str, dim: int, bits: int, n: int | None, keys: DataFrame | None = None) -> DataFrame:
+    """``(query, the index's columns, score)``: rows of the probed buckets with their cosine, of ``(query, q)`` rows.
+
+    Only folders of probed buckets are read. ``keys`` are those that a filter on the table of meta rows leaves.
+    """
+    wanted = probes(queries.select("query", "q"), "q", dim, bits, n)
+    listed = [r[0] for r in wanted.select("bucket").distinct().collect()]  # 2 ** bits at most
+    index = spark.read.parquet(f"{path}/vectors").where(F.col("bucket").isin(*listed))
+    index = index if keys is None else index.join(keys.select(key), key, "left_semi")
+    both = index.join(wanted, "bucket")
+    return both.select("query", "q", *(c for c in index.columns if c != "bucket"), F.round(vectors.cosine(F.col(vector), F.col("q")), 6).alias("score"))
+
+
+def probe_knn(
+    spark, path: str, queries: DataFrame, k: int, key: str, vector: str, dim: int, bits: int, n: int, keys: DataFrame | None = None
+) -> DataFrame:
+    """``(query, key, score, rank)``: the k best rows of each query's n nearest buckets; a query with fewer looks into all.
+
+    ``queries`` has ``(query, q)``, q the vector. A row is no result of a query with its own key.
+    """
+    order = Window.partitionBy("query").orderBy(F.desc("score"), key)
+
+    def best(of: DataFrame, upto: int | None) -> DataFrame:
+        rows = probe_candidates(spark, path, of, key, vector, dim, bits, upto, keys).where(F.col("query") != F.col(key))
+        return rows.select("query", key, "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    near = best(queries, n)
+    full = near.where(F.col("rank") == k).select("query")
+    short = queries.join(full, "query", "left_anti")
+    return near.join(full, "query", "left_semi").unionByName(best(short, None))
+
+
+def recall_curve(exact: DataFrame, index: DataFrame, queries: DataFrame, key: str, dim: int, bits: int) -> DataFrame:
+    """``(probes, recall, scored)``: what share of exact ``(query, key)`` results lies in so many buckets, and of rows they hold."""
+    sequence = probes(queries.select("query", "q"), "q", dim, bits).select("query", "bucket", "probe")
+    sizes = index.groupBy("bucket").agg(F.count("*").alias("rows"))
+    found = exact.join(index.select(key, "bucket"), key).groupBy("query", "bucket").agg(F.count("*").alias("found"))
+    each = sequence.join(sizes, "bucket", "left").join(found, ["query", "bucket"], "left").groupBy("probe")
+    sums = each.agg(F.coalesce(F.sum("found"), F.lit(0)).alias("found"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))  # 2 ** bits rows
+    upto = Window.orderBy("probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.partitionBy()
+    share = lambda c: F.round(F.sum(c).over(upto) / F.sum(c).over(every), 6)
+    return sums.select(F.col("probe").alias("probes"), share("found").alias("recall"), share("rows").alias("scored"))
+
+
+def probe_late(
+    spark, path: str, query: Sequence[Sequence[float]], k: int, key: str, vector: str, held: str, dim: int, bits: int, n: int, cap: int
+) -> DataFrame:
+    """``(key, score)`` by late interaction of the ``cap`` rows whose mean vector is nearest to the query's, from n buckets."""
+    mean = [sum(xs) / len(query) for xs in zip(*query)]
+    one = spark.createDataFrame([(0, mean)], "query long, q array<double>")
+    near = probe_candidates(spark, path, one, key, vector, dim, bits, n).orderBy(F.desc("score"), key).limit(cap)
+    return late_search(near.select(key, held), query, k, key, held)
+
+
 def sparse_rows(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     """``(key, token, token_id, weight)``: hashed term weights ``ln(1 + count)``."""
     counted = docs.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))

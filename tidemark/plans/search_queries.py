@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring, text, vectors
@@ -278,6 +278,93 @@ def sparse_token_ids(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("token", "token_id").distinct()
 
 
+#: Planes of the stored vector index, and how many of its 64 buckets a query looks into.
+PLANES, PROBES = 6, 48
+_PLANES_SQL = "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in p) + "]" for p in vectors.hyperplanes(64, PLANES)) + "]"
+
+
+def _probes_sql(q: str, index: str) -> str:
+    """DuckDB CTEs: ``pr(query, bucket, probe)`` of ``(query, q)`` rows and ``ix`` (the index rows with their bucket)."""
+    margin = lambda v: f"list_transform({_PLANES_SQL}, lambda p: round(list_dot_product({v}::DOUBLE[], p), 6))"
+    own = lambda v: f"list_sum(list_transform(range(0, {PLANES}), lambda i: CASE WHEN list_dot_product({v}::DOUBLE[], ({_PLANES_SQL})[i + 1]) >= 0 THEN 1 << i ELSE 0 END))::INT"
+    cost = f"round(list_sum(list_transform(range(0, {PLANES}), lambda i: CASE WHEN (mask >> i) & 1 = 1 THEN m[i + 1] * m[i + 1] ELSE 0 END)), 6)"
+    return f"""mg AS (SELECT query, {margin("q")} AS m, {own("q")} AS own FROM {q}), mk AS (SELECT *, unnest(range(0, {1 << PLANES}))::INT AS mask FROM mg),
+pr AS (SELECT query, xor(own, mask) AS bucket, row_number() OVER (PARTITION BY query ORDER BY {cost}, mask) AS probe FROM mk),
+ix AS (SELECT *, {own("v")} AS bucket FROM {index})"""
+
+
+_COSINE = "CASE WHEN list_dot_product(a::DOUBLE[], a::DOUBLE[]) > 0 AND list_dot_product(b::DOUBLE[], b::DOUBLE[]) > 0 THEN list_cosine_similarity(a::DOUBLE[], b::DOUBLE[]) ELSE 0 END"
+_QUERIES_SQL = "qs AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), al AS (SELECT vec_id, embedding AS v FROM embeddings)"
+
+
+def _vector_queries(spark: SparkSession, base: str) -> DataFrame:
+    """The query set: rows whose id is divisible by 100, against all rows."""
+    rows = table(spark, base, "embeddings").where("vec_id % 100 = 0")
+    return rows.select(F.col("vec_id").alias("query"), F.transform("embedding", lambda x: x.cast("double")).alias("q"))
+
+
+def _vector_index(spark: SparkSession, base: str) -> str:
+    folder = shared_folder(spark, "vectors")
+    rows = table(spark, base, "embeddings").withColumn("odd", F.col("vec_id") % 2)
+    search.write_lsh(rows, folder, "vec_id", "embedding", 64, PLANES, meta=["odd"])
+    return folder
+
+
+@query(f"""
+WITH {_QUERIES_SQL}, {_probes_sql("qs", "al")}, sc AS (
+  SELECT pr.query, vec_id, round({_COSINE.replace("a::", "ix.v::").replace("b::", "qs.q::")}, 6) AS score FROM pr JOIN ix USING (bucket) JOIN qs ON qs.query = pr.query
+  WHERE probe <= {PROBES} AND pr.query <> vec_id AND vec_id % 2 = 1)
+SELECT query, vec_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS rank FROM sc QUALIFY rank <= 10
+""")
+def vector_multiprobe_topk(spark: SparkSession, base: str) -> DataFrame:
+    """The best rows of the nearest buckets, of those that a filter on the table of meta rows leaves."""
+    folder = _vector_index(spark, base)
+    keys = spark.read.parquet(f"{folder}/meta").where("odd = 1")
+    return search.probe_knn(spark, folder, _vector_queries(spark, base), 10, "vec_id", "embedding", 64, PLANES, PROBES, keys)
+
+
+@query(f"""
+WITH {_QUERIES_SQL}, {_probes_sql("qs", "al")}, ex AS (
+  SELECT query, vec_id FROM qs JOIN al ON query <> vec_id
+  QUALIFY row_number() OVER (PARTITION BY query ORDER BY round({_COSINE.replace("a::", "v::").replace("b::", "q::")}, 6) DESC, vec_id) <= 10),
+sz AS (SELECT bucket, count(*) AS n FROM ix GROUP BY 1), fd AS (SELECT query, bucket, count(*) AS found FROM ex JOIN ix USING (vec_id) GROUP BY 1, 2),
+sm AS (SELECT probe, coalesce(sum(found), 0) AS found, coalesce(sum(n), 0) AS n FROM pr LEFT JOIN sz USING (bucket) LEFT JOIN fd USING (query, bucket) GROUP BY 1),
+cv AS (SELECT probe AS probes, round(sum(found) OVER (ORDER BY probe)::DOUBLE / sum(found) OVER (), 6) AS recall, round(sum(n) OVER (ORDER BY probe)::DOUBLE / sum(n) OVER (), 6) AS scored FROM sm)
+SELECT probes::INT AS probes, recall, scored FROM cv WHERE recall >= 0.9 ORDER BY probes LIMIT 1
+""")
+def vector_multiprobe_recall(spark: SparkSession, base: str) -> DataFrame:
+    """How many buckets reach a recall@10 of 0.9 against an exact search, and what share of the rows they hold."""
+    folder = _vector_index(spark, base)
+    queries, rows = _vector_queries(spark, base), table(spark, base, "embeddings")
+    score = F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6)
+    both = queries.join(rows, F.col("query") != F.col("vec_id")).select("query", "vec_id", score.alias("score"))  # a stated query set against all rows
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    exact = both.withColumn("n", F.row_number().over(w)).where("n <= 10").select("query", "vec_id")
+    curve = search.recall_curve(exact, spark.read.parquet(f"{folder}/vectors"), queries, "vec_id", 64, PLANES)
+    return curve.where("recall >= 0.9").orderBy("probes").limit(1)
+
+
+_MEAN = "list_transform(range(1, 65), lambda i: list_avg(list_transform({}, lambda x: (x[i])::DOUBLE)))"
+
+
+@query(f"""
+WITH g AS (SELECT vec_id // 8 AS group_id, list(embedding ORDER BY vec_id) AS vs FROM embeddings GROUP BY 1), al AS (SELECT *, {_MEAN.format("vs")} AS v FROM g),
+qv AS (SELECT list(embedding ORDER BY vec_id) AS w FROM embeddings WHERE vec_id IN (0, 1)), qs AS (SELECT 0 AS query, {_MEAN.format("w")} AS q FROM qv), {_probes_sql("qs", "al")},
+ca AS (SELECT group_id, vs FROM pr JOIN ix USING (bucket), qs WHERE probe <= {PROBES}
+  ORDER BY round({_COSINE.replace("a::", "v::").replace("b::", "q::")}, 6) DESC, group_id LIMIT 40)
+SELECT group_id, round(list_avg(list_transform(w, lambda x: greatest(list_max(list_transform(vs, lambda y: list_dot_product(y::DOUBLE[], x::DOUBLE[]))) / sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[])), 0))), 6) AS score
+FROM ca, qv ORDER BY score DESC, group_id LIMIT 20
+""")
+def late_probed_topk(spark: SparkSession, base: str) -> DataFrame:
+    """Late interaction over the rows whose mean vectors are nearest, from the stored index of those."""
+    rows = table(spark, base, "embeddings").withColumn("group_id", F.expr("vec_id div 8"))
+    grouped = rows.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("vs"))
+    folder = shared_folder(spark, "means")
+    search.write_lsh(grouped.withColumn("mean", vectors.centroid(F.col("vs"), 64)), folder, "group_id", "mean", 64, PLANES, held=["vs"])
+    wanted = [_query_vector(spark, base, i) for i in (0, 1)]
+    return search.probe_late(spark, folder, wanted, 20, "group_id", "mean", "vs", 64, PLANES, PROBES, 40)
+
+
 @query("""
 WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (0, 1)),
 s AS (SELECT e.vec_id // 8 AS group_id, q.vec_id AS q,
