@@ -9,6 +9,8 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+
+from tidemark.functions.spans import bound
 from pyspark.sql import types as T
 
 # --- boxes -----------------------------------------------------------------------------------
@@ -160,18 +162,42 @@ def code_blocks(text: Column) -> Column:
     return F.transform(F.arrays_zip(names.alias("n"), bodies.alias("b")), lambda x: F.struct(x["n"].alias("language"), x["b"].alias("body")))
 
 
+#: Words that begin a statement, and the tokens of SQL: strings, quoted names, comments, words, numbers, signs.
+SQL_OPERATIONS = ("SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP", "WITH")
+_SQL_TOKEN = r"""(?s)'(?:[^']|'')*'|"(?:[^"]|"")*"|`[^`]*`|--[^\n]*|/\*.*?\*/|[A-Za-z_][\w.$]*|[0-9][\w.]*|\S"""
+
+
 def sql_statements(text: Column) -> Column:
-    """``array<struct<operation, tables>>`` of the SQL statements in a text."""
-    statement = r"(?is)\b((?:select|insert|update|delete|create|alter|drop|with)\b[^;]*);"
-    found = F.regexp_extract_all(text, F.lit(statement), F.lit(1))
-    named = r"(?i)\b(?:from|join|into|update|table)\s+([A-Za-z_][\w.]*)"
-    return F.transform(
-        found,
-        lambda s: F.struct(
-            F.upper(F.regexp_extract(s, r"^\s*(\w+)", 1)).alias("operation"),
-            F.array_distinct(F.regexp_extract_all(s, F.lit(named), F.lit(1))).alias("tables"),
-        ),
-    )
+    """``array<struct<operation, tables>>`` of the SQL statements in a text.
+
+    Statements end at semicolons outside strings, quoted names and comments; the last one needs none. Tables are
+    the names after FROM, JOIN, INTO, UPDATE and TABLE, each once, without the names of a WITH clause. Quoted
+    names lose their quotes. What doesn't begin with a statement's keyword is left out.
+    """
+    tokens = F.filter(F.regexp_extract_all(text, F.lit(_SQL_TOKEN), F.lit(0)), lambda t: ~t.rlike(r"^(--|/\*)"))
+
+    def cut(all_tokens: Column) -> Column:
+        ends = F.filter(F.transform(all_tokens, lambda t, i: F.when(t == ";", i + 1).otherwise(0)), lambda i: i > 0)
+        ends = F.concat(ends, F.array(F.size(all_tokens) + 1))
+        return bound(ends, lambda e: F.transform(e, lambda end, k: _statement(all_tokens, F.coalesce(F.get(e, k - 1), F.lit(0)), end)))
+
+    return F.filter(bound(tokens, cut), lambda s: s["operation"].isin(*SQL_OPERATIONS))
+
+
+def _statement(tokens: Column, begin: Column, end: Column) -> Column:
+    """The statement between two ends (places from 1, both exclusive)."""
+
+    def read(own: Column) -> Column:
+        word = lambda i: F.upper(F.coalesce(F.get(own, i), F.lit("")))
+        name = lambda t: F.regexp_replace(t, r"^[\"`]|[\"`]$", "")
+        named = F.transform(own, lambda t, i: F.when(word(i - 1).isin("FROM", "JOIN", "INTO", "UPDATE", "TABLE") & t.rlike(r"^[A-Za-z_\"`]"), name(t)))
+        common = F.transform(
+            own, lambda t, i: F.when((word(i + 1) == "AS") & (word(i + 2) == "(") & word(i - 1).isin("WITH", "RECURSIVE", ","), F.lower(name(t)))
+        )
+        tables = bound(F.array_compact(common), lambda c: F.array_distinct(F.filter(F.array_compact(named), lambda t: ~F.array_contains(c, F.lower(t)))))
+        return F.struct(word(F.lit(0)).alias("operation"), tables.alias("tables"))
+
+    return bound(F.slice(tokens, begin + 1, F.greatest(end - begin - 1, F.lit(0))), read)
 
 
 CLAIMS = "struct<claims:array<struct<text:string,evidence:array<struct<id:string,first:int,last:int>>>>>"

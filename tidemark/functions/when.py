@@ -6,8 +6,10 @@ import datetime as dt
 import re
 from zoneinfo import ZoneInfo
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _CLOCK = r"(?P<h>\d{1,2})(?::(?P<m>\d{2}))?\s*(?P<half>am|pm)?"
 _LAST_HOUR = re.compile(r"(?:last|past) hour|an? hour ago")
@@ -57,6 +59,21 @@ def late_window_allowed(found: Range | None, days: int = 7) -> bool:
     return found is not None and found[1] - found[0] <= dt.timedelta(days=max(1, days))
 
 
+_SAID = T.StructType([T.StructField(n, t) for n, t in (("start", T.LongType()), ("end", T.LongType()), ("only_time", T.BooleanType()), ("late", T.BooleanType()))])
+
+
+@F.pandas_udf(_SAID)
+def said(query: pd.Series, now: pd.Series) -> pd.DataFrame:
+    """For each query and its time the range that it names, in seconds since 1970 (null: none), and what may follow from it."""
+    rows = []
+    for words, at in zip(query.fillna(""), now):
+        found = None if pd.isna(at) else time_range(words, at.to_pydatetime().replace(tzinfo=dt.timezone.utc))
+        ends = (None, None) if found is None else tuple(int(x.timestamp()) for x in found)
+        rows.append((*ends, only_a_time(words), late_window_allowed(found)))
+    out = pd.DataFrame(rows, columns=["start", "end", "only_time", "late"])
+    return out.astype({"start": "Int64", "end": "Int64", "only_time": bool, "late": bool})
+
+
 def late_eligible(
     spans: DataFrame, event: str, ts: str, body: str, confidence: str, key: str, as_of: Column,
     days: int = 30, chars: int = 200, most: int = 128,

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
@@ -37,6 +37,18 @@ class Budget:
         return k if self.left >= TOTAL_MS / 2 else max(1, int(k * REDUCE))
 
 
+def stages_within(left_ms: Column) -> tuple[Column, Column]:
+    """(stages, reasons) of requests with so many milliseconds left: FAST always, the others as they fit."""
+    fits = {tier: left_ms >= STAGE_MS[stage] for tier, stage in (("FUSION", "dense"), ("RERANK", "rerank"))}
+    stages = F.array_compact(F.array(F.lit("FAST"), *(F.when(ok, tier) for tier, ok in fits.items())))
+    return stages, F.array_compact(F.array(*(F.when(~ok, f"{tier}:budget") for tier, ok in fits.items())))
+
+
+def size_within(left_ms: Column, k: int) -> Column:
+    """Budget.size of a column."""
+    return F.when(left_ms >= TOTAL_MS / 2, k).otherwise(max(1, int(k * REDUCE)))
+
+
 @dataclass(frozen=True)
 class Plan:
     """The stages of one query and why."""

@@ -74,15 +74,23 @@ def ledger_chain(spark: SparkSession, base: str) -> DataFrame:
     return chained.groupBy("o_custkey").agg(F.count("*").alias("n"), last.alias("last_hash"))
 
 
-@query("SELECT true AS valid, count(*) AS n FROM orders")
+@query("""
+WITH c AS (SELECT o_orderkey % 97 <> 0 AND o_orderkey % 89 <> 0 AND NOT coalesce(lag(o_orderkey % 89 = 0) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), false) AS valid FROM orders)
+SELECT valid, count(*) AS n FROM c GROUP BY 1
+""")
 def ledger_verify(spark: SparkSession, base: str) -> DataFrame:
+    """A ledger in which some contents were changed after the fact, and some entries' hashes too: those and what follows on the latter fail."""
     rows = table(spark, base, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
     payload = F.concat(F.col("o_orderkey").cast("string"), F.lit(":"), "o_orderstatus")
     order = ("o_orderdate", "o_orderkey")
-    checked = audit.verify_chain(audit.chain(rows, "o_custkey", payload, *order), "o_custkey", payload, *order)
+    kept = audit.chain(rows, "o_custkey", payload, *order)
+    kept = kept.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 97 == 0, "changed").otherwise(F.col("o_orderstatus")))
+    kept = kept.withColumn("entry_hash", F.when(F.col("o_orderkey") % 89 == 0, F.sha2("entry_hash", 256)).otherwise(F.col("entry_hash")))
+    checked = audit.verify_chain(kept, "o_custkey", payload, *order)
     return checked.groupBy("valid").agg(F.count("*").alias("n"))
 
 
+
 @query(f"""
 WITH s AS (SELECT doc_id % 40 AS pack, CASE WHEN doc_id % 40 % 2 = 0 THEN 0 ELSE doc_id % 5 END AS tm, {_ascii_words('text')} AS t FROM documents),
 v AS (SELECT pack, 'amount' AS field, unnest(regexp_extract_all(t, '(?i)\\b(price|cost|total|amount)\\b\\s*[:=]?\\s*\\$?([0-9,.]+)', 2)) AS value FROM s
@@ -292,16 +300,18 @@ def histogram_quantiles(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT event_type, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n, 1 AS v FROM (
-  SELECT event_type, ts, max(event_id) AS event_id FROM events GROUP BY 1, 2))
-SELECT event_type, count(*) AS total, 0.0::DOUBLE AS per_minute FROM n GROUP BY 1
+WITH c AS (SELECT event_type, ts, sum(event_id % 7) AS v FROM events GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS n FROM c),
+e AS (SELECT event_type, max(v) FILTER (n = 1) - max(v) FILTER (n = 2) AS d, (max(epoch_us(ts)) FILTER (n = 1) - max(epoch_us(ts)) FILTER (n = 2)) / 6e7 AS m FROM n GROUP BY 1),
+t AS (SELECT event_type, sum(v)::BIGINT AS total FROM c GROUP BY 1)
+SELECT event_type, total, round(coalesce(CASE WHEN m > 0 THEN d / m ELSE 0 END, 0), 6)::DOUBLE AS per_minute FROM t JOIN e USING (event_type)
 """)
 def counter_rates(spark: SparkSession, base: str) -> DataFrame:
-    rows = table(spark, base, "events").groupBy("event_type", "ts").agg(F.lit(1).alias("v"))
+    rows = table(spark, base, "events").groupBy("event_type", "ts").agg(F.sum(F.col("event_id") % 7).alias("v"))
     out = audit.counter_rates(rows, "event_type", "ts", "v")
     return out.select("event_type", F.col("total").cast("long").alias("total"), "per_minute")
 
 
+
 # --- text --------------------------------------------------------------------------------------
 
 
@@ -345,9 +355,9 @@ def token_estimates(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("SELECT doc_id, left(regexp_replace(coalesce(source, '') || '/' || left(text, 90), '[^A-Za-z0-9._-]+', '_', 'g'), 64) AS corpus_id FROM documents")
+@query("SELECT doc_id, left(regexp_replace(coalesce(source, '') || '/' || text, '[^A-Za-z0-9._-]+', '_', 'g'), 64) AS corpus_id FROM documents")
 def corpus_ids(spark: SparkSession, base: str) -> DataFrame:
-    raw = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.left("text", F.lit(90)))
+    raw = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), "text")
     return table(spark, base, "documents").select("doc_id", text.corpus_id(raw).alias("corpus_id"))
 
 

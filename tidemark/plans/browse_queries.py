@@ -228,11 +228,15 @@ def job_states(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, (doc_id % 10 <> 0) AS valid FROM documents WHERE length(text) > 40
+WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 2000)) AS start FROM documents WHERE length(text) > 0)
+SELECT doc_id, start::INT AS start, NOT (doc_id % 10 = 0 AND start + 2000 >= length(text)) AS valid FROM s
 """)
 def verify_slices(spark: SparkSession, base: str) -> DataFrame:
-    docs = table(spark, base, "documents").where(F.length("text") > 40)
-    cut = F.when(F.col("doc_id") % 10 == 0, F.lit("changed")).otherwise(F.substring("text", 6, 20))
-    spans = docs.select("doc_id", F.lit(5).alias("start"), F.lit(25).alias("end"), cut.alias("span_text"))
+    """Whole texts in slices of 2,000 characters; the last one of every tenth document was changed."""
+    docs = table(spark, base, "documents").where(F.length("text") > 0).select("doc_id", "text")
+    cut = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(2000))).alias("start"))
+    last = F.col("start") + 2000 >= F.length("text")
+    own = F.when((F.col("doc_id") % 10 == 0) & last, "changed").otherwise(F.substring(F.col("text"), F.col("start") + 1, F.lit(2000)))
+    spans = cut.select("doc_id", "start", F.least(F.col("start") + 2000, F.length("text")).alias("end"), own.alias("span_text"))
     spans = spans.withColumn("span_hash", F.sha2("span_text", 256))
-    return writes.verify_slices(spans, docs, "doc_id").select("doc_id", "valid")
+    return writes.verify_slices(spans, docs, "doc_id").select("doc_id", "start", "valid")

@@ -176,11 +176,12 @@ def evidence_summary(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_EVIDENCE}, k AS (SELECT * FROM e WHERE page_id < 20)
+WITH {_EVIDENCE}, k AS (SELECT * FROM e ORDER BY page_id LIMIT 20)
 SELECT md5(string_agg(clean || ' [' || evidence_id || ']', chr(10) ORDER BY page_id)) AS answer, string_agg(evidence_id, ',' ORDER BY page_id) AS citations FROM k
 """)
 def extractive_answer(spark: SparkSession, base: str) -> DataFrame:
-    out = evidence.extractive_answer(_evidence(spark, base).where("page_id < 20"), "text", "page_id")
+    best = _evidence(spark, base).orderBy("page_id").limit(20)  # an answer quotes the first twenty
+    out = evidence.extractive_answer(best, "text", "page_id")
     return out.select(F.md5("answer").alias("answer"), F.array_join("citations", ",").alias("citations"))
 
 
@@ -480,10 +481,13 @@ def delete_counts(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query("""
-SELECT user_id, event_id, epoch_us(ts) AS ts_us FROM events WHERE user_id = 12 ORDER BY ts, event_id LIMIT 25
+SELECT user_id, event_id, epoch_us(ts) AS ts_us FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 25
 """)
 def timeline(spark: SparkSession, base: str) -> DataFrame:
-    rows = table(spark, base, "events").where("user_id = 12").orderBy("ts", "event_id").limit(25)
+    from pyspark.sql import Window
+
+    first = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = table(spark, base, "events").select("user_id", "event_id", "ts").withColumn("n", first).where("n <= 25")
     return rows.select("user_id", "event_id", F.unix_micros("ts").alias("ts_us"))
 
 

@@ -165,25 +165,21 @@ def scout_rank(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE d AS (SELECT vec_id, label, list_transform(embedding, lambda x: x > 0.0) AS bits, embedding[1:8] AS px,
+WITH RECURSIVE d AS (SELECT vec_id, label, list_transform(embedding, lambda x: x > 0.0) AS bits, list_transform(embedding, lambda x: floor(x::DOUBLE * 4)) AS px,
   row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
-h AS (SELECT vec_id, label, n, list_sum(list_transform(bits, lambda b, i: CASE WHEN b AND i <= 4 THEN (1::BIGINT << (i - 1)::INT) ELSE 0::BIGINT END))::BIGINT AS hash,
-  list_transform(px, lambda x: floor(x::DOUBLE * 4)) AS px FROM d),
-f AS (SELECT label, 0::BIGINT AS n, []::STRUCT(tm BIGINT, hash BIGINT, px DOUBLE[])[] AS held, NULL::BIGINT AS vec_id, false AS duplicate FROM (SELECT DISTINCT label FROM h)
-  UNION ALL SELECT label, n, CASE WHEN same THEN near ELSE list_append(near, {'tm': vec_id, 'hash': hash, 'px': px}) END, vec_id, same FROM (
-    SELECT h.*, list_filter(held, lambda o: h.vec_id - o.tm <= 400)[-16:] AS near,
-      len(list_filter(list_filter(held, lambda o: h.vec_id - o.tm <= 400)[-16:], lambda o: bit_count(xor(o.hash, h.hash)) <= 1
-        AND list_sum(list_transform(list_zip(o.px, h.px), lambda z: abs(z[1] - z[2]))) <= 0.5 * 8)) > 0 AS same
-    FROM f JOIN h ON h.label = f.label AND h.n = f.n + 1))
+f AS (SELECT label, 0::BIGINT AS n, []::STRUCT(tm BIGINT, bits BOOLEAN[], px DOUBLE[])[] AS held, NULL::BIGINT AS vec_id, false AS duplicate FROM (SELECT DISTINCT label FROM d)
+  UNION ALL SELECT label, n, CASE WHEN same THEN near ELSE list_append(near, {'tm': vec_id, 'bits': bits, 'px': px}) END, vec_id, same FROM (
+    SELECT d.*, list_filter(held, lambda o: d.vec_id - o.tm <= 400)[-16:] AS near,
+      len(list_filter(list_filter(held, lambda o: d.vec_id - o.tm <= 400)[-16:], lambda o: list_sum(list_transform(list_zip(o.bits, d.bits), lambda z: (z[1] <> z[2])::INT)) <= 26
+        AND list_sum(list_transform(list_zip(o.px, d.px), lambda z: abs(z[1] - z[2]))) <= 0.5 * 64)) > 0 AS same
+    FROM f JOIN d ON d.label = f.label AND d.n = f.n + 1))
 SELECT vec_id, duplicate FROM f WHERE vec_id IS NOT NULL
 """)
 def frame_duplicates(spark: SparkSession, base: str) -> DataFrame:
-    """Duplicate frames by hash and mean pixel error within a time; each decision hangs on earlier ones."""
-    rows = table(spark, base, "embeddings")
-    bits = F.lit(0).cast("long")
-    for i in range(4):
-        bits = bits + F.when(F.get("embedding", F.lit(i)) > 0, 1 << i).otherwise(0)
-    pixels = F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x.cast("double") * 4).cast("double"))
-    frames = rows.select("label", "vec_id", F.timestamp_seconds("vec_id").alias("ts"), bits.alias("bits"), pixels.alias("px"))
-    out = policy.frame_duplicates(frames, "label", "ts", "bits", "px", 400, 1 / 64, 0.5, key="vec_id")
+    """Duplicate frames by all bits of the hash and the mean error over all pixels, within a time; each decision hangs on earlier ones."""
+    sign = F.transform("embedding", lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    bits = F.aggregate(sign, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    pixels = F.transform("embedding", lambda x: F.floor(x.cast("double") * 4).cast("double"))
+    frames = table(spark, base, "embeddings").select("label", "vec_id", F.timestamp_seconds("vec_id").alias("ts"), bits.alias("bits"), pixels.alias("px"))
+    out = policy.frame_duplicates(frames, "label", "ts", "bits", "px", 400, 26 / 64, 0.5, key="vec_id")
     return out.select("vec_id", "duplicate")

@@ -65,16 +65,19 @@ def snapshot_record(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT doc_id, 0 AS chunk, sha256('old') AS chunk_hash FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, text FROM documents WHERE doc_id % 3 = 0 AND length(text) BETWEEN 1 AND 800)
-SELECT doc_id, chunk::INT AS chunk, chunk_hash FROM o UNION ALL SELECT doc_id, 0, sha256(text) FROM n
+WITH RECURSIVE o AS (SELECT doc_id, 0 AS chunk, sha256('old') AS chunk_hash FROM documents WHERE doc_id % 3 <> 0), c AS (
+  SELECT doc_id, text, 0 AS chunk, 0 AS s, CASE WHEN length(text) <= 800 THEN length(text) WHEN contains(substr(text, 201, 600), chr(10) || chr(10))
+    THEN 800 - strpos(reverse(substr(text, 201, 600)), chr(10) || chr(10)) + 1 ELSE 800 END AS e FROM documents WHERE length(text) > 0 AND doc_id % 3 = 0
+  UNION ALL SELECT doc_id, text, chunk + 1, e, CASE WHEN length(text) <= e + 800 THEN length(text) WHEN contains(substr(text, e + 201, 600), chr(10) || chr(10))
+    THEN e + 800 - strpos(reverse(substr(text, e + 201, 600)), chr(10) || chr(10)) + 1 ELSE e + 800 END FROM c WHERE e < length(text))
+SELECT doc_id, chunk::INT AS chunk, chunk_hash FROM o UNION ALL SELECT doc_id, chunk::INT, sha256(substr(text, s + 1, e - s)) FROM c
 """)
 def document_replace(spark: SparkSession, base: str) -> DataFrame:
-    """Chunks after short documents were replaced: their old chunks go, whole texts are their new ones."""
+    """Chunks after a third of all documents were replaced: their old chunks go, those of their whole texts come."""
     docs = table(spark, base, "documents").select("doc_id", "text")
-    old = docs.where("doc_id % 3 <> 0 or length(text) between 1 and 800")
-    old = old.select("doc_id", F.lit(0).alias("chunk"), F.sha2(F.lit("old"), 256).alias("chunk_hash"))
-    new = docs.where("doc_id % 3 = 0 and length(text) between 1 and 800")
-    return context.replace_documents(old, new, "doc_id", "text")
+    old = docs.select("doc_id", F.lit(0).alias("chunk"), F.sha2(F.lit("old"), 256).alias("chunk_hash"))
+    return context.replace_documents(old, docs.where("doc_id % 3 = 0"), "doc_id", "text")
+
 
 
 @query("""
@@ -254,9 +257,13 @@ def report_sinks(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.json(f"{folder}/last").join(every, "user_id").select("user_id", "n", "reports")
 
 
-@query("SELECT true AS found")
+@query("SELECT sum(length(event_id::VARCHAR) + 1)::BIGINT AS bytes FROM events")
 def folder_bytes(spark: SparkSession, base: str) -> DataFrame:
-    return tables.folder_size(spark, f"{base}/events.parquet").select((F.col("bytes") > 0).alias("found"))
+    """The size of a folder whose files hold one line for each event."""
+    folder = shared_folder(spark, "lines")
+    table(spark, base, "events").select(F.col("event_id").cast("string")).write.text(folder)
+    return tables.folder_size(spark, folder)
+
 
 
 @query("SELECT doc_id, count(*) OVER () AS n FROM documents")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,8 +73,8 @@ def document_chunks(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT conv_id, turn, role, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM conversations WHERE turn < 6),
-b AS (SELECT conv_id * 100 + turn AS page, word, (i % 8) * 40 + CASE WHEN (i // 8) % 4 = 2 AND i % 8 > 3 THEN 200 ELSE 0 END AS x0, (i // 8) * 30 AS y0, CASE WHEN (i // 8) % 5 = 4 THEN 24 ELSE 10 END AS h,
+WITH w AS (SELECT conv_id, turn, role, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM conversations),
+b AS (SELECT conv_id * 1000 + turn AS page, word, (i % 8) * 40 + CASE WHEN (i // 8) % 4 = 2 AND i % 8 > 3 THEN 200 ELSE 0 END AS x0, (i // 8) * 30 AS y0, CASE WHEN (i // 8) % 5 = 4 THEN 24 ELSE 10 END AS h,
   i // 8 AS line, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS side FROM w),
 l AS (SELECT page, line::INT AS line, count(*) AS n, any_value(h) AS h, (line % 4 = 2) AND count(*) > 4 AS wide, list(word ORDER BY x0) AS words FROM b GROUP BY page, line),
 u AS (SELECT page, quantile_cont(h, 0.5) AS usual FROM b GROUP BY 1)
@@ -85,8 +83,8 @@ SELECT page, line, CASE WHEN wide THEN array_to_string(words, ' | ') ELSE array_
 FROM l JOIN u USING (page)
 """)
 def page_layout(spark: SparkSession, base: str) -> DataFrame:
-    rows = table(spark, base, "conversations").where("turn < 6")
-    words = rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("page"), F.posexplode(F.split("text", " ")).alias("i", "word"))
+    rows = table(spark, base, "conversations")
+    words = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("page"), F.posexplode(F.split("text", " ")).alias("i", "word"))
     line = F.floor(F.col("i") / 8)
     shift = F.when((line % 4 == 2) & (F.col("i") % 8 > 3), 200).otherwise(0)
     height = F.when(line % 5 == 4, 24).otherwise(10)
@@ -118,12 +116,20 @@ def _coded(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT conv_id, turn, role, unnest(['SELECT', 'DROP']) AS operation, unnest(['t' || conv_id || ',u' || turn, 'x']) AS tables FROM conversations) SELECT * FROM s
+WITH r AS (SELECT conv_id, turn, role, unnest(['WITH', 'INSERT', 'DROP']) AS operation,
+  unnest(['t' || conv_id || ',u' || turn, role || '_log,t' || conv_id, 'x']) AS tables FROM conversations) SELECT * FROM r
 """)
 def sql_statements(spark: SparkSession, base: str) -> DataFrame:
-    rows = _coded(spark, base).withColumn("code", F.get(structured.code_blocks(F.col("t")), F.lit(0))["body"])
-    each = rows.select("conv_id", "turn", "role", F.explode(structured.sql_statements(F.col("code"))).alias("s"))
-    return each.select("conv_id", "turn", "role", F.col("s.operation").alias("operation"), F.array_join("s.tables", ",").alias("tables"))
+    """Statements around each turn's whole text, which stands in a string and in comments, semicolons and all."""
+    said = F.concat(F.lit("'from a; drop table b "), F.replace(F.col("text"), F.lit("'"), F.lit("''")), F.lit("'"))
+    note = F.concat(F.lit("/* from c; "), F.replace(F.col("text"), F.lit("*/"), F.lit("")), F.lit(" */ -- ; join d\n"))
+    code = F.concat(
+        F.lit("WITH q AS (SELECT "), said, F.lit(" FROM t"), "conv_id", F.lit(") SELECT * FROM q JOIN u"), "turn", F.lit(" ON 1; "), note,
+        F.lit("insert into \""), "role", F.lit("_log\" select "), said, F.lit(" from t"), "conv_id", F.lit("; drop table x"),
+    )
+    rows = table(spark, base, "conversations").select("conv_id", "turn", "role", F.explode(structured.sql_statements(code)).alias("s"))
+    return rows.select("conv_id", "turn", "role", F.col("s.operation").alias("operation"), F.array_join("s.tables", ",").alias("tables"))
+
 
 
 @query("""
@@ -202,20 +208,23 @@ def iso_times(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT DISTINCT c_mktsegment AS name FROM customer), a AS (SELECT 'e' || s_suppkey AS entity_id, lower((['BUILDING', 'MACHINERY', 'other'])[s_suppkey % 3 + 1]) AS alias, s_suppkey FROM supplier WHERE s_suppkey <= 5),
+WITH n AS (SELECT DISTINCT c_mktsegment AS name FROM customer UNION SELECT s_name FROM supplier),
+a AS (SELECT 'e' || s_suppkey AS entity_id, translate(lower(CASE WHEN s_suppkey % 3 = 0 THEN 'BUILDING' ELSE s_name END), '013457', 'oleast') AS alias FROM supplier),
 f AS (SELECT alias, count(*) AS n, min(entity_id) AS id FROM a GROUP BY 1)
-SELECT n.name, lower(n.name) AS alias, coalesce(f.n, 0) AS n_known, CASE WHEN f.n = 1 THEN id END AS entity_id, CASE WHEN f.n = 1 THEN 'known' WHEN f.n > 1 THEN 'ambiguous' ELSE 'new' END AS note
-FROM n LEFT JOIN f ON f.alias = lower(n.name)
+SELECT n.name, translate(lower(n.name), '013457', 'oleast') AS alias, coalesce(f.n, 0) AS n_known, CASE WHEN f.n = 1 THEN id END AS entity_id,
+  CASE WHEN f.n = 1 THEN 'known' WHEN f.n > 1 THEN 'ambiguous' ELSE 'new' END AS note FROM n LEFT JOIN f ON f.alias = translate(lower(n.name), '013457', 'oleast')
 """)
 def alias_resolution(spark: SparkSession, base: str) -> DataFrame:
-    names = table(spark, base, "customer").select(F.col("c_mktsegment").alias("name")).distinct()
-    some = table(spark, base, "supplier").where("s_suppkey <= 5")
-    known = F.get(F.array(*map(F.lit, ["BUILDING", "MACHINERY", "other"])), (F.col("s_suppkey") % 3).cast("int"))
-    own = some.select(F.concat(F.lit("e"), "s_suppkey").alias("entity_id"), F.lit("SEGMENT").alias("entity_type"), known.alias("name"))
+    """Segments and suppliers by name among all suppliers, a third of whom go by the name of a segment."""
+    suppliers = table(spark, base, "supplier")
+    names = table(spark, base, "customer").select(F.col("c_mktsegment").alias("name")).union(suppliers.select("s_name")).distinct()
+    known = F.when(F.col("s_suppkey") % 3 == 0, "BUILDING").otherwise(F.col("s_name"))
+    own = suppliers.select(F.concat(F.lit("e"), "s_suppkey").alias("entity_id"), F.lit("SEGMENT").alias("entity_type"), known.alias("name"))
     aliases = own.select("entity_id", entities.normalise_alias("name").alias("alias_norm"), F.lit(0.9).alias("confidence"))
     return entities.resolve_aliases(names, aliases, own, "SEGMENT")
 
 
+
 # --- boxes, JSON, types ----------------------------------------------------------------------------
 
 
@@ -394,21 +403,28 @@ def hash_encoders(spark: SparkSession, base: str) -> DataFrame:
 
 # --- times and budgets -----------------------------------------------------------------------------
 
-_NOW = dt.datetime(2024, 1, 20, 18, tzinfo=dt.timezone.utc)
-_SAID = ("last hour", "what was open yesterday 5pm?", "at 17:00 yesterday", "notes")
-
-
 @query("""
-SELECT * FROM (VALUES ('last hour', 1705770000, 1705773600, true, true), ('what was open yesterday 5pm?', 1705683600, 1705687200, false, true),
-  ('at 17:00 yesterday', 1705683600, 1705687200, true, true), ('notes', NULL, NULL, false, false)) t(said, start, "end", only_time, late)
+WITH e AS (SELECT event_id, epoch_us(ts) // 1000000 AS now, event_id % 24 AS h, event_id % 60 AS m, event_id % 4 AS kind FROM events),
+d AS (SELECT *, now - now % 86400 - 86400 + h * 3600 + CASE WHEN kind = 2 THEN m * 60 ELSE 0 END AS start FROM e)
+SELECT event_id, CASE kind WHEN 0 THEN now - 3600 WHEN 3 THEN NULL ELSE start END::BIGINT AS "start", CASE kind WHEN 0 THEN now WHEN 3 THEN NULL ELSE start + 3600 END::BIGINT AS "end",
+  kind IN (0, 2) AS only_time, kind < 3 AS late FROM d
 """)
 def times_said(spark: SparkSession, base: str) -> DataFrame:
-    rows = []
-    for said in _SAID:
-        found = when.time_range(said, _NOW)
-        ends = (None, None) if found is None else tuple(int(x.timestamp()) for x in found)
-        rows.append((said, *ends, when.only_a_time(said), when.late_window_allowed(found)))
-    return spark.createDataFrame(rows, "said string, start int, end int, only_time boolean, late boolean")
+    """What queries said at each event's time mean, each by that time."""
+    h, m = F.col("event_id") % 24, F.col("event_id") % 60
+    half = F.when(h < 12, "am").otherwise("pm")
+    twelve = F.when(h % 12 == 0, 12).otherwise(h % 12)
+    said = F.element_at(
+        F.array(
+            F.lit("last hour"), F.concat(F.lit("what was open yesterday "), twelve, half, F.lit("?")),
+            F.format_string("at %d:%02d yesterday", h, m), F.concat(F.lit("notes of "), "event_type"),
+        ),
+        (F.col("event_id") % 4 + 1).cast("int"),
+    )
+    rows = table(spark, base, "events").select("event_id", said.alias("said"), F.date_trunc("second", "ts").alias("now"))
+    found = when.said(F.col("said"), F.col("now"))
+    return rows.select("event_id", found.alias("f")).select("event_id", "f.start", "f.end", "f.only_time", "f.late")
+
 
 
 @query("""
@@ -422,15 +438,18 @@ def late_spans(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query("""
-SELECT * FROM (VALUES (1500, 'FAST,FUSION,RERANK', '', 24), (400, 'FAST,FUSION,RERANK', '', 12), (190, 'FAST,FUSION', 'RERANK:budget', 12), (50, 'FAST', 'FUSION:budget,RERANK:budget', 12)) t("left", stages, reasons, k)
+WITH e AS (SELECT event_id, 1500 - event_id * 37 % 1500 AS left_ms FROM events)
+SELECT event_id, left_ms::INT AS left_ms, 'FAST' || CASE WHEN left_ms >= 180 THEN ',FUSION' ELSE '' END || CASE WHEN left_ms >= 200 THEN ',RERANK' ELSE '' END AS stages,
+  CASE WHEN left_ms >= 200 THEN '' WHEN left_ms >= 180 THEN 'RERANK:budget' ELSE 'FUSION:budget,RERANK:budget' END AS reasons, CASE WHEN left_ms >= 750 THEN 24 ELSE 12 END AS k FROM e
 """)
 def budget_plans(spark: SparkSession, base: str) -> DataFrame:
-    rows = []
-    for left in (1500, 400, 190, 50):
-        budget = planner.Budget(left=left)
-        plan = planner.plan("notes", budget)
-        rows.append((left, ",".join(plan.stages), ",".join(plan.reasons), budget.size(planner.K_LEXICAL)))
-    return spark.createDataFrame(rows, "left int, stages string, reasons string, k int")
+    """The stages of a request for each event, by what earlier work has left of its time."""
+    left = (F.lit(planner.TOTAL_MS) - F.col("event_id") * 37 % planner.TOTAL_MS).cast("int")
+    rows = table(spark, base, "events").select("event_id", left.alias("left_ms"))
+    stages, reasons = planner.stages_within(F.col("left_ms"))
+    k = planner.size_within(F.col("left_ms"), planner.K_LEXICAL)
+    return rows.select("event_id", "left_ms", F.array_join(stages, ",").alias("stages"), F.array_join(reasons, ",").alias("reasons"), k.alias("k"))
+
 
 
 # --- evaluation ------------------------------------------------------------------------------------
