@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from tidemark.operators import audit, browse, memory, search, sessions, writes
+from tidemark.operators import audit, browse, graph, memory, search, sessions, writes
 from tidemark.sources import tables
 from tidemark.streaming import aggregate
 
@@ -413,3 +413,30 @@ def test_keys_in_spans_give_the_same(spark):
         want = whole(call(None))
         for seconds in (60, 7000, 1e7):
             assert whole(call(seconds)) == want
+
+
+def test_adapters_that_fail_when_their_rows_are_read(spark):
+    good = spark.createDataFrame([("e1", 0.5, "x"), ("", 0.1, "no id"), ("e2", None, "y")], "event_id string, score double, snippet string")
+    asked = []
+
+    def late(query, most):
+        asked.append(query)
+        return good.withColumn("event_id", F.raise_error(F.lit("the source is gone")).cast("string"))
+
+    def third(query, most):
+        asked.append("third")
+        return good if asked.count("third") == 3 else late(query, most)
+
+    out = graph.adapters([("late", late, 5), ("good", lambda q, n: good, 1), ("third", third, 5)], "q", 10)
+    rows = [tuple(r) for r in out.collect()]
+    assert [r[3] for r in rows] == ["good", "third", "third"] and rows[2][1] == 0.0
+    assert graph.adapters([("late", late, 5)], "q", 10) is None
+
+
+def test_numbers_over_all_rows(spark):
+    from tidemark.operators import ordered
+
+    df = spark.range(500).select("id", (F.col("id") % 7).alias("s")).repartition(5)
+    got = {r["id"]: r["rank"] for r in ordered.rank_over_all(df, "s", ties=["id"], rising=True).collect()}
+    want = sorted(range(500), key=lambda i: (i % 7, i))
+    assert got == {i: n for n, i in enumerate(want, 1)}

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import ordered
-from tidemark.operators.folds import fold_in_order
 
 
 def orphans(children: Mapping[str, tuple[DataFrame, str]], parents: DataFrame, parent_key: str) -> DataFrame:
@@ -55,14 +55,25 @@ def chain(entries: DataFrame, by: str, payload: Column, *order: str) -> DataFram
     A key's entries go through in order with the last hash carried on.
     """
 
-    def step(held: str, group: tuple, row: dict) -> tuple:
-        digest = hashlib.sha256((held + (row["_payload"] or "")).encode()).hexdigest()
-        return digest, f"{held}:{digest}"
-
-    packed = entries.withColumn("_payload", payload)
-    both = fold_in_order(packed, [by], list(order), step, "_both", "string", start="")
-    halves = F.split("_both", ":")
-    return both.select(*entries.columns, halves[0].alias("prev_hash"), halves[1].alias("entry_hash"))
+    packed = entries.withColumn("_payload", F.coalesce(payload, F.lit("")))
+    ready = packed.repartition(by).sortWithinPartitions(by, *order)
+    at, width = entries.columns.index(by), len(entries.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = object(), ""
+        for batch in batches:
+            before, after = [], []
+            for own, content in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist()):
+                if own != group:
+                    group, held = own, ""
+                before.append(held)
+                held = hashlib.sha256((held + content).encode()).hexdigest()
+                after.append(held)
+            hashes = [pa.array(before, pa.string()), pa.array(after, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *hashes], [*batch.schema.names[:-1], "prev_hash", "entry_hash"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema)
+    return ready.mapInArrow(run, f"{schema}, prev_hash string, entry_hash string")
 
 
 def verify_chain(entries: DataFrame, by: str, payload: Column, *order: str) -> DataFrame:

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tidemark.functions import entities, text
+from tidemark.operators import ordered
 
 # --- spans -----------------------------------------------------------------------------------
 
@@ -107,11 +109,13 @@ def build_evidence(results: DataFrame, event: str, body: str, rank: str = "rank"
     rows = rows.withColumn("redacted", F.col("injection_risk") > 0).withColumn("content_hash", F.sha2("text", 256))
     once = Window.partitionBy(event, "content_hash").orderBy(rank)
     rows = rows.withColumn("nth", F.row_number().over(once)).where("nth = 1")
-    # A result list is short, so one ordering window numbers it.
-    number = F.row_number().over(Window.orderBy(event, "content_hash"))
+    if isinstance(rows.schema[event].dataType, NumericType):
+        rows = ordered.rank_over_all(rows, event, "nth_of_all", ties=["content_hash"], rising=True)
+    else:  # a list of results with other ids is short
+        rows = rows.withColumn("nth_of_all", F.row_number().over(Window.orderBy(event, "content_hash")))
     kind = F.when(F.col("non_citable"), "derived_summary").otherwise("source")
-    rows = rows.withColumn("evidence_id", F.concat(F.lit("E"), number.cast("string")))
-    return rows.withColumn("kind", kind).drop("shown", "nth")
+    rows = rows.withColumn("evidence_id", F.concat(F.lit("E"), F.col("nth_of_all").cast("string")))
+    return rows.withColumn("kind", kind).drop("shown", "nth", "nth_of_all")
 
 
 def evidence_summary(evidence: DataFrame) -> DataFrame:

@@ -70,21 +70,21 @@ def adapters(
 ) -> DataFrame | None:
     """``(event_id, score, snippet, source)`` of all adapters ``(name, ask, most)``, one after the other.
 
-    Each gives its ``most`` results at most and is asked again when it fails; one that
+    Each gives its ``most`` results at most and is asked again when it fails, be it when it is asked, when its
+    answer is analysed or when its rows are read: they are few and are read here. One that
     fails for good adds nothing. None without an adapter that answers.
     """
     out = None
     for name, ask, most in sources:
         for _ in range(tries):
             try:
-                hits = ask(query, min(limit, most))
-                hits.schema  # noqa: B018  an answer that can't be analysed is a failure
+                hits = ask(query, min(limit, most)).where("event_id <> ''").limit(min(limit, most))
+                hits = hits.select("event_id", F.coalesce("score", F.lit(0.0)).alias("score"), "snippet", F.lit(name).alias("source"))
+                hits = hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
                 break
             except Exception:  # noqa: BLE001  whatever an adapter raises
                 hits = None
         if hits is None:
             continue
-        part = hits.where("event_id <> ''").limit(min(limit, most))
-        part = part.select("event_id", F.coalesce("score", F.lit(0.0)).alias("score"), "snippet", F.lit(name).alias("source"))
-        out = part if out is None else out.unionByName(part)
+        out = hits if out is None else out.unionByName(hits)
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
-from tidemark.operators.folds import fold_in_order
+from tidemark.operators.folds import fold_in_order, spaced
 
 # Half-lives in seconds, weights, quotas and bins of hotness.
 HALF_LIVES = {"fast": 3600.0, "mid": 21600.0, "warm": 86400.0, "cool": 604800.0}
@@ -75,20 +75,24 @@ def select_pins(pins: DataFrame, limits: Mapping[str, int], item: str) -> DataFr
     return pins.withColumn("kept", F.row_number().over(w) <= F.coalesce(limit, F.lit(0)))
 
 
-def rate_limited(touches: DataFrame, by: list[str], ts: str, seconds: float, key: str) -> DataFrame:
+def rate_limited(
+    touches: DataFrame, by: list[str], ts: str, seconds: float, key: str, span_seconds: float | None = None
+) -> DataFrame:
     """touches with ``accepted``: at least ``seconds`` after the last accepted one of its key.
 
-    Each decision hangs on the one before. A key's rows go through in order, batch by
-    batch, with the last accepted time carried on, so a key of any size takes no more
-    memory than a batch.
+    Each decision hangs on the one before. With ``span_seconds`` keys are cut into such spans, so that a
+    key with most of the rows is work for all tasks (rows without a time are left out). Without it a
+    key's rows go through one task in order, batch by batch, with the last accepted time carried on.
     """
+    if span_seconds is not None:
+        return spaced(touches, by, ts, key, seconds, span_seconds, "accepted")
 
     def step(held, group: tuple, row: dict) -> tuple:
         last = held
         ok = last is None or (row[ts] - last).total_seconds() >= seconds
         return (row[ts] if ok else last), ok
 
-    return fold_in_order(touches, by, [ts, key], step, "accepted", "boolean")
+    return fold_in_order(touches, by, [ts, key], step, "accepted", "boolean", uses=[ts])
 
 
 # Weights of memory ranking, and card types in order of preference.

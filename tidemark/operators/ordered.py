@@ -59,8 +59,10 @@ def latest(rows: DataFrame, by: Sequence[str], ts: str, side: str, seconds: floa
     return joined.select(*rows.columns, F.coalesce("_near", F.col("_carried.v")).alias(name))
 
 
-def rank_over_all(rows: DataFrame, score: str, name: str = "rank", buckets: int = 64) -> DataFrame:
-    """rows with their rank by falling score over all rows; equal scores share a rank.
+def rank_over_all(
+    rows: DataFrame, score: str, name: str = "rank", buckets: int = 64, ties: Sequence[str] = (), rising: bool = False
+) -> DataFrame:
+    """rows with their rank by falling (or rising) score over all rows; equal scores share a rank, unless ``ties`` tells them apart.
 
     Scores are dealt to buckets by approximate quantiles, so no task orders all rows; a
     row's rank is its rank within the bucket after all rows of higher ones.
@@ -71,9 +73,11 @@ def rank_over_all(rows: DataFrame, score: str, name: str = "rank", buckets: int
     own = F.size(F.filter(bounds, lambda c: c <= F.col(score)))
     dealt = rows.withColumn("_bucket", own)
     counts = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))  # one row for each bucket
-    higher = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    falls = F.asc if rising else F.desc
+    higher = Window.orderBy(falls("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     above = counts.select("_bucket", F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_above"))
-    within = F.rank().over(Window.partitionBy("_bucket").orderBy(F.desc(score)))
+    order = Window.partitionBy("_bucket").orderBy(falls(score), *ties)
+    within = (F.row_number() if ties else F.rank()).over(order)
     ranked = dealt.withColumn("_within", within).join(F.broadcast(above), "_bucket")
     return ranked.select(*rows.columns, (F.col("_within") + F.col("_above")).alias(name))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring, text
+from tidemark.operators import ordered
 from tidemark.operators.folds import fold_in_order
 
 # Words that mark preferences, and patterns of statements about persons.
@@ -168,7 +169,7 @@ def scout(items: DataFrame, value: str, title: str, keywords: Sequence[str], *ti
     bounded = scoring.with_bounds(items.where(hit), _value=value)
     score = F.round(scoring.between(F.col(value), F.col("_value_low"), F.col("_value_high")), 6)
     scored = bounded.select(*items.columns, score.alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *ties)))
+    return ordered.rank_over_all(scored, "score", ties=ties)
 
 
 def _starts(part: str):
@@ -203,4 +204,4 @@ def frame_duplicates(
             near = (*near, (row[ts], row[bits], None if pixels is None else row[pixels]))
         return near, same
 
-    return fold_in_order(frames, [by], [ts, key or bits], step, "duplicate", "boolean", start=())
+    return fold_in_order(frames, [by], [ts, key or bits], step, "duplicate", "boolean", start=(), uses=[ts, bits, *([pixels] if pixels else [])])

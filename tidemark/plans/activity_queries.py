@@ -216,7 +216,7 @@ SELECT event_id, accepted FROM f
 def hotness_rate_limit(spark: SparkSession, base: str) -> DataFrame:
     """Touches accepted by the rate limit; each hangs on the one accepted before."""
     rows = _events(spark, base).select("user_id", "event_id", "ts")
-    return memory.rate_limited(rows, ["user_id"], "ts", 3600, "event_id").select("event_id", "accepted")
+    return memory.rate_limited(rows, ["user_id"], "ts", 3600, "event_id", span_seconds=7 * 86_400).select("event_id", "accepted")
 
 
 _MEMORY = f"""

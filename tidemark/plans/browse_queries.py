@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import text
 from tidemark.operators import browse, writes
-from tidemark.plans.registry import micros, query
+from tidemark.plans.registry import micros, query, shared_folder
+from tidemark.sources import versions
 from tidemark.sources.tables import table
 
 AS_OF = "2024-01-31 00:00:00"
@@ -240,3 +242,48 @@ def verify_slices(spark: SparkSession, base: str) -> DataFrame:
     spans = cut.select("doc_id", "start", F.least(F.col("start") + 2000, F.length("text")).alias("end"), own.alias("span_text"))
     spans = spans.withColumn("span_hash", F.sha2("span_text", 256))
     return writes.verify_slices(spans, docs, "doc_id").select("doc_id", "start", "valid")
+
+
+# --- tables that are changed part by part ---------------------------------------------------------
+
+
+@query("""
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 50 = 0 THEN 'Z' ELSE o_orderstatus END AS status, o_custkey AS customer FROM orders WHERE o_orderkey % 1000 <> 7
+UNION ALL SELECT o_orderkey + 100000000, 'N', o_custkey FROM orders WHERE o_orderkey % 50 = 1
+""")
+def versioned_upsert(spark: SparkSession, base: str) -> DataFrame:
+    """A table of orders after an upsert, an insert of what is new only, and a deletion by key, each published as a version."""
+    folder = shared_folder(spark, "orders")
+    rows = table(spark, base, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer"))
+    versions.create(rows, folder, "id", parts=16)
+    versions.upsert(spark, folder, rows.where("id % 50 = 0").withColumn("status", F.lit("Z")))
+    new = rows.where("id % 50 = 1").select((F.col("id") + 100_000_000).alias("id"), F.lit("N").alias("status"), "customer")
+    versions.insert_new(spark, folder, new.unionByName(rows.where("id % 50 = 2").withColumn("status", F.lit("kept as it was"))))
+    versions.delete_keys(spark, folder, rows.where("id % 1000 = 7"))
+    return versions.read(spark, folder)
+
+
+@query("""
+WITH gone AS (SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' AND event_type <> 'click'),
+k AS (SELECT * FROM events WHERE event_id NOT IN (SELECT event_id FROM gone)),
+p AS (SELECT event_id, unnest(regexp_extract_all(lower(props), '[a-z0-9_]+')) AS term FROM k)
+SELECT 'events' AS name, count(*) AS n FROM k UNION ALL SELECT 'segments', count(*) FROM (SELECT DISTINCT event_id // 10 FROM k)
+UNION ALL SELECT 'index', count(*) FROM (SELECT DISTINCT event_id, term FROM p)
+""")
+def versioned_range_delete(spark: SparkSession, base: str) -> DataFrame:
+    """What is left of events, of the segments that they make up and of their index after a range was deleted from all three."""
+    folder = shared_folder(spark, "range")
+    events = table(spark, base, "events").select("event_id", "ts", "event_type", "props")
+    segments = events.groupBy(F.expr("event_id div 10").alias("segment_id")).agg(F.collect_list("event_id").alias("ids"))
+    terms = events.select("event_id", F.explode(F.array_distinct(text.terms(F.col("props")))).alias("term"))
+    index = terms.withColumn("id", F.concat_ws(":", "event_id", "term"))
+    for rows, name, key in ((events, "events", "event_id"), (segments, "segments", "segment_id"), (index, "index", "id")):
+        versions.create(rows, f"{folder}/{name}", key, parts=8)
+    late = (F.col("ts") >= F.lit("2024-01-10").cast("timestamp")) & (F.col("ts") < F.lit("2024-01-20").cast("timestamp"))
+    gone = events.where(late & (F.col("event_type") != "click")).select("event_id")
+    versions.delete_where(spark, f"{folder}/events", late & (F.col("event_type") != "click"))
+    versions.delete_keys(spark, f"{folder}/index", index.join(gone, "event_id", "left_semi"))
+    left = versions.read(spark, f"{folder}/events").select(F.expr("event_id div 10").alias("segment_id")).distinct()
+    versions.delete_keys(spark, f"{folder}/segments", segments.join(left, "segment_id", "left_anti"))
+    counts = [versions.read(spark, f"{folder}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("events", "segments", "index")]
+    return counts[0].union(counts[1]).union(counts[2])
