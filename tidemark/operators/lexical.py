@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring, text
+from tidemark.functions.spans import bound
+from tidemark.operators.ordered import held
 from tidemark.sources.tables import spread
 
 
@@ -24,6 +26,14 @@ def postings(docs: DataFrame, key: str, column: str, only: Sequence[str] | None
     return each.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
+def postings_and_stats(docs: DataFrame, key: str, column: str, only: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The postings of some terms, and the statistics of all documents, from one pass over the texts."""
+    tokens = spread(docs.select(key, column)).select(key, text.terms(F.coalesce(F.col(column), F.lit(""))).alias("t"))
+    kept = held(tokens.select(key, F.size("t").alias("length"), F.filter("t", lambda x: x.isin(*only)).alias("t")))
+    each = kept.select(key, "length", F.explode("t").alias("term")).groupBy("term", key, "length").agg(F.count("*").alias("tf"))
+    return each, corpus_stats(kept.where("length > 0"))
+
+
 def bm25_from_postings(index: DataFrame, stats: DataFrame, query: Sequence[str], key: str) -> DataFrame:
     """``(key, bm25)`` of documents that hold any of the terms, from an index and ``(n_docs, mean_length)``."""
     hits = index.where(F.col("term").isin(*query))
@@ -199,8 +209,9 @@ def _leaf(phrase, word):
 
 def boolean_search(docs: DataFrame, query: str, key: str, column: str) -> DataFrame:
     """``(key)`` of documents that a boolean query matches."""
-    tokens = spread(docs.select(key, column)).select(key, text.terms(F.coalesce(F.col(column), F.lit(""))).alias("t"))
-    return tokens.where(parse(query).holds(F.col("t"))).select(key)
+    # Bound once: a filter that names the words several times would split texts as often.
+    tokens = text.terms(F.coalesce(F.col(column), F.lit("")))
+    return spread(docs.select(key, column)).where(bound(tokens, parse(query).holds)).select(key)
 
 
 #: Words that a query may lack (fixed values).

@@ -7,12 +7,24 @@ each, are combined by a window over spans and joined back.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """rows written to the checkpoint folder, for those who read them several times; as they are where a cluster has no folder."""
+    sc = rows.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and sc.master.partition("[")[0] != "local":
+            return rows
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
+    return rows.checkpoint()
+
+
 def span_of(ts: str, seconds: float) -> Column:
     """Number of the span of time that a row falls into."""
     return F.floor(F.unix_micros(ts) / int(seconds * 1e6)).cast("long")
@@ -67,6 +79,7 @@ def rank_over_all(
     Scores are dealt to buckets by approximate quantiles, so no task orders all rows; a
     row's rank is its rank within the bucket after all rows of higher ones.
     """
+    rows = held(rows)
     levels = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(rows.approxQuantile(score, levels, 0.25 / buckets)))
     bounds = F.array(*(F.lit(float(c)) for c in cuts)) if cuts else F.array().cast("array<double>")
@@ -82,6 +95,10 @@ def rank_over_all(
     return ranked.select(*rows.columns, (F.col("_within") + F.col("_above")).alias(name))
 
 
+#: Groups whose bounds are handed to all tasks.
+MOST_GROUPS = 1000
+
+
 def exact_quantiles(
     rows: DataFrame, column: str, by: Sequence[str], levels: Sequence[float], accuracy: int = 2000
 ) -> DataFrame:
@@ -96,7 +113,10 @@ def exact_quantiles(
     slack = 2.5 / accuracy
     cuts = [min(1.0, max(0.0, q + d)) for q in levels for d in (-slack, slack)]
     bounds = known.groupBy(*by).agg(F.percentile_approx("_x", cuts, accuracy).alias("_c"), F.count("*").alias("_n"))
-    joined = known.join(bounds, list(by)) if by else known.join(F.broadcast(bounds))
+    few = bounds.limit(MOST_GROUPS + 1).collect()
+    if len(few) <= MOST_GROUPS:  # counted, so every task gets them; of more groups none is large beside the others
+        bounds = F.broadcast(rows.sparkSession.createDataFrame(few, bounds.schema))
+    joined = known.join(bounds, list(by)) if by else known.join(bounds)
     small = F.col("_n") <= 2 * accuracy
     parts = F.array(
         *(

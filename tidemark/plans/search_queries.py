@@ -80,8 +80,8 @@ FROM i JOIN d USING (term), s GROUP BY doc_id
 """)
 def lexical_postings_bm25(spark: SparkSession, base: str) -> DataFrame:
     docs = table(spark, base, "documents").select("doc_id", "text")
-    stats = lexical.corpus_stats(lexical.lengths(docs, "doc_id", "text"))
-    hits = lexical.bm25_from_postings(lexical.postings(docs, "doc_id", "text", TERMS), stats, TERMS, "doc_id")
+    index, stats = lexical.postings_and_stats(docs, "doc_id", "text", TERMS)
+    hits = lexical.bm25_from_postings(index, stats, TERMS, "doc_id")
     return hits.select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
