@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring, text, vectors
-from tidemark.operators import documents, lexical, positional, search
+from tidemark.operators import documents, fulltext, lexical, positional, search
 from tidemark.plans.registry import query, shared_folder
 from tidemark.sources.tables import table
 
@@ -157,6 +157,14 @@ def fts_indexed_query(spark: SparkSession, base: str) -> DataFrame:
     return found.select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
+@query()
+def fts_cover_density(spark: SparkSession, base: str) -> DataFrame:
+    """Documents ranked by covers of stems, for which SQL has no form here: a test tries every stretch of every text."""
+    docs = table(spark, base, "documents")
+    found = fulltext.cover_density(docs, ["licensing", "under"], "doc_id", "text")
+    return found.select("doc_id", F.round("rank", 6).alias("rank"), "covers")
+
+
 def _best_sql(rows: str, key: str, n: int) -> str:
     """DuckDB SQL of ``(key, bm25, rank)``: the best n of ``(key, t)`` rows, t an array of words, for TERMS."""
     tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(TERMS))
