@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.plans.registry import query, shared_folder
 from tidemark.sources import tables
 from tidemark.sources.tables import table
-from tidemark.streaming import aggregate
+from tidemark.streaming import aggregate, stateful
 
 
 def _events(spark: SparkSession, base: str) -> DataFrame:
@@ -90,3 +90,18 @@ def stream_distinct_events(spark: SparkSession, base: str) -> DataFrame:
     """Events without those whose key was seen within a time; the time here is longer than the table."""
     once = aggregate.exact_duplicates(_events(spark, base).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "400 days")
     return _table_of(spark, once, "distinct").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH RECURSIVE d AS (SELECT user_id, epoch_us(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+f AS (SELECT user_id, n, tm, tm AS kept, true AS accepted, 1.0::DOUBLE AS fast, 1.0::DOUBLE AS mid, 1.0::DOUBLE AS warm, 1.0::DOUBLE AS cool FROM d WHERE n = 1
+  UNION ALL SELECT user_id, n, tm, CASE WHEN ok THEN tm ELSE kept END, ok, CASE WHEN ok THEN fast * pow(2.0, -age / 3600) + 1 ELSE fast END, CASE WHEN ok THEN mid * pow(2.0, -age / 21600) + 1 ELSE mid END,
+    CASE WHEN ok THEN warm * pow(2.0, -age / 86400) + 1 ELSE warm END, CASE WHEN ok THEN cool * pow(2.0, -age / 604800) + 1 ELSE cool END
+  FROM (SELECT d.user_id, d.n, d.tm, kept, fast, mid, warm, cool, d.tm - kept >= 3600000000 AS ok, (d.tm - kept) / 1e6::DOUBLE AS age FROM f JOIN d ON d.user_id = f.user_id AND d.n = f.n + 1))
+SELECT user_id, tm AS ts_us, accepted, round(0.4 * fast + 0.3 * mid + 0.2 * warm + 0.1 * cool, 6) AS score FROM f
+""")
+def stream_decaying_touches(spark: SparkSession, base: str) -> DataFrame:
+    """Four decaying sums of each user's touches in keyed state with expiry; the table is one batch (tests have several, and see state end)."""
+    touches = stateful.decaying_touches(_events(spark, base), "user_id", "ts", 3600, 40 * 86_400)
+    out = _table_of(spark, touches, "decaying")
+    return out.select("user_id", F.round(F.col("at") * 1e6).cast("long").alias("ts_us"), "accepted", F.round("score", 6).alias("score"))
