@@ -1,8 +1,8 @@
 """A stored inverted index with positions, for phrases, prefixes and the best k of a query without scoring every hit.
 
 Documents are dealt to *blocks* by a hash of their key, so that a block is the same set of
-documents for every term. A row of the index holds a term's postings in one block
-(key, weighted frequency, length, share of the score, positions) and the greatest share among
+documents for every term. A row of the index holds a term's postings in one block, as
+arrays side by side (keys, shares of the score, lengths, positions), and the greatest share among
 them. Rows lie in folders by term and are sorted by term and block, so a query reads its
 terms' folders and row groups only; positions and keys are delta-coded by the file format.
 
@@ -20,16 +20,17 @@ indexed as a whole; a block holds about BLOCK_DOCS documents, whatever the numbe
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions import scoring, text
 from tidemark.operators.lexical import Node, parse
-from tidemark.sources.tables import spread
 
 #: Documents in a block, about; folders by term; files of a folder (by block), each with as many blocks at most.
 BLOCK_DOCS, PARTS, SLICE_BLOCKS = 512, 64, 4096
@@ -55,32 +56,36 @@ def write(
         raise ValueError("fields are told apart by positions")
     names = list(fields)
     words = [text.terms(F.coalesce(F.col(f), F.lit(""))).alias(f"t{i}") for i, f in enumerate(names)]
-    tokens = spread(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *names)).select("key", *words)
-    length = sum((F.size(f"t{i}") for i in range(len(names))), F.lit(0))
-    sized = tokens.select("key", length.alias("length")).where("length > 0")
+    length = sum((F.size(f"t{i}") for i in range(len(names))), F.lit(0)).alias("length")
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *names)
+    # Lengths come first, without a shuffle; the table of documents is what statistics are made from.
+    sized = texts.select("key", *words).select("key", length).where("length > 0")
+    sized.write.mode("overwrite").parquet(f"{path}/documents")
+    sized = docs.sparkSession.read.schema(sized.schema).parquet(f"{path}/documents")
     n_docs, mean = sized.agg(F.count("*"), F.coalesce(F.avg("length"), F.lit(1.0))).first()
     blocks = max(1, -(-n_docs // block_docs))
     block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
     places = F.concat(*(_places(f"t{i}", i * FIELD_GAP) for i in range(len(names))))
-    # One shuffle, by block: both groupings that follow are within blocks.
-    dealt = tokens.select("key", length.alias("length"), places.alias("places"), block.alias("block")).repartition("block")
-    each = dealt.select("block", "key", "length", F.inline("places")).groupBy("block", "term", "key", "length")
+    # One shuffle, of texts by block: words come after it, and both groupings that follow are within blocks.
+    dealt = texts.withColumn("block", block).repartition("block").select("block", "key", *words)
+    each = dealt.select("block", "key", length, F.inline(places)).groupBy("block", "term", "key", "length")
     if positions:
         each = each.agg(F.sort_array(F.collect_list("pos")).alias("positions"))
         tf = sum((w * F.size(in_field(F.col("positions"), i)) for i, w in enumerate(fields.values())), F.lit(0.0))
     else:
-        each = each.agg((F.count("*") * list(fields.values())[0]).alias("tf")).withColumn("positions", F.lit(None).cast("array<int>"))
+        each = each.agg((F.count("*") * list(fields.values())[0]).alias("tf"))
         tf = F.col("tf").cast("double")
     each = each.withColumn("tf", tf).withColumn("share", share(F.col("tf"), F.col("length"), mean))
-    postings = F.sort_array(F.collect_list(F.struct("key", "tf", "length", "share", "positions")))
-    rows = each.groupBy("block", "term").agg(F.count("*").alias("n"), F.max("share").alias("top"), postings.alias("postings"))
+    columns = {"key": "keys", "share": "shares", **({"length": "lengths", "positions": "positions"} if positions else {})}
+    postings = F.sort_array(F.collect_list(F.struct(*columns)))
+    rows = each.groupBy("block", "term").agg(F.count("*").alias("n"), F.max("share").alias("top"), postings.alias("p"))
+    rows = rows.select("block", "term", "n", "top", *(F.col("p")[c].alias(name) for c, name in columns.items()))
     rows = rows.withColumn("part", _part("term", parts))
     slices = max(8, blocks // SLICE_BLOCKS)
     rows = rows.repartition("part", F.col("block") % slices).sortWithinPartitions("part", "term", "block")
     rows.write.mode("overwrite").option("parquet.writer.version", "v2").partitionBy("part").parquet(f"{path}/postings")
-    sized.write.mode("overwrite").parquet(f"{path}/documents")
-    stats = [(float(n_docs), float(mean), parts, names)]
-    stats = docs.sparkSession.createDataFrame(stats, "n_docs double, mean_length double, parts int, fields array<string>")
+    stats = [(float(n_docs), float(mean), parts, names, rows.schema.json())]
+    stats = docs.sparkSession.createDataFrame(stats, "n_docs double, mean_length double, parts int, fields array<string>, schema string")
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
@@ -105,10 +110,15 @@ def _stats(spark: SparkSession, path: str):
     return spark.read.parquet(f"{path}/stats").first()
 
 
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of an index, which may have none."""
+    return spark.read.schema(StructType.fromJson(json.loads(_stats(spark, path)["schema"]))).parquet(f"{path}/postings")
+
+
 def folders(spark: SparkSession, path: str, terms: DataFrame, parts: int) -> DataFrame:
     """The index rows in the folders of some terms; which ones is settled before the scan."""
     wanted = [r[0] for r in terms.select(_part("term", parts)).distinct().collect()]  # parts at most
-    return spark.read.parquet(f"{path}/postings").where(F.col("part").isin(*wanted))
+    return _rows(spark, path).where(F.col("part").isin(*wanted))
 
 
 # --- the best k ------------------------------------------------------------------------------
@@ -136,8 +146,8 @@ def bounded(spark: SparkSession, path: str, queries: DataFrame) -> tuple[DataFra
 def scores(weights: DataFrame, chosen: DataFrame, index: DataFrame) -> DataFrame:
     """``(query, key, bm25)`` of the documents in chosen ``(query, block)`` rows."""
     pairs = weights.join(chosen.select("query", "block"), "query")
-    hits = pairs.join(index.select("term", "block", "postings"), ["term", "block"])
-    each = hits.select("query", "idf", F.inline(F.transform("postings", lambda p: F.struct(p["key"].alias("key"), p["share"].alias("share")))))
+    hits = pairs.join(index.select("term", "block", "keys", "shares"), ["term", "block"])
+    each = hits.select("query", "idf", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("shares").alias("share"))))
     return each.groupBy("query", "key").agg(F.round(F.sum(F.col("idf") * F.col("share")), 6).alias("bm25"))
 
 
@@ -234,11 +244,12 @@ def search(spark: SparkSession, path: str, query: str, key: str, field: str | No
     words = list(dict.fromkeys(w for x in every if x.kind != "prefix" for w in x.parts))
     starts = list(dict.fromkeys(x.parts[0] for x in every if x.kind == "prefix"))
     if starts:
-        index = spark.read.parquet(f"{path}/postings")
+        index = _rows(spark, path)
     else:
         index = folders(spark, path, spark.createDataFrame([(w,) for w in words], "term string"), stats["parts"])
     wanted = [F.col("term").isin(*words)] if words else []
-    hits = index.where(reduce(or_, wanted + [F.col("term").startswith(s) for s in starts])).select("term", F.inline("postings"))
+    hits = index.where(reduce(or_, wanted + [F.col("term").startswith(s) for s in starts]))
+    hits = hits.select("term", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("lengths").alias("length"), F.col("positions").alias("positions"))))
     if field is not None:
         own = in_field(F.col("positions"), stats["fields"].index(field))
         hits = hits.withColumn("positions", own).where(F.size("positions") > 0)
@@ -265,7 +276,7 @@ def rarest(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
     """``(query, key)``: the documents that hold each query's rarest term (the first of those in code-point order)."""
     weights, _, index = bounded(spark, path, queries)
     first = weights.groupBy("query").agg(F.min_by("term", F.struct(-F.col("idf"), "term")).alias("term"))
-    return first.join(index.select("term", F.inline("postings")), "term").select("query", "key")
+    return first.join(index.select("term", F.explode("keys").alias("key")), "term").select("query", "key")
 
 
 def as_queries(spark: SparkSession, named: Mapping[str, Sequence[str]]) -> DataFrame:
