@@ -34,6 +34,8 @@ from tidemark.operators.lexical import Node, parse
 
 #: Documents in a block, about; folders by term; files of a folder (by block), each with as many blocks at most.
 BLOCK_DOCS, PARTS, SLICE_BLOCKS = 512, 64, 4096
+#: Rows of a query set (terms, or terms by block) that are handed to all tasks at most.
+MOST_HANDED_OUT = 300_000
 #: Positions between the beginnings of two fields.
 FIELD_GAP = 1 << 27
 #: Scores are compared with six decimals; a bound must be this much lower to rule a block out.
@@ -132,8 +134,9 @@ def bounded(spark: SparkSession, path: str, queries: DataFrame) -> tuple[DataFra
     """
     stats = _stats(spark, path)
     queries = queries.select("query", "term").distinct()
-    index = folders(spark, path, queries, stats["parts"])
-    heads = index.select("term", "block", "n", "top").join(queries.select("term").distinct(), "term", "left_semi")
+    terms = _handed_out(queries.select("term").distinct())
+    index = folders(spark, path, terms, stats["parts"]).join(terms, "term", "left_semi")
+    heads = index.select("term", "block", "n", "top")
     df = heads.groupBy("term").agg(F.sum("n").alias("df"))
     odds = (F.lit(stats["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)
     idf = F.when(F.log(odds) > 0, F.log(odds)).otherwise(F.lit(1e-6))
@@ -143,9 +146,15 @@ def bounded(spark: SparkSession, path: str, queries: DataFrame) -> tuple[DataFra
     return weights, bounds, index
 
 
+def _handed_out(rows: DataFrame) -> DataFrame:
+    """rows for every task where they are few, which is counted first, so that the index isn't shuffled to meet them."""
+    few = rows.limit(MOST_HANDED_OUT + 1).checkpoint()
+    return F.broadcast(few) if few.count() <= MOST_HANDED_OUT else rows
+
+
 def scores(weights: DataFrame, chosen: DataFrame, index: DataFrame) -> DataFrame:
     """``(query, key, bm25)`` of the documents in chosen ``(query, block)`` rows."""
-    pairs = weights.join(chosen.select("query", "block"), "query")
+    pairs = _handed_out(weights.join(chosen.select("query", "block"), "query"))
     hits = pairs.join(index.select("term", "block", "keys", "shares"), ["term", "block"])
     each = hits.select("query", "idf", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("shares").alias("share"))))
     return each.groupBy("query", "key").agg(F.round(F.sum(F.col("idf") * F.col("share")), 6).alias("bm25"))
@@ -169,8 +178,8 @@ def top_k(spark: SparkSession, path: str, queries: DataFrame, k: int, key: str)
 
     A first round that leaves no floor has scored every block of the query.
     """
-    weights, bounds, index = bounded(spark, path, queries)
     _checkpoints(spark, path)
+    weights, bounds, index = bounded(spark, path, queries)
     weights, bounds = weights.checkpoint(), bounds.checkpoint()
     _, second, seen = rounds(bounds, weights, index, k)
     every = seen.unionByName(scores(weights, second, index))
@@ -181,8 +190,8 @@ def top_k(spark: SparkSession, path: str, queries: DataFrame, k: int, key: str)
 
 def read_share(spark: SparkSession, path: str, queries: DataFrame, k: int) -> DataFrame:
     """One row ``(blocks, blocks_scored, postings, postings_scored)``: what top_k spares for these queries."""
-    weights, bounds, index = bounded(spark, path, queries)
     _checkpoints(spark, path)
+    weights, bounds, index = bounded(spark, path, queries)
     bounds = bounds.checkpoint()
     first, second, _ = rounds(bounds, weights, index, k)
     scored = first.unionByName(second).agg(F.count("*").alias("blocks_scored"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings_scored"))
@@ -274,6 +283,7 @@ def search(spark: SparkSession, path: str, query: str, key: str, field: str | No
 
 def rarest(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
     """``(query, key)``: the documents that hold each query's rarest term (the first of those in code-point order)."""
+    _checkpoints(spark, path)
     weights, _, index = bounded(spark, path, queries)
     first = weights.groupBy("query").agg(F.min_by("term", F.struct(-F.col("idf"), "term")).alias("term"))
     return first.join(index.select("term", F.explode("keys").alias("key")), "term").select("query", "key")
