@@ -11,8 +11,24 @@ TABLES = (
 )
 
 
+#: Bytes of rows that a Python worker gets at a time at most; one longer row comes alone.
+BATCH_BYTES = 1 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold BATCH_BYTES at most: workers hold a batch several times over, whatever the number of its rows.
+
+    Batches are formed when a query runs, after this returns, so the session keeps the setting. It is only ever lowered.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < held <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """A Parquet table of a folder; timestamps without zone are read as UTC."""
+    """A Parquet table of a folder; timestamps without zone are read as UTC. Python workers get it in small batches."""
+    small_batches(spark)
     df = spark.read.parquet(f"{base}/{name}.parquet")
     naive = {f.name: F.col(f.name).cast("timestamp") for f in df.schema if f.dataType.typeName() == "timestamp_ntz"}
     return df.withColumns(naive) if naive else df
