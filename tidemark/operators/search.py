@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring, vectors
+from tidemark.operators import blocks
 
 
 def knn(rows: DataFrame, query: Sequence[float], k: int, key: str, vector: str, where: Column | None = None) -> DataFrame:
@@ -121,15 +123,24 @@ def probe_knn(
 
     ``queries`` has ``(query, q)``, q the vector. A row is no result of a query with its own key.
     """
-    order = Window.partitionBy("query").orderBy(F.desc("score"), key)
+    queries = queries.select("query", "q")
+    rows = spark.read.parquet(f"{path}/vectors")
+    rows = rows if keys is None else rows.join(keys.select(key), key, "left_semi")
 
     def best(of: DataFrame, upto: int | None) -> DataFrame:
-        rows = probe_candidates(spark, path, of, key, vector, dim, bits, upto, keys).where(F.col("query") != F.col(key))
-        return rows.select("query", key, "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-    near = best(queries, n)
+        wanted = probes(of, "q", dim, bits, upto)
+        listed = [r[0] for r in wanted.select("bucket").distinct().collect()]  # 2 ** bits at most
+        own = wanted.groupBy("query").agg(F.collect_set("bucket").alias("_in"))
+        looked = F.transform(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda b: F.array_contains("_in", b).cast("byte"))
+        marked = of.join(own, "query").select("query", "q", looked.alias("mask"))
+        return blocks.best(rows.where(F.col("bucket").isin(*listed)), marked, k, key, vector, dim, "bucket", "mask")
+
+    best(queries, n).write.parquet(found := f"{path}/found-{uuid.uuid4().hex}")
+    near = spark.read.parquet(found)
     full = near.where(F.col("rank") == k).select("query")
     short = queries.join(full, "query", "left_anti")
+    if short.isEmpty():
+        return near
     return near.join(full, "query", "left_semi").unionByName(best(short, None))
 
 

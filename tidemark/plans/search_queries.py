@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring, text, vectors
-from tidemark.operators import documents, fulltext, lexical, positional, search
+from tidemark.operators import blocks, documents, fulltext, lexical, positional, search
 from tidemark.plans.registry import query, shared_folder
 from tidemark.sources.tables import table
 
@@ -344,10 +344,7 @@ def vector_multiprobe_recall(spark: SparkSession, base: str) -> DataFrame:
     """How many buckets reach a recall@10 of 0.9 against an exact search, and what share of the rows they hold."""
     folder = _vector_index(spark, base)
     queries, rows = _vector_queries(spark, base), table(spark, base, "embeddings")
-    score = F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6)
-    both = queries.join(rows, F.col("query") != F.col("vec_id")).select("query", "vec_id", score.alias("score"))  # a stated query set against all rows
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    exact = both.withColumn("n", F.row_number().over(w)).where("n <= 10").select("query", "vec_id")
+    exact = blocks.best(rows, queries, 10, "vec_id", "embedding", 64).select("query", "vec_id")  # a stated query set against all rows
     curve = search.recall_curve(exact, spark.read.parquet(f"{folder}/vectors"), queries, "vec_id", 64, PLANES)
     return curve.where("recall >= 0.9").orderBy("probes").limit(1)
 
