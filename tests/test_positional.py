@@ -81,3 +81,22 @@ def test_an_empty_table(spark, docs, tmp_path):
     positional.write(docs.limit(0), str(tmp_path), "doc_id", {"text": 1.0}, parts=2)
     assert positional.search(spark, str(tmp_path), "a NOT b", "doc_id").collect() == []
     assert positional.top_k(spark, str(tmp_path), positional.as_queries(spark, {"q": ["a"]}), 3, "doc_id").collect() == []
+
+
+def test_words_are_no_rows_and_blocks_go_over_batches(spark, docs, tmp_path):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        dealt = docs.select(F.lit(0).alias("block"), F.col("doc_id").alias("key"), text.terms(F.coalesce("text", F.lit(""))).alias("t0"))
+        rows = positional._postings(dealt.orderBy("key"), [1.0], 10.0, True)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Aggregate" not in plan
+        got = rows.select("term", F.inline(F.arrays_zip("keys", "lengths", "positions"))).collect()
+    finally:
+        spark.conf.set(name, before)
+    want = {}
+    for r in dealt.collect():
+        for i, word in enumerate(r["t0"]):
+            want.setdefault((word, r["key"], len(r["t0"])), []).append(i)
+    assert sorted((*k, p) for k, p in want.items()) == sorted(map(tuple, got))

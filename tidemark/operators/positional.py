@@ -21,21 +21,26 @@ indexed as a whole; a block holds about BLOCK_DOCS documents, whatever the numbe
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.functions import scoring, text
 from tidemark.operators.lexical import Node, parse
+from tidemark.sources.tables import small_batches
 
 #: Documents in a block, about; folders by term; files of a folder (by block), each with as many blocks at most.
 BLOCK_DOCS, PARTS, SLICE_BLOCKS = 512, 64, 4096
 #: Rows of a query set (terms, or terms by block) that are handed to all tasks at most.
 MOST_HANDED_OUT = 300_000
+#: Terms of a block that a task hands on at a time.
+TERMS_GIVEN = 4096
 #: Positions between the beginnings of two fields.
 FIELD_GAP = 1 << 27
 #: Scores are compared with six decimals; a bound must be this much lower to rule a block out.
@@ -67,22 +72,9 @@ def write(
     n_docs, mean = sized.agg(F.count("*"), F.coalesce(F.avg("length"), F.lit(1.0))).first()
     blocks = max(1, -(-n_docs // block_docs))
     block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
-    places = F.concat(*(_places(f"t{i}", i * FIELD_GAP) for i in range(len(names))))
-    # One shuffle, of texts by block: words come after it, and both groupings that follow are within blocks.
-    dealt = texts.withColumn("block", block).repartition("block").select("block", "key", *words)
-    each = dealt.select("block", "key", length, F.inline(places)).groupBy("block", "term", "key", "length")
-    if positions:
-        each = each.agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-        tf = sum((w * F.size(in_field(F.col("positions"), i)) for i, w in enumerate(fields.values())), F.lit(0.0))
-    else:
-        each = each.agg((F.count("*") * list(fields.values())[0]).alias("tf"))
-        tf = F.col("tf").cast("double")
-    each = each.withColumn("tf", tf).withColumn("share", share(F.col("tf"), F.col("length"), mean))
-    columns = {"key": "keys", "share": "shares", **({"length": "lengths", "positions": "positions"} if positions else {})}
-    postings = F.sort_array(F.collect_list(F.struct(*columns)))
-    rows = each.groupBy("block", "term").agg(F.count("*").alias("n"), F.max("share").alias("top"), postings.alias("p"))
-    rows = rows.select("block", "term", "n", "top", *(F.col("p")[c].alias(name) for c, name in columns.items()))
-    rows = rows.withColumn("part", _part("term", parts))
+    # Texts are shuffled by block; a block's postings are then made from arrays of its words, which never are rows of a table.
+    dealt = texts.withColumn("block", block).repartition("block").sortWithinPartitions("block", "key").select("block", "key", *words)
+    rows = _postings(dealt, list(fields.values()), mean, positions).withColumn("part", _part("term", parts))
     slices = max(8, blocks // SLICE_BLOCKS)
     rows = rows.repartition("part", F.col("block") % slices).sortWithinPartitions("part", "term", "block")
     rows.write.mode("overwrite").option("parquet.writer.version", "v2").partitionBy("part").parquet(f"{path}/postings")
@@ -91,8 +83,74 @@ def write(
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
-def _places(words: str, begin: int) -> Column:
-    return F.transform(words, lambda w, p: F.struct(w.alias("term"), (p + begin).alias("pos")))
+def _postings(dealt: DataFrame, weights: Sequence[float], mean: float, positions: bool) -> DataFrame:
+    """Index rows from ``(block, key, t0, t1, ...)`` rows in order of block and key, t the words of each field.
+
+    A task holds the words of one block at a time, as numbers beside a list of distinct ones.
+    """
+    key_kind, mean, fields = dealt.schema["key"].dataType.simpleString(), float(mean), range(len(weights))
+    kinds = {"block": "int", "term": "string", "n": "bigint", "top": "double", "keys": f"array<{key_kind}>", "shares": "array<double>"}
+    kinds |= {"lengths": "array<int>", "positions": "array<array<int>>"} if positions else {}
+
+    def lists(ends: np.ndarray, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
+
+    def rows_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        parts, docs, places = [], [], []
+        length = np.zeros(table.num_rows, np.int64)
+        for f in fields:
+            column = table.column(2 + f).combine_chunks()
+            counts = np.diff(np.asarray(column.offsets))
+            length += counts
+            parts.append(column.flatten())
+            docs.append(np.repeat(np.arange(table.num_rows), counts))
+            places.append(np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + f * FIELD_GAP)
+        coded = pa.chunked_array(parts, pa.string()).combine_chunks()
+        coded = (coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded).dictionary_encode()
+        code, doc, place = np.asarray(coded.indices), np.concatenate(docs), np.concatenate(places).astype(np.int32)
+        if not len(code):
+            return
+        order = np.lexsort((place, doc, code))
+        code, doc, place = code[order], doc[order], place[order]
+        first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]))  # of each posting
+        ends = np.append(first[1:], len(code))
+        code_of, doc_of = code[first], doc[first]
+        tf = np.zeros(len(first))
+        for f, w in zip(fields, weights):
+            upto = np.concatenate([[0], np.cumsum(place // FIELD_GAP == f)])
+            tf += w * (upto[ends] - upto[first])
+        shares = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length[doc_of] / mean))
+        begin = np.flatnonzero(np.concatenate([[True], code_of[1:] != code_of[:-1]]))  # of each term
+        last = np.append(begin[1:], len(first))
+        keys, block = table.column(1).combine_chunks(), table.column(0)[0].as_py()
+        for low in range(0, len(begin), TERMS_GIVEN):
+            at, upto = begin[low : low + TERMS_GIVEN], last[low : low + TERMS_GIVEN]
+            own = slice(int(at[0]), int(upto[-1]))
+            columns = [
+                pa.array(np.full(len(at), block, np.int32)), coded.dictionary.take(pa.array(code_of[at])), pa.array(upto - at, pa.int64()),
+                pa.array(np.maximum.reduceat(shares[own], at - own.start)),
+                lists(upto - own.start, keys.take(pa.array(doc_of[own]))), lists(upto - own.start, pa.array(shares[own])),
+            ]
+            if positions:
+                inner = lists(ends[own] - first[own.start], pa.array(place[first[own.start] : ends[own.stop - 1]]))
+                columns += [lists(upto - own.start, pa.array(length[doc_of[own]], pa.int32())), lists(upto - own.start, inner)]
+            yield pa.RecordBatch.from_arrays(columns, list(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            marks = np.asarray(batch.column(0))
+            cuts = np.concatenate([[0], np.flatnonzero(marks[1:] != marks[:-1]) + 1, [len(marks)]]) if len(marks) else [0]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                if held and held[0].column(0)[0].as_py() != int(marks[low]):
+                    yield from rows_of(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield from rows_of(pa.Table.from_batches(held))
+
+    small_batches(dealt.sparkSession)
+    return dealt.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in kinds.items()))
 
 
 def _shifted(positions: Column, by: int) -> Column:
@@ -103,11 +161,6 @@ def in_field(positions: Column, i: int) -> Column:
     return F.filter(positions, lambda p: (p >= i * FIELD_GAP) & (p < (i + 1) * FIELD_GAP))
 
 
-def share(tf: Column, length: Column, mean: float) -> Column:
-    """A posting's part in a score, before the term's weight (k1 = 1.2, b = 0.75)."""
-    return tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / F.lit(float(mean))))
-
-
 def _stats(spark: SparkSession, path: str):
     return spark.read.parquet(f"{path}/stats").first()
 
