@@ -35,8 +35,8 @@ from tidemark.functions import scoring, text
 from tidemark.operators.lexical import Node, parse
 from tidemark.sources.tables import small_batches
 
-#: Documents in a block, about; folders by term; files of a folder (by block), each with as many blocks at most.
-BLOCK_DOCS, PARTS, SLICE_BLOCKS = 512, 64, 4096
+#: Documents in a block, about; folders by term, each with a file of every task that had texts.
+BLOCK_DOCS, PARTS = 512, 64
 #: Rows of a query set (terms, or terms by block) that are handed to all tasks at most.
 MOST_HANDED_OUT = 300_000
 #: Terms of a block that a task hands on at a time.
@@ -75,8 +75,8 @@ def write(
     # Texts are shuffled by block; a block's postings are then made from arrays of its words, which never are rows of a table.
     dealt = texts.withColumn("block", block).repartition("block").sortWithinPartitions("block", "key").select("block", "key", *words)
     rows = _postings(dealt, list(fields.values()), mean, positions).withColumn("part", _part("term", parts))
-    slices = max(8, blocks // SLICE_BLOCKS)
-    rows = rows.repartition("part", F.col("block") % slices).sortWithinPartitions("part", "term", "block")
+    # Each task writes its blocks' rows to all folders, so the index itself is never shuffled.
+    rows = rows.sortWithinPartitions("part", "term", "block")
     rows.write.mode("overwrite").option("parquet.writer.version", "v2").partitionBy("part").parquet(f"{path}/postings")
     stats = [(float(n_docs), float(mean), parts, names, rows.schema.json())]
     stats = docs.sparkSession.createDataFrame(stats, "n_docs double, mean_length double, parts int, fields array<string>, schema string")
