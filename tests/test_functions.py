@@ -192,6 +192,25 @@ def test_pseudonyms_stay_in_the_jvm(spark):
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_vault_matches_texts_once(spark):
+    from tidemark.plans import catalogue
+
+    plan = catalogue.queries()["token_vault"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "Generate" not in plan
+
+
+def test_entity_tokens_equal_the_mapping(spark):
+    rng = random.Random(5)
+    parts = ["a.b@c.org", "C:\\x y", "D:\\k.com", "see example.com!", " ", "x@", "é.", "..", "b@b.é1", ":\\", "plain words", "Ü.de"]
+    bodies = [None, "", "plain"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(8))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(bodies)), "k long, v string")
+    plain = df.select("k", F.explode(spans.by_precedence(F.col("v"), entities.ENTITIES)).alias("r")).select("k", "r.kind", "r.value")
+    mapped = df.select("k", F.explode(entities.pseudonymised_with_mapping(F.col("v"), "s")["mapping"]).alias("m")).select("k", "m.token", "m.kind", "m.value")
+    got = entities.entity_tokens(df, "k", "v", "s")
+    assert sorted(got.collect()) == sorted(mapped.collect()) and got.count() > 50
+    assert sorted(got.select("k", "kind", "value").collect()) == sorted(plain.collect())
+
+
 def test_layout(spark):
     words = [(0, 0, 10, 10, "Hello"), (12, 1, 20, 11, "world"), (0, 20, 5, 30, "-"), (6, 20, 20, 30, "item")]
     rows = spark.createDataFrame([(1, *w) for w in words], "doc long, x0 long, y0 long, x1 long, y1 long, word string")

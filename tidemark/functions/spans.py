@@ -8,7 +8,7 @@ matches squared, as arrays grow by copies: a hundred thousand matches in one tex
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,11 +30,13 @@ def replaced(text: Column, pattern: str, instead: Callable[[Column], Column]) ->
 _RANGES = "array<struct<start:int, end:int, value:string>>"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Ranges ``(start, end, value)`` of all matches of a pattern, in order; none where the text is null."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(between, 1, F.greatest(F.size(between) - 1, F.lit(0))), found, lambda a, v: F.struct(F.length(a).alias("skip"), v.alias("value")))
+def matches(text: Column, pattern: str, holding: str | None = None) -> Column:
+    """Ranges ``(start, end, value)`` of all matches of a pattern, in order; none where the text is null.
+
+    ``holding`` names characters that every match holds: texts without them aren't matched. A text
+    without a match is gone through once, another one twice.
+    """
+    none = F.array().cast(_RANGES)
 
     def step(s: Column, x: Column) -> Column:
         begin = s["at"] + x["skip"]
@@ -42,8 +44,14 @@ def matches(text: Column, pattern: str) -> Column:
         here = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(s["out"], F.array(here)).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_RANGES).alias("out"))
-    return F.coalesce(F.aggregate(pairs, start, step, lambda s: s["out"]), F.array().cast(_RANGES))
+    def placed(found: Column) -> Column:
+        # What follows the last match is left out.
+        pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda a, v: F.struct(F.length(a).alias("skip"), v.alias("value")))
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(none)
+
+    out = bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    return out if holding is None else F.when(F.contains(text, F.lit(holding)), out).otherwise(none)
 
 
 def clear_of(ranges: Column, others: Column) -> Column:
@@ -51,8 +59,12 @@ def clear_of(ranges: Column, others: Column) -> Column:
     return F.filter(ranges, lambda r: ~F.exists(others, lambda o: (o["start"] < r["end"]) & (r["start"] < o["end"])))
 
 
-def by_precedence(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
-    """Ranges ``(start, end, kind, value)`` of named patterns in order; what overlaps a match of an earlier pattern is left out."""
+def by_precedence(text: Column, patterns: Sequence[tuple[str, str]], holding: Mapping[str, str] | None = None) -> Column:
+    """Ranges ``(start, end, kind, value)`` of named patterns in order; what overlaps a match of an earlier pattern is left out.
+
+    ``holding`` names characters that every match of a kind holds (see matches).
+    """
+    needed = holding or {}
 
     def named(ranges: Column, kind: str) -> Column:
         return F.transform(ranges, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.lit(kind).alias("kind"), r["value"].alias("value")))
@@ -61,11 +73,11 @@ def by_precedence(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
         if not rest:
             return F.array_sort(held)
         (kind, pattern), *more = rest
-        own = named(clear_of(matches(text, pattern), held), kind)
+        own = named(clear_of(matches(text, pattern, needed.get(kind)), held), kind)
         return bound(F.concat(held, own), lambda h: add(h, more))
 
     (kind, pattern), *more = patterns
-    return bound(named(matches(text, pattern), kind), lambda held: add(held, more))
+    return bound(named(matches(text, pattern, needed.get(kind)), kind), lambda held: add(held, more))
 
 
 def merged(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:

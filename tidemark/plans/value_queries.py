@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import entities, images, notation, structured, text, vectors, when
 from tidemark.operators import audit, documents, planner
+from tidemark.operators.ordered import held
 from tidemark.plans.audit_queries import _KINDS
 from tidemark.plans.registry import hmac_sql, query, ranges_sql
 from tidemark.sources.tables import table
@@ -331,9 +332,9 @@ def pseudonym_mapping(spark: SparkSession, base: str) -> DataFrame:
 @query(f"WITH {_MAPPED} SELECT token, arg_max(value, (doc_id, value)) AS value FROM held GROUP BY token")
 def token_vault(spark: SparkSession, base: str) -> DataFrame:
     """Tokens of all texts with the values that they stand for."""
-    mapped = entities.pseudonymised_with_mapping(F.col("text"), "local-secret")["mapping"]
-    seen = table(spark, base, "documents").select("doc_id", F.explode(mapped).alias("m"))
-    seen = seen.select("m.token", "m.kind", "m.value", F.timestamp_seconds("doc_id").alias("ts"))
+    seen = entities.entity_tokens(table(spark, base, "documents"), "doc_id", "text", "local-secret")
+    # Both the vault and what is looked up in it come from what was found: texts are matched once.
+    seen = held(seen.select("token", "kind", "value", F.timestamp_seconds("doc_id").alias("ts")))
     empty = "token string, kind string, value string, value_hash string, created timestamp, last_seen timestamp"
     vault = entities.vault_after(spark.createDataFrame([], empty), seen)
     return entities.resolve_tokens(seen, vault)
