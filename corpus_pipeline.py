@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe_codec import encode
-from tidemark.llm.common import remove, shared_folder
+from tidemark.llm.common import all_stages_end, remove, shared_folder
 from tidemark.llm.mil_quality import good_documents
 from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.neardup import without_near_duplicates
@@ -85,7 +85,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(out := f"{base}/{k}_{name}")
+        result = stage(spark, docs, sf_dir)
+        with all_stages_end(spark):
+            result.write.parquet(out := f"{base}/{k}_{name}")
         docs = spark.read.parquet(out)
         if before:
             remove(spark, before)
